@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from barspark.functions.indicators import (
     Series, bar_index, bars_since, calendar_mean, lag, ols_slope, rolling_max, rolling_mean, rolling_min, rolling_sum,
-    run_length, islands, running_max, running_min, running_ratio, with_ema, with_true_range,
+    run_length, islands, running_max, running_min, running_ratio, with_ema, with_extremes,
+    with_true_range,
 )
 from barspark.functions.scalars import div, pct
 
@@ -32,8 +33,6 @@ def daily_features(bars: DataFrame, by: tuple[str, ...] = ("ticker", "episode"),
         "atr_log": rolling_mean(s, F.col("tr_log"), atr), "atr_lin": rolling_mean(s, F.col("tr_lin"), atr),
         "atr_now": rolling_mean(s, F.col("tr_log"), atr, True),
         "rng_hi": rolling_max(s, h, atr), "rng_lo": rolling_min(s, lo, atr),
-        "hi_close": rolling_max(s, c, channel), "hi_high": rolling_max(s, h, channel),
-        "lo_close": rolling_min(s, c, channel), "lo_low": rolling_min(s, lo, channel),
         "stop_low": rolling_min(s, lo, stop_window), "stop_high": rolling_max(s, h, stop_window),
         "bars_seen": F.row_number().over(s.spec()),
     }
@@ -44,9 +43,13 @@ def daily_features(bars: DataFrame, by: tuple[str, ...] = ("ticker", "episode"),
         base["avg_vol"] = calendar_mean(by, "date", v, vol_days)
         base["avg_dol"] = calendar_mean(by, "date", c * v, vol_days)
     x = x.withColumns(base)
+    x = with_extremes(x, s, {
+        "hi_close": ("max", c, channel, False), "hi_high": ("max", h, channel, False),
+        "lo_close": ("min", c, channel, False), "lo_low": ("min", lo, channel, False),
+        "max_atr": ("max", F.col("atr_now"), max_atr, False),
+    })
     ok = (F.col("rng_hi") > 0) & (F.col("rng_lo") > 0)
     return x.withColumns({
-        "max_atr": rolling_max(s, F.col("atr_now"), max_atr),
         "rvol": div(v, F.col("avg_vol")), "pct_up": pct(c, F.col("prev_close")),
         "intraday_ret": pct(c, o),
         "tight_log": F.when(ok, div(F.ln("rng_hi") - F.ln("rng_lo"), F.col("atr_log"))),
@@ -98,13 +101,14 @@ def trend_features(x: DataFrame, s: Series = SESSION, window: int = 20) -> DataF
         "ema_hi_p": running_max(s, e, False), "ema_lo_p": running_min(s, e, False),
         "ema_hi": running_max(s, e), "ema_lo": running_min(s, e),
         "ema_low20": rolling_min(s, e, window, True), "ema_low20_p": rolling_min(s, e, window),
-        "ema_hi20_p": rolling_max(s, e, 20), "ema_hi60_p": rolling_max(s, e, 60),
+        "ema_hi20_p": rolling_max(s, e, 20),
         "slope": ols_slope(s, F.ln(c), F.col("idx"), window), "slope_p": ols_slope(s, F.ln(c), F.col("idx"), window, False),
         "vol_slope": ols_slope(s, F.when(v > 0, F.ln(v)), F.col("idx"), window),
         "vol_ema_min": rolling_min(s, F.col("vol_ema"), window, True),
         "vol5": rolling_mean(s, v, 5, True),
         "above": F.when(F.col("ema_p").isNotNull(), F.when(c >= F.col("ema_p"), 1).otherwise(0)).otherwise(0),
     })
+    x = with_extremes(x, s, {"ema_hi60_p": ("max", e, 60, False)})
     new_hi = F.col("ema_hi_p").isNull() | (e > F.col("ema_hi_p"))
     new_lo = F.col("ema_lo_p").isNull() | (e < F.col("ema_lo_p"))
     return x.withColumns({
@@ -187,7 +191,7 @@ def past_runner(bars: DataFrame, by: tuple[str, ...] = ("ticker",)) -> DataFrame
         "adr14": F.avg(h / lo - 1.0).over(s.last(14, True)), "atr14": div(F.avg(tr).over(s.last(14, True)), c),
         "ret14": pct(c, lag(s, c, 14)),
     })
-    return x.withColumns({f"max_{n}": F.max(n).over(s.last(126)) for n in ("adr14", "atr14", "ret14")}).drop("__pc")
+    return with_extremes(x, s, {f"max_{n}": ("max", F.col(n), 126, False) for n in ("adr14", "atr14", "ret14")}).drop("__pc")
 
 
 def candle_shape() -> dict[str, Column]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barspark.functions.indicators import Series, lag, lead, rolling_max, rolling_mean, with_true_range
+from barspark.functions.indicators import Series, lag, lead, rolling_max, rolling_mean, with_extremes, with_true_range
 from barspark.functions.scalars import div, gate, pct
 from barspark.operators.asof import asof_join
 from barspark.operators.prefix import ntile_of, ranked
@@ -157,7 +157,7 @@ def gap_up_universe(daily: DataFrame, min_gap: float, min_volume: float, high_wi
     x = daily.withColumn("prev_close", lag(s, F.col("close"))).withColumn("gap", pct(F.col("open"), F.col("prev_close")))
     cond = gate(F.col("gap") >= min_gap) & (F.col("volume") >= min_volume)
     if high_window:
-        x = x.withColumn("prior_high", rolling_max(s, F.col("high"), high_window))
+        x = with_extremes(x, s, {"prior_high": ("max", F.col("high"), high_window, False)})
         cond = cond & gate(F.col("open") > F.col("prior_high"))
     return x.filter(cond)
 
@@ -225,13 +225,13 @@ def factor_base(daily: DataFrame, as_of: Column, recency_days: int = 10, warmup:
     x = with_true_range(daily, s).withColumns({
         "atr_lin": rolling_mean(s, F.col("tr_lin"), 14, True), "atr_log": rolling_mean(s, F.col("tr_log"), 14, True),
         "rng_hi": rolling_max(s, F.col("high"), 14, True), "rng_lo": F.min("low").over(s.last(14, True)),
-        "hi_close252": rolling_max(s, F.col("close"), 252, True),
         "avgvol20": rolling_mean(s, F.col("volume"), 20, True),
         "avgdol20": rolling_mean(s, F.col("close") * F.col("volume"), 20, True),
         "nbars": F.count(F.lit(1)).over(s.whole()),
         "rn_desc": F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("date"))),
     })
-    x = x.withColumn("max_atr126", rolling_max(s, F.col("atr_log"), 126, True))
+    x = with_extremes(x, s, {"hi_close252": ("max", F.col("close"), 252, True),
+                             "max_atr126": ("max", F.col("atr_log"), 126, True)})
     x = x.withColumn("tightness", F.when(F.col("atr_lin") > 0, (F.col("rng_hi") - F.col("rng_lo")) / F.col("atr_lin")))
     return x.filter(
         (F.col("rn_desc") == 1) & (F.col("nbars") > warmup) & (F.col("date") >= F.date_sub(as_of, recency_days))

@@ -1 +1,331 @@
-"""."""
+"""Sources, sinks, keyed maintenance and warehouse lookups."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from barspark.operators.universe import in_types
+from barspark.plans import market as M
+from barspark.plans.registry import query
+from barspark.session import checkpoint_dir
+from barspark.sources import readers, sinks
+
+
+def scratch(spark) -> str:
+    """A fresh folder in the shared checkpoint location."""
+    return f"{checkpoint_dir(spark)}/barspark-{uuid.uuid4().hex}"
+
+
+DAILY = "ticker date open:f4 high:f4 low:f4 close:f4 volume:i transactions:i"
+DAILY_SQL = "SELECT CAST(ticker AS VARCHAR) AS ticker, date, open, high, low, close, volume, transactions FROM daily"
+
+
+@query("A1_daily_csv_gz", DAILY, DAILY_SQL)
+def daily_csv(spark, sf):
+    """Daily bars written as gzip CSV in the vendor's column order and read back with the explicit schema."""
+    d = M.daily(spark, sf)
+    ns = (F.unix_date("date").cast("long") * 86_400 + 18_000) * 1_000_000_000
+    path = scratch(spark)
+    d.select(F.col("ticker").cast("string"), "volume", "open", "close", "high", "low", ns.alias("window_start"),
+             "transactions").write.option("header", "true").option("compression", "gzip").csv(path)
+    return readers.daily_csv(spark, path)
+
+
+@query("A2_dividends_csv_empty_dates", "ticker ex_dividend_date cash_amount:f declaration_date pay_date frequency:i",
+       """SELECT CAST(ticker AS VARCHAR) AS ticker, ex_dividend_date, cash_amount,
+          CASE WHEN ticker % 2 = 0 THEN CAST(ex_dividend_date - INTERVAL 20 DAY AS DATE) END AS declaration_date,
+          CAST(NULL AS DATE) AS pay_date, 4 AS frequency FROM divs""")
+def dividends_csv(spark, sf):
+    d = M.dividends(spark, sf)
+    path = scratch(spark)
+    decl = F.when(F.col("ticker") % 2 == 0, F.date_sub("ex_dividend_date", 20).cast("string")).otherwise("")
+    d.select(F.col("ticker").cast("string"), F.col("ex_dividend_date").cast("string"), "cash_amount",
+             decl.alias("declaration_date"), F.lit("").alias("pay_date"), F.lit(4).alias("frequency"),
+             F.lit('regular, "cash"').alias("dividend_type"),
+             ).write.option("header", "true").option("quoteAll", "true").option("escape", '"').csv(path)
+    return readers.dividends_csv(spark, path)
+
+
+@query("A3_intraday_json_unnest", "ticker ts_us:i open:f high:f low:f close:f volume:f",
+       """SELECT CAST(ticker AS VARCHAR) AS ticker, (date - DATE '1970-01-01') * 86400000000 AS ts_us, open, high, low, close,
+          volume FROM daily WHERE volume % 10 <> 0""")
+def intraday_json(spark, sf):
+    """Nested results[] per ticker and year; entries without a time are dropped."""
+    d = M.daily(spark, sf)
+    t = F.when(F.col("volume") % 10 != 0, F.unix_date("date").cast("long") * 86_400_000)
+    bar = F.struct(t.alias("t"), F.col("open").alias("o"), F.col("high").alias("h"), F.col("low").alias("l"),
+                   F.col("close").alias("c"), F.col("volume").cast("double").alias("v"))
+    path = scratch(spark)
+    d.groupBy(F.col("ticker").cast("string").alias("ticker"), F.year("date").alias("y")).agg(
+        F.collect_list(bar).alias("results")).select("ticker", "results").write.json(path)
+    x = spark.read.schema(readers.schemas.INTRADAY_JSON).json(path)
+    return readers.flatten_intraday(x).withColumn("ts_us", F.unix_micros("timestamp"))
+
+
+@query("A4_upsert_by_key", "key:i amount:f status",
+       """SELECT o_custkey AS key, arg_max(o_totalprice, o_orderkey) AS amount, arg_max(o_orderstatus, o_orderkey) AS status
+          FROM orders GROUP BY 1""")
+def upsert(spark, sf):
+    """Loads in two batches keyed by customer; the later order wins in a batch, the second batch over the first."""
+    o = M.table(spark, sf, "orders").select(F.col("o_custkey").alias("key"), F.col("o_totalprice").alias("amount"),
+                                            F.col("o_orderstatus").alias("status"), "o_orderkey")
+    mid = o.agg(F.expr("avg(o_orderkey)").alias("mid"))
+    o = o.join(F.broadcast(mid))
+    load = F.col("o_orderkey")
+    first = sinks.upsert(None, o.filter(F.col("o_orderkey") <= F.col("mid")).drop("mid"), ["key"], load)
+    return sinks.upsert(first, o.filter(F.col("o_orderkey") > F.col("mid")).drop("mid"), ["key"], load)
+
+
+@query("A5_ticker_events_flatten", "query_ticker figi name cik event_date event_type event_ticker",
+       """SELECT replace('S_' || c_custkey, '_', '.') AS query_ticker, 'F' || c_nationkey AS figi, c_name AS name,
+          CAST(c_custkey AS VARCHAR) AS cik, CAST(o_orderdate AS DATE) AS event_date, 'ticker_change' AS event_type,
+          'T' || o_orderkey AS event_ticker FROM customer JOIN orders ON o_custkey = c_custkey""")
+def ticker_events(spark, sf):
+    """One JSON text per ticker, named by file stem, exploded to one row per event."""
+    c, o = M.table(spark, sf, "customer"), M.table(spark, sf, "orders")
+    ev = F.struct(F.to_date("o_orderdate").cast("string").alias("date"), F.lit("ticker_change").alias("type"),
+                  F.struct(F.concat(F.lit("T"), F.col("o_orderkey")).alias("ticker")).alias("ticker_change"))
+    j = c.join(o, c.c_custkey == o.o_custkey).groupBy("c_custkey", "c_name", "c_nationkey", F.year("o_orderdate")).agg(
+        F.collect_list(ev).alias("events"))
+    body = F.to_json(F.struct(F.struct(F.concat(F.lit("F"), F.col("c_nationkey")).alias("composite_figi"),
+                                       F.col("c_name").alias("name"), F.col("c_custkey").cast("string").alias("cik"),
+                                       "events").alias("results")))
+    t = j.select(F.concat(F.lit("S_"), F.col("c_custkey"), F.lit(".json")).alias("file_name"), body.alias("body"))
+    parsed = t.select("file_name", F.from_json("body", readers.schemas.TICKER_EVENTS_JSON).alias("j"))
+    return readers.flatten_ticker_events(parsed.select("file_name", "j.*"))
+
+
+@query("A6_truncate_and_reload", "region:i n:i", "SELECT n_regionkey AS region, count(*) AS n FROM nation GROUP BY 1")
+def reload_table(spark, sf):
+    """Two full rewrites of the same table leave one copy."""
+    path = scratch(spark)
+    n = M.table(spark, sf, "nation")
+    for _ in range(2):
+        sinks.reload_table(n, path)
+    return spark.read.parquet(path).groupBy(F.col("n_regionkey").alias("region")).agg(F.count(F.lit(1)).alias("n"))
+
+
+TR = "seq:i ticker price:f size:i n_codes:i c0:i"
+
+
+@query("A7_trades_csv_conditions", TR,
+       """SELECT seq, CAST(ticker AS VARCHAR) AS ticker, price, size, coalesce(len(conditions), 0) AS n_codes,
+          conditions[1] AS c0 FROM tape""")
+def trades_csv(spark, sf):
+    t = M.tape(spark, sf)
+    path = scratch(spark)
+    t.select(F.col("ticker").cast("string"), F.array_join("conditions", ",").alias("conditions"), F.lit(1).alias("exchange"),
+             F.col("participant_ts").alias("participant_timestamp"), "price", F.col("seq").alias("sequence_number"),
+             F.col("sip_ts").alias("sip_timestamp"), F.col("size").cast("double"), "trf_id",
+             ).write.option("header", "true").csv(path)
+    r = readers.trades_csv(spark, path)
+    return r.select(F.col("sequence_number").alias("seq"), "ticker", "price", "size", F.size("conditions").alias("n_codes"),
+                    F.get("conditions", F.lit(0)).alias("c0"))
+
+
+@query("A8_minutes_csv_to_parquet_zstd", "ticker window_start:i close:f4 volume:i",
+       """SELECT CAST(ticker AS VARCHAR) AS ticker, (date - DATE '1970-01-01') * 86400000000000 AS window_start, close, volume
+          FROM daily""")
+def minutes_csv(spark, sf):
+    d = M.daily(spark, sf)
+    a, b = scratch(spark), scratch(spark)
+    ns = F.unix_date("date").cast("long") * 86_400_000_000_000
+    d.select(F.col("ticker").cast("string"), "volume", "open", "close", "high", "low", ns.alias("window_start"),
+             "transactions").write.option("header", "true").csv(a)
+    sinks.reload_table(readers.minutes_csv(spark, a), b)
+    return spark.read.parquet(b)
+
+
+@query("A9_A10_incremental_day_build", "date n:i volume:i",
+       "SELECT date, count(*) AS n, CAST(sum(volume) AS BIGINT) AS volume FROM daily GROUP BY 1")
+def day_build(spark, sf):
+    """A first build of one year, then a run that adds only the missing days; nothing is built twice."""
+    path = scratch(spark)
+    d = M.daily(spark, sf)
+    by_year = d.withColumn("year", F.year("date"))
+    build = lambda x: x.groupBy("year", "date").agg(F.count(F.lit(1)).alias("n"), F.sum("volume").alias("volume"))
+    sinks.build_days(spark, by_year.filter(F.col("year") == 1995), path, build, "year")
+    sinks.build_days(spark, by_year, path, build, "year")
+    return spark.read.parquet(path)
+
+
+@query("A11_shard_by_ticker_date", "ticker:i n:i price:f4",
+       """SELECT t.ticker, count(*) AS n, sum(t.price) AS price FROM tape t
+          WHERE t.ticker IN (SELECT ticker FROM tape GROUP BY ticker HAVING count(*) > 70) GROUP BY 1""")
+def shard(spark, sf):
+    t = M.tape(spark, sf).withColumn("month", F.trunc("date", "month"))
+    keys = t.groupBy("ticker").agg(F.count(F.lit(1)).alias("k")).filter("k > 70").join(
+        t.select("ticker", "month").distinct(), "ticker")
+    path = scratch(spark)
+    sinks.shard(t, keys, path, ["ts", "seq", "price", "size"], ("month", "ticker"), files_per_key=1)
+    return spark.read.parquet(path).groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.sum("price").alias("price"))
+
+
+@query("A12_sorted_layout", "bucket:i n:i lo:i hi:i",
+       """SELECT ts // 86400000000 AS bucket, count(*) AS n, min(ticker) AS lo, max(ticker) AS hi FROM tape
+          WHERE ts // 86400000000 BETWEEN 19730 AND 19739 GROUP BY 1""")
+def sorted_layout(spark, sf):
+    path = scratch(spark)
+    t = M.tape(spark, sf).withColumn("bucket", F.floor(F.col("ts") / M.DAY_US)).select("bucket", "ticker", "price", "size")
+    sinks.write_sorted(t, path, ["bucket", "ticker"])
+    r = spark.read.parquet(path).filter(F.col("bucket").between(19730, 19739))
+    return r.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("ticker").alias("lo"), F.max("ticker").alias("hi"))
+
+
+@query("A13_trip_csv_sink", "symbol:i entry_date:s entry_price:f exit_price:f exit_reason",
+       """SELECT ticker AS symbol, CAST(entry_date AS VARCHAR) AS entry_date, entry_price, exit_price, exit_reason
+          FROM trips""")
+def trip_csv(spark, sf):
+    path = scratch(spark)
+    t = M.trips(spark, sf).withColumnRenamed("ticker", "symbol")
+    cols = ["symbol", "entry_date", "entry_price", "exit_price", "exit_reason"]
+    sinks.write_trips_csv(t, path, cols)
+    return spark.read.schema("symbol bigint, entry_date string, entry_price double, exit_price double, exit_reason string").option(
+        "header", "true").csv(path)
+
+
+@query("A13_universe_json_sink", "ticker:i date:s gap:f",
+       """SELECT ticker, CAST(date AS VARCHAR) AS date, gap FROM (
+          SELECT *, open / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS gap FROM daily) WHERE gap >= 0.5""")
+def universe_json(spark, sf):
+    from barspark.operators.universe import gap_up_universe
+
+    path = scratch(spark)
+    sinks.write_universe_json(gap_up_universe(M.daily(spark, sf), 0.5, 0), path, ["ticker", "date", "gap"])
+    return spark.read.schema("ticker bigint, date string, gap double").json(path)
+
+
+@query("A13_cell_csv_export", "year:i reason n:i",
+       "SELECT year(entry_date) AS year, exit_reason AS reason, count(*) AS n FROM trips GROUP BY ALL")
+def cell_csv(spark, sf):
+    path = scratch(spark)
+    t = M.trips(spark, sf).select(F.year("entry_date").alias("year"), F.col("exit_reason").alias("reason"), "trip_id", "ret")
+    sinks.write_cells_csv(t, path, ["year", "reason"])
+    r = spark.read.schema("trip_id bigint, ret double, year int, reason string").option("header", "true").csv(path)
+    return r.groupBy("year", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("A14_quotes_nested_json", "ticker seq:i bid:f ask:f n_cond:i",
+       """SELECT CAST(user_id AS VARCHAR) AS ticker, event_id AS seq, value AS bid, value + 0.01 AS ask,
+          event_id % 3 AS n_cond FROM events""")
+def quotes(spark, sf):
+    t = M.tape(spark, sf)
+    q = F.struct(F.col("ts").alias("sip_timestamp"), F.col("seq").alias("sequence_number"), F.col("price").alias("bid_price"),
+                 (F.col("price") + 0.01).alias("ask_price"), F.array_repeat(F.lit(1), (F.col("seq") % 3).cast("int")).alias("conditions"))
+    body = F.to_json(F.struct(F.col("ticker").cast("string"), F.collect_list(q).alias("results")))
+    x = t.groupBy("ticker", "date").agg(body.alias("body"))
+    p = x.select(F.from_json("body", readers.schemas.QUOTES_JSON).alias("j")).select("j.*")
+    return readers.flatten_quotes(p).select("ticker", F.col("sequence_number").alias("seq"), F.col("bid_price").alias("bid"),
+                                            F.col("ask_price").alias("ask"), F.size("conditions").alias("n_cond"))
+
+
+@query("A14_news_per_ticker", "id ticker publisher n_insights:i",
+       """SELECT CAST(doc_id AS VARCHAR) AS id, unnest([lang, source]) AS ticker, source AS publisher,
+          length(lang) AS n_insights FROM documents""")
+def news(spark, sf):
+    d = M.table(spark, sf, "documents")
+    ins = F.array_repeat(F.struct(F.col("lang").alias("ticker"), F.lit("neutral").alias("sentiment")), F.length("lang"))
+    n = F.struct(F.col("doc_id").cast("string").alias("id"), F.array("lang", "source").alias("tickers"),
+                 F.lit("2024-01-02T03:04:05Z").alias("published_utc"), F.struct(F.col("source").alias("name")).alias("publisher"),
+                 ins.alias("insights"))
+    body = d.select(F.to_json(F.struct(F.array(n).alias("results"))).alias("body"))
+    p = body.select(F.from_json("body", readers.schemas.NEWS_JSON).alias("j")).select("j.*")
+    return readers.flatten_news(p, per_ticker=True).select("id", "ticker", F.col("publisher.name").alias("publisher"),
+                                                           F.size("insights").alias("n_insights"))
+
+
+@query("A15_keyed_batch_replace", "ticker:i period_end value:f4",
+       """SELECT ticker, period_end, CASE WHEN ticker % 3 = 0 THEN value * 2 ELSE value END AS value FROM flo
+          WHERE ticker % 3 <> 0 OR period_end >= DATE '1997-01-01'""")
+def batch_replace(spark, sf):
+    """Every ticker of the stage loses its old rows; the stage's rows are appended."""
+    f = M.floats(spark, sf).select("ticker", "period_end", "value")
+    third = F.col("ticker") % 3 == 0
+    stage = f.filter(third & (F.col("period_end") >= "1997-01-01")).withColumn("value", F.col("value") * 2)
+    # a ticker whose stage is empty would keep its rows, so its key is staged too
+    keys = f.filter(third).select("ticker").distinct()
+    return f.join(keys, "ticker", "left_anti").unionByName(sinks.replace_keys(f.filter(third & F.lit(False)), stage, ["ticker"]))
+
+
+# ----- B: lookups -----
+
+
+@query("B1_row_counts", "table_name n:i",
+       """SELECT 'daily' AS table_name, count(*) AS n FROM daily UNION ALL SELECT 'splits', count(*) FROM spl
+          UNION ALL SELECT 'dividends', count(*) FROM divs""")
+def row_counts(spark, sf):
+    return sinks.row_counts({"daily": M.daily(spark, sf), "splits": M.splits(spark, sf), "dividends": M.dividends(spark, sf)})
+
+
+@query("B2_distinct_keys", "ticker:i", "SELECT DISTINCT l_suppkey AS ticker FROM lineitem")
+def distinct_keys(spark, sf):
+    return M.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("ticker")).distinct().orderBy("ticker")
+
+
+@query("B3_date_range", "first_date last_date",
+       "SELECT CAST(min(l_shipdate) AS DATE) AS first_date, CAST(max(l_shipdate) AS DATE) AS last_date FROM lineitem")
+def date_range(spark, sf):
+    d = M.table(spark, sf, "lineitem").select(F.to_date("l_shipdate").alias("date"))
+    return sinks.date_range(d, "date")
+
+
+@query("B4_history_of_ticker", "ticker:i date close:f4", "SELECT ticker, date, close FROM daily WHERE ticker = 7")
+def history(spark, sf):
+    return sinks.history(M.daily(spark, sf), "ticker", 7, "date")
+
+
+@query("B4_splits_descending", "ticker:i execution_date split_ratio:f",
+       "SELECT * FROM spl WHERE ticker = 9")
+def splits_desc(spark, sf):
+    return sinks.history(M.splits(spark, sf), "ticker", 9, "execution_date", descending=True)
+
+
+@query("B5_ticker_date_range", "ticker:i date close:f4 volume:i",
+       "SELECT ticker, date, close, volume FROM daily WHERE ticker = 11 AND date BETWEEN DATE '1997-01-01' AND DATE '1998-06-30'")
+def ticker_range(spark, sf):
+    import datetime as dt
+
+    return sinks.history(M.daily(spark, sf), "ticker", 11, "date", dt.date(1997, 1, 1), dt.date(1998, 6, 30))
+
+
+@query("B6_bars_of_a_day", "ticker:i ts:i price:f size:i",
+       "SELECT ticker, ts, price, size FROM tape WHERE ticker = 8 AND date = DATE '2024-01-09'")
+def bars_of_day(spark, sf):
+    t = M.tape(spark, sf)
+    return t.filter((F.col("ticker") == 8) & (F.col("date") == F.lit("2024-01-09").cast("date"))).orderBy("ts")
+
+
+@query("B7_latest_row_before", "ticker:i date close:f4",
+       "SELECT ticker, max(date) AS date, arg_max(close, date) AS close FROM daily WHERE date < DATE '1999-01-01' GROUP BY 1")
+def latest_before(spark, sf):
+    d = M.daily(spark, sf).filter(F.col("date") < F.lit("1999-01-01").cast("date"))
+    return sinks.latest_per_key(d, ["ticker"], ["date"])
+
+
+@query("B8_universe_semi_join", "ticker:i n:i",
+       """SELECT ticker, count(*) AS n FROM daily WHERE ticker IN (SELECT ticker FROM refs WHERE type IN ('CS', 'ADRC'))
+          GROUP BY 1""")
+def universe_semi(spark, sf):
+    d = in_types(M.daily(spark, sf), M.reference(spark, sf), ["CS", "ADRC"])
+    return d.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("B9_in_select_distinct", "ticker:i n:i",
+       "SELECT ticker, count(*) AS n FROM trips WHERE ticker IN (SELECT DISTINCT ticker FROM spl) GROUP BY 1")
+def in_distinct(spark, sf):
+    t = M.trips(spark, sf).join(M.splits(spark, sf), "ticker", "left_semi")
+    return t.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("B10_exclude_columns", "ticker:i ts:i seq:i price:f size:i",
+       "SELECT * EXCLUDE (conditions, sign, trf_id, participant_ts, sip_ts, date) FROM tape")
+def exclude(spark, sf):
+    return M.tape(spark, sf).drop("conditions", "sign", "trf_id", "participant_ts", "sip_ts", "date")
+
+
+@query("B11_qualify_latest", "ticker:i date close:f4",
+       "SELECT ticker, date, close FROM daily QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) = 2")
+def qualify(spark, sf):
+    return sinks.nth_recent(M.daily(spark, sf), ["ticker"], "date", 2)

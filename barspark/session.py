@@ -17,6 +17,7 @@ def get_spark(app: str = "barspark", cores: int | None = None, shuffle: int | No
         .config("spark.sql.shuffle.partitions", str(shuffle or n))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("BARSPARK_DRIVER_MEMORY", "12g"))

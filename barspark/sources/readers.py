@@ -46,7 +46,10 @@ def tickers_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def intraday_json(spark: SparkSession, path: str) -> DataFrame:
     """Bars nested in ``results``; entries without a time are dropped."""
-    d = spark.read.schema(schemas.INTRADAY_JSON).option("multiLine", "true").json(path)
+    return flatten_intraday(spark.read.schema(schemas.INTRADAY_JSON).option("multiLine", "true").json(path))
+
+
+def flatten_intraday(d: DataFrame) -> DataFrame:
     r = d.select("ticker", F.explode("results").alias("r")).filter(F.col("r.t").isNotNull())
     return r.select("ticker", F.timestamp_millis("r.t").alias("timestamp"), F.col("r.o").alias("open"),
                     F.col("r.h").alias("high"), F.col("r.l").alias("low"), F.col("r.c").alias("close"),
@@ -56,7 +59,11 @@ def intraday_json(spark: SparkSession, path: str) -> DataFrame:
 def ticker_events_json(spark: SparkSession, path: str) -> DataFrame:
     """One file per ticker; the file name (with ``_`` for ``.``) is the queried ticker."""
     d = spark.read.schema(schemas.TICKER_EVENTS_JSON).option("multiLine", "true").json(path)
-    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json", 1)
+    return flatten_ticker_events(d.withColumn("file_name", F.col("_metadata.file_name")))
+
+
+def flatten_ticker_events(d: DataFrame) -> DataFrame:
+    stem = F.regexp_extract(F.col("file_name"), r"^(.*)\.json", 1)
     e = d.select(F.replace(stem, F.lit("_"), F.lit(".")).alias("query_ticker"), "results.composite_figi", "results.name",
                  "results.cik", F.explode("results.events").alias("e"))
     return e.select("query_ticker", F.col("composite_figi").alias("figi"), "name", "cik",
@@ -88,13 +95,19 @@ def day_files(spark: SparkSession, path: str, schema: str | None = None) -> Data
 
 
 def quotes_json(spark: SparkSession, path: str) -> DataFrame:
-    d = spark.read.schema(schemas.QUOTES_JSON).option("multiLine", "true").json(path)
+    return flatten_quotes(spark.read.schema(schemas.QUOTES_JSON).option("multiLine", "true").json(path))
+
+
+def flatten_quotes(d: DataFrame) -> DataFrame:
     return d.select("ticker", F.explode("results").alias("q")).select("ticker", "q.*")
 
 
 def news_json(spark: SparkSession, path: str, per_ticker: bool = False) -> DataFrame:
     """Articles with nested publisher and insights; ``per_ticker`` gives one row per mentioned ticker."""
-    d = spark.read.schema(schemas.NEWS_JSON).option("multiLine", "true").json(path)
+    return flatten_news(spark.read.schema(schemas.NEWS_JSON).option("multiLine", "true").json(path), per_ticker)
+
+
+def flatten_news(d: DataFrame, per_ticker: bool = False) -> DataFrame:
     n = d.select(F.explode("results").alias("n")).select("n.*")
     n = n.withColumn("published_utc", F.to_timestamp("published_utc"))
     return n.withColumn("ticker", F.explode("tickers")) if per_ticker else n
