@@ -214,7 +214,7 @@ def quotes(spark, sf):
     t = M.tape(spark, sf)
     q = F.struct(F.col("ts").alias("sip_timestamp"), F.col("seq").alias("sequence_number"), F.col("price").alias("bid_price"),
                  (F.col("price") + 0.01).alias("ask_price"), F.array_repeat(F.lit(1), (F.col("seq") % 3).cast("int")).alias("conditions"))
-    body = F.to_json(F.struct(F.col("ticker").cast("string"), F.collect_list(q).alias("results")))
+    body = F.to_json(F.struct(F.col("ticker").cast("string").alias("ticker"), F.collect_list(q).alias("results")))
     x = t.groupBy("ticker", "date").agg(body.alias("body"))
     p = x.select(F.from_json("body", readers.schemas.QUOTES_JSON).alias("j")).select("j.*")
     return readers.flatten_quotes(p).select("ticker", F.col("sequence_number").alias("seq"), F.col("bid_price").alias("bid"),
