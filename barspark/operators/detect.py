@@ -8,10 +8,10 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barspark.functions.scalars import all_of, gate, pct
+from barspark.functions.scalars import all_of, div, gate, pct
 
 INF = math.inf
 
@@ -143,10 +143,8 @@ class VwapReclaim:
     mirror: bool = False
 
     def fires(self) -> Column:
-        before, now = F.col("ema_p") - F.col("vwap_p"), F.col("ema") - F.col("vwap")
         cross = ((F.col("ema_p") >= F.col("vwap_p")) & (F.col("ema") < F.col("vwap"))) if self.mirror else (
             (F.col("ema_p") <= F.col("vwap_p")) & (F.col("ema") > F.col("vwap")))
-        del before, now
         gates = [F.col("minute").between(self.start, self.end), cross, F.col("run_len_p") >= self.min_run]
         if self.min_frac > 0:
             gates.append(F.col("below_frac_p") > self.min_frac)
@@ -298,3 +296,15 @@ def first_per_session(s, qualifies: Column, exhausted: Column) -> dict[str, Colu
 def in_window(minute: str, start: int, end: int) -> Column:
     """The recorder: every bar of a time window is an event."""
     return F.col(minute).between(start, end)
+
+
+def with_entry_candle(x: DataFrame, candle: DataFrame) -> DataFrame:
+    """Judge and fill the entry on another candle of the day (a partial one known at a cutoff), while the state going
+    into the day stays. ``candle``: ticker, date, open, high, low, close, volume; days without one take no entry."""
+    c = candle.select("ticker", "date", *[F.col(k).alias(f"__{k}") for k in ("open", "high", "low", "close", "volume")])
+    j = x.join(c.filter(F.col("__close").isNotNull()), ["ticker", "date"])
+    j = j.withColumns({k: F.col(f"__{k}") for k in ("open", "high", "low", "close", "volume")})
+    j = j.drop(*[f"__{k}" for k in ("open", "high", "low", "close", "volume")])
+    v, cl = F.col("volume"), F.col("close")
+    return j.withColumns({"rvol": div(v, F.col("avg_vol")), "pct_up": pct(cl, F.col("prev_close")),
+                          "intraday_ret": pct(cl, F.col("open")), "d52_close": pct(cl, F.col("hi_close"))})

@@ -44,7 +44,7 @@ SELECT o_custkey AS ticker, CAST(o_orderdate AS DATE) AS date, o_orderpriority A
 FROM orders WHERE o_custkey IN (SELECT s_suppkey FROM supplier) GROUP BY 1, 2, 3""",
     "spl": """
 SELECT ticker, date AS execution_date,
-       CASE WHEN key % 4 = 0 THEN 0.5::DOUBLE ELSE CAST(key % 3 + 2 AS DOUBLE) END AS split_ratio
+       CASE WHEN key % 4 = 0 THEN 1.0::DOUBLE / 3.0::DOUBLE ELSE CAST(key % 3 * 2 + 3 AS DOUBLE) END AS split_ratio
 FROM acts WHERE pr = '1-URGENT'""",
     "divs": "SELECT ticker, date AS ex_dividend_date, amount / 1e6 AS cash_amount FROM acts WHERE pr = '2-HIGH'",
     "flo": """
@@ -105,4 +105,41 @@ FROM (SELECT *, row_number() OVER s - 1 AS idx,
     fp AS ({SE} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
     i20 AS ({SE} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), x20 AS ({SE} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))
 WINDOW s AS ({SE})""",
+    "sctx": """
+SELECT ticker, session, lag(c) OVER w AS close_1d, lag(c, 3) OVER w AS close_3d, lag(v) OVER w AS permin FROM (
+  SELECT ticker, session, arg_max(close, minute) AS c, sum(volume) / count(*) AS v FROM sess GROUP BY 1, 2)
+WINDOW w AS (PARTITION BY ticker ORDER BY session)""",
+    "tfeat": f"""
+SELECT *, idx - max(CASE WHEN new_hi THEN idx END) OVER f AS bars_since_hi, idx - max(CASE WHEN new_lo THEN idx END) OVER f AS bars_since_lo,
+  sum(above) OVER ({SE} ROWS 5 PRECEDING) AS above6, (vol_ema - vol_ema_min) / vol_ema AS vol_climb
+FROM (SELECT *, ema_hi_p IS NULL OR ema > ema_hi_p AS new_hi, ema_lo_p IS NULL OR ema < ema_lo_p AS new_lo,
+    ema_hi20_p IS NULL OR ema > ema_hi20_p AS new_hi20, ema_hi60_p IS NULL OR ema > ema_hi60_p AS new_hi60
+  FROM (SELECT s.*, close_1d, close_3d, permin, max(ema) OVER fp AS ema_hi_p, min(ema) OVER fp AS ema_lo_p, max(ema) OVER f AS ema_hi,
+      min(ema) OVER f AS ema_lo, min(ema) OVER i20 AS ema_low20, min(ema) OVER x20 AS ema_low20_p, max(ema) OVER x20 AS ema_hi20_p,
+      max(ema) OVER ({SE.replace("ticker, session", "s.ticker, s.session")} ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) AS ema_hi60_p,
+      regr_slope(ln(close), idx) OVER x20 AS slope_p, regr_slope(ln(volume), idx) OVER i20 AS vol_slope,
+      min(vol_ema) OVER i20 AS vol_ema_min,
+      avg(volume) OVER ({SE.replace("ticker, session", "s.ticker, s.session")} ROWS 4 PRECEDING) AS vol5, sum(volume) OVER i20 AS vol20,
+      CASE WHEN ema_p IS NOT NULL AND close >= ema_p THEN 1 ELSE 0 END AS above
+    FROM sfeat s JOIN sctx c ON c.ticker = s.ticker AND c.session = s.session
+    WINDOW f AS (PARTITION BY s.ticker, s.session ORDER BY minute ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+      fp AS (PARTITION BY s.ticker, s.session ORDER BY minute ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+      i20 AS (PARTITION BY s.ticker, s.session ORDER BY minute ROWS BETWEEN 19 PRECEDING AND CURRENT ROW),
+      x20 AS (PARTITION BY s.ticker, s.session ORDER BY minute ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)))
+WINDOW f AS ({SE} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+    "runs": f"""
+SELECT *, coalesce(lag(run_len) OVER ({SE}), 0) AS run_len_p, min(CASE WHEN bl THEN ema_p END) OVER (PARTITION BY ticker, session, isl ORDER BY minute) AS run_low
+FROM (SELECT *, sum(CASE WHEN bl THEN 1 ELSE 0 END) OVER (PARTITION BY ticker, session, isl ORDER BY minute) AS run_len
+  FROM (SELECT *, sum(CASE WHEN bl IS DISTINCT FROM pbl AND idx > 0 THEN 1 ELSE 0 END) OVER ({SE}) AS isl
+    FROM (SELECT *, lag(bl) OVER ({SE}) AS pbl FROM (SELECT *, coalesce(ema_p < vwap_p, false) AS bl FROM sfeat))))""",
+    "eruns": f"""
+SELECT *, coalesce(lag(bn) OVER ({SE}), 0) AS below_n_p, coalesce(lag(an) OVER ({SE}), 0) AS above_n_p,
+  lag(saved) OVER ({SE}) AS saved_run_p, coalesce(lag(since) OVER ({SE}), -1) AS since_break_p
+FROM (SELECT *, last_value(ended IGNORE NULLS) OVER ({SE}) AS saved, coalesce(idx - max(CASE WHEN be THEN idx END) OVER ({SE}), -1) AS since
+  FROM (SELECT *, CASE WHEN be AND lag(an) OVER ({SE}) > 0 THEN lag(an) OVER ({SE}) END AS ended
+    FROM (SELECT *, CASE WHEN be THEN count(*) OVER (PARTITION BY ticker, session, isl ORDER BY minute) ELSE 0 END AS bn,
+        CASE WHEN ae THEN count(*) OVER (PARTITION BY ticker, session, isl ORDER BY minute) ELSE 0 END AS an
+      FROM (SELECT *, sum(CASE WHEN st IS DISTINCT FROM pst AND idx > 0 THEN 1 ELSE 0 END) OVER ({SE}) AS isl
+        FROM (SELECT *, lag(st) OVER ({SE}) AS pst FROM (SELECT *, coalesce(close < ema_p, false) AS be,
+          coalesce(close >= ema_p, false) AS ae, CASE WHEN ema_p IS NULL THEN 0 WHEN close < ema_p THEN 1 ELSE 2 END AS st FROM sfeat))))))""",
 }

@@ -10,7 +10,7 @@ Only here are table names of the test data known; the operators take DataFrames.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barspark.functions.features import daily_features
@@ -72,6 +72,15 @@ def sessions(spark: SparkSession, sf: str) -> DataFrame:
     })
 
 
+def session_context(s: DataFrame) -> DataFrame:
+    """Last close of the previous session and of three sessions back, and the previous session's volume per bar."""
+    per = s.groupBy("ticker", "session").agg(F.max_by("close", "minute").alias("c"), F.avg("volume").alias("v"))
+    w = Window.partitionBy("ticker").orderBy("session")
+    ctx = per.select("ticker", "session", F.lag("c").over(w).alias("close_1d"), F.lag("c", 3).over(w).alias("close_3d"),
+                     F.lag("v").over(w).alias("permin"))
+    return s.join(ctx, ["ticker", "session"])
+
+
 def _actions(spark: SparkSession, sf: str, priority: str) -> DataFrame:
     """Orders of one priority as (ticker, date, key, amount), one per ticker and date."""
     o = table(spark, sf, "orders").filter(F.col("o_orderpriority") == priority)
@@ -83,7 +92,7 @@ def _actions(spark: SparkSession, sf: str, priority: str) -> DataFrame:
 
 def splits(spark: SparkSession, sf: str) -> DataFrame:
     a = _actions(spark, sf, "1-URGENT")
-    ratio = F.when(F.col("key") % 4 == 0, 0.5).otherwise((F.col("key") % 3 + 2).cast("double"))
+    ratio = F.when(F.col("key") % 4 == 0, F.lit(1.0) / F.lit(3.0)).otherwise((F.col("key") % 3 * 2 + 3).cast("double"))
     return a.select("ticker", F.col("date").alias("execution_date"), ratio.alias("split_ratio"))
 
 

@@ -37,7 +37,7 @@ def dividend_factors(spark, sf):
 
 
 @query("E5_total_return_adjustment",
-       "ticker:i date adj_open:f4 adj_high:f4 adj_low:f4 adj_close:f4 adj_volume:i raw_volume:i",
+       "ticker:i date adj_open:f adj_high:f adj_low:f adj_close:f adj_volume:i raw_volume:i",
        f"""SELECT d.ticker, d.date, open / s * c AS adj_open, high / s * c AS adj_high, low / s * c AS adj_low,
            close / s * c AS adj_close, CAST(round(volume * s) AS BIGINT) AS adj_volume, volume AS raw_volume FROM (
              SELECT p.*, coalesce(f.cum_split_factor, 1) AS s, coalesce(v.cum_div_factor, 1) AS c FROM daily p
