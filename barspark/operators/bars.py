@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barspark.functions.scalars import floor_bucket
 from barspark.operators.prefix import UNB, running
-from barspark.session import checkpoint_dir
+from barspark.session import stored
 
 # Trade condition codes of the US consolidated tape.
 EXCLUDED_CODES = [2, 7, 10, 13, 20, 21, 22, 29, 32, 52, 53]
@@ -360,7 +360,7 @@ def imbalance_thresholds(trades: DataFrame, by: list[str], min_bars: int, quanti
             F.max_by("n_bars", F.when(ok, F.col("__c"))).alias("n_bars"),
             F.min("__c").alias("__low"), F.min_by("n_bars", "__c").alias("__lown"),
         )
-        best = _materialise(best)
+        best = stored(best)
         final = F.lit(first + per_pass >= rounds) | (F.col("__low") / 2.0 < 1.0)
         got = best.filter(F.col("threshold").isNotNull() | final).select(
             *by, F.coalesce(F.col("threshold"), F.col("__low") / 2.0).alias("threshold"),
@@ -372,14 +372,6 @@ def imbalance_thresholds(trades: DataFrame, by: list[str], min_bars: int, quanti
     return found
 
 
-def _materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a one-row-per-key table through the shared checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(checkpoint_dir(df.sparkSession))
-    return df.checkpoint()
-
-
 def merge_bursts(trades: DataFrame, by: list[str], window: int, chunk: Column, t: str = "ts",
                  seq: str = "seq") -> DataFrame:
     """Merge trades less than ``window`` after the FIRST trade of their group.

@@ -2,22 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from barspark.operators.universe import in_types
 from barspark.plans import market as M
 from barspark.plans.registry import query
-from barspark.session import checkpoint_dir
+from barspark.session import scratch_path as scratch
 from barspark.sources import readers, sinks
 
 
-def scratch(spark) -> str:
-    """A fresh folder in the shared checkpoint location."""
-    return f"{checkpoint_dir(spark)}/barspark-{uuid.uuid4().hex}"
-
-
 DAILY = "ticker date open:f4 high:f4 low:f4 close:f4 volume:i transactions:i"
 DAILY_SQL = "SELECT CAST(ticker AS VARCHAR) AS ticker, date, open, high, low, close, volume, transactions FROM daily"
 

@@ -10,6 +10,7 @@ from barspark.operators import scan, strata as S
 from barspark.operators.prefix import exact_quantiles
 from barspark.plans import market as M
 from barspark.plans.registry import query
+from barspark.session import stored
 
 PF = "sum(ret) FILTER (ret > 0) / nullif(-sum(ret) FILTER (ret < 0), 0)"
 PFC = "sum(least(ret, 0.5)) FILTER (ret > 0) / nullif(-sum(ret) FILTER (ret < 0), 0)"
@@ -27,7 +28,7 @@ def profit_factors(spark, sf):
        f"""SELECT year(entry_date) AS yr, count(*) AS n, {WIN} AS win, avg(ret) AS mean_ret, median(ret) AS median_ret, sum(ret) AS total_ret,
            min(ret) AS min_ret, max(ret) AS max_ret FROM trips GROUP BY 1""")
 def distribution(spark, sf):
-    return S.distribution(M.trips(spark, sf).withColumn("yr", F.year("entry_date")), ["yr"])
+    return S.distribution(stored(M.trips(spark, sf)).withColumn("yr", F.year("entry_date")), ["yr"])
 
 
 @query("I3_era_metrics", "mo:i n_pre:i pf_pre:f n_post:i pf_post:f",
@@ -48,7 +49,7 @@ def fixed_bands(spark, sf):
 @query("I5_equal_count_deciles", f"tile:i lo:f hi:f {SUMS}",
        f"SELECT tile, min(rvol) AS lo, max(rvol) AS hi, {SUM} FROM (SELECT *, ntile(10) OVER (ORDER BY rvol, trip_id) AS tile FROM trips) GROUP BY 1")
 def deciles(spark, sf):
-    t = S.tiles(M.trips(spark, sf), "rvol", "trip_id", 10)
+    t = S.tiles(stored(M.trips(spark, sf)), "rvol", "trip_id", 10)
     return t.groupBy("tile").agg(F.min("rvol").alias("lo"), F.max("rvol").alias("hi"), *S.summary())
 
 
@@ -59,7 +60,7 @@ def deciles(spark, sf):
             count(*) AS n, avg(ret) AS mean_ret FROM trips, q GROUP BY 1, 2""")
 def quantile_grid(spark, sf):
     p = [0.2, 0.4, 0.6, 0.8]
-    t = S.quantile_bins(S.quantile_bins(M.trips(spark, sf), "rvol", p, "a"), "pct_up", p, "b")
+    t = S.quantile_bins(S.quantile_bins(stored(M.trips(spark, sf)), "rvol", p, "a"), "pct_up", p, "b")
     return t.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.avg("ret").alias("mean_ret"))
 
 
@@ -108,17 +109,18 @@ def filtered(spark, sf):
        """SELECT exit_reason, quantile_cont(ret, 0.05) AS q05, quantile_cont(ret, 0.25) AS q25, quantile_cont(ret, 0.5) AS q50,
           quantile_cont(ret, 0.95) AS q95 FROM trips GROUP BY 1""")
 def quantiles(spark, sf):
-    return exact_quantiles(M.trips(spark, sf), ["exit_reason"], "ret", {"q05": 0.05, "q25": 0.25, "q50": 0.5, "q95": 0.95})
+    return exact_quantiles(stored(M.trips(spark, sf)), ["exit_reason"], "ret", {"q05": 0.05, "q25": 0.25, "q50": 0.5, "q95": 0.95})
 
 
 @query("I11_matched_selectivity", "variant n:i mean_ret:f",
        """WITH k AS (SELECT count(*) FILTER (rvol >= 1.5) / count(*) AS share FROM trips),
-          q AS (SELECT quantile_cont(pct_up, 1 - share) AS cut FROM trips, k GROUP BY share)
+          s AS (SELECT list_sort(list(pct_up)) AS v, (1 - any_value(share)) * (count(*) - 1) AS p FROM trips, k),
+          q AS (SELECT v[CAST(floor(p) AS BIGINT) + 1] + (v[CAST(ceil(p) AS BIGINT) + 1] - v[CAST(floor(p) AS BIGINT) + 1]) * (p - floor(p)) AS cut FROM s)
           SELECT 'rvol' AS variant, count(*) AS n, avg(ret) AS mean_ret FROM trips WHERE rvol >= 1.5
           UNION ALL SELECT 'move', count(*), avg(ret) FROM trips, q WHERE pct_up >= cut""")
 def matched(spark, sf):
     """Two filters compared at the same selectivity: the second one's cut is the quantile that keeps as many rows."""
-    t = M.trips(spark, sf)
+    t = stored(M.trips(spark, sf))
     share = t.agg(F.avg(F.when(F.col("rvol") >= 1.5, 1.0).otherwise(0.0)).alias("s")).first()["s"]  # one number
     cut = exact_quantiles(t, [], "pct_up", {"cut": 1.0 - share})
     a = t.filter("rvol >= 1.5").select(F.lit("rvol").alias("variant"), "ret")
@@ -132,7 +134,7 @@ def matched(spark, sf):
            sum(ret) FILTER (ret > 0 AND rk <= {k}) / nullif(sum(ret) FILTER (ret > 0), 0) AS top{k}_share""" for k in (1, 3, 5))
        + " FROM (SELECT *, year(entry_date) AS yr, row_number() OVER (PARTITION BY year(entry_date) ORDER BY ret DESC, trip_id) AS rk FROM trips) GROUP BY 1")
 def concentration(spark, sf):
-    return S.concentration(M.trips(spark, sf).withColumn("yr", F.year("entry_date")), ["yr"], "trip_id")
+    return S.concentration(stored(M.trips(spark, sf)).withColumn("yr", F.year("entry_date")), ["yr"], "trip_id")
 
 
 @query("I13_gate_ablation", "variant n:i pf:f mean_ret:f",
@@ -201,7 +203,7 @@ MTM = """WITH a AS (SELECT ticker AS symbol, CAST(date_trunc('month', date) AS D
 def monthly(spark, sf):
     d = M.daily(spark, sf)
     anchors = d.groupBy(F.col("ticker").alias("symbol"), F.trunc("date", "month").alias("month")).agg(F.min_by("open", "date").alias("anchor_close"))
-    t = M.trips(spark, sf).withColumnRenamed("ticker", "symbol").withColumns({"fees": F.col("qty") * 0.01, "funding": (F.col("trip_id") % 7) * 0.5})
+    t = stored(M.trips(spark, sf)).withColumnRenamed("ticker", "symbol").withColumns({"fees": F.col("qty") * 0.01, "funding": (F.col("trip_id") % 7) * 0.5})
     return t, S.monthly_mark_to_market(t, anchors)
 
 
@@ -228,7 +230,7 @@ EXPO = """d AS (SELECT day, sum(dn) AS dn FROM (SELECT entry_date AS day, 10000.
 
 
 def exposure(spark, sf):
-    t = M.trips(spark, sf).withColumn("notional", F.lit(10_000.0))
+    t = stored(M.trips(spark, sf)).withColumn("notional", F.lit(10_000.0))
     return t, S.concurrent_exposure(t, "entry_date", "exit_date", "notional")
 
 
@@ -257,7 +259,7 @@ def min_tercile(spark, sf):
 
 @query("I22_capacity_limited_book", "scenario n:i accepted:i pnl:f2")
 def capacity(spark, sf):
-    t = M.trips(spark, sf).withColumn("notional", F.lit(10_000.0))
+    t = stored(M.trips(spark, sf)).withColumn("notional", F.lit(10_000.0))
     a = scan.capacity_book(t, {"small": 100_000.0, "medium": 300_000.0, "large": 1e9})
     j = a.join(t.select("trip_id", "net_pnl"), "trip_id")
     return j.groupBy("scenario").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("accepted"), 1).otherwise(0)).alias("accepted"),
@@ -328,7 +330,7 @@ FBS = "n:i win:f pf_raw:f pf_clip:f net_raw:f2 net_clip:f2"
            SELECT CASE WHEN tight_log >= c4 THEN 4 WHEN tight_log >= c3 THEN 3 WHEN tight_log >= c2 THEN 2 WHEN tight_log >= c1 THEN 1 ELSE 0 END AS bucket, {FB}
            FROM (SELECT *, qty * entry_price * least(ret, 0.5) AS clip FROM trips), c WHERE tight_log IS NOT NULL GROUP BY 1""")
 def feature_quantile(spark, sf):
-    return S.feature_breakdown(M.trips(spark, sf), "tight_log", "trip_id", 5)
+    return S.feature_breakdown(stored(M.trips(spark, sf)), "tight_log", "trip_id", 5)
 
 
 @query("I26_feature_breakdown_edges_by_year", f"yr:i bucket:i {FBS}",
@@ -358,7 +360,7 @@ def live_split(spark, sf):
        f"""SELECT tile2, {SUM} FROM (SELECT *, ntile(4) OVER (ORDER BY max_atr, trip_id) AS tile2 FROM (
              SELECT *, ntile(5) OVER (ORDER BY max_atr, trip_id) AS tile FROM trips) WHERE tile = 5) GROUP BY 1""")
 def nested(spark, sf):
-    top = S.tiles(M.trips(spark, sf), "max_atr", "trip_id", 5).filter("tile = 5").drop("tile")
+    top = S.tiles(stored(M.trips(spark, sf)), "max_atr", "trip_id", 5).filter("tile = 5").drop("tile")
     return S.tiles(top, "max_atr", "trip_id", 4, "tile2").groupBy("tile2").agg(*S.summary())
 
 

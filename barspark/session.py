@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(app: str = "barspark", cores: int | None = None, shuffle: int | None = None) -> SparkSession:
@@ -41,3 +42,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", path)
     return path
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A fresh folder in the shared checkpoint location."""
+    return f"{checkpoint_dir(spark)}/barspark-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The frame as a written table in the shared folder: for inputs that several passes read, and to cut lineage."""
+    path = scratch_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
