@@ -1 +1,65 @@
-"""."""
+"""Structured Streaming queries: each runs to the end of the available input and returns what it wrote."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from barspark.plans import market as M
+from barspark.plans.registry import query
+from barspark.session import scratch_path
+from barspark.streaming import bars as B
+
+HOUR = 3_600_000_000
+
+
+def event_stream(spark, sf):
+    """The events table as a file-source stream in tape shape."""
+    schema = M.table(spark, sf, "events").schema
+    e = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return e.select(
+        F.col("user_id").alias("ticker"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"),
+        F.col("value").alias("price"), F.get_json_object("props", "$.k").cast("long").alias("size"))
+
+
+@query("L1_streaming_time_bars", "ticker:i start_us:i open:f high:f low:f close:f volume:i trade_count:i",
+       f"""SELECT ticker, start_us, arg_min(price, ROW(ts, seq)) AS open, max(price) AS high, min(price) AS low, arg_max(price, ROW(ts, seq)) AS close,
+           sum(size) AS volume, count(*) AS trade_count FROM (SELECT *, ts // {HOUR} * {HOUR} AS start_us FROM tape)
+           WHERE start_us + {HOUR} <= (SELECT max(ts) // 1000 * 1000 - 600000000 FROM tape) GROUP BY 1, 2""")
+def streaming_bars(spark, sf):
+    """Hourly bars; those still open at the final watermark (latest trade less ten minutes) are not emitted yet."""
+    out = scratch_path(spark)
+    B.run_available(B.streaming_bars(event_stream(spark, sf), "1 hour"), out, scratch_path(spark))
+    return spark.read.parquet(out).withColumn("start_us", F.unix_micros("start"))
+
+
+@query("L2_streaming_session_state", "ticker:i session:i minute:i ema:f vs_vwap:f sess_high:f4 sess_low:f4 run_below:i reclaim:i",
+       """SELECT *, close / vwap - 1 AS vs_vwap, greatest(high, coalesce(sess_hi_p, 0)) AS sess_high, sess_lo AS sess_low, run_len AS run_below,
+          CAST(coalesce(ema_p <= vwap_p AND ema > vwap AND run_len_p >= 3, false) AS INT) AS reclaim FROM runs""")
+def streaming_session(spark, sf):
+    """Session state over a stream of bar files, one micro-batch per year of bars."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    src, out = scratch_path(spark), scratch_path(spark)
+    s = M.sessions(spark, sf).withColumn("ts", F.col("date").cast("timestamp"))
+    s.select("ticker", "session", "minute", "ts", "high", "low", "close", "volume").write.parquet(src)
+    stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
+    st = B.session_stream(stream, ["ticker", "session"], min_run=3, ttl_hours=24 * 400)
+    B.run_available(st, out, scratch_path(spark))
+    r = spark.read.parquet(out)
+    return r.withColumns({"minute": F.lit(569) + F.dayofyear("ts"), "vs_vwap": F.col("close") / F.col("vwap") - 1,
+                          "reclaim": F.col("reclaim").cast("int")})
+
+
+@query("L3_incremental_day_partitions", "date n:i volume:i", "SELECT date, count(*) AS n, sum(size) AS volume FROM tape GROUP BY 1")
+def incremental(spark, sf):
+    """Two availableNow runs over one checkpoint: the second finds nothing new and changes nothing."""
+    out, ck = scratch_path(spark), scratch_path(spark)
+
+    def build(x):
+        return x.groupBy(F.to_date("ts").alias("date")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("volume"))
+
+    for _ in range(2):
+        B.run_available_days(event_stream(spark, sf), out, ck, build)
+    return spark.read.parquet(out)
+
+

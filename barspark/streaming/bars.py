@@ -30,21 +30,22 @@ def streaming_bars(trades: DataFrame, width: str = "1 minute", lateness: str = "
     )
 
 
-SESSION_OUT = ("ticker string, session date, ts timestamp, close double, ema double, vwap double, sess_high double, "
+SESSION_OUT = ("ts timestamp, close double, ema double, vwap double, sess_high double, "
                "sess_low double, run_below int, reclaim boolean")
 SESSION_STATE = "pv double, v double, ema double, hi double, lo double, run int, n int"
 
 
 class _SessionProcessor:
-    """EMA, VWAP, extremes and the VWAP-reclaim event of one (ticker, session), bar by bar.
+    """EMA, VWAP, extremes and the VWAP-reclaim event of one session of a ticker, bar by bar.
 
-    State is one small row per live session. A timer at the session's end (event time) drops it.
+    State is one small row per live session. An event-time timer ``ttl_hours`` after the session's first bar drops it.
     """
 
-    def __init__(self, period: int, min_run: int, session_hours: int):
+    def __init__(self, keys: list[str], period: int, min_run: int, ttl_hours: int):
+        self.keys = keys
         self.alpha = 2.0 / (period + 1)
         self.min_run = min_run
-        self.hours = session_hours
+        self.hours = ttl_hours
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -73,12 +74,12 @@ class _SessionProcessor:
             vwap = pv / v if v > 0 else None
             crossed = (prev_ema is not None and prev_vwap is not None and vwap is not None
                        and prev_ema <= prev_vwap and ema > vwap and was >= self.min_run)
-            out.append((key[0], key[1], r.ts, r.close, ema, vwap, hi, lo, run, crossed))
+            out.append((*key, r.ts, r.close, ema, vwap, hi, lo, run, crossed))
         self.state.update((pv, v, ema, hi, lo, run, n))
         if first:
-            end = pd.Timestamp(key[1]) + pd.Timedelta(hours=self.hours)
+            end = pdf["ts"].iloc[0] + pd.Timedelta(hours=self.hours)
             self.handle.registerTimer(int(end.timestamp() * 1000))
-        cols = ["ticker", "session", "ts", "close", "ema", "vwap", "sess_high", "sess_low", "run_below", "reclaim"]
+        cols = [*self.keys, "ts", "close", "ema", "vwap", "sess_high", "sess_low", "run_below", "reclaim"]
         yield pd.DataFrame(out, columns=cols)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
@@ -89,18 +90,21 @@ class _SessionProcessor:
         pass
 
 
-def session_stream(bars: DataFrame, period: int = 9, min_run: int = 11, session_hours: int = 24,
+def session_stream(bars: DataFrame, keys: list[str], period: int = 9, min_run: int = 11, ttl_hours: int = 24,
                    lateness: str = "10 minutes") -> DataFrame:
-    """Session state and reclaim events per bar of a streaming bar source (ticker, ts, high, low, close, volume).
+    """Session state and reclaim events per bar of a streaming bar source with columns ``keys`` (for example ticker and
+    session), ts, high, low, close, volume.
 
-    Bars of one session must arrive in time order across micro-batches (bars are emitted in order by the watermark).
+    Bars of one session must arrive in time order across micro-batches (a watermarked bar stream emits them so). Needs
+    the RocksDB state store.
     """
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
     cls = type("SessionProcessor", (_SessionProcessor, StatefulProcessor), {})
-    keyed = bars.withWatermark("ts", lateness).withColumn("session", F.to_date("ts"))
-    return keyed.groupBy("ticker", "session").transformWithStateInPandas(
-        statefulProcessor=cls(period, min_run, session_hours), outputStructType=SESSION_OUT, outputMode="Append",
+    types = dict(bars.dtypes)
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", " + SESSION_OUT
+    return bars.withWatermark("ts", lateness).groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=cls(keys, period, min_run, ttl_hours), outputStructType=schema, outputMode="Append",
         timeMode="EventTime")
 
 
