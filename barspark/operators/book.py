@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barspark.operators.asof import asof_join
 from barspark.operators.prefix import exact_quantiles, running
+from barspark.session import stored
 
 
 def _weights(depth: int, decay: float) -> list[float]:
@@ -87,60 +89,57 @@ def delta_imbalance(deltas: DataFrame, by: list[str], cadence: int, depth: int,
     return last.unionByName(seeds).groupBy(*by, "slice").applyInArrow(fold, schema)
 
 
-def order_events_to_deltas(events: DataFrame, by: list[str], t: str = "ts", seq: str = "seq") -> DataFrame:
+def order_events_to_deltas(events: DataFrame, by: list[str], chunk: Callable[[Column], Column], t: str = "ts",
+                           seq: str = "seq") -> DataFrame:
     """Signed level changes of an order-by-order feed: by, ts, seq, side, price, delta.
 
-    Actions: A adds an order, C cancels part or all of it, M replaces it, F fills part or all of it, R clears the book,
-    T is a print without book effect. An order's life is a short chain of its own events, so the walk is per order, not
-    per venue: sizes before and after each event follow from that order's events alone, a clear being an event of every
-    order alive at it. A venue's orders spread over all tasks.
+    Actions: A adds an order, C cancels part or all of it (size 0: all), M replaces it, F fills part or all of it, R clears
+    the book, T is a print without book effect. A side other than B or A rests nothing.
+
+    No replay is needed: every A or M starts a segment of its order, inside which C and F only take away, so what is
+    left follows from the segment's size and a running sum of reductions. ``chunk`` (of time) splits the running sums,
+    so neither a busy venue nor a busy order id meets one task. Clears cut an order's events into epochs.
     """
-    # number the clears (a handful per venue-day): an order never lives across one
     clears = events.filter(F.col("action") == "R").select(*by, F.col(t).alias("__rt"), F.col(seq).alias("__rs"))
-    c = clears.withColumn("epoch", F.row_number().over(Window.partitionBy(*by).orderBy("__rt", "__rs")))
-    key = lambda a, b: F.struct(F.col(a).alias("t"), F.col(b).alias("s"))
-    live = events.filter(F.col("action").isin("A", "C", "M", "F")).withColumn("__k", key(t, seq))
-    live = asof_join(live, c.withColumn("__rk", key("__rt", "__rs")), by, "__k", "__rk", ["epoch"])
-    live = live.withColumn("epoch", F.coalesce("epoch", F.lit(0)))
-    nxt = c.select(*by, (F.col("epoch") - 1).alias("epoch"), "__rt", "__rs")
-    cols = [t, seq, "action", "side", "price", "size"]
-    st = F.struct(*[F.col(x) for x in cols])
-    chains = live.groupBy(*by, "epoch", "order_id").agg(F.sort_array(F.collect_list(st)).alias("ev"))
-    state = "struct<side:string,price:bigint,size:bigint,out:array<struct<t:bigint,s:bigint,side:string,price:bigint,delta:bigint>>>"
-    null = F.lit(None)
-    init = F.struct(null.alias("side"), null.alias("price"), null.alias("size"), F.array().alias("out")).cast(state)
-
-    def d(e, side, price, delta):
-        return F.array(F.struct(e[t].cast("long").alias("t"), e[seq].cast("long").alias("s"), side.alias("side"),
-                                price.cast("long").alias("price"), delta.cast("long").alias("delta")))
-
-    def mk(side, price, size, out):
-        return F.struct(side.alias("side"), price.cast("long").alias("price"), size.cast("long").alias("size"),
-                        out.alias("out")).cast(state)
-
-    def step(a, e):
-        has = a["size"].isNotNull()
-        gone = F.when(has, F.concat(a["out"], d(e, a["side"], a["price"], -a["size"]))).otherwise(a["out"])
-        sided = e["side"].isin("B", "A")
-        # an add on a live id replaces it without a removal, as an id is new by definition
-        add = mk(e["side"], e["price"], e["size"], F.concat(a["out"], d(e, e["side"], e["price"], e["size"])))
-        put = mk(e["side"], e["price"], e["size"], F.concat(gone, d(e, e["side"], e["price"], e["size"])))
-        drop = mk(null.cast("string"), null, null, gone)
-        cut = mk(a["side"], a["price"], a["size"] - e["size"],
-                 F.concat(a["out"], d(e, a["side"], a["price"], -e["size"])))
-        whole = (e["size"] >= a["size"]) | ((e["action"] == "C") & (e["size"] == 0))
-        reduce_ = F.when(~has, a).when(whole, drop).otherwise(cut)
-        return (F.when(e["action"] == "A", F.when(sided, add).otherwise(a))
-                .when(e["action"] == "M", F.when(sided, put).otherwise(drop))
-                .otherwise(reduce_))
-
-    done = chains.withColumn("s", F.aggregate("ev", init, step))
-    moves = done.select(*by, F.explode("s.out").alias("x")).select(*by, "x.*")
-    # what is alive at a clear leaves the book then
-    alive = done.filter(F.col("s.size").isNotNull()).join(nxt, [*by, "epoch"])
-    ends = alive.select(*by, F.col("__rt").alias("t"), F.col("__rs").alias("s"), F.col("s.side").alias("side"),
-                        F.col("s.price").alias("price"), (-F.col("s.size")).alias("delta"))
-    return moves.unionByName(ends).select(*by, F.col("t").alias(t), F.col("s").alias(seq), "side", "price", "delta")
+    w = Window.partitionBy(*by).orderBy("__rt", "__rs")
+    clears = clears.withColumn("epoch", F.row_number().over(w))  # a handful per venue and day
+    key = lambda x, y: F.struct(F.col(x).alias("t"), F.col(y).alias("s"))
+    ev = events.filter(F.col("action").isin("A", "C", "M", "F")).withColumn("__k", key(t, seq))
+    ev = asof_join(ev, clears.withColumn("__rk", key("__rt", "__rs")), by, "__k", "__rk", ["epoch"],
+                   chunk=lambda k: chunk(k["t"]))
+    ev = ev.withColumn("epoch", F.coalesce("epoch", F.lit(0))).withColumn("__ck", chunk(F.col(t)))
+    act, size, sided = F.col("action"), F.col("size").cast("double"), F.col("side").isin("B", "A")
+    starts = (act == "M") | ((act == "A") & sided)
+    takes = act.isin("C", "F")
+    cut = F.when(takes, F.when((act == "C") & (size == 0), F.lit(float("inf"))).otherwise(size))
+    own = [*by, "epoch", "order_id"]
+    ev = running(ev.withColumn("__st", starts.cast("int")), own, [t, seq], "__ck", {"seg": ("sum", F.col("__st"))})
+    ev = running(ev.withColumn("__cut", cut), [*own, "seg"], [t, seq], "__ck",
+                 {"__before": ("sum", F.col("__cut")), "__n": ("count", F.col("__cut"))}, inclusive=False)
+    ev = stored(ev.select(*own, "seg", t, seq, "action", "side", "price", "size", "__cut", "__before", "__n"))
+    # one row per segment: what it rests, and how much was taken from it
+    head = F.struct(F.col("side"), F.col("price"), size.alias("size"))
+    segs = ev.groupBy(*own, "seg").agg(
+        F.max(F.when(starts & sided, head)).alias("h"), F.coalesce(F.sum("__cut"), F.lit(0.0)).alias("__all"),
+        F.count("__cut").alias("__cuts"),
+    ).filter(F.col("h").isNotNull())
+    left = F.col("h.size") - F.col("__all")
+    alive = (F.col("__cuts") == 0) | (left > 0)
+    rest = segs.filter(alive).select(*own, "seg", "h.side", "h.price", left.alias("left"))
+    out = [t, seq, "side", "price", "delta"]
+    adds = ev.filter(starts & sided).withColumn("delta", size).select(*by, *out)
+    hold = segs.select(*own, "seg", F.col("h.side").alias("__hs"), F.col("h.price").alias("__hp"), F.col("h.size").alias("__h0"))
+    has = F.col("__h0") - F.col("__before")
+    cuts = ev.filter(takes).join(hold, [*own, "seg"]).filter((F.col("__n") == 0) | (has > 0))
+    cuts = cuts.withColumns({"delta": -F.least(has, F.col("__cut")), "side": F.col("__hs"), "price": F.col("__hp")}).select(*by, *out)
+    swap = ev.filter(act == "M").select(*own, (F.col("seg") - 1).alias("seg"), F.col(t), F.col(seq)).join(rest, [*own, "seg"])
+    gone = swap.withColumn("delta", -F.col("left")).select(*by, *out)
+    # the last segment of an order alive at the clear that ends its epoch
+    final = rest.join(ev.groupBy(*own).agg(F.max("seg").alias("seg")), [*own, "seg"])
+    ends = clears.select(*by, (F.col("epoch") - 1).alias("epoch"), F.col("__rt").alias(t), F.col("__rs").alias(seq))
+    wiped = final.join(ends, [*by, "epoch"]).withColumn("delta", -F.col("left")).select(*by, *out)
+    all_ = adds.unionByName(cuts).unionByName(gone).unionByName(wiped)
+    return all_.withColumn("delta", F.col("delta").cast("long"))
 
 
 def trade_prints(events: DataFrame) -> DataFrame:

@@ -76,6 +76,10 @@ MBO = f"""SELECT user_id % 3 AS venue, user_id AS order_id, epoch_us(ts) AS ts,
     CAST(floor(value) AS BIGINT) % 50 AS price, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS size FROM events"""
 
 
+def chunk(c):
+    return time_chunk(c, 5 * DAY)
+
+
 def order_events(spark, sf):
     e = M.tape(spark, sf)
     m = F.col("seq") % 11
@@ -109,7 +113,7 @@ REPLAY = f"""RECURSIVE m AS ({MBO}),
 
 @query("J3_order_events_to_level_deltas", "venue:i ts:i seq:i side price:i delta:i", f"SELECT * FROM (WITH {REPLAY} SELECT * FROM moves)")
 def level_deltas(spark, sf):
-    return K.order_events_to_deltas(order_events(spark, sf), ["venue"])
+    return K.order_events_to_deltas(order_events(spark, sf), ["venue"], chunk)
 
 
 @query("J3_trade_prints_with_aggressor", "seq:i aggressor price:i size:i",
@@ -122,7 +126,7 @@ def prints(spark, sf):
        f"""SELECT * FROM (WITH {REPLAY}, b AS (SELECT ts // {DAY} * {DAY} AS bucket, side, price, sum(delta) AS d FROM moves GROUP BY 1, 2, 3)
            SELECT bucket, side, price, sum(d) OVER (PARTITION BY side, price ORDER BY bucket) AS size FROM b WHERE d <> 0)""")
 def consolidated(spark, sf):
-    d = K.order_events_to_deltas(order_events(spark, sf), ["venue"])
+    d = K.order_events_to_deltas(order_events(spark, sf), ["venue"], chunk)
     return K.consolidated_levels(d, [], DAY, time_chunk(F.col("bucket"), 10 * DAY))
 
 
