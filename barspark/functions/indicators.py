@@ -61,39 +61,27 @@ def rolling_min(s: Series, c: Column, n: int, inclusive: bool = False) -> Column
     return F.min(c).over(s.last(n, inclusive))
 
 
-SHORT_FRAME = 32
+BASE_FRAME = 16
 
 
 def with_extremes(df: DataFrame, s: Series, specs: dict[str, tuple[str, Column, int, bool]]) -> DataFrame:
     """Rolling max/min columns: name -> (``max`` | ``min``, column, rows, inclusive).
 
-    Spark re-evaluates a sliding frame for every row, so a long one costs O(rows * n). Long frames are answered from
-    blocks of n rows instead: the frame ending at a row is the block's running extreme up to it plus the previous
-    block's extreme from the frame's start on, two running aggregates and two lags whatever n is.
+    Spark re-evaluates a sliding frame for every row, so a long one costs O(rows * n). Here a short frame is widened by
+    doubling: the extreme of 2w rows is that of the last w and of the w before them, which is a lag. A frame of 252 rows
+    takes four lags over the same sort order.
     """
-    agg = {"max": F.max, "min": F.min}
-    short = {k: v for k, v in specs.items() if v[2] <= SHORT_FRAME}
-    out = df.withColumns({k: agg[kind](c).over(s.last(n, inc)) for k, (kind, c, n, inc) in short.items()})
-    long = {k: v for k, v in specs.items() if v[2] > SHORT_FRAME}
-    if not long:
-        return out
-    out = out.withColumn("__pos", bar_index(s))
-    for n in sorted({v[2] for v in long.values()}):
-        names = [k for k, v in long.items() if v[2] == n]
-        blk = s.sub("__blk")
-        fwd = blk.sofar()
-        back = Window.partitionBy(*blk.by).orderBy(*[F.desc(o) for o in s.order]).rowsBetween(UNB, 0)
-        out = out.withColumn("__blk", F.floor(F.col("__pos") / n))
-        out = out.withColumns({f"__b_{k}": agg[long[k][0]](long[k][1]).over(back) for k in names})
-        out = out.withColumns({f"__f_{k}": agg[long[k][0]](long[k][1]).over(fwd) for k in names})
-        cols = {}
-        for k in names:
-            kind, _, _, inc = long[k]
-            head = F.col(f"__f_{k}") if inc else F.lag(f"__f_{k}", 1).over(s.spec())
-            tail = F.lag(f"__b_{k}", n - 1 if inc else n).over(s.spec())
-            cols[k] = (F.greatest if kind == "max" else F.least)(head, tail)
-        out = out.withColumns(cols).drop("__blk", *[f"__{x}_{k}" for k in names for x in "fb"])
-    return out.drop("__pos")
+    agg, best = {"max": F.max, "min": F.min}, {"max": F.greatest, "min": F.least}
+    width = {k: min(v[2], BASE_FRAME) for k, v in specs.items()}
+    out = df.withColumns({k: agg[kind](c).over(s.last(width[k], inc)) for k, (kind, c, n, inc) in specs.items()})
+    while True:
+        grow = {k: min(width[k], n - width[k]) for k, (_, _, n, _) in specs.items() if width[k] < n}
+        if not grow:
+            return out
+        out = out.withColumns({
+            k: best[specs[k][0]](F.col(k), F.lag(k, step).over(s.spec())) for k, step in grow.items()
+        })
+        width = {k: w + grow.get(k, 0) for k, w in width.items()}
 
 
 def running_max(s: Series, c: Column, inclusive: bool = True) -> Column:

@@ -49,8 +49,24 @@ def _vwap_std() -> list[Column]:
     return [mean.alias("vwap"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("vwstd")]
 
 
+def tape_order(offset: Column, width: int, seq: Column, packed: bool = True) -> Column:
+    """Order of trades inside a bucket by (time, sequence), as one long where it fits.
+
+    ``offset`` is the time inside the bucket, below ``width``. A primitive key keeps min_by/max_by in hash aggregation; a
+    struct forces a sort. The sequence gets the bits the width leaves; a larger one raises, ``packed=False`` lifts the
+    limit.
+    """
+    bits = 63 - max(1, (width - 1).bit_length())
+    if not packed or bits < 20:
+        return F.struct(offset, seq)
+    top = 1 << bits
+    fits = F.when(seq < F.lit(top), seq).otherwise(F.raise_error(F.lit("sequence too large: use packed=False")).cast("long"))
+    return offset * F.lit(top) + fits
+
+
 def time_bars(trades: DataFrame, by: list[str], width: int, t: str = "ts", seq: str = "seq", anchor: Column | None = None,
-              first: int | None = None, last: int | None = None, mode: str = "floor") -> DataFrame:
+              first: int | None = None, last: int | None = None, mode: str = "floor",
+              packed: bool = True) -> DataFrame:
     """OHLC, volume, dollar volume, VWAP, volume-weighted deviation and count per integer time bucket.
 
     ``anchor`` is subtracted from the time first; ``first``/``last`` bound the bucket numbers kept. Open and close
@@ -65,7 +81,7 @@ def time_bars(trades: DataFrame, by: list[str], width: int, t: str = "ts", seq:
         d = d.filter(F.col("bucket") >= first)
     if last is not None:
         d = d.filter(F.col("bucket") <= last)
-    key = F.struct(F.col(t), F.col(seq))
+    key = tape_order(F.pmod(off, F.lit(width)), width, F.col(seq), packed)
     p, q = F.col("price"), F.col("size")
     g = d.groupBy(*by, "bucket").agg(
         F.min_by(p, key).alias("open"), F.max(p).alias("high"), F.min(p).alias("low"), F.max_by(p, key).alias("close"),
@@ -101,16 +117,19 @@ def cumulative(bars: DataFrame, by: list[str], order: str, cols: list[str]) -> D
 
 def order_flow_bars(trades: DataFrame, by: list[str], width: int, t: str = "ts", seq: str = "seq") -> DataFrame:
     """Epoch-anchored OHLCV bars with taker buy and sell dollar volume (``sign`` +1 / -1)."""
-    base = time_bars(trades, by, width, t, seq)
     d = trades.withColumn("bucket", floor_bucket(F.col(t), width))
-    dv = F.col("price") * F.col("size")
-    flow = d.groupBy(*by, "bucket").agg(
-        F.sum(F.when(F.col("sign") > 0, dv).otherwise(0.0)).alias("buy_dollar_volume"),
-        F.sum(F.when(F.col("sign") < 0, dv).otherwise(0.0)).alias("sell_dollar_volume"),
-    )
-    return base.join(flow, [*by, "bucket"]).withColumns(
-        {"start": F.col("bucket") * width, "end": (F.col("bucket") + 1) * width}
+    key = tape_order(F.pmod(F.col(t), F.lit(width)), width, F.col(seq))
+    p, q = F.col("price"), F.col("size")
+    flow = lambda cond: F.sum(F.when(cond, p * q).otherwise(0.0))
+    g = d.groupBy(*by, "bucket").agg(
+        F.min_by(p, key).alias("open"), F.max(p).alias("high"), F.min(p).alias("low"), F.max_by(p, key).alias("close"),
+        F.sum(q).alias("volume"), F.sum(p * q).alias("dollar_volume"), F.sum(p * p * q).alias("__p2v"),
+        F.count(F.lit(1)).alias("trade_count"), flow(F.col("sign") > 0).alias("buy_dollar_volume"),
+        flow(F.col("sign") < 0).alias("sell_dollar_volume"),
     )
+    ohlc = ["open", "high", "low", "close", "volume", "dollar_volume"]
+    return g.select(*by, "bucket", (F.col("bucket") * width).alias("start"), ((F.col("bucket") + 1) * width).alias("end"), *ohlc,
+                    *_vwap_std(), "trade_count", "buy_dollar_volume", "sell_dollar_volume")
 
 
 def two_pass_bars(trades: DataFrame, by: list[str], width: int, t: str = "ts") -> DataFrame:

@@ -18,7 +18,7 @@ CTES: dict[str, str] = {
 SELECT ticker, date, arg_min(o, k) AS open, max(h) AS high, min(l) AS low, arg_max(c, k) AS close,
        CAST(sum(q) AS BIGINT) AS volume, count(*) AS transactions
 FROM (SELECT l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS date, l_quantity AS q,
-        ROW(l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS k,
+        (l_orderkey * 8 + l_linenumber) * 2097152 + l_partkey % 2097152 AS k,
         {r4(f"CASE WHEN l_linestatus = 'F' THEN {_P}*{_LO} ELSE {_P}*{_HI} END")} AS o,
         {r4(f"CASE WHEN l_linestatus = 'F' THEN {_P}*{_HI} ELSE {_P}*{_LO} END")} AS c,
         {r4(f"{_P}*(1.0::DOUBLE + l_tax)")} AS h, {r4(f"{_P}*(1.0::DOUBLE - l_discount)")} AS l
