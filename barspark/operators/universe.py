@@ -9,6 +9,7 @@ from barspark.functions.indicators import Series, lag, lead, rolling_max, rollin
 from barspark.functions.scalars import div, gate, pct
 from barspark.operators.asof import asof_join
 from barspark.operators.prefix import ntile_of, ranked
+from barspark.session import stored
 
 GAP_DAYS = 45
 DAILY = Series(("ticker", "episode"), ("date",))
@@ -121,8 +122,8 @@ def tail_heat(daily: DataFrame, min_dollar: float, top: bool = True, share: floa
         Window.partitionBy("ticker").orderBy(day).rangeBetween(-days, 0))
     q = daily.withColumns({"ret": pct(F.col("close"), lag(by_t, F.col("close"))), "adv": adv}).filter(
         (F.col("adv") >= min_dollar) & F.col("ret").isNotNull() & (F.col("ret") <= max_ret)
-    ).select("ticker", "date", "ret")
-    r = ranked(q, ["date"], "ret", "ticker")
+    ).select("date", "ret", F.xxhash64("ticker").alias("tie"))
+    r = ranked(stored(q), ["date"], "ret", "tie")
     pr = F.when(F.col("n") > 1, (F.col("rk") - 1) / (F.col("n") - 1)).otherwise(0.0)
     keep = pr >= 1.0 - share if top else pr <= share
     h = r.filter(keep).groupBy("date").agg(F.avg("ret").alias("heat"))
