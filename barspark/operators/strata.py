@@ -9,10 +9,11 @@ from barspark.functions.aggregates import clipped_profit_factor, count_if, profi
 from barspark.functions.scalars import div
 from barspark.operators.prefix import exact_quantiles, ntile_of, ranked
 
-R = F.col("ret")
+RET = "ret"
 
 
-def summary(ret: Column = R) -> list[Column]:
+def summary(ret: Column | None = None) -> list[Column]:
+    ret = F.col(RET) if ret is None else ret
     return [F.count(F.lit(1)).alias("n"), profit_factor(ret).alias("pf"), clipped_profit_factor(ret).alias("pf_clip"),
             win_rate(ret).alias("win"), F.avg(ret).alias("mean_ret")]
 
@@ -28,8 +29,8 @@ def distribution(trips: DataFrame, by: list[str], ret: str = "ret") -> DataFrame
 def era_metrics(trips: DataFrame, by: list[str], split: Column) -> DataFrame:
     """Metrics of the rows before and after a split, side by side."""
     return trips.groupBy(*by).agg(
-        count_if(~split).alias("n_pre"), profit_factor(R, ~split).alias("pf_pre"),
-        count_if(split).alias("n_post"), profit_factor(R, split).alias("pf_post"))
+        count_if(~split).alias("n_pre"), profit_factor(F.col(RET), ~split).alias("pf_pre"),
+        count_if(split).alias("n_post"), profit_factor(F.col(RET), split).alias("pf_post"))
 
 
 def bands(value: Column, edges: list[float]) -> Column:
@@ -66,10 +67,10 @@ def threshold_sweep(trips: DataFrame, value: str, grid: list[float], direction:
     g = sorted(grid)
     band = bands(F.col(value), g)
     x = trips.withColumn("__band", band).filter(F.col("__band").isNotNull())
-    clip = F.least(R, F.lit(0.5))
+    clip = F.least(F.col(RET), F.lit(0.5))
     per = x.groupBy("__band").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.when(R > 0, R)).alias("up"), F.sum(F.when(R < 0, -R)).alias("dn"),
-        F.sum(F.when(R > 0, clip)).alias("upc"), F.sum(F.when(R > 0, 1)).alias("w"), F.sum(R).alias("s"))
+        F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col(RET) > 0, F.col(RET))).alias("up"), F.sum(F.when(F.col(RET) < 0, -F.col(RET))).alias("dn"),
+        F.sum(F.when(F.col(RET) > 0, clip)).alias("upc"), F.sum(F.when(F.col(RET) > 0, 1)).alias("w"), F.sum(F.col(RET)).alias("s"))
     spark = trips.sparkSession
     t = spark.createDataFrame([(i, float(v)) for i, v in enumerate(g)], "__k int, threshold double")
     cond = (F.col("__band") > F.col("__k")) if direction == "floor" else (F.col("__band") <= F.col("__k"))
@@ -82,7 +83,7 @@ def threshold_sweep(trips: DataFrame, value: str, grid: list[float], direction:
 
 def grid_2d(trips: DataFrame, rows: str, cols: str, values: list) -> DataFrame:
     """Profit factor and count per cell, one output row per row bucket."""
-    g = trips.groupBy(rows).pivot(cols, values).agg(profit_factor(R).alias("pf"), F.count(F.lit(1)).alias("n"))
+    g = trips.groupBy(rows).pivot(cols, values).agg(profit_factor(F.col(RET)).alias("pf"), F.count(F.lit(1)).alias("n"))
     return g
 
 
@@ -93,11 +94,11 @@ def concentration(trips: DataFrame, by: list[str], tie: str, ks: tuple[int, ...]
     """
     neg = trips.withColumn("__neg", -F.col("ret"))
     r = ranked(neg, by, "__neg", tie)
-    win = F.sum(F.when(R > 0, R))
-    aggs = [F.count(F.lit(1)).alias("n_trips"), profit_factor(R).alias("pf_all")]
+    win = F.sum(F.when(F.col(RET) > 0, F.col(RET)))
+    aggs = [F.count(F.lit(1)).alias("n_trips"), profit_factor(F.col(RET)).alias("pf_all")]
     for k in ks:
-        aggs.append(profit_factor(R, F.col("rn") > k).alias(f"pf_ex{k}"))
-        aggs.append(div(F.sum(F.when((F.col("rn") <= k) & (R > 0), R)), win).alias(f"top{k}_share"))
+        aggs.append(profit_factor(F.col(RET), F.col("rn") > k).alias(f"pf_ex{k}"))
+        aggs.append(div(F.sum(F.when((F.col("rn") <= k) & (F.col(RET) > 0), F.col(RET))), win).alias(f"top{k}_share"))
     return r.groupBy(*by).agg(*aggs)
 
 
@@ -114,8 +115,8 @@ def ablation(trips: DataFrame, gates: dict[str, Column]) -> DataFrame:
                  for i, n in enumerate(names)]
     aggs = []
     for name, keep in variants:
-        aggs += [F.sum(F.when(keep, 1).otherwise(0)).alias(f"n__{name}"), profit_factor(R, keep).alias(f"pf__{name}"),
-                 F.avg(F.when(keep, R)).alias(f"mean__{name}")]
+        aggs += [F.sum(F.when(keep, 1).otherwise(0)).alias(f"n__{name}"), profit_factor(F.col(RET), keep).alias(f"pf__{name}"),
+                 F.avg(F.when(keep, F.col(RET))).alias(f"mean__{name}")]
     one = x.agg(*aggs)
     rows = F.array(*[F.struct(F.lit(v).alias("variant"), F.col(f"n__{v}").alias("n"), F.col(f"pf__{v}").alias("pf"),
                               F.col(f"mean__{v}").alias("mean_ret")) for v, _ in variants])
@@ -131,7 +132,7 @@ def worst(trips: DataFrame, symbol: str, date: str) -> DataFrame:
 
 def calendar_pnl(trips: DataFrame, parts: dict[str, Column]) -> DataFrame:
     return trips.groupBy(*[c.alias(n) for n, c in parts.items()]).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("net_pnl").alias("pnl"), win_rate(R).alias("win"))
+        F.count(F.lit(1)).alias("n"), F.sum("net_pnl").alias("pnl"), win_rate(F.col(RET)).alias("win"))
 
 
 def equity_curve(trips: DataFrame, date: str) -> DataFrame:
@@ -219,7 +220,7 @@ def symbol_profile(trips: DataFrame, symbol: str, top: int | None = None) -> Dat
 def excursion(trips_bars: DataFrame, edges: list[float]) -> DataFrame:
     """Trips by band of maximum favourable (mfe) and adverse (mae) excursion."""
     x = trips_bars.withColumns({"mfe_band": bands(F.col("mfe"), edges), "mae_band": bands(F.col("mae"), edges)})
-    return x.groupBy("mfe_band", "mae_band").agg(F.count(F.lit(1)).alias("n"), F.avg(R).alias("mean_ret"))
+    return x.groupBy("mfe_band", "mae_band").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(RET)).alias("mean_ret"))
 
 
 def size_cdf(df: DataFrame, by: list[str], value: str, weight: Column | None, probs: list[float]) -> DataFrame:
@@ -243,12 +244,12 @@ def feature_breakdown(trips: DataFrame, feature: str, tie: str, nb: int = 5, edg
         b = sum((F.when(F.col(feature) >= F.col(n), 1).otherwise(0) for n in at), F.lit(0))
     else:
         b = sum((F.when(F.col(feature) >= e, 1).otherwise(0) for e in sorted(set(edges))), F.lit(0))
-    clip = F.col("qty") * F.col("entry_price") * F.least(R, F.lit(0.5))
+    clip = F.col("qty") * F.col("entry_price") * F.least(F.col(RET), F.lit(0.5))
     net = F.col("net_pnl")
     x = x.withColumn("bucket", b).withColumn("__clip", clip)
     pf = lambda c: div(F.sum(F.when(c > 0, c)), F.sum(F.when(c < 0, -c)))
     return x.groupBy(*(by or []), "bucket").agg(
-        F.count(F.lit(1)).alias("n"), win_rate(R).alias("win"), pf(net).alias("pf_raw"), pf(F.col("__clip")).alias("pf_clip"),
+        F.count(F.lit(1)).alias("n"), win_rate(F.col(RET)).alias("win"), pf(net).alias("pf_raw"), pf(F.col("__clip")).alias("pf_clip"),
         F.sum(net).alias("net_raw"), F.sum("__clip").alias("net_clip"))
 
 

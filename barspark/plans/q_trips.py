@@ -237,7 +237,11 @@ def rich_inputs(spark, sf):
         "stop_level": F.col("close") - (F.col("close") - F.min("close").over(s.sofar())) * 2 / 3})
 
 
-ENTER = (F.col("minute").between(600, 810)) & F.coalesce((F.col("bars_since_hi") == 0) & (F.col("atr_log") >= 0.05), F.lit(False))
+def enters():
+    fresh_high = F.coalesce((F.col("bars_since_hi") == 0) & (F.col("atr_log") >= 0.05), F.lit(False))
+    return F.col("minute").between(600, 810) & fresh_high
+
+
 ENT = f"""ent AS (SELECT *, close - (close - lowc) * 2 / 3 AS stop_level FROM (SELECT *, min(close) OVER ({SE}) AS lowc FROM {AV})
     WHERE minute BETWEEN 600 AND 810 AND bars_since_hi = 0 AND atr_log >= 0.05), av AS (SELECT * FROM {AV})"""
 
@@ -263,7 +267,7 @@ ENTF = ["entry_price", "stop_level", "vol20", "permin"]
 
 
 def rich(spark, sf, exit_):
-    return R.first_exit(rich_inputs(spark, sf), ["ticker", "session"], "minute", ENTER, BAR, ENTF, exit_.rules())
+    return R.first_exit(rich_inputs(spark, sf), ["ticker", "session"], "minute", enters(), BAR, ENTF, exit_.rules())
 
 
 @query("H8_geometry_stop_and_volume_exits", IT,
