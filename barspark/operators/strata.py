@@ -71,11 +71,15 @@ def threshold_sweep(trips: DataFrame, value: str, grid: list[float], direction:
     per = x.groupBy("__band").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col(RET) > 0, F.col(RET))).alias("up"), F.sum(F.when(F.col(RET) < 0, -F.col(RET))).alias("dn"),
         F.sum(F.when(F.col(RET) > 0, clip)).alias("upc"), F.sum(F.when(F.col(RET) > 0, 1)).alias("w"), F.sum(F.col(RET)).alias("s"))
-    spark = trips.sparkSession
-    t = spark.createDataFrame([(i, float(v)) for i, v in enumerate(g)], "__k int, threshold double")
-    cond = (F.col("__band") > F.col("__k")) if direction == "floor" else (F.col("__band") <= F.col("__k"))
-    j = t.join(per, cond, "left")
-    a = j.groupBy("__k", "threshold").agg(*[F.sum(c).alias(c) for c in ("n", "up", "dn", "upc", "w", "s")])
+    # from here on there are at most len(grid) + 1 rows: a band counts for every threshold below (above) it
+    last, k = len(g) - 1, F.col("__band")
+    if direction == "floor":
+        hits = per.filter(k > 0).withColumn("__k", F.explode(F.sequence(F.lit(0), k - 1)))
+    else:
+        hits = per.filter(k <= last).withColumn("__k", F.explode(F.sequence(k, F.lit(last))))
+    tot = hits.groupBy("__k").agg(*[F.sum(c).alias(c) for c in ("n", "up", "dn", "upc", "w", "s")])
+    grid_rows = trips.sparkSession.createDataFrame(list(enumerate(float(v) for v in g)), "__k int, threshold double")
+    a = grid_rows.join(tot, "__k", "left")
     return a.select("threshold", F.coalesce("n", F.lit(0)).alias("n"), div(F.col("up"), F.col("dn")).alias("pf"),
                     div(F.col("upc"), F.col("dn")).alias("pf_clip"), div(F.coalesce("w", F.lit(0)), F.col("n")).alias("win"),
                     div(F.col("s"), F.col("n")).alias("mean_ret"))

@@ -26,7 +26,7 @@ def rolling(spark, sf):
         "m10_now": I.rolling_mean(D, F.col("close"), 10, inclusive=True)})
 
 
-@query("F2_rolling_mean_on_hot_tape", "seq:i m100:f hi100:f",
+@query("F2_rolling_mean_on_hot_tape", "seq:i m100:f8 hi100:f",
        """SELECT seq, avg(price) OVER w AS m100, max(price) OVER w AS hi100 FROM tape
           WINDOW w AS (PARTITION BY sign ORDER BY ts, seq ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)""")
 def rolling_hot(spark, sf):

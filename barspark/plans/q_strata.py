@@ -301,7 +301,9 @@ def quarterly(spark, sf):
     return per.groupBy("q").agg(F.sum("k").alias("n"), F.sum("p").alias("pnl"), F.sum(F.when(F.col("k") == 1, 1).otherwise(0)).alias("single"))
 
 
-@query("I24_size_distribution_cdf", "sign:i n:i p10:f p50:f p99:f")
+@query("I24_size_distribution_cdf", "sign:i n:i p10:f p50:f p99:f",
+       """SELECT sign, count(*) AS n, quantile_disc(size, 0.1) AS p10, quantile_disc(size, 0.5) AS p50, quantile_disc(size, 0.99) AS p99
+          FROM tape GROUP BY 1""")
 def size_cdf(spark, sf):
     x = S.size_cdf(M.tape(spark, sf), ["sign"], "size", None, [0.1, 0.5, 0.99])
     return x.withColumns({"p10": F.get("q", F.lit(0)), "p50": F.get("q", F.lit(1)), "p99": F.get("q", F.lit(2))})

@@ -23,7 +23,7 @@ def test_query(spark, con, name):
         return
     cur = con.execute(ORACLES[name])
     cols = [d[0] for d in cur.description]
-    assert compare(rows, df.columns, cur.fetchall(), cols) is None
+    assert compare(rows, df.columns, cur.fetchall(), cols, edges=True) is None
 
 
 def test_entry(spark):
