@@ -69,7 +69,11 @@ def query(name: str, spec: str, sql: str | None = None):
     """Register a function (spark, sf_dir) -> DataFrame under ``name`` with its output spec and oracle SQL."""
 
     def wrap(fn: Query) -> Query:
-        QUERIES[name] = lambda spark, sf: finish(fn(spark, sf), spec)
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")  # the tables' zone-less times are UTC
+            return finish(fn(spark, sf), spec)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = finish_sql(sql, spec)
         return fn
