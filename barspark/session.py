@@ -30,27 +30,47 @@ def get_spark(app: str = "barspark", cores: int | None = None, shuffle: int | No
     return spark
 
 
+_local_dir: str | None = None
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a scratch folder only where none is configured."""
+    """The cluster's shared checkpoint folder; a local session that names none gets one folder of its own."""
+    global _local_dir
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a shared folder")
-    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if _local_dir is None:
+        _local_dir = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _local_dir
 
 
 def scratch_path(spark: SparkSession) -> str:
     """A fresh folder in the shared checkpoint location."""
-    return f"{checkpoint_dir(spark)}/barspark-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark)}/barspark-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+_written: dict[str, list[str]] = {}
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Delete the scratch folders this application has written; call it when their results are no longer read."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = hadoop.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    return len(paths)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """The frame as a written table in the shared folder: for inputs that several passes read, and to cut lineage."""
     path = scratch_path(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
