@@ -32,9 +32,9 @@ CHARS_AT_ONCE = 1 << 22
 #: Letters with symbols of their own, by frequency in the sample; 0 is the blank and 1 any other letter.
 ALPHABET = 62
 UNKNOWN = "und"
-#: A text of at least MIN_SYMBOLS whose least entropy is beyond this share of a coin toss among all symbols is of no known
-#: language: hardly any two of its letters stand together in a reference.
-MAX_SHARE = 1.5
+#: A text of at least MIN_SYMBOLS whose phrases have fewer symbols than this on average is of no known language: hardly any
+#: two of its letters stand together in a reference.
+MIN_PHRASE = 1.5
 MIN_SYMBOLS = 32
 
 
@@ -198,10 +198,10 @@ def identify(docs: DataFrame, model: Model, text: str = "text", prefix: str = "l
         low = np.partition(bits, min(1, bits.shape[1] - 1), axis=1)
         e1, e2 = low[:, 0], low[:, min(1, bits.shape[1] - 1)]
         score = np.ones(len(texts)) if bits.shape[1] == 1 else np.where(e2 > 0, 1 - e1 / np.maximum(e2, 1e-12), 0)
-        _, _, _, _, width = _tables(model)
+        logs = _tables(model)[3]
         return pd.DataFrame({
             "pred": names[np.where(lettered, best, len(names) - 1)], "score": np.where(lettered, np.clip(score, 0, 1), 0.0),
-            "bits": np.where(lettered, e1, np.nan), "rejected": ~lettered | ((n >= MIN_SYMBOLS) & (e1 > MAX_SHARE * np.log2(width))),
+            "bits": np.where(lettered, e1, np.nan), "rejected": ~lettered | ((n >= MIN_SYMBOLS) & (e1 * MIN_PHRASE > logs[best])),
         })
 
     out = docs.drop(*(prefix + c for c in ("pred", "score", "bits", "rejected"))).withColumn("_lid", predict(F.col(text).cast("string")))
