@@ -15,7 +15,8 @@ HELD_OUT_FOLDS = 5
 #: So many of the most frequent keys are joined by broadcast; any other key then holds at most 1/HOT_KEYS of the rows.
 HOT_KEYS = 256
 HOT_LEAST = 64
-ROW = "_row"
+#: The name of the row key, reserved: a column of the input that is called so is replaced.
+ROW = "__row"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,13 +28,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % HELD_OUT_FOLDS == 0, F.lit(True))
 
 
-def keyed(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows with a unique column ``_row``: the id itself where it is unique and never null, else a number per row.
-
-    Numbers are given once and written to the shared folder, so that several passes and recomputed tasks agree on them.
+def keyed(docs: DataFrame, key: str = "doc_id", row: str | None = None) -> DataFrame:
+    """The rows with a unique column ``__row``: the column ``row`` if given; else the id itself where it is unique and
+    never null, else a number per row. Numbers are given once and written to the shared folder, so that
+    several passes and recomputed tasks agree on them.
     """
+    if row is not None:
+        return docs if row == ROW else docs.drop(ROW).withColumnRenamed(row, ROW)
     docs = docs.drop(ROW)
-    if "long" == dict(docs.dtypes).get(key) or dict(docs.dtypes).get(key) == "bigint":
+    if dict(docs.dtypes)[key] == "bigint":
         per_id = docs.groupBy(key).count().agg(F.max("count"), F.max(F.col(key).isNull().cast("int"))).first()
         if per_id[0] in (None, 1) and not per_id[1]:
             return docs.withColumn(ROW, F.col(key))

@@ -65,14 +65,14 @@ def _blocks(df: DataFrame, by: str, count: int, size: int) -> list[DataFrame]:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id",
                   item_text: str = "text", window_words: int = WINDOW_WORDS, shingle_words: int = SHINGLE_WORDS,
-                  block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """One row per input row: ``_row``, doc_id, n_words, n_hit, n_items, items, items_sha256, contaminated.
+                  block_windows: int = BLOCK_WINDOWS, row: str | None = None) -> DataFrame:
+    """One row per input row: ``__row``, doc_id, n_words, n_hit, n_items, items, items_sha256, contaminated.
 
     A null or wordless text has no words and is clean; a null or wordless item has no window. An item with a null id
     hits words but isn't counted or named. Repeated rows are judged one by one, repeated items once. With an empty
     benchmark every document is clean; no documents give no rows. Other columns are not read.
     """
-    rows = keyed(docs, doc_id).select(ROW, F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    rows = keyed(docs, doc_id, row).select(ROW, F.col(doc_id).alias("id"), F.col(text).alias("text"))
     wins = stored(item_windows(benchmark, item_id, item_text, window_words))
     n_wins = wins.count()
     widths = sorted(r.k for r in wins.select(F.least(F.lit(shingle_words), F.col("n")).alias("k")).distinct().collect())

@@ -36,15 +36,15 @@ def numbered(distinct: DataFrame, by: list[str]) -> DataFrame:
 
 
 def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block_bytes: int = BLOCK_BYTES,
-                 hash_bits: int = 64) -> DataFrame:
-    """One row per input row: ``_row``, doc_id, keep_id, group_size, kept, text_sha256.
+                 hash_bits: int = 64, row: str | None = None) -> DataFrame:
+    """One row per input row: ``__row``, doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the row with the most code points in the original text stays, then the smallest doc_id (a null id
     comes last), then the first of repeated rows: exactly one row of a group has ``kept``. Null texts are empty, and
     all empty or blank texts are one group. An empty table gives an empty result. Other columns are not read, whatever
     their names. ``hash_bits`` below 64 is for tests of blocks that share a hash.
     """
-    rows = keyed(docs, doc_id).select(ROW, F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = keyed(docs, doc_id, row).select(ROW, F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     norm = rows.withColumn("norm", normalised(F.col("text")))
     raw = F.encode("norm", "utf-8")
     n_blocks = F.greatest(F.lit(1), F.ceil(F.octet_length("norm") / F.lit(block_bytes))).cast("int")

@@ -67,7 +67,7 @@ def _crc(ids: np.ndarray) -> int:
 
 
 def measured(rows: DataFrame, vocabulary: str, capacity: int) -> DataFrame:
-    """``_row``, doc_id, n (ids), crcs (of each whole window, then of the remainder, if any)."""
+    """``__row``, doc_id, n (ids), crcs (of each whole window, then of the remainder, if any)."""
 
     @F.pandas_udf("n long, crcs array<long>")
     def measure(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -174,14 +174,14 @@ def cuts(start: int, end: int, total: int, capacity: int) -> list[tuple[int, int
 PIECE = "start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
-    """One row per piece: ``_row``, doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, vocabulary: str = VOCABULARY, row: str | None = None) -> DataFrame:
+    """One row per piece: ``__row``, doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null or empty text is the terminator alone. Repeated rows, and rows without an id, are packed each for itself.
     Sequences are numbered from 0: those of the patterns, those of the tail, then whole windows. Without documents there are
     no pieces. Other columns are not read. The vocabulary is found by ``public_tokenizers.path``.
     """
-    rows = keyed(docs, doc_id).select(ROW, F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = keyed(docs, doc_id, row).select(ROW, F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     docs_n = stored(measured(rows, vocabulary, capacity))
     rest = F.col("n") % capacity
     hist = docs_n.groupBy(rest.alias("rest")).agg(F.count(F.lit(1)).alias("k")).collect()  # at most ``capacity`` rows

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barspark.llm import decontaminate, exact_dedup, langid, packing, simhash
+import corpus_pipeline
+from barspark.llm import decontaminate, exact_dedup, langid, packing, quality, simhash
 from barspark.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,5 +85,20 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op7_simhash"] = op7_simhash
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+QUERIES["op10_quality"] = op10_quality
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
+
+
 def load() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
     return dict(QUERIES), dict(ORACLES)

@@ -127,20 +127,22 @@ def links(fps: DataFrame, radius: int = RADIUS, small: int = SMALL_BUCKET) -> Da
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS, width: int = SHINGLE_WORDS,
-                    small: int = SMALL_BUCKET) -> DataFrame:
-    """One row per input row: ``_row``, doc_id, fp (long), fingerprint (hex), component_id.
+                    small: int = SMALL_BUCKET, row: str | None = None) -> DataFrame:
+    """One row per input row: ``__row``, doc_id, fp (long), fingerprint (hex), component_id, kept (one row of each component).
 
     component_id is the least doc_id among the rows reachable over links of fingerprints, the row itself included; null
     ids are passed over, and a component without any has null. Null, empty and blank texts have fingerprint zero and link
     like any other. Repeated rows share a component. No rows give no rows. Other columns are not read.
     """
-    rows = keyed(docs, doc_id).select(ROW, F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = keyed(docs, doc_id, row).select(ROW, F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     rows = stored(with_fingerprint(rows, "text", "fp", width).select(ROW, "doc_id", "fp"))
-    fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("id"), F.col(ROW).alias("r")))
+    fps = stored(rows.groupBy("fp").agg(first.alias("least"), F.count(F.lit(1)).alias("n")))
     roots = stored(components(links(fps.select("fp"), radius, small)))
     fps = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     fps = stored(fps)
-    groups = stored(fps.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("m")))
-    named = stored(unique_join(fps, groups, ["root"], hot_keys(groups, ["root"], F.col("m"))).select("fp", "n", "component_id"))
+    groups = stored(fps.groupBy("root").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("m")))
+    named = stored(unique_join(fps, groups, ["root"], hot_keys(groups, ["root"], F.col("m"))).select("fp", "n", "first"))
     whole = unique_join(rows, named, ["fp"], hot_keys(named, ["fp"], F.col("n")))
-    return whole.select(ROW, "doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return whole.select(ROW, "doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first.id").alias("component_id"),
+                        (F.col(ROW) == F.col("first.r")).alias("kept"))
