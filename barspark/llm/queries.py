@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from barspark.llm import decontaminate, exact_dedup, langid, packing, quality, simhash
+from barspark.llm import decontaminate, exact_dedup, langid, packing, quality, secret_scan, simhash
 from barspark.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,6 +85,15 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op7_simhash"] = op7_simhash
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.scan(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", *(secret_scan.counted(F.col("base"), k).alias(f"n_{k}") for k in secret_scan.KINDS[:3]),
+                      F.sha2(secret_scan.written(F.col("base")), 256).alias("base_sha256"), secret_scan.written(F.col("found")).alias("spans"))
+
+
+QUERIES["op9_secret_scan"] = op9_secret_scan
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
