@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from barspark.llm import decontaminate, exact_dedup, langid, packing, pii, quality, secret_scan, simhash
+from barspark.llm import decontaminate, exact_dedup, langid, packing, pii, quality, secret_scan, simhash, warc
 from barspark.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +87,22 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op5_pii"] = op5_pii
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES["op6_warc"] = op6_warc
+ORACLES["op6_warc"] = """
+WITH page AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), largest AS (SELECT payload_digest, payload_bytes, max(page_id) AS first_id FROM page GROUP BY payload_digest, payload_bytes)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> first_id THEN first_id END AS refers_to
+FROM page JOIN largest USING (payload_digest, payload_bytes)
+"""
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
