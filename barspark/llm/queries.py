@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from barspark.llm import decontaminate, exact_dedup, langid, packing, pii, quality, secret_scan, simhash, warc
+from barspark.llm import decontaminate, exact_dedup, html_text, langid, packing, pii, quality, secret_scan, simhash, warc
 from barspark.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,6 +110,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op7_simhash"] = op7_simhash
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+QUERIES["op8_html_text"] = op8_html_text
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secret_scan.scan(table(spark, sf_dir, "documents"))
     return out.select("doc_id", *(secret_scan.counted(F.col("base"), k).alias(f"n_{k}") for k in secret_scan.KINDS[:3]),
