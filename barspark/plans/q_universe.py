@@ -10,39 +10,48 @@ from barspark.plans import market as M
 from barspark.plans.q_joins import BREADTH_SQL
 from barspark.plans.registry import query
 
-SPLF = """(SELECT ticker, execution_date, exp(sum(ln(split_ratio)) OVER (PARTITION BY ticker ORDER BY execution_date
-    ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS cum_split_factor FROM spl)"""
-DIVF = f"""(SELECT d.ticker, d.ex_dividend_date, d.cash_amount / coalesce(f.cum_split_factor, 1) AS adj_cash_amount,
-    CASE WHEN p.close IS NULL THEN 1 ELSE greatest(1 - d.cash_amount / coalesce(f.cum_split_factor, 1)
-      / nullif(p.close / coalesce(f.cum_split_factor, 1), 0), 0.000001) END AS div_factor
-    FROM divs d LEFT JOIN daily p ON p.ticker = d.ticker AND p.date = d.ex_dividend_date
-    ASOF LEFT JOIN {SPLF} f ON f.ticker = d.ticker AND d.ex_dividend_date < f.execution_date)"""
-DIVC = f"""(SELECT *, exp(sum(ln(div_factor)) OVER (PARTITION BY ticker ORDER BY ex_dividend_date
-    ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS cum_div_factor FROM {DIVF})"""
-
-
-@query("E1_cumulative_split_factor", "ticker:i execution_date cum_split_factor:f", f"SELECT * FROM {SPLF}")
+# The rule, stated on its own: a split counts for all days before it, a dividend scales all days before it by what was
+# left of that day's close. A lookup takes the first later date.
+LATER_SPLITS = """(SELECT a.ticker, a.execution_date, product(b.split_ratio) AS cum_split_factor
+    FROM spl a JOIN spl b ON b.ticker = a.ticker AND b.execution_date >= a.execution_date GROUP BY a.ticker, a.execution_date)"""
+
+
+def next_split(day: str, alias: str) -> str:
+    """The product of the splits after a day, 1 without any."""
+    return f"""coalesce((SELECT arg_min(z.cum_split_factor, z.execution_date) FROM {LATER_SPLITS} z
+        WHERE z.ticker = {alias}.ticker AND z.execution_date > {alias}.{day}), 1)"""
+
+
+PAID = f"(SELECT ticker, ex_dividend_date, cash_amount / {next_split('ex_dividend_date', 'paid')} AS adj_cash_amount, {next_split('ex_dividend_date', 'paid')} AS splits FROM divs paid)"
+KEPT = f"""(SELECT q.ticker, q.ex_dividend_date, q.adj_cash_amount, CASE WHEN day.close IS NULL THEN 1.0::DOUBLE
+    WHEN day.close = 0 THEN 0.000001 ELSE greatest(0.000001, 1 - q.adj_cash_amount * q.splits / day.close) END AS div_factor
+    FROM {PAID} q LEFT JOIN daily day ON day.ticker = q.ticker AND day.date = q.ex_dividend_date)"""
+LATER_PAID = f"""(SELECT a.ticker, a.ex_dividend_date, any_value(a.div_factor) AS div_factor,
+    product(b.div_factor) AS cum_div_factor
+    FROM {KEPT} a JOIN {KEPT} b ON b.ticker = a.ticker AND b.ex_dividend_date >= a.ex_dividend_date GROUP BY a.ticker, a.ex_dividend_date)"""
+
+
+@query("E1_cumulative_split_factor", "ticker:i execution_date cum_split_factor:f", f"SELECT * FROM {LATER_SPLITS}")
 def split_factors(spark, sf):
     return adjust.split_factors(M.splits(spark, sf))
 
 
-@query("E2_split_adjusted_dividends", "ticker:i ex_dividend_date adj_cash_amount:f", f"SELECT * FROM {DIVF}")
+@query("E2_split_adjusted_dividends", "ticker:i ex_dividend_date adj_cash_amount:f", f"SELECT * FROM {PAID}")
 def adjusted_dividends(spark, sf):
     return adjust.adjusted_dividends(M.dividends(spark, sf), adjust.split_factors(M.splits(spark, sf)))
 
 
-@query("E3_E4_dividend_factors", "ticker:i ex_dividend_date div_factor:f cum_div_factor:f", f"SELECT * FROM {DIVC}")
+@query("E3_E4_dividend_factors", "ticker:i ex_dividend_date div_factor:f cum_div_factor:f", f"SELECT * FROM {LATER_PAID}")
 def dividend_factors(spark, sf):
     return adjust.dividend_factors(M.dividends(spark, sf), M.daily(spark, sf), adjust.split_factors(M.splits(spark, sf)))
 
 
 @query("E5_total_return_adjustment",
        "ticker:i date adj_open:f adj_high:f adj_low:f adj_close:f adj_volume:i raw_volume:i",
-       f"""SELECT d.ticker, d.date, open / s * c AS adj_open, high / s * c AS adj_high, low / s * c AS adj_low,
-           close / s * c AS adj_close, CAST(round(volume * s) AS BIGINT) AS adj_volume, volume AS raw_volume FROM (
-             SELECT p.*, coalesce(f.cum_split_factor, 1) AS s, coalesce(v.cum_div_factor, 1) AS c FROM daily p
-             ASOF LEFT JOIN {SPLF} f ON f.ticker = p.ticker AND p.date < f.execution_date
-             ASOF LEFT JOIN {DIVC} v ON v.ticker = p.ticker AND p.date < v.ex_dividend_date) d""")
+       f"""SELECT ticker, date, open * k / m AS adj_open, high * k / m AS adj_high, low * k / m AS adj_low, close * k / m AS adj_close,
+           CAST(round(volume * m) AS BIGINT) AS adj_volume, volume AS raw_volume FROM (
+             SELECT bar.*, {next_split('date', 'bar')} AS m, coalesce((SELECT arg_min(v.cum_div_factor, v.ex_dividend_date)
+               FROM {LATER_PAID} v WHERE v.ticker = bar.ticker AND v.ex_dividend_date > bar.date), 1) AS k FROM daily bar)""")
 def adjusted(spark, sf):
     return adjust.adjust_prices(M.daily(spark, sf), M.splits(spark, sf), M.dividends(spark, sf))
 
