@@ -31,7 +31,8 @@ CAPACITY = 1024
 TERMINATOR = 0
 VOCABULARY = "byte_bpe_50k"
 #: Rows that one bucket of the ranking holds on average.
-BUCKET_ROWS = 200_000
+BUCKET_ROWS = 16_384
+BROADCAST_ROWS = 1_000_000
 CHARS_AT_ONCE = 1 << 20
 
 
@@ -241,6 +242,8 @@ def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity:
                              for a, m, q, o in cuts(begin, begin + k, total, capacity)])
             yield pd.Series(made, dtype=object)
 
-    loose = ranked.where("sequence_id < 0").select(ROW, "doc_id", "n", "rest", "rank")
-    loose = loose.join(rows.select(ROW, "text"), ROW).withColumn("p", F.explode(cut("text", "rest", "rank")))
+    loose = stored(ranked.where("sequence_id < 0").select(ROW, "doc_id", "n", "rest", "rank"))
+    if sum(tail.values()) <= BROADCAST_ROWS:  # 40 bytes each; more are joined by a shuffle of the texts
+        loose = F.broadcast(loose)
+    loose = rows.select(ROW, "text").join(loose, ROW).withColumn("p", F.explode(cut("text", "rest", "rank")))
     return out.unionAll(loose.select(ROW, "doc_id", "p.start", "p.length", "p.ids_crc32", "n", "p.sequence_id", "p.offset"))
