@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from barspark.functions import features as X
 from barspark.functions.indicators import Series
-from barspark.operators import detect as T, scan as B
+from barspark.operators import chains as C, detect as T
 from barspark.operators.universe import breadth, lagged_breadth
 from barspark.plans import market as M
 from barspark.plans.ctes import EP, SE
@@ -195,8 +195,8 @@ def shadow_slots(spark, sf):
     x = momentum_inputs(trend(spark, sf)).withColumn("lowc", F.min("close").over(S.sofar()))
     x = x.withColumns({"trigger": MOM.fires(), "quality": F.coalesce(F.col("vol_climb") >= 0.3, F.lit(False)),
                        "stop_level": F.col("close") - (F.col("close") - F.col("lowc")) * 2 / 3})
-    t = B.run_book(x, B.SlotBook(), ["ticker", "session"])
-    return t.withColumn("reported", F.col("reported").cast("string"))
+    t = C.one_at_a_time(x, S, F.col("trigger"), carry=("quality",))
+    return t.withColumn("reported", F.col("quality").cast("string"))
 
 
 @query("G12_F30_breakout_timer_and_pullback", "ticker:i session:i minute:i timer:i bars_since_high:i pb_updn:f pb_depth:f pb_atr:f",
@@ -220,13 +220,12 @@ def shadow_slots(spark, sf):
             CASE WHEN nu > 0 AND nd > 0 AND dn > 0 THEN (up / nu) / (dn / nd) END AS pb_updn, depth AS pb_depth,
             CASE WHEN na > 0 THEN atr / na END AS pb_atr FROM r WHERE idx >= 0""")
 def breakout_timer(spark, sf):
-    book = B.BreakoutTimer(drought=8, bars=5)
-    return B.run_book(trend(spark, sf), book, ["ticker", "session"], schema=B.PULLBACK_SCHEMA)
+    return C.timed_pullback(trend(spark, sf), S, drought=8, bars=5)
 
 
-def armed_inputs(x):
-    ok = F.col("minute").between(600, 810) & F.coalesce(F.col("atr_log") >= 0.05, F.lit(False))
-    return x.withColumn("ok", F.coalesce(ok, F.lit(False)))
+def armed(spark, sf, rearm):
+    ok = F.col("minute").between(600, 810) & (F.col("atr_log") >= 0.05)
+    return C.rearmed(trend(spark, sf), S, ok, within=6, floors=(0.0, 1.0 / 3.0, 0.5), rearm=rearm, min_stop=0.02)
 
 
 ARM_EXIT = """SELECT t.ticker, t.session, t.minute AS entry_at, t.close AS entry_price, coalesce(xb.minute, lb.minute, t.minute) AS exit_at,
@@ -260,21 +259,41 @@ ARM = "ticker:i session:i entry_at:i entry_price:f4 exit_at:i exit_price:f4 exit
 
 @query("G13_armed_breakout_rolling_rearm", ARM, _armed_sql("ema_low20_p"))
 def armed_rolling(spark, sf):
-    return B.run_book(armed_inputs(trend(spark, sf)), B.ArmedBook(within=6, min_stop=0.02), ["ticker", "session"])
+    return armed(spark, sf, "rolling")
 
 
 @query("G13_armed_breakout_session_rearm", ARM, _armed_sql("ema_lo_p"))
 def armed_session(spark, sf):
-    return B.run_book(armed_inputs(trend(spark, sf)), B.ArmedBook(within=6, min_stop=0.02, rearm="session"), ["ticker", "session"])
+    return armed(spark, sf, "session")
 
 
 @query("G13_armed_breakout_last_stop_rearm", ARM, _armed_sql("ls"))
 def armed_last_stop(spark, sf):
-    return B.run_book(armed_inputs(trend(spark, sf)), B.ArmedBook(within=6, min_stop=0.02, rearm="last_stop"), ["ticker", "session"])
+    return armed(spark, sf, "last_stop")
 
 
-def fade_inputs(x):
-    return x.withColumn("arm_ok", F.coalesce(F.col("atr_log_p") >= 0.05, F.lit(False)))
+def _fade_sql(entry: str, legs: int) -> str:
+    """Leg by leg: where it starts to wait, the bar it enters on, the bar it ends on."""
+    out, ctes, start = [], ["w0 AS (SELECT ticker, session, idx AS si, idx AS wi FROM tfeat WHERE minute >= 585 AND close > sess_hic_p AND atr_log_p >= 0.05)"], 0
+    waits = {"down_tick": "b.idx > w.wi AND b.ema < b.ema_p", "bars_since": "b.idx >= w.wi AND b.bars_since_hi = 3",
+             "cross": "b.idx > w.wi AND b.idx <= w.wi + 60 AND b.ema < a.ema"}[entry]
+    for k in range(legs):
+        ctes.append(f"""n{k} AS (SELECT w.ticker, w.session, w.si, min(b.idx) AS ei FROM w{k} w JOIN tfeat a ON a.ticker = w.ticker AND a.session = w.session AND a.idx = w.wi
+          JOIN tfeat b ON b.ticker = w.ticker AND b.session = w.session AND {waits} GROUP BY ALL)""")
+        ctes.append(f"""x{k} AS (SELECT n.ticker, n.session, n.si, e.idx, e.minute, e.close, e.ema_hi, min(CASE WHEN b.ema > e.ema_hi OR b.minute >= 960 THEN b.idx END) AS xi,
+          max(b.idx) AS li FROM n{k} n JOIN tfeat e ON e.ticker = n.ticker AND e.session = n.session AND e.idx = n.ei
+          LEFT JOIN tfeat b ON b.ticker = n.ticker AND b.session = n.session AND b.idx > n.ei GROUP BY ALL)""")
+        ctes.append(f"""w{k + 1} AS (SELECT x.ticker, x.session, x.si, x.xi AS wi FROM x{k} x JOIN tfeat t ON t.ticker = x.ticker AND t.session = x.session AND t.idx = x.xi
+          WHERE t.ema > x.ema_hi AND t.minute < 960)""")
+        out.append(f"""SELECT x.ticker, x.session, x.minute AS entry_at, x.close AS entry_price, coalesce(a.minute, l.minute, x.minute) AS exit_at,
+          coalesce(a.close, l.close, x.close) AS exit_price, CASE WHEN a.ema > x.ema_hi THEN 'ema_max_stop' ELSE 'moc' END AS exit_reason, {k} AS leg
+          FROM x{k} x LEFT JOIN tfeat a ON a.ticker = x.ticker AND a.session = x.session AND a.idx = x.xi
+          LEFT JOIN tfeat l ON l.ticker = x.ticker AND l.session = x.session AND l.idx = x.li""")
+    return f"WITH {', '.join(ctes)} {' UNION ALL '.join(out)}"
+
+
+def fade(spark, sf, **how):
+    return C.fade_legs(trend(spark, sf), S, F.coalesce(F.col("atr_log_p") >= 0.05, F.lit(False)), **how)
 
 
 @query("G5_pop_fade_single_leg", "ticker:i session:i entry_at:i entry_price:f4 exit_at:i exit_price:f4 exit_reason stop_level:f",
@@ -290,25 +309,25 @@ def fade_inputs(x):
           LEFT JOIN tfeat l ON l.ticker = x.ticker AND l.session = x.session AND l.idx = li""")
 def pop_fade_single(spark, sf):
     """Without slots or re-entries every signal is on its own, which SQL can check."""
-    return B.run_book(fade_inputs(trend(spark, sf)), B.PopFade(reentries=0, max_open=0), ["ticker", "session"])
+    return fade(spark, sf)
 
 
 FADE = "ticker:i session:i entry_at:i entry_price:f4 exit_at:i exit_price:f4 exit_reason leg:i"
 
 
-@query("G5_pop_fade_reentries_one_slot", FADE)
+@query("G5_pop_fade_reentries", FADE, _fade_sql("down_tick", 3))
 def pop_fade(spark, sf):
-    return B.run_book(fade_inputs(trend(spark, sf)), B.PopFade(), ["ticker", "session"])
+    return fade(spark, sf, legs=3)
 
 
-@query("G5_pop_fade_cross_entry", FADE)
+@query("G5_pop_fade_cross_entry", FADE, _fade_sql("cross", 1))
 def pop_fade_cross(spark, sf):
-    return B.run_book(fade_inputs(trend(spark, sf)), B.PopFade(entry="cross", max_open=0, reentries=0), ["ticker", "session"])
+    return fade(spark, sf, entry="cross")
 
 
-@query("G5_pop_fade_bars_since_high", FADE)
+@query("G5_pop_fade_bars_since_high", FADE, _fade_sql("bars_since", 2))
 def pop_fade_since(spark, sf):
-    return B.run_book(fade_inputs(trend(spark, sf)), B.PopFade(entry="bars_since", n_since=3, max_open=1), ["ticker", "session"])
+    return fade(spark, sf, entry="bars_since", n_since=3, legs=2)
 
 
 @query("G14_opening_drive_recorder", EV, "SELECT * FROM sess WHERE minute BETWEEN 585 AND 630")
@@ -338,15 +357,39 @@ def opening_drive(spark, sf):
     return x.filter("entry").withColumn("stop_level", F.col("ema_lo"))
 
 
-@query("G15_opening_drive_rearm", "ticker:i session:i entry_at:i entry_price:f4 exit_at:i exit_price:f4 exit_reason leg:i")
-def opening_rearm(spark, sf):
+def _drive_sql(legs: int, limit: bool) -> str:
+    """Leg by leg, as for the fades; ``q`` is the bar that qualifies, ``e`` the one that fills."""
+    quick = "q.close <= q.ema" if limit else "true"
+    ctes = [f"""t AS (SELECT *, lead(low) OVER ({SE}) AS dip, max(CASE WHEN coalesce((sess_hic_p IS NULL OR close > sess_hic_p)
+      AND volume / permin >= 1.9 AND atr_log >= 0.05, false) THEN 1 ELSE 0 END) OVER ({SE} ROWS UNBOUNDED PRECEDING) AS dead FROM tfeat)""",
+            f"g AS (SELECT * FROM t q WHERE {QUAL} AND dead = 0 AND ({quick} OR dip <= ema))", "w0 AS (SELECT DISTINCT ticker, session, CAST(0 AS BIGINT) AS wi FROM t)"]
+    out = []
+    for k in range(legs):
+        ctes.append(f"n{k} AS (SELECT w.ticker, w.session, min(g.idx) AS qi FROM w{k} w JOIN g ON g.ticker = w.ticker AND g.session = w.session AND g.idx >= w.wi GROUP BY ALL)")
+        ctes.append(f"""e{k} AS (SELECT q.ticker, q.session, q.ema_lo AS stop, CASE WHEN {quick} THEN q.idx ELSE q.idx + 1 END AS ei,
+          CASE WHEN {quick} THEN q.close ELSE q.ema END AS px FROM n{k} n JOIN t q ON q.ticker = n.ticker AND q.session = n.session AND q.idx = n.qi)""")
+        ctes.append(f"""x{k} AS (SELECT e.*, min(CASE WHEN b.ema < e.stop OR b.dead = 1 OR b.minute >= 960 THEN b.idx END) AS xi, max(b.idx) AS li
+          FROM e{k} e LEFT JOIN t b ON b.ticker = e.ticker AND b.session = e.session AND b.idx > e.ei GROUP BY ALL)""")
+        ctes.append(f"""w{k + 1} AS (SELECT x.ticker, x.session, min(b.idx) AS wi FROM x{k} x JOIN t a ON a.ticker = x.ticker AND a.session = x.session AND a.idx = x.xi AND a.ema < x.stop
+          JOIN t b ON b.ticker = x.ticker AND b.session = x.session AND b.idx > x.xi AND b.ema_lo < a.ema_lo GROUP BY ALL)""")
+        out.append(f"""SELECT x.ticker, x.session, f.minute AS entry_at, px AS entry_price, coalesce(a.minute, l.minute, f.minute) AS exit_at,
+          coalesce(a.close, l.close, f.close) AS exit_price, CASE WHEN a.ema < stop THEN 'stop' WHEN a.dead = 1 THEN 'exhaust' ELSE 'moc' END AS exit_reason, {k} AS leg
+          FROM x{k} x JOIN t f ON f.ticker = x.ticker AND f.session = x.session AND f.idx = x.ei
+          LEFT JOIN t a ON a.ticker = x.ticker AND a.session = x.session AND a.idx = x.xi LEFT JOIN t l ON l.ticker = x.ticker AND l.session = x.session AND l.idx = x.li""")
+    return f"WITH {', '.join(ctes)} {' UNION ALL '.join(out)}"
+
+
+def drive_chain(spark, sf, **how):
     x = drive(spark, sf)
     x = x.withColumns(T.first_per_session(S, F.col("qualifies"), F.col("exhausted")))
-    return B.run_book(x, B.OpeningDriveBook(reentries=2), ["ticker", "session"])
+    return C.drive_legs(x, S, F.col("qualifies"), F.col("dead"), **how)
+
+
+@query("G15_opening_drive_rearm", FADE, _drive_sql(3, False))
+def opening_rearm(spark, sf):
+    return drive_chain(spark, sf, legs=3)
 
 
-@query("G15_opening_drive_limit_entry", "ticker:i session:i entry_at:i entry_price:f4 exit_at:i exit_price:f4 exit_reason leg:i")
+@query("G15_opening_drive_limit_entry", FADE, _drive_sql(1, True))
 def opening_limit(spark, sf):
-    x = drive(spark, sf)
-    x = x.withColumns(T.first_per_session(S, F.col("qualifies"), F.col("exhausted")))
-    return B.run_book(x, B.OpeningDriveBook(reentries=0, limit=True), ["ticker", "session"])
+    return drive_chain(spark, sf, limit=True)

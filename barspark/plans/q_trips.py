@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from barspark.functions import features as X
 from barspark.functions.aggregates import clipped_profit_factor, profit_factor, win_rate
 from barspark.functions.indicators import FOL, Series, run_length
-from barspark.operators import detect as T, scan as B, trips as R
+from barspark.operators import chains as C, detect as T, trips as R
 from barspark.plans import market as M
 from barspark.plans.ctes import EP, SE
 from barspark.plans.q_detect import trend
@@ -195,9 +195,8 @@ def channel_limit(spark, sf):
           LEFT JOIN n o ON o.ticker = m.ticker AND o.episode = m.episode AND o.i = m.k + 6 AND m.m IS NULL""")
 def limit_orders(spark, sf):
     x = daily_feats(spark, sf).withColumns({
-        "entry_low": F.min("low").over(DAY.last(4)), "trail_high": F.max("high").over(DAY.last(6)),
-        "day": F.unix_date("date").cast("long"), "signal": M.LOOSE.fires()})
-    return B.run_book(x, B.LimitOrders(), KEY, "day")
+        "entry_low": F.min("low").over(DAY.last(4)), "trail_high": F.max("high").over(DAY.last(6)), "day": F.unix_date("date").cast("long")})
+    return C.resting_orders(x, Series(tuple(KEY), ("day",)), M.LOOSE.fires())
 
 
 FROZEN = """SELECT e.ticker, e.session, e.minute, e.close AS entry_price, e.stop_level, coalesce(x.minute, l.minute, e.minute) AS exit_at,
@@ -298,16 +297,37 @@ def rich_low(spark, sf):
     return rich(spark, sf, R.RichExit(moc=900, stop="low"))
 
 
-@query("H9_armed_extreme_trail_entry", "ticker:i session:i entry_at:i entry_price:f4 exit_at:i exit_price:f4 exit_reason")
+def _extreme_sql(signal: str, reached: str, price: str, stop: str, hit: str) -> str:
+    return f"""WITH f AS (SELECT *, greatest(high, lag(high) OVER ({SE})) AS two FROM sfeat), sig AS (SELECT * FROM f WHERE {signal}),
+      n AS (SELECT s.ticker, s.session, s.idx AS si, min(b.idx) AS ei FROM sig s JOIN f b ON b.ticker = s.ticker AND b.session = s.session AND b.idx > s.idx AND {reached} GROUP BY ALL),
+      e AS (SELECT n.*, b.minute, {price} AS px, b.{stop} AS stop FROM n JOIN sig s ON s.ticker = n.ticker AND s.session = n.session AND s.idx = n.si
+        JOIN f b ON b.ticker = n.ticker AND b.session = n.session AND b.idx = n.ei),
+      x AS (SELECT e.*, min(CASE WHEN {hit} OR b.minute >= 960 THEN b.idx END) AS xi, max(b.idx) AS li FROM e
+        LEFT JOIN f b ON b.ticker = e.ticker AND b.session = e.session AND b.idx > e.ei GROUP BY ALL)
+      SELECT e.ticker, e.session, e.minute AS entry_at, px AS entry_price, coalesce(b.minute, l.minute, e.minute) AS exit_at, coalesce(b.close, l.close, z.close) AS exit_price,
+        CASE WHEN {hit} THEN 'session_stop' ELSE 'moc' END AS exit_reason
+      FROM x e JOIN f z ON z.ticker = e.ticker AND z.session = e.session AND z.idx = e.ei LEFT JOIN f b ON b.ticker = e.ticker AND b.session = e.session AND b.idx = xi
+      LEFT JOIN f l ON l.ticker = e.ticker AND l.session = e.session AND l.idx = li"""
+
+
+LOW_SIGNAL = "minute >= 585 AND close < sess_loc_p AND tight_p IS NOT NULL AND atr_log_p IS NOT NULL AND volume >= 0.9 * vol_hi_p"
+HIGH_SIGNAL = "minute >= 585 AND close > sess_hic_p AND tight_p IS NOT NULL AND atr_log_p IS NOT NULL AND volume >= 0.9 * vol_hi_p"
+EXTREME = "ticker:i session:i entry_at:i entry_price:f4 exit_at:i exit_price:f4 exit_reason"
+
+
+@query("H9_armed_extreme_trail_entry", EXTREME,
+       _extreme_sql(LOW_SIGNAL, "b.close > (SELECT min(c.two) FROM f c WHERE c.ticker = s.ticker AND c.session = s.session AND c.idx BETWEEN s.idx AND b.idx)",
+                    "b.close", "sess_lo_p", "b.low <= e.stop"))
 def armed_extreme(spark, sf):
-    x = X.session_features(M.sessions(spark, sf)).withColumn("signal", T.SessionExtreme().fires())
-    return B.run_book(x, B.ArmedExtreme(), ["ticker", "session"])
+    x = X.session_features(M.sessions(spark, sf))
+    return C.extreme_fills(x, X.SESSION, T.SessionExtreme().fires(), trail=True)
 
 
-@query("H9_armed_extreme_rise_entry", "ticker:i session:i entry_at:i entry_price:f4 exit_at:i exit_price:f4 exit_reason")
+@query("H9_armed_extreme_rise_entry", EXTREME,
+       _extreme_sql(HIGH_SIGNAL, "b.high >= s.close * 1.01", "greatest(s.close * 1.01, b.open)", "sess_hi_p", "b.high >= e.stop"))
 def armed_rise(spark, sf):
-    x = X.session_features(M.sessions(spark, sf)).withColumn("signal", T.SessionExtreme(downside=False).fires())
-    return B.run_book(x, B.ArmedExtreme(trail=False, rise=0.01, downside=False), ["ticker", "session"])
+    x = X.session_features(M.sessions(spark, sf))
+    return C.extreme_fills(x, X.SESSION, T.SessionExtreme(downside=False).fires(), trail=False, rise=0.01, downside=False)
 
 
 @query("H10_scale_bars_to_candidates", "ticker:i date close:f high:f",

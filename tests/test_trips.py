@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barspark.functions import features as X
-from barspark.operators import detect as T, scan as B, strata, trips as R
+from barspark.operators import capacity, chains as C, detect as T, strata, trips as R
 
 BAR = "ticker string, session long, minute long, open double, high double, low double, close double, volume long"
 
@@ -25,56 +25,82 @@ def sessions(spark, seed, n=40, keys=3):
     return spark.createDataFrame(rows, BAR)
 
 
-def run(book, cols):
-    return book({c: v for c, v in cols.items()})
+S = X.SESSION
 
 
-def test_pop_fade_reenters_after_stop_and_respects_slot():
-    c = {"minute": [600, 601, 602, 603, 604, 605], "close": [10.0, 11.0, 10.5, 12.0, 11.0, 10.8],
-         "ema": [10.0, 10.5, 10.4, 11.0, 10.9, 10.8], "ema_p": [None, 10.0, 10.5, 10.4, 11.0, 10.9],
-         "ema_hi": [10.0, 10.5, 10.5, 11.0, 11.0, 11.0], "sess_hic_p": [None, 10.0, 11.0, 11.0, 12.0, 12.0],
-         "bars_since_hi": [0, 0, 1, 0, 1, 2], "arm_ok": [True] * 6}
-    got = run(B.PopFade(reentries=1, max_open=1, start=600), c)
-    # armed at 601, short at 602 on the down-tick, stopped at 603 above the EMA high, re-entry on the next down-tick at 604
-    assert [(g[0], g[2], g[4], g[7]) for g in got] == [(602, 603, "ema_max_stop", 0), (604, 605, "moc", 1)]
-    assert [g[7] for g in run(B.PopFade(reentries=0, max_open=1, start=600), c)][:1] == [0]
+def bars(spark, cols):
+    """One session from columns; booleans as they are."""
+    rows = list(zip(*cols.values()))
+    kind = lambda v: "boolean" if any(isinstance(x, bool) for x in v) else "long" if all(isinstance(x, int) for x in v) else "double"
+    df = spark.createDataFrame(rows, ", ".join(f"{c} {kind(v)}" for c, v in cols.items()))
+    return df.withColumns({"ticker": F.lit("a"), "session": F.lit(1)})
 
 
-def test_opening_drive_rearms_on_new_low_only():
-    c = {"minute": [600, 601, 602, 603, 604], "close": [10.0, 9.0, 9.5, 8.0, 9.0], "low": [9.9, 8.9, 9.4, 7.9, 8.9],
-         "ema": [10.0, 9.0, 9.6, 8.5, 8.9], "ema_lo": [9.5, 9.0, 9.0, 8.5, 8.5], "qualifies": [True] * 5, "dead": [False] * 5}
-    got = run(B.OpeningDriveBook(reentries=1), c)
-    assert [(g[0], g[2], g[4], g[7]) for g in got] == [(600, 601, "stop", 0), (603, 604, "moc", 1)]
-    assert len(run(B.OpeningDriveBook(reentries=0), c)) == 1
-    dead = dict(c, dead=[False, False, False, True, True])
-    assert len(run(B.OpeningDriveBook(reentries=1), dead)) == 1
+def legs(df, *cols):
+    return sorted(tuple(r[c] for c in cols) for r in df.collect())
 
 
-def test_shadow_trip_occupies_the_slot():
-    c = {"minute": [600, 601, 602, 603], "close": [10.0, 10.0, 8.0, 9.0], "trigger": [True, True, True, True],
-         "quality": [False, True, True, True], "stop_level": [9.0, 9.0, 7.0, 7.0]}
-    got = run(B.SlotBook(max_open=1), c)
-    assert [(g[0], g[2], g[6]) for g in got] == [(600, 602, False), (602, 603, True)]
+def test_fade_reenters_after_a_stop(spark):
+    x = bars(spark, {"minute": [600, 601, 602, 603, 604, 605], "close": [10.0, 11.0, 10.5, 12.0, 11.0, 10.8],
+                     "ema": [10.0, 10.5, 10.4, 11.0, 10.9, 10.8], "ema_p": [None, 10.0, 10.5, 10.4, 11.0, 10.9], "ema_hi": [10.0, 10.5, 10.5, 11.0, 11.0, 11.0],
+                     "sess_hic_p": [None, 10.0, 11.0, 13.0, 13.0, 13.0], "bars_since_hi": [0, 0, 1, 0, 1, 2]})
+    fade = lambda **k: legs(C.fade_legs(x, S, F.lit(True), start=600, **k), "entry_at", "exit_at", "exit_reason", "leg")
+    # signalled at 601, short at 602 when the average falls, stopped at 603 by its new high, again at 604
+    assert fade(legs=2) == [(602, 603, "ema_max_stop", 0), (604, 605, "moc", 1)]
+    assert fade() == [(602, 603, "ema_max_stop", 0)]
+    assert fade(entry="cross", arm_bars=1) == [(602, 603, "ema_max_stop", 0)]
+    assert fade(entry="bars_since", n_since=2) == [(605, 605, "moc", 0)]
 
 
-def test_armed_extreme_fills_after_trail():
-    c = {"minute": [600, 601, 602], "open": [10.0, 9.0, 9.2], "high": [10.1, 9.3, 10.5], "low": [9.5, 8.9, 9.1], "close": [9.6, 9.0, 10.4],
-         "prev_high": [None, 10.1, 9.3], "prev_low": [None, 9.5, 8.9], "sess_lo_p": [None, 9.5, 8.9], "sess_hi_p": [None, 10.1, 10.1],
-         "signal": [False, True, False]}
-    assert [(g[0], g[1], g[4]) for g in run(B.ArmedExtreme(), c)] == [(602, 10.4, "moc")]
+def test_drive_waits_for_a_new_low_between_legs(spark):
+    x = bars(spark, {"minute": [600, 601, 602, 603, 604], "close": [10.0, 9.0, 9.5, 8.0, 9.0], "low": [9.9, 8.9, 9.4, 7.9, 8.9],
+                     "ema": [10.0, 9.0, 9.6, 8.5, 8.9], "ema_lo": [9.5, 9.0, 9.0, 8.5, 8.5], "late": [False, False, False, True, True]})
+    drive = lambda dead=F.lit(False), **k: legs(C.drive_legs(x, S, F.lit(True), dead, **k), "entry_at", "entry_price", "exit_at", "exit_reason", "leg")
+    assert drive(legs=2) == [(600, 10.0, 601, "stop", 0), (603, 8.0, 604, "moc", 1)]
+    assert drive() == [(600, 10.0, 601, "stop", 0)]
+    assert drive(F.col("late"), legs=2) == [(600, 10.0, 601, "stop", 0)]
+    above = x.withColumn("close", F.col("close") + 1)
+    got = legs(C.drive_legs(above, S, F.lit(True), F.lit(False), limit=True), "entry_at", "entry_price", "exit_at", "exit_reason")
+    assert got == [(601, 10.0, 603, "stop")]  # the low of 601 reaches the average of 600
+
+
+def test_a_held_trigger_hides_others(spark):
+    x = bars(spark, {"minute": [600, 601, 602, 603], "close": [10.0, 10.0, 8.0, 9.0], "quality": [False, True, True, True], "stop_level": [9.0, 9.0, 7.0, 7.0]})
+    got = legs(C.one_at_a_time(x, S, F.lit(True), carry=("quality",)), "entry_at", "exit_at", "exit_reason", "quality")
+    assert got == [(600, 602, "stop", False), (602, 603, "moc", True)]
+
+
+def test_extreme_fills_after_trail_or_rise(spark):
+    x = bars(spark, {"minute": [600, 601, 602], "open": [10.0, 9.0, 9.2], "high": [10.1, 9.3, 10.5], "low": [9.5, 8.9, 9.1], "close": [9.6, 9.0, 10.4],
+                     "sess_lo_p": [None, 9.5, 8.9], "sess_hi_p": [None, 10.1, 10.1]})
+    fill = lambda **k: legs(C.extreme_fills(x, S, F.col("minute") == 601, **k), "entry_at", "entry_price", "exit_reason")
+    assert fill(trail=True) == [(602, 10.4, "moc")]
+    assert fill(trail=False, rise=0.1, downside=False) == [(602, 9.9, "moc")]
+    assert fill(trail=False, rise=0.5, downside=False) == []
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_windowed_exit_equals_the_sequential_book(spark, seed):
-    x = X.session_features(sessions(spark, seed))
-    x = x.withColumns({"trigger": F.coalesce(F.col("close") > F.col("ema"), F.lit(False)), "quality": F.lit(True),
-                       "stop_level": F.col("close") * 0.97, "entry_price": F.col("close")})
-    book = B.run_book(x, B.SlotBook(max_open=0, moc=610), ["ticker", "session"])
-    arr = R.first_exit(x, ["ticker", "session"], "minute", F.col("trigger"), ["close"], ["entry_price", "stop_level"],
-                       R.RichExit(moc=610, stop="close").rules())
-    a = sorted((r["ticker"], r["entry_at"], r["exit_at"], r["exit_price"], r["exit_reason"]) for r in book.collect())
-    b = sorted((r["ticker"], r["minute"], r["exit_at"], r["exit_price"], r["exit_reason"]) for r in arr.collect())
-    assert a == b and len(a) > 20
+def test_timed_pullback_is_a_loop_over_bars(spark, seed):
+    r = random.Random(seed)
+    n, drought, length = 120, 4, 6
+    ema = [10 + r.uniform(-1, 1) for _ in range(n)]
+    cols = {"minute": list(range(600, 600 + n)), "new_hi": [r.random() < 0.15 for _ in range(n)], "ema": ema, "ema_hi": [max(ema[:i + 1]) for i in range(n)],
+            "ema_p": [None, *ema[:-1]], "close": [10 + r.uniform(-1, 1) for _ in range(n)], "volume": [r.randrange(1, 9) for _ in range(n)], "atr_log": [r.random() for _ in range(n)]}
+    timer, since, want, got = -1, 0, [], legs(C.timed_pullback(bars(spark, cols), S, drought, length), "minute", "timer", "bars_since_high", "pb_depth", "pb_atr")
+    piece = []
+    for i in range(n):
+        new, fresh = cols["new_hi"][i], False
+        if new and since >= drought:
+            timer = length
+        elif timer > 0:
+            timer -= 1
+            fresh = timer == 0
+        else:
+            fresh = new
+        since = 0 if new else since + 1
+        piece = [i] if fresh else [*piece, i]
+        want.append((600 + i, timer, since, max(0, *(cols["ema_hi"][k] / ema[k] - 1 for k in piece), 0), sum(cols["atr_log"][k] for k in piece) / len(piece)))
+    assert all(a[:3] == b[:3] and a[3:] == pytest.approx(b[3:]) for a, b in zip(got, want)) and len(got) == n
 
 
 def test_entry_bar_is_exempt_and_stop_precedes_close(spark):
@@ -100,7 +126,7 @@ def test_capacity_book_matches_one_ordered_walk(spark, seed):
         rows.append((i, d0 + dt.timedelta(a), d0 + dt.timedelta(a + r.randrange(1, 9)), float(r.choice([1, 2, 5]))))
     df = spark.createDataFrame(rows, "trip_id long, entry_date date, exit_date date, notional double")
     books = {"tiny": 6.0, "mid": 20.0, "big": 1e6}
-    got = {(x["scenario"], x["trip_id"]): x["accepted"] for x in B.capacity_book(df, books).collect()}
+    got = {(x["scenario"], x["trip_id"]): x["accepted"] for x in capacity.capacity_book(df, books).collect()}
     assert len(got) == 360
     for name, cap in books.items():
         used, open_ = 0.0, []
