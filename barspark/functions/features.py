@@ -201,13 +201,9 @@ def candle_shape() -> dict[str, Column]:
     return {"body_frac": F.abs(c - o) / rng, "open_pos": (o - lo) / rng, "close_pos": (c - lo) / rng}
 
 
-def up_streak(s: Series, c: Column, cap: int = 5) -> Column:
-    """Number of consecutive up-closes ending at the bar, at most ``cap``."""
-    out = F.lit(cap)
-    for k in reversed(range(cap)):
-        newer = c if k == 0 else lag(s, c, k)
-        out = F.when(F.coalesce(newer > lag(s, c, k + 1), F.lit(False)), out).otherwise(F.lit(k))
-    return out
+def up_streak(df: DataFrame, s: Series, c: Column, out: str = "up_streak") -> DataFrame:
+    """Number of consecutive up-closes ending at the bar."""
+    return run_length(df, s, c > lag(s, c), out)
 
 
 def depth_references(s: Series, c: Column, windows: tuple[int, ...] = (60, 90, 120)) -> dict[str, Column]:

@@ -123,35 +123,14 @@ def bar_index(s: Series) -> Column:
 
 
 def with_ema(df: DataFrame, s: Series, c: Column, period: int, out: str) -> DataFrame:
-    """Exponential mean, alpha = 2 / (period + 1), seeded with the first value, as one running sum.
+    """Exponential mean, alpha = 2 / (period + 1), seeded with the first value, of a series of any length.
 
-    ema_i = d^i (x_0 + sum_j alpha x_j d^-j), d = 1 - alpha. The powers stay inside the double range while
-    i * ln(1/d) < 600; longer series go through ``with_long_ema``.
-    """
-    d = 1.0 - 2.0 / (period + 1)
-    i = "__ema_i"
-    x = F.when(F.col(i) == 0, c).otherwise(F.lit(1.0 - d) * c * F.pow(F.lit(d), -F.col(i)))
-    return (
-        df.withColumn(i, bar_index(s))
-        .withColumn(out, F.pow(F.lit(d), F.col(i)) * F.sum(x).over(s.sofar()))
-        .drop(i)
-    )
-
-
-def max_ema_bars(period: int) -> int:
-    d = 1.0 - 2.0 / (period + 1)
-    return int(600.0 / math.log(1.0 / d))
-
-
-def with_long_ema(df: DataFrame, s: Series, c: Column, period: int, out: str) -> DataFrame:
-    """Exponential mean of a series of any length.
-
-    Rows are cut into blocks that fit the power range; inside a block the recursion is a running sum, and a block
+    ema_i = d^i (x_0 + sum_j alpha x_j d^-j), d = 1 - alpha, is a running sum while the powers stay in the double range. Rows are cut into blocks that fit the power range; inside a block the recursion is a running sum, and a block
     receives its predecessor's final value, itself completed by the block before that. The weight of anything older
     is below 1e-260, so two blocks back is exact in double precision.
     """
     d = 1.0 - 2.0 / (period + 1)
-    size = max_ema_bars(period) // 2
+    size = max(1, int(300.0 / math.log(1.0 / d)))
     i, b, j, loc, end, prev = "__i", "__b", "__j", "__loc", "__end", "__prev"
     t = df.withColumn(i, bar_index(s)).withColumn(b, F.floor(F.col(i) / size)).withColumn(j, F.col(i) % size)
     blk = s.sub(b)

@@ -67,10 +67,13 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str,
 def forward_fill_on_grid(series: DataFrame, by: list[str], t: str, values: list[str], step: int) -> DataFrame:
     """One row per ``step`` from a key's first to its last time, each carrying the latest known values.
 
-    The grid is as long as the key's time span; times are whole numbers (minutes, hours).
+    Times are whole numbers (minutes, hours). The grid is made in blocks of a bounded number of steps.
     """
+    from barspark.operators.prefix import spread
+
     span = series.groupBy(*by).agg(F.min(t).alias("__a"), F.max(t).alias("__z"))
-    grid = span.select(*by, F.explode(F.sequence("__a", "__z", F.lit(step).cast("long"))).alias(t))
+    steps = F.floor((F.col("__z") - F.col("__a")) / step).cast("long")
+    grid = spread(span, F.lit(0).cast("long"), steps, "__k").select(*by, (F.col("__a") + F.col("__k") * step).alias(t))
     src = series.select(*by, F.col(t).alias("__src_t"), *values)
     return asof_join(grid, src, by, t, "__src_t", values)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barspark.functions.scalars import floor_bucket
-from barspark.operators.prefix import UNB, running
+from barspark.operators.prefix import UNB, running, spread
 from barspark.session import stored
 
 # Trade condition codes of the US consolidated tape.
@@ -49,24 +49,17 @@ def _vwap_std() -> list[Column]:
     return [mean.alias("vwap"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("vwstd")]
 
 
-def tape_order(offset: Column, width: int, seq: Column, packed: bool = True) -> Column:
-    """Order of trades inside a bucket by (time, sequence), as one long where it fits.
+def tape_order(offset: Column, seq: Column) -> Column:
+    """Order of trades inside a bucket by (time, sequence), for any 64-bit sequence.
 
-    ``offset`` is the time inside the bucket, below ``width``. A primitive key keeps min_by/max_by in hash aggregation; a
-    struct forces a sort. The sequence gets the bits the width leaves; a larger one raises, ``packed=False`` lifts the
-    limit.
+    One decimal, the time inside the bucket above the sequence. Aggregates keep decimals in their hash tables, so min_by
+    and max_by combine on the map side; a struct would force a sort of the tape.
     """
-    bits = 63 - max(1, (width - 1).bit_length())
-    if not packed or bits < 20:
-        return F.struct(offset, seq)
-    top = 1 << bits
-    fits = F.when(seq < F.lit(top), seq).otherwise(F.raise_error(F.lit("sequence too large: use packed=False")).cast("long"))
-    return offset * F.lit(top) + fits
+    return offset.cast("decimal(17,0)") * F.lit(str(2**64)).cast("decimal(20,0)") + seq.cast("decimal(19,0)")
 
 
 def time_bars(trades: DataFrame, by: list[str], width: int, t: str = "ts", seq: str = "seq", anchor: Column | None = None,
-              first: int | None = None, last: int | None = None, mode: str = "floor",
-              packed: bool = True) -> DataFrame:
+              first: int | None = None, last: int | None = None, mode: str = "floor") -> DataFrame:
     """OHLC, volume, dollar volume, VWAP, volume-weighted deviation and count per integer time bucket.
 
     ``anchor`` is subtracted from the time first; ``first``/``last`` bound the bucket numbers kept. Open and close
@@ -81,7 +74,7 @@ def time_bars(trades: DataFrame, by: list[str], width: int, t: str = "ts", seq:
         d = d.filter(F.col("bucket") >= first)
     if last is not None:
         d = d.filter(F.col("bucket") <= last)
-    key = tape_order(F.pmod(off, F.lit(width)), width, F.col(seq), packed)
+    key = tape_order(F.pmod(off, F.lit(width)), F.col(seq))
     p, q = F.col("price"), F.col("size")
     g = d.groupBy(*by, "bucket").agg(
         F.min_by(p, key).alias("open"), F.max(p).alias("high"), F.min(p).alias("low"), F.max_by(p, key).alias("close"),
@@ -118,7 +111,7 @@ def cumulative(bars: DataFrame, by: list[str], order: str, cols: list[str]) -> D
 def order_flow_bars(trades: DataFrame, by: list[str], width: int, t: str = "ts", seq: str = "seq") -> DataFrame:
     """Epoch-anchored OHLCV bars with taker buy and sell dollar volume (``sign`` +1 / -1)."""
     d = trades.withColumn("bucket", floor_bucket(F.col(t), width))
-    key = tape_order(F.pmod(F.col(t), F.lit(width)), width, F.col(seq))
+    key = tape_order(F.pmod(F.col(t), F.lit(width)), F.col(seq))
     p, q = F.col("price"), F.col("size")
     flow = lambda cond: F.sum(F.when(cond, p * q).otherwise(0.0))
     g = d.groupBy(*by, "bucket").agg(
@@ -255,26 +248,22 @@ def split_sessions(trades: DataFrame, hours: DataFrame, by: list[str], t: str =
 
 # ----- bars closed by volume, dollars or imbalance -----
 
-
 def quantity_bars(trades: DataFrame, by: list[str], threshold: float, quantity: Column, chunk: Column,
-                  t: str = "ts", seq: str = "seq", keep_partial: bool = True, max_span: int = 100_000) -> DataFrame:
+                  t: str = "ts", seq: str = "seq", keep_partial: bool = True) -> DataFrame:
     """Bars of exactly ``threshold`` units of ``quantity``; a trade that crosses a boundary is split.
 
     The running total places every trade on the number line, so its fragments follow from arithmetic and no loop over
     the tape is needed. ``chunk`` spreads a hot key (see ``prefix.running``). Fragments are summed per bar on the map
-    side; the whole-trade count goes to the bar of the trade's first fragment. A trade so large that it spans more
-    than ``max_span`` bars is a wrong threshold and raises.
+    side; the whole-trade count goes to the bar of the trade's first fragment. A trade may span any number of bars.
     """
     v = F.lit(float(threshold))
     d = trades.withColumn("__q", quantity.cast("double")).filter(F.col("__q") > 0)
     r = running(d, by, [t, seq], chunk, {"__c1": ("sum", F.col("__q"))})
     c0, c1 = F.col("__c1") - F.col("__q"), F.col("__c1")
     k0, k1 = F.floor(c0 / v), F.ceil(c1 / v) - 1
-    span = F.when(k1 - k0 < max_span, F.sequence(k0, F.greatest(k0, k1))).otherwise(
-        F.raise_error(F.lit("threshold too small for this tape"))
-    )
+    r = r.withColumns({"__k0": k0.cast("long"), "__k1": F.greatest(k0, k1).cast("long")})
     frag = (
-        r.withColumn("__k0", k0).withColumn("bar", F.explode(span))
+        spread(r, F.col("__k0"), F.col("__k1"), "bar")
         .withColumn("__f", F.least(c1, (F.col("bar") + 1) * v) - F.greatest(c0, F.col("bar") * v))
         .filter(F.col("__f") > 0)
     )
@@ -333,7 +322,7 @@ def imbalance_bars(trades: DataFrame, by: list[str], threshold: float | Column,
     left = F.when(j == 0, s0).otherwise(level(j))
     right = F.when(j == F.col("__mv"), s1).otherwise(level(j + 1))
     frag = (
-        n.withColumn("__j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__mv"))))
+        spread(n, F.lit(0).cast("long"), F.col("__mv").cast("long"), "__j")
         .withColumn("__f", F.abs(right - left)).filter(F.col("__f") > 0)
         .withColumn("bar", (F.col("__n1") - F.col("__mv") + j).cast("long"))
     )
@@ -357,20 +346,20 @@ def imbalance_bar_count(trades: DataFrame, by: list[str], threshold: Column, qua
 
 
 def imbalance_thresholds(trades: DataFrame, by: list[str], min_bars: int, quantity: Column, sign: Column,
-                         chunk: Column, rounds: int = 20, t: str = "ts", seq: str = "seq") -> DataFrame:
+                         chunk: Column, t: str = "ts", seq: str = "seq") -> DataFrame:
     """Per key the first threshold of the halving ladder (from a power of two near total / min_bars, at least 1) that
-    yields ``min_bars`` bars; where none does, the rung below the last one tried.
+    yields ``min_bars`` bars; where none down to 1 does, the last rung, with the bars it yields.
 
-    A few rungs are tried per pass over the tape, and only keys still without an answer go into the next pass. What
-    passes between rounds is one row per key.
+    The ladder ends at 1, so the passes are bounded by the size of the tape's quantities. A few rungs are tried per pass,
+    and only keys still without an answer go into the next. What passes between rounds is one row per key.
     """
     total = F.sum(F.when(quantity > 0, quantity.cast("double")))
     raw = F.greatest(total / F.lit(float(max(1, min_bars))), F.lit(1.0))
     todo = trades.groupBy(*by).agg(F.pow(F.lit(2.0), F.rint(F.log2(raw))).alias("__th"))
     todo = todo.withColumn("__th", F.greatest("__th", F.lit(1.0)))
     found, per_pass = None, 4
-    for first in range(0, rounds, per_pass):
-        rungs = F.array(*[F.col("__th") / F.lit(float(2**i)) for i in range(min(per_pass, rounds - first))])
+    while True:
+        rungs = F.array(*[F.col("__th") / F.lit(float(2**i)) for i in range(per_pass)])
         cand = todo.select(*by, F.explode(rungs).alias("__c")).filter(F.col("__c") >= 1.0)
         n = imbalance_bar_count(trades.join(cand, by), [*by, "__c"], F.col("__c"), quantity, sign, chunk, t, seq)
         ok = F.col("n_bars") >= min_bars
@@ -380,15 +369,13 @@ def imbalance_thresholds(trades: DataFrame, by: list[str], min_bars: int, quanti
             F.min("__c").alias("__low"), F.min_by("n_bars", "__c").alias("__lown"),
         )
         best = stored(best)
-        final = F.lit(first + per_pass >= rounds) | (F.col("__low") / 2.0 < 1.0)
+        final = F.col("__low") / 2.0 < 1.0
         got = best.filter(F.col("threshold").isNotNull() | final).select(
-            *by, F.coalesce(F.col("threshold"), F.col("__low") / 2.0).alias("threshold"),
-            F.coalesce(F.col("n_bars"), F.col("__lown")).alias("n_bars"))
+            *by, F.coalesce("threshold", "__low").alias("threshold"), F.coalesce("n_bars", "__lown").alias("n_bars"))
         found = got if found is None else found.unionByName(got)
         todo = best.filter(F.col("threshold").isNull() & ~final).select(*by, (F.col("__low") / 2.0).alias("__th"))
-        if first + per_pass >= rounds or todo.isEmpty():
-            break
-    return found
+        if todo.isEmpty():
+            return found
 
 
 def merge_bursts(trades: DataFrame, by: list[str], window: int, chunk: Column, t: str = "ts",

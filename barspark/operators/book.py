@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barspark.operators.asof import asof_join
-from barspark.operators.prefix import exact_quantiles, running
+from barspark.operators.prefix import exact_quantiles, running, spread
 from barspark.session import stored
 
 
@@ -29,77 +29,55 @@ def snapshot_imbalance(book: DataFrame, depth: int, decay: float, out: str = "ob
     return book.withColumn(out, _ratio(side("bid"), side("ask")))
 
 
-def delta_imbalance(deltas: DataFrame, by: list[str], cadence: int, depth: int, decay: float, slice_width: int,
-                    t: str = "ts", seq: str = "seq") -> DataFrame:
-    """Imbalance at the end of every ``cadence`` interval in which the book changed (size 0 removes a level).
-
-    A sample sees the updates strictly before it. Updates are reduced to the last size per (side, price, interval) on
-    the map side. A key's time is cut into slices of ``slice_width`` (a multiple of ``cadence``): each slice starts from
-    the levels still alive then, found with a window over one row per level and slice, and is folded on its own, so
-    neither a hot symbol nor a long day meets one task.
-    """
-    d = deltas.withColumn("sample", ((F.floor(F.col(t) / cadence) + 1) * cadence).cast("long"))
-    lvl = [*by, "side_is_bid", "price"]
-    last = d.groupBy(*lvl, "sample").agg(F.max_by("size", F.struct(F.col(t), F.col(seq))).cast("double").alias("size"))
-    last = last.withColumn("slice", F.floor(F.col("sample") / slice_width))
-    ends = last.groupBy(*lvl, "slice").agg(F.max_by("size", "sample").alias("size"))
-    final = last.groupBy(*by).agg(F.max("slice").alias("__end"))
-    until = F.lead("slice").over(Window.partitionBy(*lvl).orderBy("slice"))
-    held = ends.withColumn("__to", until).join(final, by).withColumn("__to", F.coalesce("__to", "__end"))
-    held = held.filter((F.col("size") > 0) & (F.col("__to") > F.col("slice")))
-    seeds = held.withColumn("slice", F.explode(F.sequence(F.col("slice") + 1, F.col("__to"))))
-    seeds = seeds.select(*lvl, F.lit(-1).cast("long").alias("sample"), "size", "slice")
-    w = _weights(depth, decay)
-    types = {f.name: f.dataType.simpleString() for f in last.schema.fields}
-    schema = ", ".join(f"`{k}` {types[k]}" for k in by) + ", sample bigint, obi double, bid_levels int, ask_levels int"
-
-    def fold(key, table):
-        import pyarrow as pa
-
-        tb = table.sort_by([("sample", "ascending")])
-        cols = [tb[c].to_pylist() for c in ("sample", "side_is_bid", "price", "size")]
-        book: tuple[dict, dict] = ({}, {})
-        out: list[tuple] = []
-
-        def emit(at):
-            bids = sorted(book[0].items(), reverse=True)[:depth]
-            asks = sorted(book[1].items())[:depth]
-            b = sum(w[i] * s for i, (_, s) in enumerate(bids))
-            a = sum(w[i] * s for i, (_, s) in enumerate(asks))
-            out.append((at, (b - a) / (b + a) if b + a > 0 else 0.0, len(book[0]), len(book[1])))
-
-        now = -1
-        for at, bid, price, size in zip(*cols):
-            if now >= 0 and at != now:
-                emit(now)
-            now = at
-            levels = book[0] if bid else book[1]
-            if size == 0:
-                levels.pop(price, None)
-            else:
-                levels[price] = size
-        if now >= 0:
-            emit(now)
-        n = len(out)
-        arrays = [pa.array([k.as_py()] * n, type=table[b].type) for b, k in zip(by, key)]
-        vals = list(zip(*out)) if out else [()] * 4
-        arrays += [pa.array(c, ty) for c, ty in zip(vals, (pa.int64(), pa.float64(), pa.int32(), pa.int32()))]
-        return pa.Table.from_arrays(arrays, names=[*by, "sample", "obi", "bid_levels", "ask_levels"])
-
-    return last.unionByName(seeds).groupBy(*by, "slice").applyInArrow(fold, schema)
+def seed_levels(book: DataFrame, by: list[str], depth: int, t: str = "ts") -> DataFrame:
+    """The levels of snapshot rows as (by, ts, side_is_bid, price, size); empty levels are left out."""
+    level = lambda s, i: F.struct(F.lit(s == "bid").alias("side_is_bid"), F.col(f"{s}_{i}_price").cast("double").alias("price"),
+                                  F.col(f"{s}_{i}_size").cast("double").alias("size"))
+    all_ = F.array(*[level(s, i) for s in ("bid", "ask") for i in range(depth)])
+    out = book.select(*by, F.col(t).alias("ts"), F.explode(all_).alias("l")).select(*by, "ts", "l.*")
+    return out.filter(F.col("price").isNotNull() & (F.col("size") > 0))
 
 
-def order_events_to_deltas(events: DataFrame, by: list[str], chunk: Callable[[Column], Column], t: str = "ts",
-                           seq: str = "seq") -> DataFrame:
-    """Signed level changes of an order-by-order feed: by, ts, seq, side, price, delta.
+def delta_imbalance(deltas: DataFrame, by: list[str], cadence: int, depth: int, decay: float, seeds: DataFrame | None = None,
+                    t: str = "ts", seq: str = "seq") -> DataFrame:
+    """Imbalance of the live book at every ``cadence`` point, quiet ones too (size 0 removes a level).
 
-    Actions: A adds an order, C cancels part or all of it (size 0: all), M replaces it, F fills part or all of it, R clears
-    the book, T is a print without book effect. A side other than B or A rests nothing.
+    ``seeds`` (of ``seed_levels``) are the levels a key starts from; its points count from the seed's time and earlier
+    updates are left out. Without seeds a key starts empty, at the multiple of the cadence before its first update. A
+    point sees the updates strictly before it; the last one follows the last update.
 
-    No replay is needed: every A or M starts a segment of its order, inside which C and F only take away, so what is
-    left follows from the segment's size and a running sum of reductions. ``chunk`` (of time) splits the running sums,
-    so neither a busy venue nor a busy order id meets one task. Clears cut an order's events into epochs.
+    Updates are reduced to the last size per (side, price, interval) on the map side. A size holds until the level's next
+    one, so a level is live on a range of points; the levels of a point and side are ranked by price.
     """
+    lvl = [*by, "side_is_bid", "price"]
+    if seeds is None:
+        start = deltas.groupBy(*by).agg((F.floor(F.min(t) / cadence) * cadence).cast("long").alias("__t0"))
+    else:
+        start = seeds.groupBy(*by).agg(F.min("ts").cast("long").alias("__t0"))
+    d = deltas.join(start, by).filter(F.col(t) >= F.col("__t0"))
+    d = d.withColumn("k", (F.floor((F.col(t) - F.col("__t0")) / cadence) + 1).cast("long"))
+    last = d.groupBy(*lvl, "k").agg(F.max_by("size", F.struct(F.col(t), F.col(seq))).cast("double").alias("size"))
+    ends = d.groupBy(*by).agg(F.max("k").alias("__end"), F.first("__t0").alias("__t0"))
+    if seeds is not None:
+        last = last.unionByName(seeds.select(*lvl, F.lit(0).cast("long").alias("k"), F.col("size").cast("double").alias("size")))
+    until = F.lead("k").over(Window.partitionBy(*lvl).orderBy("k"))
+    held = last.withColumn("__to", until).join(ends, by).filter(F.col("size") > 0)
+    held = held.withColumns({"__lo": F.greatest(F.col("k"), F.lit(1).cast("long")), "__hi": F.coalesce(F.col("__to") - 1, F.col("__end"))})
+    live = spread(held.filter(F.col("__lo") <= F.col("__hi")), F.col("__lo"), F.col("__hi"), "__k")
+    best = Window.partitionBy(*by, "__k", "side_is_bid").orderBy(F.when(F.col("side_is_bid"), -F.col("price")).otherwise(F.col("price")))
+    rank = F.row_number().over(best) - 1
+    live = live.withColumn("__r", rank).withColumn("__w", F.when(F.col("__r") < depth, F.col("size") * F.exp(-decay * F.col("__r"))).otherwise(0.0))
+    side = lambda s: F.coalesce(F.sum(F.when(F.col("side_is_bid") == s, F.col("__w"))), F.lit(0.0))
+    n = lambda s: F.count(F.when(F.col("side_is_bid") == s, 1)).cast("int")
+    per = live.groupBy(*by, "__k").agg(_ratio(side(True), side(False)).alias("obi"), n(True).alias("bid_levels"), n(False).alias("ask_levels"))
+    grid = spread(ends, F.lit(1).cast("long"), F.col("__end"), "__k").select(*by, "__k", (F.col("__t0") + F.col("__k") * cadence).alias("sample"))
+    out = grid.join(per, [*by, "__k"], "left").drop("__k")
+    return out.select(*by, "sample", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("obi", "bid_levels", "ask_levels")))
+
+
+def _segments(events: DataFrame, by: list[str], chunk: Callable[[Column], Column], t: str, seq: str):
+    """The replay that deltas and prints share: order messages with what was taken before them in their segment, one row per
+    segment that rests something, those not used up, the clears, and which messages start a segment or take from one."""
     clears = events.filter(F.col("action") == "R").select(*by, F.col(t).alias("__rt"), F.col(seq).alias("__rs"))
     w = Window.partitionBy(*by).orderBy("__rt", "__rs")
     clears = clears.withColumn("epoch", F.row_number().over(w))  # a handful per venue and day
@@ -126,12 +104,34 @@ def order_events_to_deltas(events: DataFrame, by: list[str], chunk: Callable[[Co
     left = F.col("h.size") - F.col("__all")
     alive = (F.col("__cuts") == 0) | (left > 0)
     rest = segs.filter(alive).select(*own, "seg", "h.side", "h.price", left.alias("left"))
+    return ev, segs, rest, clears, starts, takes
+
+
+def _cuts(ev: DataFrame, segs: DataFrame, own: list[str], takes: Column) -> DataFrame:
+    """Messages that take from a live order, with the order's side and price and what it has left (``has``)."""
+    hold = segs.select(*own, "seg", F.col("h.side").alias("__hs"), F.col("h.price").alias("__hp"), F.col("h.size").alias("__h0"))
+    x = ev.filter(takes).join(hold, [*own, "seg"]).withColumn("has", F.col("__h0") - F.col("__before"))
+    return x.filter((F.col("__n") == 0) | (F.col("has") > 0))
+
+
+def order_events_to_deltas(events: DataFrame, by: list[str], chunk: Callable[[Column], Column], t: str = "ts",
+                           seq: str = "seq") -> DataFrame:
+    """Signed level changes of an order-by-order feed: by, ts, seq, side, price, delta.
+
+    Actions: A adds an order, C cancels part or all of it (size 0: all), M replaces it, F fills part or all of it, R clears
+    the book, T is a print without book effect. A side other than B or A rests nothing.
+
+    No replay is needed: every A or M starts a segment of its order, inside which C and F only take away, so what is
+    left follows from the segment's size and a running sum of reductions. ``chunk`` (of time) splits the running sums,
+    so neither a busy venue nor a busy order id meets one task. Clears cut an order's events into epochs.
+    """
+    own = [*by, "epoch", "order_id"]
+    ev, segs, rest, clears, starts, takes = _segments(events, by, chunk, t, seq)
+    act, size, sided = F.col("action"), F.col("size").cast("double"), F.col("side").isin("B", "A")
     out = [t, seq, "side", "price", "delta"]
     adds = ev.filter(starts & sided).withColumn("delta", size).select(*by, *out)
-    hold = segs.select(*own, "seg", F.col("h.side").alias("__hs"), F.col("h.price").alias("__hp"), F.col("h.size").alias("__h0"))
-    has = F.col("__h0") - F.col("__before")
-    cuts = ev.filter(takes).join(hold, [*own, "seg"]).filter((F.col("__n") == 0) | (has > 0))
-    cuts = cuts.withColumns({"delta": -F.least(has, F.col("__cut")), "side": F.col("__hs"), "price": F.col("__hp")}).select(*by, *out)
+    cuts = _cuts(ev, segs, own, takes)
+    cuts = cuts.withColumns({"delta": -F.least("has", "__cut"), "side": F.col("__hs"), "price": F.col("__hp")}).select(*by, *out)
     swap = ev.filter(act == "M").select(*own, (F.col("seg") - 1).alias("seg"), F.col(t), F.col(seq)).join(rest, [*own, "seg"])
     gone = swap.withColumn("delta", -F.col("left")).select(*by, *out)
     # the last segment of an order alive at the clear that ends its epoch
@@ -142,10 +142,17 @@ def order_events_to_deltas(events: DataFrame, by: list[str], chunk: Callable[[Co
     return all_.withColumn("delta", F.col("delta").cast("long"))
 
 
-def trade_prints(events: DataFrame) -> DataFrame:
-    """Prints with their aggressor side: the opposite of the resting side."""
-    agg = F.when(F.col("side") == "B", "A").when(F.col("side") == "A", "B")
-    return events.filter(F.col("action") == "T").withColumn("aggressor", agg)
+def trade_prints(events: DataFrame, by: list[str], chunk: Callable[[Column], Column], t: str = "ts", seq: str = "seq") -> DataFrame:
+    """Prints with their aggressor side, the opposite of the resting side: by, ts, seq, aggressor, price, size.
+
+    Prints are trades (T) and fills (F). A fill of a live order has that order's side and price, any other its own."""
+    own = [*by, "epoch", "order_id"]
+    ev, segs, _, _, _, takes = _segments(events, by, chunk, t, seq)
+    hits = _cuts(ev, segs, own, takes).filter(F.col("action") == "F").select(*by, t, seq, F.col("__hs").alias("__s"), F.col("__hp").alias("__p"))
+    x = events.filter(F.col("action").isin("T", "F")).join(hits, [*by, t, seq], "left")
+    x = x.withColumns({"price": F.coalesce("__p", "price"), "__s": F.coalesce("__s", "side")})
+    agg = F.when(F.col("__s") == "B", "A").when(F.col("__s") == "A", "B")
+    return x.select(*by, t, seq, agg.alias("aggressor"), "price", "size")
 
 
 def consolidated_levels(deltas: DataFrame, by: list[str], width: int, chunk: Column, t: str = "ts") -> DataFrame:

@@ -84,6 +84,17 @@ def framed(df: DataFrame, by: list[str], order: list[str], chunk: Column, before
     return out.filter(F.col("__blk") == F.col("__home")).drop("__pos", "__home", "__blk", "__one")
 
 
+SPREAD = 4096
+
+
+def spread(df: DataFrame, low: Column, high: Column, name: str) -> DataFrame:
+    """A row for each number from low to high, blocks first and then their members, so that no array is longer than SPREAD."""
+    blocks = F.sequence(F.floor(low / SPREAD).cast("long"), F.floor(high / SPREAD).cast("long"))
+    b = F.col("__block") * SPREAD
+    inside = F.sequence(F.greatest(low, b), F.least(high, b + (SPREAD - 1)))
+    return df.withColumn("__block", F.explode(blocks)).withColumn(name, F.explode(inside)).drop("__block")
+
+
 def value_cuts(df: DataFrame, value: str, buckets: int = 32) -> list[float]:
     """Approximate equal-count cut points of a numeric column: at most ``buckets`` numbers on the driver."""
     qs = [k / buckets for k in range(1, buckets)]

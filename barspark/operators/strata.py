@@ -227,10 +227,20 @@ def excursion(trips_bars: DataFrame, edges: list[float]) -> DataFrame:
     return x.groupBy("mfe_band", "mae_band").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(RET)).alias("mean_ret"))
 
 
-def size_cdf(df: DataFrame, by: list[str], value: str, weight: Column | None, probs: list[float]) -> DataFrame:
-    """Approximate quantile function of a size distribution: a mergeable fixed-size digest per group."""
-    return df.groupBy(*by).agg(F.percentile_approx(value, [float(p) for p in probs], 10_000).alias("q"),
-                               F.count(F.lit(1)).alias("n"))
+def size_cdf(df: DataFrame, by: list[str], value: str, probs: list[float]) -> DataFrame:
+    """Exact quantiles of a size distribution, and the mean sizes under and from the median on.
+
+    Equal sizes combine before the shuffle, so a group costs one row per distinct size; a quantile is the least size up to
+    which at least that share of the rows lies.
+    """
+    hist = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__k"))
+    below = F.sum("__k").over(Window.partitionBy(*by).orderBy(value))
+    x = hist.withColumns({"__c": below, "__n": F.sum("__k").over(Window.partitionBy(*by))})
+    at = lambda p: F.min(F.when(F.col("__c") >= F.ceil(F.col("__n") * float(p)), F.col(value)))
+    x = x.withColumn("__mid", at(0.5).over(Window.partitionBy(*by)))
+    half = lambda c: div(F.sum(F.when(c, F.col(value) * F.col("__k"))), F.sum(F.when(c, F.col("__k"))))
+    under = F.col(value) < F.col("__mid")
+    return x.groupBy(*by).agg(F.sum("__k").alias("n"), F.array(*map(at, probs)).alias("q"), half(under).alias("mean_under"), half(~under).alias("mean_from"))
 
 
 def feature_breakdown(trips: DataFrame, feature: str, tie: str, nb: int = 5, edges: list[float] | None = None,
@@ -266,9 +276,10 @@ def labelled(books: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def yearly_table(trips: DataFrame, label: str, year: Column, years: list[int]) -> DataFrame:
-    g = trips.withColumn("__y", year).groupBy(label).pivot("__y", years)
-    return g.agg(F.count(F.lit(1)).alias("n"), F.sum("net_pnl").alias("pnl"))
+def yearly_table(trips: DataFrame, label: str, year: Column) -> DataFrame:
+    """Per label and year, and per label over all years (year null): count, net, win rate, profit factor raw and clipped."""
+    x = trips.withColumn("yr", F.explode(F.array(year.cast("int"), F.lit(None).cast("int"))))
+    return x.groupBy(label, "yr").agg(*summary(), F.sum("net_pnl").alias("pnl"))
 
 
 def run_summary(trips: DataFrame) -> DataFrame:

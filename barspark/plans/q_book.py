@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barspark.operators import book as K
@@ -43,30 +44,52 @@ def snapshot_imbalance(spark, sf):
     return K.snapshot_imbalance(snapshots(spark, sf), DEPTH, 0.5)
 
 
-CAD, SLICE = DAY // 8, 2 * DAY
+CAD = DAY // 8
 DEL = """SELECT ticker % 5 AS symbol, ts, seq, seq % 2 = 0 AS is_bid, CASE WHEN seq % 2 = 0 THEN floor(price) % 20 ELSE 20 + floor(price) % 20 END AS px,
     CASE WHEN size < 20 THEN 0 ELSE size END AS sz FROM tape"""
 
 
-@query("J2_imbalance_from_deltas", "symbol:i sample:i obi:f bid_levels:i ask_levels:i",
-       f"""WITH d AS ({DEL}), s AS (SELECT DISTINCT symbol, (ts // {CAD} + 1) * {CAD} AS sample FROM d),
-           l AS (SELECT DISTINCT symbol, is_bid, px FROM d),
-           g AS (SELECT s.symbol, s.sample, l.is_bid, l.px FROM s JOIN l USING (symbol)),
-           u AS (SELECT *, epoch_us(make_timestamp(ts)) * 1000000 + seq AS o FROM d),
-           st AS (SELECT g.*, u.sz FROM g ASOF JOIN u ON u.symbol = g.symbol AND u.is_bid = g.is_bid AND u.px = g.px AND u.ts < g.sample),
+def _points_sql(first: str, seeds: str) -> str:
+    """Every point of the cadence: of each level the last size before it, then levels ranked by price."""
+    return f"""WITH d0 AS ({DEL}), z AS ({first}), d AS (SELECT d0.*, t0 FROM d0 JOIN z USING (symbol) WHERE ts >= t0),
+           s AS (SELECT symbol, t0 + unnest(range(1, kmax + 1)) * {CAD} AS sample FROM (SELECT symbol, any_value(t0) AS t0, max((ts - t0) // {CAD} + 1) AS kmax FROM d GROUP BY 1)),
+           u AS (SELECT symbol, is_bid, px, sz, ts, CAST(seq AS BIGINT) AS o FROM d {seeds}),
+           g AS (SELECT s.symbol, s.sample, l.is_bid, l.px FROM s JOIN (SELECT DISTINCT symbol, is_bid, px FROM u) l USING (symbol)),
+           st AS (SELECT g.*, arg_max(u.sz, ROW(u.ts, u.o)) AS sz FROM g JOIN u ON u.symbol = g.symbol AND u.is_bid = g.is_bid AND u.px = g.px AND u.ts < g.sample GROUP BY ALL),
            r AS (SELECT *, row_number() OVER (PARTITION BY symbol, sample, is_bid ORDER BY CASE WHEN is_bid THEN -px ELSE px END) - 1 AS k FROM st WHERE sz > 0),
            w AS (SELECT symbol, sample, coalesce(sum(sz * exp(-0.3 * k)) FILTER (is_bid AND k < 4), 0) AS b, coalesce(sum(sz * exp(-0.3 * k)) FILTER (NOT is_bid AND k < 4), 0) AS a,
              count(*) FILTER (is_bid) AS bid_levels, count(*) FILTER (NOT is_bid) AS ask_levels FROM r GROUP BY 1, 2)
            SELECT s.symbol, s.sample, CASE WHEN b + a > 0 THEN (b - a) / (b + a) ELSE 0 END AS obi, coalesce(bid_levels, 0) AS bid_levels,
-             coalesce(ask_levels, 0) AS ask_levels FROM s LEFT JOIN w USING (symbol, sample)""")
-def delta_imbalance(spark, sf):
-    t = M.tape(spark, sf)
+             coalesce(ask_levels, 0) AS ask_levels FROM s LEFT JOIN w USING (symbol, sample)"""
+
+
+def book_deltas(spark, sf):
     bid = F.col("seq") % 2 == 0
     p = F.floor("price") % 20
-    d = t.select((F.col("ticker") % 5).alias("symbol"), "ts", "seq", bid.alias("side_is_bid"),
-                 F.when(bid, p).otherwise(p + 20).cast("double").alias("price"),
-                 F.when(F.col("size") < 20, 0).otherwise(F.col("size")).alias("size"))
-    return K.delta_imbalance(d, ["symbol"], CAD, 4, 0.3, SLICE)
+    return M.tape(spark, sf).select(
+        (F.col("ticker") % 5).alias("symbol"), "ts", "seq", bid.alias("side_is_bid"), F.when(bid, p).otherwise(p + 20).cast("double").alias("price"),
+        F.when(F.col("size") < 20, 0).otherwise(F.col("size")).alias("size"))
+
+
+J2 = "symbol:i sample:i obi:f bid_levels:i ask_levels:i"
+
+
+@query("J2_imbalance_from_deltas", J2, _points_sql(f"SELECT symbol, min(ts) // {CAD} * {CAD} AS t0 FROM d0 GROUP BY 1", ""))
+def delta_imbalance(spark, sf):
+    return K.delta_imbalance(book_deltas(spark, sf), ["symbol"], CAD, 4, 0.3)
+
+
+@query("J2_imbalance_from_a_seed_snapshot", J2, _points_sql(
+    "SELECT ticker AS symbol, ts AS t0 FROM tape WHERE ticker < 5 QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY ts, seq) = 2",
+    f"""UNION ALL SELECT q.ticker, b.is_bid, CASE WHEN b.is_bid THEN q.price - 0.01 * (b.i + 1) ELSE q.price + 0.01 * (b.i + 1) + CASE WHEN seq % 97 = 0 THEN -0.05 ELSE 0 END END,
+        CASE WHEN (q.seq + b.i + CASE WHEN b.is_bid THEN 0 ELSE 5 END) % 10 <> 0 THEN (q.seq * 7 + (b.i + CASE WHEN b.is_bid THEN 0 ELSE 5 END) * 13) % 97 ELSE 0 END, q.ts, CAST(-1 AS BIGINT)
+        FROM (SELECT * FROM tape WHERE ticker < 5 QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY ts, seq) = 2) q, (SELECT unnest(range({DEPTH})) AS i, unnest([true, true, true, true, true]) AS is_bid
+        UNION ALL SELECT unnest(range({DEPTH})), false) b"""))
+def seeded_imbalance(spark, sf):
+    """A symbol's book starts from the snapshot at the second trade of the ticker of the same number."""
+    w = Window.partitionBy("ticker").orderBy("ts", "seq")
+    first = snapshots(spark, sf).filter("ticker < 5").withColumn("k", F.row_number().over(w)).filter("k = 2").withColumnRenamed("ticker", "symbol")
+    return K.delta_imbalance(book_deltas(spark, sf), ["symbol"], CAD, 4, 0.3, K.seed_levels(first, ["symbol"], DEPTH))
 
 
 ACT = """CASE WHEN event_id % 11 < 4 THEN 'A' WHEN event_id % 11 < 6 THEN 'C' WHEN event_id % 11 < 8 THEN 'M' WHEN event_id % 11 = 8 THEN 'F'
@@ -117,9 +140,10 @@ def level_deltas(spark, sf):
 
 
 @query("J3_trade_prints_with_aggressor", "seq:i aggressor price:i size:i",
-       f"SELECT seq, CASE side WHEN 'B' THEN 'A' WHEN 'A' THEN 'B' END AS aggressor, price, size FROM ({MBO}) WHERE action = 'T'")
+       f"""SELECT * FROM (WITH {REPLAY} SELECT m.seq, CASE coalesce(s1, m.side) WHEN 'B' THEN 'A' WHEN 'A' THEN 'B' END AS aggressor, coalesce(p1, m.price) AS price, m.size
+           FROM m LEFT JOIN st ON m.action = 'F' AND st.venue = m.venue AND st.order_id = m.order_id AND st.ts = m.ts AND st.seq = m.seq WHERE m.action IN ('T', 'F'))""")
 def prints(spark, sf):
-    return K.trade_prints(order_events(spark, sf))
+    return K.trade_prints(order_events(spark, sf), ["venue"], chunk)
 
 
 @query("J4_consolidated_levels", "bucket:i side price:i size:i",

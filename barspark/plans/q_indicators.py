@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from barspark.functions import features as X, indicators as I
 from barspark.functions.indicators import Series
+from barspark.operators import asof as A
 from barspark.operators.prefix import framed, time_chunk
 from barspark.plans import market as M
 from barspark.plans.ctes import SE
@@ -78,8 +79,8 @@ def ema(spark, sf):
            FROM daily WINDOW w AS ({DW})""")
 def ema_long(spark, sf):
     """Whole histories: the 3-bar mean leaves the range of one running sum and runs in blocks."""
-    d = I.with_long_ema(M.daily(spark, sf), D, F.col("close"), 3, "ema3")
-    return I.with_long_ema(d, D, F.col("close"), 20, "ema20")
+    d = I.with_ema(M.daily(spark, sf), D, F.col("close"), 3, "ema3")
+    return I.with_ema(d, D, F.col("close"), 20, "ema20")
 
 
 @query("F8_calendar_mean", "ticker:i date m28:f",
@@ -213,8 +214,14 @@ def pace(spark, sf):
        f"""SELECT seq, (sum(CASE WHEN sign > 0 THEN size ELSE 0 END) OVER w - sum(CASE WHEN sign < 0 THEN size ELSE 0 END) OVER w)
            / nullif(sum(size) OVER w, 0) AS imb FROM tape WINDOW w AS (PARTITION BY ticker ORDER BY ts RANGE BETWEEN {M.DAY_US * 3 - 1} PRECEDING AND CURRENT ROW)""")
 def imbalance(spark, sf):
-    b, s = (F.when(F.col("sign") == k, F.col("size")).otherwise(0) for k in (1, -1))
-    return M.tape(spark, sf).withColumn("imb", I.trailing_imbalance(("ticker",), "ts", b, s, 3 * M.DAY_US))
+    """The difference of two running sums: one up to the trade's time, one before the window. No frame slides over trades."""
+    t, w = M.tape(spark, sf), 3 * M.DAY_US
+    flow = lambda k: F.sum(F.when(F.col("sign") == k, F.col("size")).otherwise(0)).cast("double")
+    at = t.groupBy("ticker", "ts").agg(flow(1).alias("b"), flow(-1).alias("s"))
+    sums = {"b": F.col("b"), "s": F.col("s")}
+    x = A.windowed_sums_at(at, t.select("seq", "ticker", "ts"), ["ticker"], "ts", sums, "ts", {"now": -1, "lb": w - 1}, lambda c: time_chunk(c, 10 * M.DAY_US))
+    b, s = F.col("b_now") - F.col("b_lb"), F.col("s_now") - F.col("s_lb")
+    return x.withColumn("imb", F.when(b + s > 0, (b - s) / (b + s)))
 
 
 @query("F26_past_runner", "ticker:i date max_adr14:f max_atr14:f max_ret14:f",
@@ -234,7 +241,8 @@ def past_runner(spark, sf):
 def streaks(spark, sf):
     c = F.col("close")
     n1, n2 = I.lead(D, c), I.lead(D, c, 2)
-    return M.daily(spark, sf).withColumns({"up_streak": X.up_streak(D, c), "d1_up": (n1 > c).cast("int"), "d2_up": (n2 > n1).cast("int")})
+    x = X.up_streak(M.daily(spark, sf), D, c).withColumn("up_streak", F.least("up_streak", F.lit(5)))  # 5 stands for 5 and more
+    return x.withColumns({"d1_up": (n1 > c).cast("int"), "d2_up": (n2 > n1).cast("int")})
 
 
 @query("F28_candle_shape", "ticker:i date body_frac:f open_pos:f close_pos:f",

@@ -108,7 +108,7 @@ def _prefix(sql_cols: str) -> str:
         sum(price * price * size) AS ppv FROM tape GROUP BY 1, 2),
       pre AS (SELECT ticker, start_us, sum(v) OVER w AS cv, sum(pv) OVER w AS cpv, sum(b) OVER w AS cb, sum(s) OVER w AS cs,
         sum(ppv) OVER w AS cppv FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY start_us)),
-      t AS (SELECT seq, ticker, ts FROM tape WHERE sign = 1),
+      t AS (SELECT seq, ticker, ts FROM tape),
       n AS (SELECT t.*, cv, cpv, cb, cs, cppv FROM t ASOF LEFT JOIN pre p ON t.ticker = p.ticker AND t.ts > p.start_us),
       l AS (SELECT n.*, coalesce(p.cv, 0) AS lv, coalesce(p.cpv, 0) AS lpv, coalesce(p.cb, 0) AS lb, coalesce(p.cs, 0) AS ls,
         coalesce(p.cppv, 0) AS lppv FROM n ASOF LEFT JOIN pre p ON n.ticker = p.ticker AND n.ts - {LOOK} > p.start_us)
@@ -125,9 +125,9 @@ def day_bars(spark, sf):
 
 
 def prefix_at(spark, sf, cols):
-    t = M.tape(spark, sf).filter("sign = 1").select("seq", "ticker", "ts")
+    t = M.tape(spark, sf).select("seq", "ticker", "ts")
     return A.windowed_sums_at(day_bars(spark, sf), t, ["ticker"], "start_us", {c: F.col(c) for c in cols}, "ts",
-                              {"now": 0, "lb": LOOK})
+                              {"now": 0, "lb": LOOK}, lambda c: time_chunk(c, 10 * DAY))
 
 
 @query("D9_windowed_sums_from_prefix", "seq:i volume:f imbalance:f",
@@ -150,7 +150,7 @@ def vwma_reference(spark, sf):
 
 
 @query("D10_index_context_dense_grid", "seq:i hour:i idx_price:f",
-       """WITH ix AS (SELECT ts // 3600000000 AS hour, arg_max(price, ROW(ts, seq)) AS price FROM tape WHERE ticker < 5 GROUP BY 1),
+       """WITH ix AS (SELECT ts // 3600000000 AS hour, arg_max(price, ROW(ts, seq)) AS price FROM tape GROUP BY 1),
           g AS (SELECT unnest(range((SELECT min(hour) FROM ix), (SELECT max(hour) + 1 FROM ix))) AS hour),
           ff AS (SELECT g.hour, last_value(price IGNORE NULLS) OVER (ORDER BY g.hour) AS price FROM g LEFT JOIN ix ON ix.hour = g.hour)
           SELECT seq, t.ts // 3600000000 AS hour, ff.price AS idx_price FROM tape t LEFT JOIN ff ON ff.hour = t.ts // 3600000000""")
@@ -158,19 +158,18 @@ def index_context(spark, sf):
     """An index proxy on an hourly grid, forward-filled, joined to every trade by hour. The grid is one row per hour of
     the calendar, so it is joined as it is and the join strategy is left to the planner."""
     t = M.tape(spark, sf).withColumn("hour", F.floor(F.col("ts") / 3_600_000_000))
-    ix = t.filter("ticker < 5").groupBy("hour").agg(F.max_by("price", F.struct("ts", "seq")).alias("idx_price"))
+    ix = t.groupBy("hour").agg(F.max_by("price", F.struct("ts", "seq")).alias("idx_price"))
     g = A.forward_fill_on_grid(ix.withColumn("k", F.lit(1)), ["k"], "hour", ["idx_price"], 1)
     return t.join(g.select("hour", "idx_price"), "hour", "left")
 
 
 @query("D11_funding_forward_fill", "ticker:i hour:i rate:f",
-       """WITH f AS (SELECT ticker, ts // 3600000000 AS hour, arg_max(price, ROW(ts, seq)) / 1e4 AS rate FROM tape
-            WHERE ticker % 10 = 0 GROUP BY 1, 2),
+       """WITH f AS (SELECT ticker, ts // 3600000000 AS hour, arg_max(price, ROW(ts, seq)) / 1e4 AS rate FROM tape GROUP BY 1, 2),
           b AS (SELECT ticker, min(hour) AS a, max(hour) AS z FROM f GROUP BY 1),
           g AS (SELECT ticker, unnest(range(a, z + 1)) AS hour FROM b)
           SELECT g.ticker, g.hour, f.rate FROM g ASOF LEFT JOIN f ON f.ticker = g.ticker AND g.hour >= f.hour""")
 def funding(spark, sf):
-    t = M.tape(spark, sf).filter("ticker % 10 = 0").withColumn("hour", F.floor(F.col("ts") / 3_600_000_000))
+    t = M.tape(spark, sf).withColumn("hour", F.floor(F.col("ts") / 3_600_000_000))
     f = t.groupBy("ticker", "hour").agg((F.max_by("price", F.struct("ts", "seq")) / 1e4).alias("rate"))
     return A.forward_fill_on_grid(f, ["ticker"], "hour", ["rate"], 1)
 

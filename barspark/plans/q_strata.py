@@ -301,11 +301,12 @@ def quarterly(spark, sf):
     return per.groupBy("q").agg(F.sum("k").alias("n"), F.sum("p").alias("pnl"), F.sum(F.when(F.col("k") == 1, 1).otherwise(0)).alias("single"))
 
 
-@query("I24_size_distribution_cdf", "sign:i n:i p10:f p50:f p99:f",
-       """SELECT sign, count(*) AS n, quantile_disc(size, 0.1) AS p10, quantile_disc(size, 0.5) AS p50, quantile_disc(size, 0.99) AS p99
-          FROM tape GROUP BY 1""")
+@query("I24_size_distribution_cdf", "sign:i n:i p10:f p50:f p99:f mean_under:f mean_from:f",
+       """SELECT sign, count(*) AS n, quantile_disc(size, 0.1) AS p10, any_value(mid) AS p50, quantile_disc(size, 0.99) AS p99,
+            avg(size) FILTER (size < mid) AS mean_under, avg(size) FILTER (size >= mid) AS mean_from
+          FROM tape JOIN (SELECT sign, quantile_disc(size, 0.5) AS mid FROM tape GROUP BY 1) USING (sign) GROUP BY 1""")
 def size_cdf(spark, sf):
-    x = S.size_cdf(M.tape(spark, sf), ["sign"], "size", None, [0.1, 0.5, 0.99])
+    x = S.size_cdf(M.tape(spark, sf), ["sign"], "size", [0.1, 0.5, 0.99])
     return x.withColumns({"p10": F.get("q", F.lit(0)), "p50": F.get("q", F.lit(1)), "p99": F.get("q", F.lit(2))})
 
 
@@ -342,14 +343,13 @@ def feature_edges(spark, sf):
     return S.feature_breakdown(M.trips(spark, sf).withColumn("yr", F.year("entry_date")), "rvol", "trip_id", edges=[1.2, 2.0], by=["yr"])
 
 
-@query("I27_per_year_table_of_books", "label 1996_n:i 1996_pnl:f2 1999_n:i 1999_pnl:f2",
-       " UNION ALL ".join(f"""SELECT '{n}' AS label, count(*) FILTER (year(entry_date) = 1996) AS "1996_n", sum(net_pnl) FILTER (year(entry_date) = 1996) AS "1996_pnl",
-           count(*) FILTER (year(entry_date) = 1999) AS "1999_n", sum(net_pnl) FILTER (year(entry_date) = 1999) AS "1999_pnl" FROM trips WHERE {w}""" for n, w in (
-           ("base", "true"), ("rvol2", "rvol >= 2"), ("calm", "pct_up < 0.2"))))
+@query("I27_per_year_table_of_books", f"label yr:i {SUMS} pnl:f2",
+       " UNION ALL ".join(f"SELECT '{n}' AS label, {y} AS yr, {SUM}, sum(net_pnl) AS pnl FROM trips WHERE {w} GROUP BY ALL"
+                          for n, w in (("base", "true"), ("rvol2", "rvol >= 2"), ("calm", "pct_up < 0.2")) for y in ("CAST(year(entry_date) AS INT)", "CAST(NULL AS INT)")))
 def books_by_year(spark, sf):
     t = M.trips(spark, sf)
     b = S.labelled({"base": t, "rvol2": t.filter("rvol >= 2"), "calm": t.filter("pct_up < 0.2")})
-    return S.yearly_table(b, "label", F.year("entry_date"), [1996, 1999])
+    return S.yearly_table(b, "label", F.year("entry_date"))
 
 
 @query("I28_split_by_state_at_entry", f"live:i yr:i {SUMS}",

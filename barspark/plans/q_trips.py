@@ -352,11 +352,11 @@ def trip_pnl(spark, sf):
        f"""WITH x AS (SELECT *, max(high) OVER ({SE} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS mx,
             last_value(close) OVER ({SE} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lc FROM sess)
           SELECT ticker, session, minute, 1 - lc / close AS ret, CASE WHEN mx >= close * (1 + 0.05) THEN -0.05 ELSE 1 - lc / close END AS ret_stop_5,
-            CASE WHEN mx >= close * (1 + 0.2) THEN -0.2 ELSE 1 - lc / close END AS ret_stop_20 FROM x WHERE minute BETWEEN 600 AND 610""")
+            CASE WHEN mx >= close * (1 + 0.2) THEN -0.2 ELSE 1 - lc / close END AS ret_stop_20 FROM x""")
 def pierce(spark, sf):
     s = M.sessions(spark, sf)
     last = F.last("close").over(X.SESSION.spec().rowsBetween(0, FOL))
-    t = s.withColumn("lc", last).filter("minute BETWEEN 600 AND 610")
+    t = s.withColumn("lc", last)
     t = t.select("ticker", "session", "minute", F.col("close").alias("entry_price"), (1 - F.col("lc") / F.col("close")).alias("ret"))
     return R.pierce_stop(t, s, ["ticker", "session"], "minute", [0.05, 0.2])
 

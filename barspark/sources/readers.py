@@ -94,17 +94,18 @@ def day_files(spark: SparkSession, path: str, schema: str | None = None) -> Data
     return d.withColumn("date", F.to_date(F.regexp_extract(F.col("_metadata.file_name"), DAY_IN_NAME, 1)))
 
 
-def quotes_json(spark: SparkSession, path: str) -> DataFrame:
-    return flatten_quotes(spark.read.schema(schemas.QUOTES_JSON).option("multiLine", "true").json(path))
+def quotes_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """``lines``: a document a line, which splits; else a document a file."""
+    return flatten_quotes(spark.read.schema(schemas.QUOTES_JSON).option("multiLine", str(not lines).lower()).json(path))
 
 
 def flatten_quotes(d: DataFrame) -> DataFrame:
     return d.select("ticker", F.explode("results").alias("q")).select("ticker", "q.*")
 
 
-def news_json(spark: SparkSession, path: str, per_ticker: bool = False) -> DataFrame:
+def news_json(spark: SparkSession, path: str, per_ticker: bool = False, lines: bool = False) -> DataFrame:
     """Articles with nested publisher and insights; ``per_ticker`` gives one row per mentioned ticker."""
-    return flatten_news(spark.read.schema(schemas.NEWS_JSON).option("multiLine", "true").json(path), per_ticker)
+    return flatten_news(spark.read.schema(schemas.NEWS_JSON).option("multiLine", str(not lines).lower()).json(path), per_ticker)
 
 
 def flatten_news(d: DataFrame, per_ticker: bool = False) -> DataFrame:

@@ -21,9 +21,11 @@ def upsert(current: DataFrame | None, incoming: DataFrame, key: list[str], load_
     return g.select(*[F.col(c) if c in key else F.col(f"r.{c}") for c in incoming.columns])
 
 
-def replace_keys(current: DataFrame, stage: DataFrame, key: list[str]) -> DataFrame:
-    """Delete every row whose key is staged, then append the stage."""
-    return current.join(stage.select(*key).distinct(), key, "left_anti").unionByName(stage)
+def replace_keys(current: DataFrame, stage: DataFrame, key: list[str], keys: DataFrame | None = None) -> DataFrame:
+    """Delete every row whose key is staged, then append the stage. ``keys`` names the staged keys where some of them
+    have no row in the stage, so that they lose their rows too."""
+    gone = (stage if keys is None else keys).select(*key).distinct()
+    return current.join(gone, key, "left_anti").unionByName(stage)
 
 
 def reload_table(df: DataFrame, path: str) -> None:
@@ -32,25 +34,71 @@ def reload_table(df: DataFrame, path: str) -> None:
 
 def write_partitions(df: DataFrame, path: str, by: list[str], sort: list[str] | None = None, files_per_key: int = 1) -> None:
     """Overwrite only the partitions present in ``df``. Rows of one partition value are spread over ``files_per_key``
-    tasks, so a hot day or ticker is not written by one."""
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if dict(df.dtypes)[c] != "map"]), F.lit(files_per_key))
+    tasks by a hash of the sort columns (else of the plain columns), so a hot day or ticker is not written by one."""
+    plain = [c for c, t in df.dtypes if c not in by and not t.startswith(("map", "array", "struct", "variant"))]
+    spread = sort or plain
+    salt = F.pmod(F.xxhash64(*spread), F.lit(files_per_key)) if files_per_key > 1 and spread else F.lit(0)
     x = df.withColumn("__salt", salt).repartition(*by, "__salt").drop("__salt")
     if sort:
         x = x.sortWithinPartitions(*by, *sort)
     x.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*by).parquet(path)
 
 
+def write_day_files(df: DataFrame, path: str, day: str = "date") -> None:
+    """A parquet file per day, named by the day and without the day column (``2024-05-01.parquet``). A day is written by
+    one task; the renames are one per day."""
+    parts = f"{path}/_parts"
+    write_partitions(df, parts, [day])
+    spark = df.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(parts)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for d in files.listStatus(folder):
+        name = d.getPath().getName()
+        if name.startswith(f"{day}="):
+            (part,) = [f.getPath() for f in files.listStatus(d.getPath()) if f.getPath().getName().startswith("part-")]
+            files.rename(part, hadoop.Path(f"{path}/{name.removeprefix(f'{day}=')}.parquet"))
+    files.delete(folder, True)
+
+
+def write_json_texts(texts: DataFrame, path: str) -> None:
+    """A file ``<stem>.json`` for each row of (stem, body), written by the tasks and put in place by a rename."""
+
+    def write(batches):
+        import uuid
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        where, base = fs.FileSystem.from_uri(path)
+        where.create_dir(base, recursive=True)
+        n = 0
+        for batch in batches:
+            for stem, body in zip(batch["stem"].to_pylist(), batch["body"].to_pylist()):
+                part = f"{base}/.{uuid.uuid4().hex}"
+                with where.open_output_stream(part, compression=None) as out:
+                    out.write(body.encode())
+                where.move(part, f"{base}/{stem}.json")
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
+
+    texts.select("stem", "body").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
 def missing_days(spark: SparkSession, source: DataFrame, path: str, day: str = "date", force: bool = False) -> DataFrame:
-    """Source rows whose day has no output partition yet."""
-    if force:
-        return source
-    try:
-        done = spark.read.parquet(path).select(day).distinct()
-    except Exception as e:  # no output yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
+    """Source rows whose day has no output partition yet. Partitions are listed, not read; there is one a day.
+
+    A day counts as done once it has any output: what arrives later for it takes ``force``, or the streaming day build.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if force or not files.exists(folder):
         return source
-    return source.join(done, day, "left_anti")
+    names = [f.getPath().getName() for f in files.listStatus(folder)]
+    days = [(n.removeprefix(f"{day}="),) for n in names if n.startswith(f"{day}=")]
+    done = spark.createDataFrame(days, f"{day} string").select(F.col(day).cast(dict(source.dtypes)[day]))
+    return source.join(F.broadcast(done), day, "left_anti")  # as many rows as days
 
 
 def build_days(spark: SparkSession, source: DataFrame, path: str, build, day: str = "date", force: bool = False) -> None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barspark.operators.bars import lit_trades
@@ -117,10 +117,17 @@ def run_available(df: DataFrame, path: str, checkpoint: str, by: list[str] | Non
 
 
 def run_available_days(df: DataFrame, path: str, checkpoint: str, build, day: str = "date") -> None:
-    """Incremental day builds: each micro-batch rebuilds the output partitions of the days it brought."""
+    """Incremental day builds. ``build`` reduces a micro-batch to mergeable partial rows (counts, sums, extremes) with a
+    ``day`` column; they become the partition (day, batch). A day that arrives in parts has a partial row set for each,
+    and a replayed batch overwrites its own partition only. ``merged_days`` puts the parts together."""
     from barspark.sources.sinks import write_partitions
 
-    def write(batch: DataFrame, _: int) -> None:
-        write_partitions(build(batch), path, [day])
+    def write(batch: DataFrame, number: int) -> None:
+        write_partitions(build(batch).withColumn("batch", F.lit(number)), path, [day, "batch"])
 
     df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def merged_days(spark: SparkSession, path: str, by: list[str], merge: list[Column]) -> DataFrame:
+    """What ``run_available_days`` has written so far, the partial rows of a key merged."""
+    return spark.read.parquet(path).groupBy(*by).agg(*merge)

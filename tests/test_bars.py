@@ -123,19 +123,36 @@ def test_condition_codes(spark):
 def test_time_bars_ties_rounding_and_zero_deviation(spark):
     rows = [("a", 40, 2, 5.0, 10, 1), ("a", 40, 1, 4.0, 10, 1), ("b", 10, 1, 3.3, 7, 1), ("b", 11, 2, 3.3, 9, 1)]
     df = spark.createDataFrame(rows, TAPE)
-    for packed in (True, False):
-        a, b = B.time_bars(df, ["ticker"], 60, packed=packed).orderBy("ticker").collect()
-        assert (a["bucket"], a["open"], a["close"]) == (0, 4.0, 5.0)
-        assert b["vwstd"] == pytest.approx(0.0, abs=1e-6) and b["vwap"] == pytest.approx(3.3)
+    a, b = B.time_bars(df, ["ticker"], 60).orderBy("ticker").collect()
+    assert (a["bucket"], a["open"], a["close"]) == (0, 4.0, 5.0)
+    assert b["vwstd"] == pytest.approx(0.0, abs=1e-6) and b["vwap"] == pytest.approx(3.3)
     r = {x["ticker"]: x["bucket"] for x in B.time_bars(df, ["ticker"], 60, mode="round").collect()}
     assert r == {"a": 1, "b": 0}
 
 
-def test_sequence_overflow_is_reported(spark):
-    df = spark.createDataFrame([("a", 1, 1 << 60, 5.0, 1, 1)], TAPE)
-    with pytest.raises(Exception, match="packed=False"):
-        B.time_bars(df, ["ticker"], 60).collect()
-    assert B.time_bars(df, ["ticker"], 60, packed=False).count() == 1
+def test_any_sequence_orders_a_bucket(spark):
+    day = 86_400 * 10**9
+    rows = [("a", day - 1, 2**62, 5.0, 1, 1), ("a", day - 1, 2**62 + 1, 6.0, 1, 1), ("a", day - 1, 2**40, 4.0, 1, 1), ("a", 7, 2**63 - 1, 3.0, 1, 1)]
+    g = B.time_bars(spark.createDataFrame(rows, TAPE), ["ticker"], day).first()
+    assert (g["open"], g["close"], g["trade_count"]) == (3.0, 6.0, 4)
+
+
+def test_a_trade_spans_any_number_of_bars(spark):
+    rows = [("a", 0, 1, 2.0, 150_000, 1), ("a", 1, 2, 3.0, 1, 1)]
+    g = B.quantity_bars(spark.createDataFrame(rows, TAPE), ["ticker"], 1.0, F.col("size"), time_chunk(F.col("ts"), 10))
+    x = g.agg(F.count("*"), F.sum("volume"), F.max("bar"), F.sum("trade_count")).first()
+    assert tuple(x) == (150_001, 150_001.0, 150_000, 2)
+
+
+def test_a_ladder_of_thirty_halvings(spark):
+    # one huge trade sets the first rung near 2^30; the others alternate, so that only small thresholds close bars
+    rows = [("a", 0, 0, 1.0, 2**34, 1)] + [("a", k, k, 1.0, 1, 1 - 2 * (k % 2)) for k in range(1, 9)]
+    df = spark.createDataFrame(rows, TAPE)
+    got = B.imbalance_thresholds(df, ["ticker"], 2**34, F.col("size"), F.col("sign"), time_chunk(F.col("ts"), 100)).first()
+    assert got["threshold"] == 1.0 and got["n_bars"] >= 2**34
+    deep = B.imbalance_thresholds(df.filter("ts > 0").unionAll(df.filter("ts = 0").withColumn("size", F.lit(2**31))), ["ticker"], 2**31 - 5,
+                                  F.col("size"), F.col("sign"), time_chunk(F.col("ts"), 100)).first()
+    assert deep["threshold"] == 1.0 and deep["n_bars"] >= 2**31 - 5
 
 
 def test_daylight_saving_anchor(spark):

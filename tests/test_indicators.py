@@ -18,13 +18,12 @@ def frame(spark, vals, name="v"):
     return spark.createDataFrame([("a", i, v) for i, v in enumerate(vals)], f"k string, t long, {name} double")
 
 
-@pytest.mark.parametrize("period,n", [(9, 300), (3, 1500), (2, 1500)])
+@pytest.mark.parametrize("period,n", [(9, 300), (3, 1500), (2, 1500), (3, 5000)])
 def test_ema_any_length(spark, period, n):
     r = random.Random(1)
     vals = [r.uniform(1, 50) for _ in range(n)]
     df = frame(spark, vals)
-    fn = I.with_ema if n < I.max_ema_bars(period) else I.with_long_ema
-    got = [x["e"] for x in fn(df, S, F.col("v"), period, "e").orderBy("t").collect()]
+    got = [x["e"] for x in I.with_ema(df, S, F.col("v"), period, "e").orderBy("t").collect()]
     a, e = 2 / (period + 1), vals[0]
     for i, v in enumerate(vals):
         e = v if i == 0 else e + a * (v - e)
@@ -63,9 +62,9 @@ def test_since_latch_and_runs(spark):
 
 
 def test_up_streak_and_candle(spark):
-    df = frame(spark, [5.0, 6.0, 7.0, 6.5, 7.0])
-    got = [x["u"] for x in df.withColumn("u", X.up_streak(S, F.col("v"))).orderBy("t").collect()]
-    assert got == [0, 1, 2, 0, 1]
+    df = frame(spark, [5.0, 6.0, 7.0, 6.5, *(7.0 + k for k in range(9))])
+    got = [x["u"] for x in X.up_streak(df, S, F.col("v"), "u").orderBy("t").collect()]
+    assert got == [0, 1, 2, 0, *range(1, 10)]
     flat = spark.createDataFrame([(5.0, 5.0, 5.0, 5.0)], "open double, high double, low double, close double")
     assert flat.withColumns(X.candle_shape()).first()["body_frac"] is None
 
