@@ -94,6 +94,8 @@ class RichExit:
 
     moc: int = 960
     stop: str | None = None  # close | low | ema | trail_ema
+    ema_pct_stop: float = 0.0  # the average against its value at entry
+    max_close_stop: float | None = None  # a short's close over its ``max_close`` at entry, by this buffer
     pct_stop: float = 0.0
     vol_stop: float = 0.0  # trailing volume below this fraction of its value at entry
     vol_slope_stop: float | None = None
@@ -115,6 +117,12 @@ class RichExit:
             out.append(("stop", lambda e, b: b["ema"] < e["stop_level"], close))
         elif self.stop == "trail_ema":
             out.append(("stop", lambda e, b: b["ema"] < b["ema_low20_p"], close))
+        if self.ema_pct_stop:
+            k = self.ema_pct_stop
+            out.append(("ema_pct_stop", (lambda e, b: b["ema"] > e["ema"] * (1 + k)) if self.short else (lambda e, b: b["ema"] < e["ema"] * (1 - k)), close))
+        if self.max_close_stop is not None:
+            top = 1 + self.max_close_stop
+            out.append(("max_close_stop", lambda e, b: b["close"] > e["max_close"] * top, close))
         if self.pct_stop:
             p = self.pct_stop
             if self.short:

@@ -36,15 +36,19 @@ def streaming_bars(spark, sf):
        """SELECT *, close / vwap - 1 AS vs_vwap, greatest(high, coalesce(sess_hi_p, 0)) AS sess_high, sess_lo AS sess_low, run_len AS run_below,
           CAST(coalesce(ema_p <= vwap_p AND ema > vwap AND run_len_p >= 3, false) AS INT) AS reclaim FROM runs""")
 def streaming_session(spark, sf):
-    """Session state over a stream of bar files, one micro-batch per year of bars."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """Session state over a stream of bar files that arrives in one micro-batch. The state store is set for this stream only."""
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     src, out = scratch_path(spark), scratch_path(spark)
     s = M.sessions(spark, sf).withColumn("ts", F.col("date").cast("timestamp"))
     s.select("ticker", "session", "minute", "ts", "high", "low", "close", "volume").write.parquet(src)
     stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
     st = B.session_stream(stream, ["ticker", "session"], min_run=3, ttl_hours=24 * 400)
-    B.run_available(st, out, scratch_path(spark))
+    try:
+        B.run_available(st, out, scratch_path(spark))
+    finally:
+        spark.conf.set(store, before)
     r = spark.read.parquet(out)
     return r.withColumns({"minute": F.lit(569) + F.dayofyear("ts"), "vs_vwap": F.col("close") / F.col("vwap") - 1,
                           "reclaim": F.col("reclaim").cast("int")})

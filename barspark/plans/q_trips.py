@@ -232,7 +232,7 @@ def rich_inputs(spark, sf):
     x = run_length(x, s, F.col("ema") > F.col("vwap"), "above_vwap")
     return x.withColumns({
         "above_vwap_p": F.coalesce(F.lag("above_vwap").over(s.spec()), F.lit(0)), "vol20": F.sum("volume").over(s.last(20, True)),
-        "lowc": F.min("close").over(s.sofar()), "entry_price": F.col("close"),
+        "lowc": F.min("close").over(s.sofar()), "max_close": F.max("close").over(s.last(30, True)), "entry_price": F.col("close"),
         "stop_level": F.col("close") - (F.col("close") - F.min("close").over(s.sofar())) * 2 / 3})
 
 
@@ -241,7 +241,7 @@ def enters():
     return F.col("minute").between(600, 810) & fresh_high
 
 
-ENT = f"""ent AS (SELECT *, close - (close - lowc) * 2 / 3 AS stop_level FROM (SELECT *, min(close) OVER ({SE}) AS lowc FROM {AV})
+ENT = f"""ent AS (SELECT *, close - (close - lowc) * 2 / 3 AS stop_level FROM (SELECT *, min(close) OVER ({SE}) AS lowc, max(close) OVER ({SE} ROWS 29 PRECEDING) AS max_close FROM {AV})
     WHERE minute BETWEEN 600 AND 810 AND bars_since_hi = 0 AND atr_log >= 0.05), av AS (SELECT * FROM {AV})"""
 
 
@@ -254,7 +254,7 @@ def rich_sql(rules: list[tuple[str, str, str]]) -> str:
         f"WHEN coalesce({xc(c)}, false) THEN {f}" for _, c, f in rules) + " END"
     return f"""WITH {ENT} SELECT e.ticker, e.session, e.minute, e.close AS entry_price, coalesce(x.minute, l.minute, e.minute) AS exit_at,
         {fill} AS exit_price, CASE WHEN xi IS NULL THEN 'moc' ELSE {reason} END AS exit_reason
-      FROM (SELECT e.ticker, e.session, e.idx, e.minute, e.close, e.stop_level, e.vol20, e.permin, min(CASE WHEN {cond} THEN b.idx END) AS xi, max(b.idx) AS li FROM ent e
+      FROM (SELECT e.ticker, e.session, e.idx, e.minute, e.close, e.stop_level, e.vol20, e.permin, e.ema, e.max_close, min(CASE WHEN {cond} THEN b.idx END) AS xi, max(b.idx) AS li FROM ent e
         LEFT JOIN av b ON b.ticker = e.ticker AND b.session = e.session AND b.idx > e.idx GROUP BY ALL) e
       LEFT JOIN av x ON x.ticker = e.ticker AND x.session = e.session AND x.idx = xi
       LEFT JOIN av l ON l.ticker = e.ticker AND l.session = e.session AND l.idx = li"""
@@ -262,7 +262,7 @@ def rich_sql(rules: list[tuple[str, str, str]]) -> str:
 
 MOC = ("moc", "b.minute >= 900", "x.close")
 BAR = ["open", "high", "low", "close", "ema", "vwap", "volume", "vol20", "vol_slope", "sess_hi_p", "above_vwap_p", "ema_low20_p"]
-ENTF = ["entry_price", "stop_level", "vol20", "permin"]
+ENTF = ["entry_price", "stop_level", "vol20", "permin", "ema", "max_close"]
 
 
 def rich(spark, sf, exit_):
@@ -292,6 +292,13 @@ def rich_pct(spark, sf):
     return rich(spark, sf, R.RichExit(moc=900, pct_stop=0.05, target="vwap", short=True))
 
 
+@query("H8_ema_pct_and_max_close_stops", IT,
+       rich_sql([("ema_pct_stop", "b.ema > e.ema * (1 + 0.03)", "x.close"), ("max_close_stop", "b.close > e.max_close * (1 + 0.01)", "x.close"), MOC]))
+def rich_short_stops(spark, sf):
+    """A short: the average's rise since the entry, and a close over the last 30 bars' highest at entry."""
+    return rich(spark, sf, R.RichExit(moc=900, ema_pct_stop=0.03, max_close_stop=0.01, short=True))
+
+
 @query("H8_intrabar_low_stop", IT, rich_sql([("stop", "b.low <= e.stop_level", "least(e.stop_level, x.open)"), MOC]))
 def rich_low(spark, sf):
     return rich(spark, sf, R.RichExit(moc=900, stop="low"))
