@@ -36,6 +36,11 @@ def finish(df: DataFrame, spec: str) -> DataFrame:
     return df.select(*cols)
 
 
+def _once(sql: str) -> str:
+    """Named subqueries are worked out once, whatever the engine's rule for inlining them; recursive ones are left as they are."""
+    return sql if "RECURSIVE" in sql else re.sub(r"\b(\w+) AS \((?=\s*(?:SELECT|WITH)\b)", r"\1 AS MATERIALIZED (", sql)
+
+
 def with_ctes(sql: str) -> str:
     """Prefix the shared CTEs a statement names, in dependency order."""
     order: list[str] = []
@@ -48,7 +53,7 @@ def with_ctes(sql: str) -> str:
                     order.append(name)
 
     need(sql)
-    head = ",\n".join(f"{n} AS ({CTES[n]})" for n in order)
+    head = ",\n".join(f"{n} AS MATERIALIZED ({_once(CTES[n])})" for n in order)
     return f"WITH {head}\n" if head else ""
 
 
@@ -62,7 +67,7 @@ def finish_sql(sql: str, spec: str) -> str:
             s = f"1e{int(kind[1:] or 6)}"
             e = f"floor(CAST({e} AS DOUBLE)*{s}+0.5)/{s}"
         cols.append(f'{e} AS "{name}"')
-    return f"{with_ctes(sql)}SELECT {', '.join(cols)} FROM ({sql}) AS result"
+    return f"{with_ctes(sql)}SELECT {', '.join(cols)} FROM ({_once(sql)}) AS result"
 
 
 def query(name: str, spec: str, sql: str | None = None):
