@@ -95,11 +95,21 @@ def spread(df: DataFrame, low: Column, high: Column, name: str) -> DataFrame:
     return df.withColumn("__block", F.explode(blocks)).withColumn(name, F.explode(inside)).drop("__block")
 
 
-def value_cuts(df: DataFrame, value: str, buckets: int = 32) -> list[float]:
-    """Approximate equal-count cut points of a numeric column: at most ``buckets`` numbers on the driver."""
-    qs = [k / buckets for k in range(1, buckets)]
-    row = df.agg(F.percentile_approx(F.col(value).cast("double"), qs, 1000).alias("q")).first()
-    return sorted(row["q"] or [])
+#: A value range is to hold so many rows; there are at least FEWEST and at most MOST ranges.
+RANGE_ROWS = 1_000_000
+FEWEST_RANGES, MOST_RANGES = 32, 4096
+FAN = 64
+
+
+def value_cuts(df: DataFrame, value: str, buckets: int | None = None) -> list[float]:
+    """Approximate equal-count cut points of a numeric column, as many as its rows ask for: at most MOST_RANGES numbers on the
+    driver. A range, and so any group's part of it, then holds about RANGE_ROWS rows."""
+    grid = buckets or MOST_RANGES
+    qs = [k / grid for k in range(1, grid)]
+    row = df.agg(F.percentile_approx(F.col(value).cast("double"), qs, max(1000, 4 * grid)).alias("q"), F.count(value).alias("n")).first()
+    q = sorted(row["q"] or [])
+    ranges = grid if buckets else min(grid, max(FEWEST_RANGES, -(-row["n"] // RANGE_ROWS)))
+    return [q[k * grid // ranges - 1] for k in range(1, ranges)] if q else []
 
 
 def _bucket(value: Column, cuts: list[float]) -> Column:
@@ -107,11 +117,18 @@ def _bucket(value: Column, cuts: list[float]) -> Column:
     uniq = sorted(set(cuts))
     if not uniq:
         return F.lit(0)
-    below = reduce(lambda a, b: a + b, [F.when(value > c, 2).otherwise(0) for c in uniq])
-    return below + F.when(value.isin(uniq), 1).otherwise(0)
-
-
-def _with_buckets(df: DataFrame, value: str, tie: str, buckets: int) -> DataFrame:
+    if len(uniq) <= FAN:
+        below = reduce(lambda a, b: a + b, [F.when(value > c, 2).otherwise(0) for c in uniq])
+        return below + F.when(value.isin(uniq), 1).otherwise(0)
+    # in two steps: a run of cuts, then the place in it
+    step = max(FAN, -(-len(uniq) // FAN))
+    runs = [uniq[i:i + step] for i in range(0, len(uniq), step)]
+    run = reduce(lambda a, b: a + b, [F.when(value > r[-1], 1).otherwise(0) for r in runs[:-1]])
+    own = F.element_at(F.array(*[F.array(*map(F.lit, r)) for r in runs]), run + 1)
+    return 2 * (run * step + F.size(F.filter(own, lambda c: c < value))) + F.when(F.array_contains(own, value), 1).otherwise(0)
+
+
+def _with_buckets(df: DataFrame, value: str, tie: str, buckets: int | None) -> DataFrame:
     """__b by value; __s splits a heavy single-value bucket further by the numeric tie column."""
     cuts = value_cuts(df, value, buckets)
     v = F.col(value).cast("double")
@@ -123,7 +140,7 @@ def _with_buckets(df: DataFrame, value: str, tie: str, buckets: int) -> DataFram
     return df.withColumn("__b", _bucket(v, cuts)).withColumn("__s", sub)
 
 
-def ranked(df: DataFrame, by: list[str], value: str, tie: str, buckets: int = 32) -> DataFrame:
+def ranked(df: DataFrame, by: list[str], value: str, tie: str, buckets: int | None = None) -> DataFrame:
     """Exact ``rn`` (row number by value, tie), ``rk`` (rank by value) and ``n`` (rows) per ``by``.
 
     ``value`` and ``tie`` are numeric and not NULL, ``tie`` makes rows unique. ``by`` may be empty: the global order is
@@ -166,7 +183,7 @@ def ntile_of(rn: Column, n: Column, tiles: int) -> Column:
 
 
 def exact_quantiles(df: DataFrame, by: list[str], value: str, qs: dict[str, float],
-                    buckets: int = 32) -> DataFrame:
+                    buckets: int | None = None) -> DataFrame:
     """Continuous quantiles per ``by`` with linear interpolation, one row per group.
 
     Only order statistics are kept: rows equal in value are counted first, so a heavy value costs one row, and a group

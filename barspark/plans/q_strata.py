@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from barspark.functions.aggregates import profit_factor
 from barspark.functions.indicators import Series, lead
-from barspark.operators import capacity, strata as S
+from barspark.operators import strata as S
+from barspark.operators.capacity import capacity_book
 from barspark.operators.prefix import exact_quantiles
 from barspark.plans import market as M
 from barspark.plans.registry import query
@@ -260,7 +261,7 @@ def min_tercile(spark, sf):
 @query("I22_capacity_limited_book", "scenario n:i accepted:i pnl:f2")
 def capacity(spark, sf):
     t = stored(M.trips(spark, sf)).withColumn("notional", F.lit(10_000.0))
-    a = capacity.capacity_book(t, {"small": 100_000.0, "medium": 300_000.0, "large": 1e9})
+    a = capacity_book(t, {"small": 100_000.0, "medium": 300_000.0, "large": 1e9})
     j = a.join(t.select("trip_id", "net_pnl"), "trip_id")
     return j.groupBy("scenario").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("accepted"), 1).otherwise(0)).alias("accepted"),
                                      F.sum(F.when(F.col("accepted"), F.col("net_pnl")).otherwise(0.0)).alias("pnl"))

@@ -108,3 +108,22 @@ def test_forward_fill_grid(spark):
     df = spark.createDataFrame([("a", 1, 5.0), ("a", 4, 7.0), ("b", 2, 1.0)], "k string, t long, v double")
     got = [tuple(x) for x in forward_fill_on_grid(df, ["k"], "t", ["v"], 1).orderBy("k", "t").collect()]
     assert got == [("a", 1, 5.0), ("a", 2, 5.0), ("a", 3, 5.0), ("a", 4, 7.0), ("b", 2, 1.0)]
+
+
+def test_many_cuts_are_looked_up_like_few(spark):
+    from barspark.operators.prefix import _bucket
+
+    cuts = sorted({round(x * 0.37, 3) for x in range(300)})
+    df = spark.createDataFrame([(c + d,) for c in [-5.0, *cuts[::7], 500.0] for d in (-0.001, 0.0, 0.001)], "v double")
+    for r in df.select("v", _bucket(F.col("v"), cuts).alias("b")).collect():
+        assert r["b"] == 2 * sum(r["v"] > c for c in cuts) + (r["v"] in cuts)
+
+
+def test_ranges_follow_the_row_count(spark, monkeypatch):
+    from barspark.operators import prefix
+
+    monkeypatch.setattr(prefix, "RANGE_ROWS", 50)
+    df = spark.range(10_000).select(F.col("id").cast("double").alias("v"), (F.col("id") % 3).alias("g"), "id")
+    assert len(prefix.value_cuts(df, "v")) == 199
+    got = prefix.ranked(df, ["g"], "v", "id").collect()
+    assert all(r["rn"] == r["rk"] == r["id"] // 3 + 1 for r in got) and len(got) == 10_000
