@@ -37,28 +37,37 @@ CHARS_AT_ONCE = 1 << 20
 
 
 @lru_cache(maxsize=2)
-def _encoders(vocabulary: str):
-    """(fast, plain): the same vocabulary as merge ranks, and as the tokenizer that defines the ids."""
+def _fast(vocabulary: str):
+    """(encoding by the vocabulary's merge ranks, strings of its special tokens)."""
     import base64
+    import json
 
     import public_tokenizers as P
     import tiktoken
-    from tokenizers import Tokenizer
 
     with open(P.path(f"{vocabulary}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    plain = Tokenizer.from_file(P.path(f"{vocabulary}.json"))
-    special = [t.content for t in plain.get_added_tokens_decoder().values()]
-    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}), plain, special
+    with open(P.path(f"{vocabulary}.json")) as f:
+        special = [t["content"] for t in json.load(f)["added_tokens"]]
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}), special
+
+
+@lru_cache(maxsize=2)
+def _plain(vocabulary: str):
+    """The tokenizer that defines the ids; it is large, and loaded only where it is needed."""
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(P.path(f"{vocabulary}.json"))
 
 
 def token_ids(texts: list[str], vocabulary: str = VOCABULARY) -> list[np.ndarray]:
     """Ids of each text and the terminator. The merge ranks give the ids of ``tokenizers`` at a quarter of the time; a
     text with a special token's string in it goes to ``tokenizers`` itself."""
-    fast, plain, special = _encoders(vocabulary)
+    fast, special = _fast(vocabulary)
     out = []
     for t in texts:
-        ids = plain.encode(t, add_special_tokens=False).ids if any(s in t for s in special) else fast.encode_ordinary(t)
+        ids = _plain(vocabulary).encode(t, add_special_tokens=False).ids if any(s in t for s in special) else fast.encode_ordinary(t)
         out.append(np.array([*ids, TERMINATOR], np.uint32))
     return out
 

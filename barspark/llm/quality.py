@@ -35,7 +35,7 @@ PAIR_ROUNDS = 40
 PAIRS = 6
 RATE = 0.1
 RIDGE = 2.0
-CHARS_AT_ONCE = 1 << 21
+CHARS_AT_ONCE = 1 << 19
 FEATURES = ("log_bytes", "upper", "symbols", "digits", "blanks", "stops", "word_length", "bare_words", "word_variety", "word_echo", "line_variety", "line_length")
 
 # classes of bytes: 0 other symbols, 1 lower and beyond ASCII, 2 upper, 3 digits, 4 blanks, 5 line feeds, 6 stops within sentences

@@ -34,8 +34,8 @@ SHINGLE_WORDS = 3
 SEED = 42
 #: Buckets up to this size are compared in pairs.
 SMALL_BUCKET = 32
-CHARS_AT_ONCE = 1 << 21
-SHINGLES_AT_ONCE = 1 << 16
+CHARS_AT_ONCE = 1 << 19
+SHINGLES_AT_ONCE = 1 << 15
 #: A byte is of a word unless it is a space or one of \t \n \v \f \r.
 IN_WORD = np.ones(256, bool)
 IN_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
