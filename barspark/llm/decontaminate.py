@@ -18,12 +18,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barspark.llm.common import ROW, keyed
+from barspark.llm.common import ROW, hot_keys, keyed, unique_join
 from barspark.session import stored
 
 WINDOW_WORDS = 10
 SHINGLE_WORDS = 5
-#: Windows broadcast at once (about 300 bytes each). A larger benchmark is taken in blocks, each with a scan of its own.
+#: Windows broadcast at once (their words, about 200 bytes each). A larger benchmark is taken in blocks, each with a scan of its own.
 BLOCK_WINDOWS = 100_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -40,12 +40,16 @@ def shingle(words: Column, start: Column, width: int) -> Column:
     return F.xxhash64(*(F.get(words, start + j) for j in range(width)))
 
 
-def item_windows(benchmark: DataFrame, item_id: str, text: str, window_words: int) -> DataFrame:
-    """The distinct windows: ``win`` (its words), ``n`` (their number), ``items`` (the ids it stands in, as strings)."""
+def item_windows(benchmark: DataFrame, item_id: str, text: str, window_words: int) -> tuple[DataFrame, DataFrame]:
+    """The distinct windows: ``wid`` (a number), ``win`` (its words), ``n`` (their number); and of each window the ``items`` it
+    stands in, as strings, which don't travel with the windows: a passage may be in very many."""
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), words(F.col(text)).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - window_words))
     cut = items.select("item", "w", F.explode(starts).alias("s")).select("item", F.slice("w", F.col("s") + 1, F.lit(window_words)).alias("win"))
-    return cut.groupBy("win").agg(F.collect_set("item").alias("items")).withColumn("n", F.size("win"))
+    cut = stored(cut.distinct())
+    wins = stored(cut.select("win").distinct().withColumn("wid", F.monotonically_increasing_id()).withColumn("n", F.size("win")))
+    named = unique_join(cut, wins.select("win", "wid"), ["win"], hot_keys(cut, ["win"]))
+    return wins, stored(named.groupBy("wid").agg(F.collect_list("item").alias("items")))
 
 
 def _positions(rows: DataFrame, widths: list[int]) -> DataFrame:
@@ -73,18 +77,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc
     benchmark every document is clean; no documents give no rows. Other columns are not read.
     """
     rows = keyed(docs, doc_id, row).select(ROW, F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    wins = stored(item_windows(benchmark, item_id, item_text, window_words))
+    wins, members = item_windows(benchmark, item_id, item_text, window_words)
     n_wins = wins.count()
     widths = sorted(r.k for r in wins.select(F.least(F.lit(shingle_words), F.col("n")).alias("k")).distinct().collect())
     inside = reduce(DataFrame.unionAll, [
         wins.where(F.least(F.lit(shingle_words), F.col("n")) == k)
-        .select("win", "items", "n", F.explode(F.sequence(F.lit(0), F.col("n") - k)).alias("off"))
+        .select("wid", "win", "n", F.explode(F.sequence(F.lit(0), F.col("n") - k)).alias("off"))
         .withColumn("key", shingle(F.col("win"), F.col("off"), k))
         for k in widths
     ]) if widths else None
     if inside is None:
         hits = rows.select(ROW, "id", F.size(words(F.col("text"))).alias("n_words"), F.lit(None).cast("int").alias("s"),
-                           F.lit(None).cast("int").alias("e"), F.array().cast("array<string>").alias("items"))
+                           F.lit(None).cast("int").alias("e"), F.lit(None).cast("long").alias("wid"))
     else:
         keys = stored(inside.select("key").distinct())
         at = _positions(rows, widths)
@@ -92,24 +96,27 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc
                   for b in _blocks(keys, "key", keys.count(), block_windows * 20)]
         seen = stored(reduce(DataFrame.unionAll, counts))
         rarest = F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), F.col("key"), F.col("off"))).alias("r")
-        prefix = inside.join(seen, "key", "left").groupBy("win").agg(rarest, F.first("items").alias("items"), F.first("n").alias("n"))
-        prefix = stored(prefix.where("r.seen > 0").select(F.col("r.key").alias("key"), F.col("r.off").alias("off"), "n", "win", "items"))
+        prefix = inside.join(seen, "key", "left").groupBy("wid").agg(rarest, F.first("win").alias("win"), F.first("n").alias("n"))
+        prefix = stored(prefix.where("r.seen > 0").select(F.col("r.key").alias("key"), F.col("r.off").alias("off"), "n", "win", "wid"))
         fits = lambda b: (
             (F.col("at.key") == F.col("b.key")) & (F.col("p") >= F.col("off")) & (F.col("p") - F.col("off") + F.col("b.n") <= F.col("n_words"))
             & (F.slice("w", F.col("p") - F.col("off") + 1, F.col("b.n")) == F.col("win")))
         found = []
-        for i, b in enumerate(_blocks(prefix, "win", n_wins, block_windows)):
+        for i, b in enumerate(_blocks(prefix, "wid", n_wins, block_windows)):
             joined = at.alias("at").join(F.broadcast(b).alias("b"), fits(b), "left")
             ends = (F.col("p") == F.col("n_words")) & (F.lit(i == 0))
             start = F.col("p") - F.col("off")
             found.append(joined.where(F.col("win").isNotNull() | ends).select(
-                ROW, "id", "n_words", start.alias("s"), (start + F.col("b.n")).alias("e"), "items"))
+                ROW, "id", "n_words", start.alias("s"), (start + F.col("b.n")).alias("e"), "wid"))
         hits = reduce(DataFrame.unionAll, found)
+    hits = stored(hits)
     before = Window.partitionBy(ROW).orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.greatest(F.lit(0), F.col("e") - F.greatest(F.col("s"), F.coalesce(F.max("e").over(before), F.lit(0))))
-    ids = F.array_sort(F.array_distinct(F.flatten(F.collect_list("items"))))
     out = hits.withColumn("fresh", fresh).groupBy(ROW).agg(
-        F.first("id").alias("doc_id"), F.max("n_words").cast("long").alias("n_words"),
-        F.coalesce(F.sum("fresh"), F.lit(0)).cast("long").alias("n_hit"), ids.alias("items"))
+        F.first("id").alias("doc_id"), F.max("n_words").cast("long").alias("n_words"), F.coalesce(F.sum("fresh"), F.lit(0)).cast("long").alias("n_hit"))
+    met = hits.where("wid is not null").select(ROW, "wid").distinct()
+    met = unique_join(met, members, ["wid"], hot_keys(met, ["wid"]))
+    ids = met.groupBy(ROW).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    out = out.join(ids, ROW, "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     return out.select(ROW, "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items",
                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
