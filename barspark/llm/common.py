@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +83,18 @@ def chunks(texts: pd.Series, most: int) -> Iterator[tuple[int, list[str]]]:
         yield first, run
 
 
+def arrow_chunks(texts: pa.Array, most: int) -> Iterator[list[str]]:
+    """Texts in runs of about ``most`` bytes, at least one text each; null is empty. Only a run at a time becomes Python
+    strings, so a worker's memory is bounded by the Arrow batch and one run."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        begun = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, begun + most, side="right")))
+        yield [t or "" for t in texts.slice(at, stop - at).to_pylist()]
+        at = stop
+
+
 def offsets(lengths: np.ndarray) -> np.ndarray:
     """Start of each run, and the end of the last."""
     out = np.zeros(len(lengths) + 1, np.int64)

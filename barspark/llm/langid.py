@@ -19,10 +19,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barspark.llm.common import chunks, held_out, offsets
+from barspark.llm.common import arrow_chunks, held_out, offsets
 
 #: The documented bounds of the labelled sample: so many documents of each language, so many characters of each.
 SAMPLE_DOCS = 96
@@ -184,11 +185,13 @@ def identify(docs: DataFrame, model: Model, text: str = "text", prefix: str = "l
     kind = "pred string, score double, bits double, rejected boolean"
     names = np.array([*model.languages, UNKNOWN], dtype=object)
 
-    @F.pandas_udf(kind)
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(kind)
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            parts = [judge(run) for _, run in chunks(batch, CHARS_AT_ONCE)]
-            yield pd.concat(parts, ignore_index=True) if parts else judge([])
+            parts = [judge(run) for run in arrow_chunks(batch, CHARS_AT_ONCE)] or [judge([])]
+            whole = pd.concat(parts, ignore_index=True)
+            types = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
+            yield pa.StructArray.from_arrays([pa.array(whole[c], t, from_pandas=True) for c, t in zip(whole, types)], names=list(whole))
 
     def judge(texts: list[str]) -> pd.DataFrame:
         if not model.languages or not texts:

@@ -21,10 +21,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barspark.llm.common import ROW, chunks, keyed
+from barspark.llm.common import ROW, arrow_chunks, keyed
 from barspark.session import stored
 
 CAPACITY = 1024
@@ -79,15 +80,15 @@ def _crc(ids: np.ndarray) -> int:
 def measured(rows: DataFrame, vocabulary: str, capacity: int) -> DataFrame:
     """``__row``, doc_id, n (ids), crcs (of each whole window, then of the remainder, if any)."""
 
-    @F.pandas_udf("n long, crcs array<long>")
-    def measure(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("n long, crcs array<long>")
+    def measure(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             n, crcs = [], []
-            for _, run in chunks(texts, CHARS_AT_ONCE):
+            for run in arrow_chunks(texts, CHARS_AT_ONCE):
                 for ids in token_ids(run, vocabulary):
                     n.append(len(ids))
                     crcs.append([_crc(ids[i:i + capacity]) for i in range(0, len(ids), capacity)])
-            yield pd.DataFrame({"n": pd.Series(n, dtype="int64"), "crcs": pd.Series(crcs, dtype=object)})
+            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], names=["n", "crcs"])
 
     return rows.withColumn("m", measure("text")).select(ROW, "doc_id", "m.n", "m.crcs")
 

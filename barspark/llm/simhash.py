@@ -19,12 +19,12 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barspark.llm.common import ROW, chunks, hot_keys, keyed, offsets, unique_join
+from barspark.llm.common import ROW, arrow_chunks, hot_keys, keyed, offsets, unique_join
 from barspark.llm.components import components
 from barspark.session import stored
 
@@ -83,11 +83,11 @@ def fingerprints(texts: list[str], width: int = SHINGLE_WORDS) -> np.ndarray:
 def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fp", width: int = SHINGLE_WORDS) -> DataFrame:
     """Adds the fingerprint as a long (its 64 bits, signed); a null text is empty."""
 
-    @F.pandas_udf("long")
-    def fp(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("long")
+    def fp(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            parts = [fingerprints(run, width).view(np.int64) for _, run in chunks(texts, CHARS_AT_ONCE)]
-            yield pd.Series(np.concatenate(parts) if parts else np.zeros(0, np.int64))
+            parts = [fingerprints(run, width).view(np.int64) for run in arrow_chunks(texts, CHARS_AT_ONCE)]
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))
 
     return docs.withColumn(name, fp(F.col(text).cast("string")))
 
