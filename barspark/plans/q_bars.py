@@ -207,7 +207,21 @@ def imbalance_bars(spark, sf):
     return B.imbalance_bars(M.tape(spark, sf), ["ticker"], 150.0, F.col("size"), F.col("sign"), chunk())
 
 
-@query("C13_imbalance_threshold_search", "ticker:i threshold:f n_bars:i")
+# trade by trade at every rung: a bar closes whenever the sum is a whole threshold away from the level of the last close
+RUNGS = """WITH RECURSIVE t AS (SELECT ticker, row_number() OVER (PARTITION BY ticker ORDER BY ts, seq) AS i, sum(size * sign) OVER (PARTITION BY ticker ORDER BY ts, seq) AS s
+    FROM tape WHERE size > 0),
+  b AS (SELECT ticker, greatest(1, pow(2, round(log2(greatest(sum(size) / 12.0, 1))))) AS th FROM tape WHERE size > 0 GROUP BY 1),
+  g AS (SELECT ticker, th / pow(2, k) AS c FROM b, (SELECT unnest(range(0, 64)) AS k) WHERE th / pow(2, k) >= 1),
+  w AS (SELECT ticker, c, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS m, CAST(0 AS DOUBLE) AS z FROM g
+    UNION ALL
+    SELECT ticker, c, i, nk, n + abs(nk - k), abs(nk - k), z FROM (
+      SELECT w.ticker, w.c, t.i, w.k, w.n, t.s / w.c AS z, CAST(CASE WHEN t.s / w.c >= w.k + 1 THEN floor(t.s / w.c) WHEN t.s / w.c <= w.k - 1 THEN ceil(t.s / w.c) ELSE w.k END AS BIGINT) AS nk
+      FROM w JOIN t ON t.ticker = w.ticker AND t.i = w.i + 1)),
+  e AS (SELECT ticker, c, n + CASE WHEN m = 0 OR z <> k THEN 1 ELSE 0 END AS n_bars FROM w QUALIFY row_number() OVER (PARTITION BY ticker, c ORDER BY i DESC) = 1)
+  SELECT ticker, coalesce(max(c) FILTER (n_bars >= 12), min(c)) AS threshold, coalesce(arg_max(n_bars, c) FILTER (n_bars >= 12), arg_min(n_bars, c)) AS n_bars FROM e GROUP BY 1"""
+
+
+@query("C13_imbalance_threshold_search", "ticker:i threshold:f n_bars:i", RUNGS)
 def imbalance_threshold(spark, sf):
     return B.imbalance_thresholds(M.tape(spark, sf), ["ticker"], 12, F.col("size"), F.col("sign"), chunk())
 
