@@ -21,6 +21,17 @@ def time_chunk(t: Column, width: int) -> Column:
     return F.floor(t / F.lit(width)).cast("long")
 
 
+#: Rows of one key that a chunk is to hold at most, on average over its fullest stretch.
+CHUNK_ROWS = 1_000_000
+
+
+def dense_width(df: DataFrame, by: list[str], t: Column, widest: int) -> int:
+    """A chunk width of at most ``widest``, narrower where a key has more than CHUNK_ROWS rows in some stretch of that length.
+    The driver gets one number: the rows of the fullest stretch of any key."""
+    most = df.groupBy(*by, time_chunk(t, widest).alias("__s")).count().agg(F.max("count").alias("m")).first()["m"] or 0
+    return widest if most <= CHUNK_ROWS else max(1, widest * CHUNK_ROWS // most)
+
+
 _AGG = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}
 
 

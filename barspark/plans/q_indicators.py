@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from barspark.functions import features as X, indicators as I
 from barspark.functions.indicators import Series
 from barspark.operators import asof as A
-from barspark.operators.prefix import framed, time_chunk
+from barspark.operators.prefix import dense_width, framed, time_chunk
 from barspark.plans import market as M
 from barspark.plans.ctes import SE
 from barspark.plans.registry import query
@@ -33,7 +33,7 @@ def rolling(spark, sf):
 def rolling_hot(spark, sf):
     """100-trade frames over two keys that hold the whole tape, evaluated in overlapping blocks."""
     t = M.tape(spark, sf)
-    return framed(t, ["sign"], ["ts", "seq"], time_chunk(F.col("ts"), M.DAY_US), 100,
+    return framed(t, ["sign"], ["ts", "seq"], time_chunk(F.col("ts"), dense_width(t, ["sign"], F.col("ts"), M.DAY_US)), 100,
                   {"m100": F.avg("price"), "hi100": F.max("price")}, block=1000)
 
 
@@ -218,8 +218,8 @@ def imbalance(spark, sf):
     t, w = M.tape(spark, sf), 3 * M.DAY_US
     flow = lambda k: F.sum(F.when(F.col("sign") == k, F.col("size")).otherwise(0)).cast("double")
     at = t.groupBy("ticker", "ts").agg(flow(1).alias("b"), flow(-1).alias("s"))
-    sums = {"b": F.col("b"), "s": F.col("s")}
-    x = A.windowed_sums_at(at, t.select("seq", "ticker", "ts"), ["ticker"], "ts", sums, "ts", {"now": -1, "lb": w - 1}, lambda c: time_chunk(c, 10 * M.DAY_US))
+    sums, width = {"b": F.col("b"), "s": F.col("s")}, dense_width(t, ["ticker"], F.col("ts"), 10 * M.DAY_US)
+    x = A.windowed_sums_at(at, t.select("seq", "ticker", "ts"), ["ticker"], "ts", sums, "ts", {"now": -1, "lb": w - 1}, lambda c: time_chunk(c, width))
     b, s = F.col("b_now") - F.col("b_lb"), F.col("s_now") - F.col("s_lb")
     return x.withColumn("imb", F.when(b + s > 0, (b - s) / (b + s)))
 

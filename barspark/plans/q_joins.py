@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from barspark.functions.scalars import div
 from barspark.operators import asof as A
-from barspark.operators.prefix import time_chunk
+from barspark.operators.prefix import dense_width, time_chunk
 from barspark.operators.universe import breadth, lagged_breadth, with_trading_day
 from barspark.plans import market as M
 from barspark.plans.registry import query
@@ -14,8 +14,10 @@ from barspark.plans.registry import query
 DAY = M.DAY_US
 
 
-def chunk(c):
-    return time_chunk(c, 3 * DAY)
+def chunk(tape, by=(), widest=3 * DAY):
+    """Time chunks for tape rows of these keys, as narrow as the fullest key asks for."""
+    width = dense_width(tape, list(by), F.col("ts"), widest)
+    return lambda c: time_chunk(c, width)
 
 
 @query("D1_equi_join_ticker_date", "trip_id:i volume:i next_close:f4",
@@ -52,7 +54,7 @@ def asof_strict(spark, sf):
     t = M.tape(spark, sf).withColumn("k", F.lit(1))
     buys = t.filter("sign = 1").select("k", "seq", "ts")
     sells = t.filter("sign = -1").select("k", F.col("ts").alias("bt"), F.col("seq").alias("prev_seq"), F.col("price").alias("prev_price"))
-    return A.asof_join(buys, sells, ["k"], "ts", "bt", ["prev_seq", "prev_price"], "backward", True, chunk)
+    return A.asof_join(buys, sells, ["k"], "ts", "bt", ["prev_seq", "prev_price"], "backward", True, chunk(t))
 
 
 @query("D4_asof_forward_inclusive_chunked", "seq:i next_seq:i",
@@ -61,7 +63,7 @@ def asof_strict(spark, sf):
 def asof_fwd_inc(spark, sf):
     t = M.tape(spark, sf).withColumn("k", F.lit(1))
     sells = t.filter("sign = -1").select("k", F.col("ts").alias("bt"), F.col("seq").alias("next_seq"))
-    return A.asof_join(t.filter("sign = 1").select("k", "seq", "ts"), sells, ["k"], "ts", "bt", ["next_seq"], "forward", False, chunk)
+    return A.asof_join(t.filter("sign = 1").select("k", "seq", "ts"), sells, ["k"], "ts", "bt", ["next_seq"], "forward", False, chunk(t))
 
 
 @query("D5_lateral_top1", "ticker:i as_of prev_date prev_close:f4",
@@ -127,7 +129,7 @@ def day_bars(spark, sf):
 def prefix_at(spark, sf, cols):
     t = M.tape(spark, sf).select("seq", "ticker", "ts")
     return A.windowed_sums_at(day_bars(spark, sf), t, ["ticker"], "start_us", {c: F.col(c) for c in cols}, "ts",
-                              {"now": 0, "lb": LOOK}, lambda c: time_chunk(c, 10 * DAY))
+                              {"now": 0, "lb": LOOK}, chunk(t, ["ticker"], 10 * DAY))
 
 
 @query("D9_windowed_sums_from_prefix", "seq:i volume:f imbalance:f",

@@ -127,3 +127,16 @@ def test_ranges_follow_the_row_count(spark, monkeypatch):
     assert len(prefix.value_cuts(df, "v")) == 199
     got = prefix.ranked(df, ["g"], "v", "id").collect()
     assert all(r["rn"] == r["rk"] == r["id"] // 3 + 1 for r in got) and len(got) == 10_000
+
+
+def test_chunks_follow_the_fullest_key(spark, monkeypatch):
+    """One key with 95 % of the rows: its chunks are narrowed until each holds a bounded number of them."""
+    from barspark.operators import prefix
+
+    monkeypatch.setattr(prefix, "CHUNK_ROWS", 200)
+    df = spark.range(20_000).select(F.when(F.col("id") % 20 == 0, F.col("id")).otherwise(-1).alias("k"), (F.col("id") * 7).alias("t"), F.col("id").alias("seq"))
+    width = prefix.dense_width(df, ["k"], F.col("t"), 50_000)
+    per = df.groupBy("k", prefix.time_chunk(F.col("t"), width).alias("c")).count().agg(F.max("count")).first()[0]
+    assert width < 50_000 and per <= 400 and prefix.dense_width(df.limit(0), ["k"], F.col("t"), 50_000) == 50_000
+    got = prefix.running(df, ["k"], ["t"], prefix.time_chunk(F.col("t"), width), {"n": ("count", F.col("seq"))}).where("k = -1").agg(F.max("n"), F.countDistinct("n")).first()
+    assert tuple(got) == (19_000, 19_000)
