@@ -167,19 +167,28 @@ def consolidated_levels(deltas: DataFrame, by: list[str], width: int, chunk: Col
     return out.select(*by, "bucket", "side", "price", "size")
 
 
-def book_checks(book: DataFrame, by: list[str], depth: int, t: str = "ts") -> DataFrame:
-    """Quality counters per key: rows, crossed or misordered levels, and median spread, cadence and imbalance."""
-    bad_b = F.lit(False)
-    bad_a = F.lit(False)
+def book_checks(book: DataFrame, by: list[str], depth: int, t: str = "ts", depths: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+    """Quality figures per key: rows; crossed, locked and misordered books; quantiles of spread, of the time since the last row
+    (of the day) and of the imbalance at several depths, with the mean sizes there. An empty book counts in none of the last.
+
+    All quantiles come from one pass over (key, metric, value) rows."""
+    bad = F.lit(False)
     for i in range(depth - 1):
-        bad_b = bad_b | F.coalesce(F.col(f"bid_{i}_price") <= F.col(f"bid_{i + 1}_price"), F.lit(False))
-        bad_a = bad_a | F.coalesce(F.col(f"ask_{i}_price") >= F.col(f"ask_{i + 1}_price"), F.lit(False))
-    x = snapshot_imbalance(book, depth, 0.0).withColumn("spread", F.col("ask_0_price") - F.col("bid_0_price"))
+        for side, worse in (("bid", F.col(f"bid_{i}_price") <= F.col(f"bid_{i + 1}_price")), ("ask", F.col(f"ask_{i}_price") >= F.col(f"ask_{i + 1}_price"))):
+            bad = bad | F.coalesce(worse, F.lit(False))
+    depths = tuple(d for d in depths if d <= depth)
+    total = lambda s, d: sum((F.coalesce(F.col(f"{s}_{i}_size"), F.lit(0.0)) for i in range(d)), F.lit(0.0))
+    day = Window.partitionBy(*by, F.expr(f"floor({t} / 86400000000)")).orderBy(t)
+    x = book.withColumns({"bad": bad, "spread": F.col("ask_0_price") - F.col("bid_0_price"), "cadence": (F.col(t) - F.lag(t).over(day)).cast("double"),
+                          **{f"{s[0]}{d}": total(s, d) for s in ("bid", "ask") for d in depths}})
+    full = lambda d: F.col(f"b{d}") + F.col(f"a{d}") > 0
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
     n = x.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("spread") < 0, 1).otherwise(0)).alias("crossed"),
-        F.sum(F.when(bad_b | bad_a, 1).otherwise(0)).alias("misordered"))
-    w = Window.partitionBy(*by, F.expr(f"floor({t} / 86400000000)")).orderBy(t)
-    c = x.withColumn("cadence", (F.col(t) - F.lag(t).over(w)).cast("double"))
-    for name in ("spread", "obi", "cadence"):
-        n = n.join(exact_quantiles(c, by, name, {f"{name}_p50": 0.5, f"{name}_p95": 0.95}), by, "left")
-    return n
+        F.count(F.lit(1)).alias("n"), count(F.col("spread") < 0).alias("crossed"), count(F.col("spread") == 0).alias("locked"), count(F.col("bad")).alias("misordered"),
+        F.max("cadence").alias("cadence_max"), *(F.avg(F.when(full(d), F.col(f"{s[0]}{d}"))).alias(f"{s}{d}_mean") for d in depths for s in ("bid", "ask")))
+    values = {"spread": F.col("spread"), "cadence": F.col("cadence"), **{f"obi{d}": F.when(full(d), (F.col(f"b{d}") - F.col(f"a{d}")) / (F.col(f"b{d}") + F.col(f"a{d}"))) for d in depths}}
+    long = x.select(*by, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("v")) for m, v in values.items()])).alias("m")).select(*by, "m.*")
+    points = {"p05": 0.05, "p50": 0.5, "p95": 0.95, "p99": 0.99}
+    q = exact_quantiles(long.filter("v is not null"), [*by, "metric"], "v", points)
+    wide = q.groupBy(*by).agg(*(F.max(F.when(F.col("metric") == m, F.col(p))).alias(f"{m}_{p}") for m in values for p in points))
+    return n.join(wide, by, "left")

@@ -158,11 +158,24 @@ def consolidated(spark, sf):
     return K.consolidated_levels(d, [], DAY, time_chunk(F.col("bucket"), 10 * DAY))
 
 
-@query("J5_book_quality_checks", "ticker:i n:i crossed:i misordered:i spread_p50:f spread_p95:f obi_p50:f obi_p95:f cadence_p50:f cadence_p95:f",
-       f"""WITH x AS (SELECT ticker, ts, seq, (price + 0.01 + CASE WHEN seq % 97 = 0 THEN -0.05 ELSE 0 END) - (price - 0.01) AS spread, {_obi(0.0)} AS obi,
-             ts - lag(ts) OVER (PARTITION BY ticker, ts // {DAY} ORDER BY ts) AS cadence FROM tape)
-           SELECT ticker, count(*) AS n, count(*) FILTER (spread < 0) AS crossed, 0 AS misordered, quantile_cont(spread, 0.5) AS spread_p50,
-             quantile_cont(spread, 0.95) AS spread_p95, quantile_cont(obi, 0.5) AS obi_p50, quantile_cont(obi, 0.95) AS obi_p95,
-             quantile_cont(cadence, 0.5) AS cadence_p50, quantile_cont(cadence, 0.95) AS cadence_p95 FROM x GROUP BY 1""")
+def _sum_sql(k0: int, d: int) -> str:
+    return " + ".join(_size(k0 + i) for i in range(d))
+
+
+OBI_D = (1, 5)
+J5_OUT = [f"obi{d}_{p}" for d in OBI_D for p in ("p05", "p50", "p95")]
+P_SQL = {"p05": 0.05, "p50": 0.5, "p95": 0.95, "p99": 0.99}
+
+
+@query("J5_book_quality_checks", "ticker:i n:i crossed:i locked:i misordered:i spread_p50:f spread_p95:f cadence_p50:f cadence_p95:f cadence_p99:f cadence_max:f "
+       + " ".join(f"{c}:f" for c in [*J5_OUT, *(f"{s}{d}_mean" for d in OBI_D for s in ("bid", "ask"))]),
+       f"""WITH y AS (SELECT ticker, ts, seq, (price + 0.01 + CASE WHEN seq % 97 = 0 THEN -0.05 ELSE 0 END) - (price - 0.01) AS spread,
+             ts - lag(ts) OVER (PARTITION BY ticker, ts // {DAY} ORDER BY ts) AS cadence, {", ".join(f"{_sum_sql(0, d)} AS b{d}, {_sum_sql(5, d)} AS a{d}" for d in OBI_D)} FROM tape),
+           x AS (SELECT *, {", ".join(f"(b{d} - a{d}) / nullif(b{d} + a{d}, 0) AS obi{d}" for d in OBI_D)} FROM y)
+           SELECT ticker, count(*) AS n, count(*) FILTER (spread < 0) AS crossed, count(*) FILTER (spread = 0) AS locked, 0 AS misordered, max(cadence) AS cadence_max,
+             quantile_cont(spread, 0.5) AS spread_p50, quantile_cont(spread, 0.95) AS spread_p95, quantile_cont(cadence, 0.5) AS cadence_p50,
+             quantile_cont(cadence, 0.95) AS cadence_p95, quantile_cont(cadence, 0.99) AS cadence_p99,
+             {", ".join(f"quantile_cont(obi{d}, {P_SQL[p]}) AS obi{d}_{p}" for d in OBI_D for p in ("p05", "p50", "p95"))},
+             {", ".join(f"avg({s[0]}{d}) FILTER (b{d} + a{d} > 0) AS {s}{d}_mean" for d in OBI_D for s in ("bid", "ask"))} FROM x GROUP BY 1""")
 def quality(spark, sf):
     return K.book_checks(snapshots(spark, sf), ["ticker"], DEPTH)
