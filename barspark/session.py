@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -74,3 +75,21 @@ def stored(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package: add it to the application as a zip, once, unless a local session's workers
+    find it by PYTHONPATH or the working folder anyway."""
+    sc = spark.sparkContext
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = os.environ.get("PYTHONPATH", "").split(os.pathsep) if sc.master.startswith("local") else []
+    if sc.master.startswith("local["):
+        known.append(os.getcwd())
+    if sc.applicationId in _shipped or root in map(os.path.abspath, filter(None, known)):
+        return
+    _shipped.add(sc.applicationId)
+    base = os.path.join(tempfile.mkdtemp(prefix="spark-"), "barspark")
+    sc.addPyFile(shutil.make_archive(base, "zip", root, "barspark"))
