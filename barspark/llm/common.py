@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barspark.session import stored
+from barspark.session import ship, stored
 
 HELD_OUT_FOLDS = 5
 #: So many of the most frequent keys are joined by broadcast; any other key then holds at most 1/HOT_KEYS of the rows.
@@ -35,6 +35,7 @@ def keyed(docs: DataFrame, key: str = "doc_id", row: str | None = None) -> DataF
     never null, else a number per row. Numbers are given once and written to the shared folder, so that
     several passes and recomputed tasks agree on them.
     """
+    ship(docs.sparkSession)
     if row is not None:
         return docs if row == ROW else docs.drop(ROW).withColumnRenamed(row, ROW)
     docs = docs.drop(ROW)

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barspark.llm.common import arrow_chunks, held_out, offsets
+from barspark.session import ship
 
 #: The documented bounds of the labelled sample: so many documents of each language, so many characters of each.
 SAMPLE_DOCS = 96
@@ -182,6 +183,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", prefix: str = "l
     The score is 1 - e1 / e2 for the least and second least entropy (1 if only one language is known); of equal entropies the first language by name wins, with score 0. ``rejected`` also marks texts whose letters
     hardly ever stand together in any reference. Only the text is looked at, whole. No rows give no rows.
     """
+    ship(docs.sparkSession)
     kind = "pred string, score double, bits double, rejected boolean"
     names = np.array([*model.languages, UNKNOWN], dtype=object)
 
