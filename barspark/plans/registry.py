@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from barspark.functions.scalars import rnd
 from barspark.plans.ctes import CTES
+from barspark.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -75,6 +76,7 @@ def query(name: str, spec: str, sql: str | None = None):
 
     def wrap(fn: Query) -> Query:
         def run(spark: SparkSession, sf: str) -> DataFrame:
+            ship(spark)
             spark.conf.set("spark.sql.session.timeZone", "UTC")  # the tables' zone-less times are UTC
             return finish(fn(spark, sf), spec)
 
