@@ -3,13 +3,15 @@
 ``build`` makes a tree from whatever markup there is: html, head and body, table rows and list items are implied where they
 are left out, paragraphs end where a block begins, and text that has no place in a table goes before it. ``render`` walks
 the tree and writes all visible text: blocks are set apart, list items are marked and indented, the cells of a table stand
-in aligned columns, preformatted text keeps its blanks. Neither recurses, so depth is no limit.
+in aligned columns, preformatted text keeps its blanks. Neither recurses, so depth is no limit: elements nest as deep as
+they are written, and open ones are looked up by name. Only layout has bounds (``INDENT``, ``NESTED``), text has none.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pandas as pd
@@ -42,8 +44,9 @@ IMPLIED_ENDS = {
 }
 #: Where a part of a table may stand; everything that is open within ends.
 ROOM = {"td": TABLE_PARTS, "th": TABLE_PARTS, "tr": TABLE_PARTS - {"tr"}, **dict.fromkeys("thead tbody tfoot caption colgroup col".split(), frozenset(["table"]))}
-#: Elements nest no deeper, as in browsers: a further one stands beside the last. So a page costs time linear in its length.
-DEEPEST = 512
+#: Lines are indented by this many characters at most, and tables within this many others are written a row a line without
+#: columns: else the blanks and the copies of lines alone would grow with the square of a page.
+INDENT, NESTED = 1024, 170
 #: Cells are padded to the widest of their column, up to this many characters; longer ones run over.
 WIDEST = 60
 
@@ -114,30 +117,53 @@ def tokens(html: str) -> Iterator[tuple[str, str, str]]:
             at = html.find(">", stop) + 1 if end and html.find(">", stop) >= 0 else n
 
 
+class Stack(list):
+    """Open elements, with the places of those of each name, so that no look-up walks over the others."""
+
+    def __init__(self, nodes: list[Node]):
+        super().__init__(nodes)
+        self.places: dict[str, list[int]] = {}
+        for i, x in enumerate(nodes):
+            self.places.setdefault(x.tag, []).append(i)
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self))
+        self.append(node)
+
+    def cut(self, n: int) -> None:
+        """Ends all but the first ``n``."""
+        while len(self) > n:
+            self.places[self.pop().tag].pop()
+
+    def last(self, tags: Iterable[str]) -> int:
+        """Place of the newest of these names; -1 if none is open."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=-1)
+
+    def first_after(self, tags: Iterable[str], i: int) -> int:
+        """Place of the oldest of these names above place ``i``; the height if there is none."""
+        return min((p[k] for t in tags if (p := self.places.get(t)) and (k := bisect_right(p, i)) < len(p)), default=len(self))
+
+
 def build(html: str) -> Node:
     root = Node("html", {})
     head, body = Node("head", {}), Node("body", {})
     root.children = [head, body]
-    stack, in_head = [root, head], True
+    stack, in_head = Stack([root, head]), True
 
     def enter_body() -> None:
-        nonlocal in_head
+        nonlocal in_head, stack
         if in_head:
             in_head = False
-            stack[:] = [root, body]
+            stack = Stack([root, body])
 
     def close(ends: frozenset, until: frozenset) -> None:
-        i, cut = len(stack) - 1, len(stack)
-        while i > 1 and stack[i].tag not in until:
-            if stack[i].tag in ends:
-                cut = i
-            i -= 1
-        del stack[cut:]
+        if stack.last(ends) > 1:
+            stack.cut(stack.first_after(ends, max(1, stack.last(until))))
 
     def place(child: Node | str, tag: str) -> None:
         """Under the current node; what may not stand between a table's parts goes before the table."""
         if stack[-1].tag in TABLE_PARTS and tag not in TABLE_TAGS and not (isinstance(child, str) and not BLANKS.sub("", child)):
-            i = max(k for k, x in enumerate(stack) if x.tag == "table")
+            i = stack.last(["table"])
             siblings = stack[i - 1].children
             siblings.insert(next(k for k in range(len(siblings) - 1, -1, -1) if siblings[k] is stack[i]), child)
         else:
@@ -163,40 +189,34 @@ def build(html: str) -> Node:
             if value in ENDS_P:
                 close(frozenset(["p"]), frozenset("td th caption table button".split()))
             if value in HEADINGS and stack[-1].tag in HEADINGS:
-                stack.pop()
+                stack.cut(len(stack) - 1)
             if value in IMPLIED_ENDS:
                 close(*IMPLIED_ENDS[value])
             if value in ROOM:
-                if not any(x.tag == "table" for x in stack):
+                if stack.last(["table"]) < 0:
                     continue  # a part of no table is as if it weren't there
-                while stack[-1].tag not in ROOM[value]:
-                    stack.pop()
+                stack.cut(stack.last(ROOM[value]) + 1)
             if value in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
                 row = Node("tr", {})
                 stack[-1].children.append(row)
-                stack.append(row)
+                stack.push(row)
             node = Node(value, _attributes(rest))
             place(node, value)
             if value not in VOID:
-                if len(stack) >= DEEPEST:
-                    stack.pop()
-                stack.append(node)
+                stack.push(node)
         else:
             if value == "br":
                 place(Node("br", {}), "br")
-            elif value == "p" and not any(x.tag == "p" for x in stack):
+            elif value == "p" and stack.last(["p"]) < 0:
                 enter_body()
                 place(Node("p", {}), "p")
             elif value == "head":
                 enter_body()
             elif value not in ("html", "body"):
-                walls = frozenset() if value in TABLE_TAGS else frozenset(["td", "th", "caption"])
-                for i in range(len(stack) - 1, 1, -1):
-                    if stack[i].tag == value or (value in HEADINGS and stack[i].tag in HEADINGS):
-                        del stack[i:]
-                        break
-                    if stack[i].tag in walls or (value in TABLE_TAGS and value != "table" and stack[i].tag == "table"):
-                        break
+                walls = () if value == "table" else ("table",) if value in TABLE_TAGS else ("td", "th", "caption")
+                i = stack.last(HEADINGS if value in HEADINGS else (value,))
+                if i > 1 and i >= stack.last(walls):
+                    stack.cut(i)
     return root
 
 
@@ -216,7 +236,15 @@ class Page:
     def __init__(self) -> None:
         self.parts: list[str] = []
         self.ends, self.space, self.fresh, self.mark = 0, False, True, ""
-        self.indents: list[str] = []
+        self.indents: list[int] = []
+        self.indent = 0
+
+    def indented(self, by: int) -> None:
+        self.indents.append(by)
+        self.indent += by
+
+    def outdented(self) -> None:
+        self.indent -= self.indents.pop()
 
     def block(self, ends: int) -> None:
         self.space = False
@@ -228,7 +256,7 @@ class Page:
             self.parts.append("\n" * self.ends)
             self.fresh, self.ends = True, 0
         if self.fresh:
-            lead = "".join(self.indents)
+            lead = " " * min(INDENT, self.indent)
             if self.mark:
                 lead = lead[: len(lead) - len(self.mark)] + self.mark
                 self.mark = ""
@@ -299,7 +327,7 @@ def _number(s: str, default: int) -> int:
 
 
 def render(root: Node) -> str:
-    pages, tables, lists, pre = [Page()], [], [], 0
+    pages, tables, lists, pre, flat = [Page()], [], [], 0, 0
     todo: list[tuple[Node | str, Node | None, bool]] = [(root, None, False)]
     while todo:
         node, parent, leaving = todo.pop()
@@ -313,7 +341,12 @@ def render(root: Node) -> str:
                 page.text(node)
             continue
         tag, ends = node.tag, 2 if node.tag in SPACED and not (node.tag in ("ul", "ol") and lists) else 1
-        if leaving:
+        if flat and tag in ("td", "th"):
+            page.text(" ")
+        elif flat and tag in TABLE_PARTS | {"caption"} and leaving:
+            flat -= tag == "table"
+            page.block(ends)
+        elif leaving:
             if tag in ("td", "th", "caption"):
                 text = pages.pop().whole()
                 if tag == "caption":
@@ -328,17 +361,20 @@ def render(root: Node) -> str:
                 if tag == "li":
                     if page.mark:  # an empty item shows its mark only
                         page._begin()
-                    page.indents.pop()
+                    page.outdented()
                 elif tag in ("ul", "ol", "menu", "dir"):
                     lists.pop()
                     ends = 1 if lists or tag not in SPACED else 2
                 elif tag in ("blockquote", "dd"):
-                    page.indents.pop()
+                    page.outdented()
                 page.block(ends)
+        if leaving or not visible(node, parent):
             continue
-        if not visible(node, parent):
-            continue
-        if tag in ("td", "th", "caption"):
+        if flat and tag in TABLE_PARTS | {"td", "th", "caption"} or tag == "table" and len(tables) == NESTED:
+            flat += tag == "table"
+            if tag in BLOCKS:
+                page.block(ends)
+        elif tag in ("td", "th", "caption"):
             pages.append(Page())
         elif tag == "tr":
             tables[-1].rows.append([])
@@ -365,10 +401,10 @@ def render(root: Node) -> str:
                 if page.mark:  # a list that is the first thing in an item begins on the next line
                     page._begin()
                     page.block(1)
-                page.indents.append(" " * len(mark))
+                page.indented(len(mark))
                 page.mark = mark
             elif tag in ("blockquote", "dd"):
-                page.indents.append("  ")
+                page.indented(2)
             pre += tag == "pre"
         todo.append((node, parent, True))
         todo.extend((c, node, False) for c in reversed(node.children))

@@ -93,3 +93,23 @@ def test_edge_cases(spark):
     got = sorted((str(r.page_id), r.text) for r in H.extract(df).collect())
     assert got == [("1", ""), ("2", ""), ("3", "a"), ("3", "a"), ("4", ""), ("None", "n")]
     assert H.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("opened", ["<div>", "<b>", "<font>", "<div><b>", "<ul><li>"])
+@pytest.mark.parametrize("n", [3, 507, 508, 509, 510, 511, 600, 5000])
+def test_tables_under_many_open_elements(opened, n):
+    inner = "<table><tr><td>x<td>y<tr><td>u</td><td>v</table>"
+    lines = lambda html: [w for x in H.text_of(html).split("\n") if (w := "".join(re.findall("[a-z]", x)))]
+    assert lines(opened * n + inner) == ["xy", "uv"]
+    got = lines("<table><tr><td>a<td>" + opened * n + inner + "</td><td>b<tr><td>c<td>d<td>e</table>")
+    assert got in (["axyb", "uv", "cde"], ["ab", "xy", "uv", "cde"])
+
+
+def test_nesting_costs_time_linear_in_the_page():
+    t = time.time()
+    for part in ("<ul><li>x", "<blockquote>x", "<b>x</i>", "<div>x</p>", "<p>x<b>", "<table><tr><td>x", "<table>x<b>", "<table><tr><td>x<td>", "<h1><div>x", "<select><option>x"):
+        assert H.text_of(part * 5_000).count("x") == 5_000
+    assert H.text_of("<div>" * 1_000_000 + "x") == "x"
+    deep = H.text_of("<table><tr><td>a<td>" * 1000 + "b" + "<tr><td>c<td>d" + "</table>" * 1000).split()
+    assert deep == ["a"] * 1000 + ["b", "c", "d"]
+    assert time.time() - t < 90
