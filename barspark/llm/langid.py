@@ -7,7 +7,8 @@ c * log2(N) / n bits a symbol, and the language with the least wins.
 
 Texts are reduced to symbols first: letters without case, and one blank for any run of other characters. Whole texts are
 parsed, in blocks of 1024 symbols: a phrase ends with its block, alike for all languages, so that all blocks of a batch
-advance together, one symbol a step, by a lookup in the automata's transition table.
+advance together, one symbol a step, by a lookup in the automata's transitions. Each letter of the references has a symbol
+of its own, however many there are: transitions by the most frequent ones are in a table, those by others in a hash table.
 """
 
 from __future__ import annotations
@@ -31,11 +32,12 @@ SAMPLE_DOCS = 96
 SAMPLE_CHARS = 300
 BLOCK = 1024
 CHARS_AT_ONCE = 1 << 20
-#: Letters with symbols of their own, by frequency in the sample; 0 is the blank and 1 any other letter.
-ALPHABET = 62
+#: Symbols with a column in the transition table; further ones are looked up by hash, with the same result.
+COLUMNS = 64
 UNKNOWN = "und"
 #: A text of at least MIN_SYMBOLS whose phrases have fewer symbols than this on average is of no known language: hardly any
-#: two of its letters stand together in a reference.
+#: two of its letters stand together in a reference. A language of so many letters that its own sample has phrases nearly as
+#: short (see ``_least``) gets a lower bound.
 MIN_PHRASE = 1.5
 MIN_SYMBOLS = 32
 
@@ -53,17 +55,26 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
-def _alphabet(texts: list[str]) -> np.ndarray:
-    """uint8 symbol of each code point."""
-    seen = Counter(c for t in texts for c in t.lower() if c.isalpha())
-    out = _letters().astype(np.uint8)
-    for k, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET], 2):
-        for x in {c, c.upper(), c.lower()}:
-            if len(x) == 1:
-                out[ord(x)] = k
+@lru_cache(maxsize=1)
+def _folded() -> np.ndarray:
+    """Each code point without case; a letter whose lower case is not one letter stands for itself."""
+    out = np.arange(0x110000, dtype=np.int32)
+    for i in np.flatnonzero(_letters()).tolist():
+        x = chr(i).lower()
+        if len(x) == 1 and x.isalpha():
+            out[i] = ord(x)
     return out
 
 
+def _alphabet(texts: list[str]) -> np.ndarray:
+    """Symbol of each code point: 0 for the blank, 1 for letters that are in none of the texts, then by falling frequency."""
+    folded, letters = _folded(), _letters()
+    seen = Counter(int(folded[ord(c)]) for t in texts for c in t if letters[ord(c)])
+    out = letters.astype(np.min_scalar_type(len(seen) + 1))
+    out[sorted(seen, key=lambda x: (-seen[x], x))] = np.arange(2, len(seen) + 2)
+    return out[folded]
+
+
 def _symbols(texts: list[str], lut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols of all texts, the offsets of each, and whether it has a letter."""
     cut = offsets(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
@@ -105,37 +116,102 @@ def _automaton(s: list[int]) -> list[dict[int, int]]:
     return to
 
 
+def _least(s: list[int]) -> float:
+    """MIN_PHRASE, or halfway from 1 to the mean phrase of the second half of a reference in the first, if that is less."""
+    first, second = s[: len(s) // 2], s[len(s) // 2:]
+    to = _automaton(first)
+    phrases, p = 0, -1
+    for c in second:
+        p = to[p].get(c, -1) if p >= 0 else -1
+        if p < 0:
+            phrases, p = phrases + 1, to[0].get(c, -1)
+    return min(MIN_PHRASE, (1 + len(second) / max(1, phrases)) / 2)
+
+
+class Sparse:
+    """Values of int64 keys, -1 for others: open addressing, all keys at once."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.shift = np.uint64(64 - max(4, (4 * len(keys)).bit_length()))
+        self.mask = (1 << (64 - int(self.shift))) - 1
+        self.keys = np.full(self.mask + 1, -1, np.int64)
+        self.values = np.full(self.mask + 1, -1, np.int32)
+        at, left = self._slots(keys), np.arange(len(keys))
+        while len(left):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[left[free]]  # of keys that meet in a slot one stays
+            placed = self.keys[at] == keys[left]
+            self.values[at[placed]] = values[left[placed]]
+            at, left = (at[~placed] + 1) & self.mask, left[~placed]
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        at = self._slots(keys)
+        found, out = self.keys[at], self.values[at]
+        left = np.flatnonzero((found != keys) & (found >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) & self.mask
+            found[left], out[left] = self.keys[at[left]], self.values[at[left]]
+            left = left[(found[left] != keys[left]) & (found[left] >= 0)]
+        return out
+
+
+@dataclass(frozen=True)
+class Tables:
+    lut: np.ndarray  #: symbol of each code point
+    near: np.ndarray  #: next states by state and symbol, for the first ``width`` symbols
+    far: Sparse | None  #: by state * symbols + symbol, for the others
+    fresh: np.ndarray  #: state in which a new phrase starts, by language and symbol
+    starts: np.ndarray  #: first state of each language
+    logs: np.ndarray  #: log2 of each reference
+    least: np.ndarray  #: mean phrase under which a text isn't of a language
+    width: int
+    symbols: int
+
+
 @lru_cache(maxsize=2)
-def _tables(model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
-    """(symbol of each code point, transitions, first state of each language, log2 of each reference, symbols).
+def _tables(model: Model) -> Tables:
+    """States are numbered by ``width``, so that state + c is an entry of ``near``.
 
-    Entry state * symbols + c is the next state times ``symbols``; where no phrase goes on it is ~ of the state that a new
-    phrase starts with. A symbol that a reference lacks leads to a dead state, which nothing leaves but by a new phrase.
+    The entry is the next state; where no phrase goes on it is ~ of the state that a new phrase starts with. A symbol that
+    a reference lacks leads to a dead state, which nothing leaves but by a new phrase.
     """
     lut = _alphabet(list(model.references))
-    width = int(lut.max()) + 1
-    parts, starts, logs, base = [], [], [], 0
+    symbols = int(lut.max()) + 1
+    width = min(symbols, COLUMNS)
+    parts, starts, logs, least, fresh, keys, values, base = [], [], [], [], [], [], [], 0
     for text in model.references:
         s, _, _ = _symbols([text], lut)
         to = _automaton(s.tolist())
         n = len(to)
-        root = np.full(width, n, np.int32)
+        root = np.full(symbols, n, np.int32)
         for c, q in to[0].items():
             root[c] = q
-        t = np.tile(~((root + base) * width), (n + 1, 1))
+        root = (root + base) * width
+        t = np.tile(~root[:width], (n + 1, 1))
         for p, row in enumerate(to):
             for c, q in row.items():
-                t[p, c] = (q + base) * width
+                if c < width:
+                    t[p, c] = (q + base) * width
+                else:
+                    keys.append((p + base) * width * symbols + c)
+                    values.append((q + base) * width)
         parts.append(t)
+        fresh.append(root)
         starts.append(base * width)
         logs.append(np.log2(max(2, len(s))))
+        least.append(_least(s.tolist()))
         base += n + 1
-    return lut, np.concatenate(parts).ravel(), np.array(starts, np.int32), np.array(logs), width
+    far = Sparse(np.array(keys, np.int64), np.array(values, np.int32)) if keys else None
+    return Tables(lut, np.concatenate(parts).ravel(), far, np.array(fresh), np.array(starts, np.int32), np.array(logs), np.array(least), width, symbols)
 
 
 def entropies(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bits a symbol by text and language, whether the text has a letter, its symbols)."""
-    lut, table, starts, logs, width = _tables(model)
+    t = _tables(model)
+    starts, logs, lut = t.starts, t.logs, t.lut
     s, cut, lettered = _symbols(texts, lut)
     n = np.diff(cut)
     blocks = -(-n // BLOCK)
@@ -148,7 +224,16 @@ def entropies(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray, n
     phrases = np.ones(state.shape, np.int32)
     live = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1 if len(size) else 1), side="right")
     for step, k in enumerate(live):
-        v = table[state[:, :k] + s[begin[:k] + step]]
+        c = s[begin[:k] + step]
+        if t.far is None:
+            v = t.near[state[:, :k] + c]
+        else:
+            v = t.near[state[:, :k] + np.minimum(c, t.width - 1)]
+            rare = np.flatnonzero(c >= t.width)
+            if len(rare):
+                x = c[rare].astype(np.int64)
+                u = t.far.get(state[:, rare].astype(np.int64).ravel() * t.symbols + np.tile(x, len(starts))).reshape(len(starts), -1)
+                v[:, rare] = np.where(u >= 0, u, ~t.fresh[:, x])
         sign = v >> 31
         phrases[:, :k] -= sign
         state[:, :k] = v ^ sign
@@ -203,10 +288,10 @@ def identify(docs: DataFrame, model: Model, text: str = "text", prefix: str = "l
         low = np.partition(bits, min(1, bits.shape[1] - 1), axis=1)
         e1, e2 = low[:, 0], low[:, min(1, bits.shape[1] - 1)]
         score = np.ones(len(texts)) if bits.shape[1] == 1 else np.where(e2 > 0, 1 - e1 / np.maximum(e2, 1e-12), 0)
-        logs = _tables(model)[3]
+        t = _tables(model)
         return pd.DataFrame({
             "pred": names[np.where(lettered, best, len(names) - 1)], "score": np.where(lettered, np.clip(score, 0, 1), 0.0),
-            "bits": np.where(lettered, e1, np.nan), "rejected": ~lettered | ((n >= MIN_SYMBOLS) & (e1 * MIN_PHRASE > logs[best])),
+            "bits": np.where(lettered, e1, np.nan), "rejected": ~lettered | ((n >= MIN_SYMBOLS) & (e1 * t.least[best] > t.logs[best])),
         })
 
     out = docs.drop(*(prefix + c for c in ("pred", "score", "bits", "rejected"))).withColumn("_lid", predict(F.col(text).cast("string")))

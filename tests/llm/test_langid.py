@@ -64,3 +64,63 @@ def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     got = QUERIES["op1_language_id"](spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id").collect()
     assert len(got) > 100 and sum(r.lang_pred == r.lang for r in got) / len(got) > 0.98
+
+
+def _speaker(letters, seed):
+    """Texts of a language: words of two to four letters, each letter followed by one of its own few."""
+    rng = np.random.default_rng(seed)
+    after = rng.integers(0, len(letters), (len(letters), 6))
+
+    def text(n):
+        out, x = [], 0
+        for _ in range(n):
+            x = after[x, rng.integers(6)]
+            out.append(letters[x] + (" " if rng.random() < 0.1 else ""))
+        return "".join(out)
+
+    return text
+
+
+def test_languages_of_many_letters(spark):
+    shared = [chr(0x4E00 + i) for i in range(400)]
+    kana = [chr(0x3041 + i) for i in range(80)]
+    hangul = [chr(0xAC00 + i) for i in range(500)]
+    speak = {"en": _speaker(list("etaoinshrdlu"), 0), "ja": _speaker(shared[:250] + kana, 1), "ko": _speaker(hangul, 2), "zh": _speaker(shared, 3)}
+    model = langid.Model(tuple(speak), tuple("\n".join(f(300) for _ in range(96)) for f in speak.values()))
+    texts = [(k, f(n)) for k, f in speak.items() for n in (40, 200, 3000)]
+    unseen = [_speaker([chr(0x1200 + i) for i in range(200)], 4)(n) for n in (40, 200, 3000)]
+    df = spark.createDataFrame([*texts, *((None, t) for t in unseen)], "lang string, text string")
+    got = langid.identify(df, model).collect()
+    assert [r.lang_pred for r in got if r.lang] == [k for k, _ in texts] and not any(r.lang_rejected for r in got if r.lang)
+    assert [r.lang_rejected for r in got if not r.lang] == [True] * 3
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.text(alphabet="thecad onèX9жİıſS\n", max_size=60), min_size=1, max_size=4), st.integers(1, 8))
+def test_columns_do_not_change_the_result(texts, columns):
+    model = langid.Model(("aa", "bb", "cc"), (*MODEL.references, "İıſ İſ ıS the"))
+    given_columns, langid.COLUMNS = langid.COLUMNS, columns
+    langid._tables.cache_clear()
+    try:
+        bits, lettered, _ = langid.entropies(texts, model)
+    finally:
+        langid.COLUMNS = given_columns
+        langid._tables.cache_clear()
+    for t, b, has in zip(texts, bits, lettered):
+        assert np.allclose(b, brute(t, model)) or not has
+
+
+def test_a_language_of_thousands_of_letters_is_not_rejected(spark):
+    rng = np.random.default_rng(0)
+    p = 1 / np.arange(1, 3001)
+    text = lambda n: "".join(chr(0x4E00 + i) for i in rng.choice(3000, n, p=p / p.sum()))
+    model = langid.Model(("en", "zh"), (_speaker(list("etaoinshrdlu"), 0)(28_800), text(28_800)))
+    rows = [(k, t) for k in range(20) for t in (text(500), "".join(chr(0x1200 + i) for i in rng.integers(0, 200, 500)))]
+    got = langid.identify(spark.createDataFrame(rows, "k int, text string"), model).collect()
+    assert all(r.lang_rejected == (r.text[0] < "\u4e00") for r in got)
+
+
+def test_every_letter_of_a_reference_has_a_symbol_of_its_own():
+    text = "".join(chr(i) for i in range(0x110000) if chr(i).isalpha())
+    lut = langid._alphabet([text[::7]])
+    assert all(lut[ord(c)] > 1 for c in text[::7]) and lut[ord("S")] == lut[ord("s")] and lut[ord("9")] == 0
