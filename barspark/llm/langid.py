@@ -244,17 +244,24 @@ def entropies(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray, n
 
 
 def fit(docs: DataFrame, docs_per_language: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> Model:
-    """References from labelled rows that aren't held out: of each language the ``docs_per_language`` documents whose ids
-    have the least hashes, ``chars`` characters of each. The sample is all that the driver receives."""
+    """References from labelled rows with a letter that aren't held out: of each language the ``docs_per_language`` documents
+    whose ids have the least hashes, ``chars`` characters of each from a hashed place of the text, or from its first letter
+    if there is none there. The sample is all that the driver receives."""
     known = F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))
-    counts = {r["lang"]: r["count"] for r in docs.where(known).groupBy("lang").count().collect()}
+    letter = "\\p{L}"
+    lettered = F.col("text").rlike(letter)
+    # the number of distinct ids only sets how much is moved, so that a count within a few hundredths will do
+    counts = {r["lang"]: r["n"] for r in docs.where(known & lettered).groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).collect()}
     if not counts:
         return Model((), ())
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    unit = lambda *x: F.pmod(F.xxhash64("doc_id", *x), F.lit(1 << 40)) / float(1 << 40)
+    place = unit()
     # about four times the sample passes the first cut, so that few texts are moved
-    share = F.element_at(F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 4 * docs_per_language / n)))), F.col("lang"))
-    some = docs.where(known & (place < share)).select("lang", place.alias("place"), "doc_id", F.substring("text", 1, chars).alias("piece"))
-    some = some.where(F.length(F.trim("piece")) > 0)
+    share = F.element_at(F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 4 * docs_per_language / max(1, n))))), F.col("lang"))
+    begin = F.floor(unit(F.lit("piece")) * (F.greatest(F.length("text") - chars, F.lit(0)) + 1)).cast("int") + 1
+    piece = F.col("text").substr(begin, F.lit(chars))
+    piece = F.when(piece.rlike(letter), piece).otherwise(F.regexp_extract("text", f"(?s){letter}.{{0,{chars - 1}}}", 0))
+    some = docs.where(known & (place < share) & lettered).select("lang", place.alias("place"), "doc_id", piece.alias("piece"))
     some = some.groupBy("lang", "place", "doc_id").agg(F.min("piece").alias("piece"))  # repeated ids count once
     rows = some.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("place", "doc_id", "piece"))).alias("x"))
     found = {r.lang: "\n".join(x.piece for x in r.x) for r in rows.select("lang", F.slice("x", 1, docs_per_language).alias("x")).collect()}

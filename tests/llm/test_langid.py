@@ -124,3 +124,22 @@ def test_every_letter_of_a_reference_has_a_symbol_of_its_own():
     text = "".join(chr(i) for i in range(0x110000) if chr(i).isalpha())
     lut = langid._alphabet([text[::7]])
     assert all(lut[ord(c)] > 1 for c in text[::7]) and lut[ord("S")] == lut[ord("s")] and lut[ord("9")] == 0
+
+
+def test_sample_counts_texts_with_letters_once_an_id(spark):
+    from pyspark.sql import functions as F
+
+    n = F.col("id")
+    text = F.when(n < 10, F.concat(F.lit("the cat "), n)).when(n % 3 == 0, "").when(n % 3 == 1, "12 34")
+    blank = spark.range(40_000).select(n.alias("doc_id"), F.lit("few").alias("lang"), text.alias("text"))
+    same = spark.range(40_000).select((n % 10 + 100_000).alias("doc_id"), F.lit("same").alias("lang"), F.lit("le chien").alias("text"))
+    got = langid.fit(blank.union(same))
+    assert got.languages == ("few", "same") and all(4 <= len(x.split("\n")) <= 10 for x in got.references)
+
+
+def test_pieces_are_from_anywhere_in_a_text(spark):
+    rows = [(i, "a", "header " * 100 + f"word{chr(97 + i % 26)} " * 100) for i in range(200)]
+    rows += [(i, "b", "1 " * 5000 + "ends in letters") for i in range(200)]
+    got = dict(zip(*(lambda m: (m.languages, m.references))(langid.fit(spark.createDataFrame(rows, "doc_id long, lang string, text string")))))
+    assert got["a"].count("word") > 500 and got["a"].count("header") > 500 and set(got["b"].split("\n")) == {"ends in letters"}
+    assert max(map(len, got["a"].split("\n"))) == langid.SAMPLE_CHARS
