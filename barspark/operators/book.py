@@ -39,21 +39,23 @@ def seed_levels(book: DataFrame, by: list[str], depth: int, t: str = "ts") -> Da
 
 
 def delta_imbalance(deltas: DataFrame, by: list[str], cadence: int, depth: int, decay: float, seeds: DataFrame | None = None,
-                    t: str = "ts", seq: str = "seq") -> DataFrame:
+                    t: str = "ts", seq: str = "seq", starts: DataFrame | None = None) -> DataFrame:
     """Imbalance of the live book at every ``cadence`` point, quiet ones too (size 0 removes a level).
 
-    ``seeds`` (of ``seed_levels``) are the levels a key starts from; its points count from the seed's time and earlier
-    updates are left out. Without seeds a key starts empty, at the multiple of the cadence before its first update. A
-    point sees the updates strictly before it; the last one follows the last update.
+    ``seeds`` (of ``seed_levels``) are the levels a key starts from and ``starts`` (by, ts) the times of the snapshots, which
+    an empty one has too (by default those of the levels); a key's points count from its snapshot's time and earlier updates
+    are left out. A key without a snapshot starts empty, at the multiple of the cadence before its first update. A point
+    sees the updates strictly before it; the last one follows the last update, and a key without updates has no points.
 
     Updates are reduced to the last size per (side, price, interval) on the map side. A size holds until the level's next
     one, so a level is live on a range of points; the levels of a point and side are ranked by price.
     """
     lvl = [*by, "side_is_bid", "price"]
-    if seeds is None:
-        start = deltas.groupBy(*by).agg((F.floor(F.min(t) / cadence) * cadence).cast("long").alias("__t0"))
-    else:
-        start = seeds.groupBy(*by).agg(F.min("ts").cast("long").alias("__t0"))
+    start = deltas.groupBy(*by).agg((F.floor(F.min(t) / cadence) * cadence).cast("long").alias("__t0"))
+    starts = seeds if starts is None else starts
+    if starts is not None:
+        given = starts.groupBy(*by).agg(F.min("ts").cast("long").alias("__given"))
+        start = start.join(given, by, "left").select(*by, F.coalesce("__given", "__t0").alias("__t0"))
     d = deltas.join(start, by).filter(F.col(t) >= F.col("__t0"))
     d = d.withColumn("k", (F.floor((F.col(t) - F.col("__t0")) / cadence) + 1).cast("long"))
     last = d.groupBy(*lvl, "k").agg(F.max_by("size", F.struct(F.col(t), F.col(seq))).cast("double").alias("size"))

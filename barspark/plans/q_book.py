@@ -89,7 +89,7 @@ def seeded_imbalance(spark, sf):
     """A symbol's book starts from the snapshot at the second trade of the ticker of the same number."""
     w = Window.partitionBy("ticker").orderBy("ts", "seq")
     first = snapshots(spark, sf).filter("ticker < 5").withColumn("k", F.row_number().over(w)).filter("k = 2").withColumnRenamed("ticker", "symbol")
-    return K.delta_imbalance(book_deltas(spark, sf), ["symbol"], CAD, 4, 0.3, K.seed_levels(first, ["symbol"], DEPTH))
+    return K.delta_imbalance(book_deltas(spark, sf), ["symbol"], CAD, 4, 0.3, K.seed_levels(first, ["symbol"], DEPTH), starts=first.select("symbol", "ts"))
 
 
 ACT = """CASE WHEN event_id % 11 < 4 THEN 'A' WHEN event_id % 11 < 6 THEN 'C' WHEN event_id % 11 < 8 THEN 'M' WHEN event_id % 11 = 8 THEN 'F'
