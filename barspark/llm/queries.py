@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from barspark.llm import decontaminate, exact_dedup, html_text, langid, packing, pii, quality, secret_scan, simhash, warc
+from barspark.llm import decontaminate, exact_dedup, html_text, langid, packing, periodic, pii, quality, secret_scan, simhash, warc
 from barspark.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,6 +134,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op10_quality"] = op10_quality
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic.with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return periodic.periodic_runs(docs).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+QUERIES["op11_periodic_runs"] = op11_periodic_runs
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
