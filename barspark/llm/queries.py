@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from barspark.llm import decontaminate, exact_dedup, html_text, langid, packing, periodic, pii, quality, secret_scan, simhash, warc
+from barspark.llm import decontaminate, exact_dedup, html_text, langid, packing, periodic, pii, quality, secret_scan, simhash, vector_codes, warc
 from barspark.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,6 +146,46 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op11_periodic_runs"] = op11_periodic_runs
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, books = vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+    return rows.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+def _vector_codes_sql(parts: int = vector_codes.PARTS, entries: int = vector_codes.ENTRIES, rounds: int = vector_codes.ROUNDS) -> str:
+    def nearest(k: int) -> str:
+        return f"""a{k} AS MATERIALIZED (
+  SELECT z, p, any_value(x) AS x, arg_min(e, {{'d': d, 'e': e}}) AS e, min(d) AS d FROM (
+    SELECT z, part.p, x, e, list_sum(list_transform(list_zip(x, c), y -> (y[1] - y[2]) * (y[1] - y[2]))) AS d FROM part JOIN c{k} USING (p)
+  ) GROUP BY z, p)"""
+
+    def moved(k: int) -> str:
+        return f"""u{k} AS (
+  SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS m FROM (
+    SELECT p, e, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM a{k}, range(1, (SELECT max(len(x)) FROM part) + 1) r(i) GROUP BY p, e, i
+  ) GROUP BY p, e
+), c{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m, c) AS c FROM c{k} LEFT JOIN u{k} USING (p, e))"""
+
+    steps = ",\n".join(f"{nearest(k)}, {moved(k)}" for k in range(rounds))
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS z, list_transform(embedding, x -> CAST(floor(CAST(x AS DOUBLE) * {vector_codes.SCALE}) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), part AS MATERIALIZED (
+  SELECT z, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] AS x FROM kept, range({parts}) r(p)
+), c0 AS MATERIALIZED (SELECT p, z - 1 AS e, x AS c FROM part WHERE z <= {entries}),
+{steps},
+{nearest(rounds)},
+coded AS (SELECT z, string_agg(lower(printf('%02x', e)), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY z)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM c{rounds}) AS codebooks_sha256
+FROM coded JOIN kept USING (z)
+"""
+
+
+QUERIES["op12_vector_codes"] = op12_vector_codes
+ORACLES["op12_vector_codes"] = _vector_codes_sql()
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
