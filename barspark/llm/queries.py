@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from barspark.llm import decontaminate, exact_dedup, html_text, langid, packing, periodic, pii, quality, secret_scan, simhash, vector_codes, warc
+from barspark.llm import (
+    decontaminate, exact_dedup, html_text, langid, mixing, packing, periodic, pii, quality, secret_scan, simhash, vector_codes, warc,
+)
 from barspark.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,7 +157,7 @@ def _vector_codes_sql(parts: int = vector_codes.PARTS, entries: int = vector_cod
     def nearest(k: int) -> str:
         return f"""a{k} AS MATERIALIZED (
   SELECT z, p, any_value(x) AS x, arg_min(e, {{'d': d, 'e': e}}) AS e, min(d) AS d FROM (
-    SELECT z, part.p, x, e, list_sum(list_transform(list_zip(x, c), y -> (y[1] - y[2]) * (y[1] - y[2]))) AS d FROM part JOIN c{k} USING (p)
+    SELECT z, part.p, x, e, list_sum(list_transform(list_zip(x, c), lambda y: (y[1] - y[2]) * (y[1] - y[2]))) AS d FROM part JOIN c{k} USING (p)
   ) GROUP BY z, p)"""
 
     def moved(k: int) -> str:
@@ -168,8 +170,8 @@ def _vector_codes_sql(parts: int = vector_codes.PARTS, entries: int = vector_cod
     steps = ",\n".join(f"{nearest(k)}, {moved(k)}" for k in range(rounds))
     return f"""
 WITH kept AS MATERIALIZED (
-  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS z, list_transform(embedding, x -> CAST(floor(CAST(x AS DOUBLE) * {vector_codes.SCALE}) AS BIGINT)) AS v
-  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS z, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * {vector_codes.SCALE}) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), part AS MATERIALIZED (
   SELECT z, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] AS x FROM kept, range({parts}) r(p)
 ), c0 AS MATERIALIZED (SELECT p, z - 1 AS e, x AS c FROM part WHERE z <= {entries}),
@@ -186,6 +188,54 @@ QUERIES["op12_vector_codes"] = op12_vector_codes
 ORACLES["op12_vector_codes"] = _vector_codes_sql()
 
 
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "shard", "quota")
+
+
+QUERIES["op13_mixing"] = op13_mixing
+ORACLES["op13_mixing"] = rf"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{mixing.WORD}'))::BIGINT AS size, md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM d GROUP BY source
+), w AS MATERIALIZED (SELECT *, [5, 2, 1][(sid % 3 + 1)::INTEGER]::BIGINT AS weight FROM s
+), o AS (
+  -- if all sources before this one, by size for weight, are at their bound: what is left, and the weights that share it
+  SELECT *, row_number() OVER fill AS k, sum(source_size) OVER () - {mixing.MOST_REPEATS} * (sum(source_size) OVER fill - source_size) AS free, sum(weight) OVER () - (sum(weight) OVER fill - weight) AS units
+  FROM w WINDOW fill AS (ORDER BY source_size / weight, sid ROWS UNBOUNDED PRECEDING)
+), price AS MATERIALIZED (SELECT arg_min(free::DOUBLE / units::DOUBLE, k) AS price FROM o WHERE weight * (free::DOUBLE / units::DOUBLE) <= {mixing.MOST_REPEATS} * source_size
+), t AS MATERIALIZED (
+  SELECT w.*, weight * price > {mixing.MOST_REPEATS} * source_size AS capped, least(weight * price, {mixing.MOST_REPEATS}.0::DOUBLE * source_size) AS target FROM w, price
+), seats AS MATERIALIZED (
+  SELECT ((2 * (sum(source_size) - coalesce(sum({mixing.MOST_REPEATS} * source_size) FILTER (capped), 0)) + {mixing.BLOCK_WORDS}) // {2 * mixing.BLOCK_WORDS})::BIGINT AS seats FROM t
+), blocks AS MATERIALIZED (
+  SELECT sid, count(*) AS blocks FROM (
+    SELECT sid, seats, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, sid) AS r FROM (SELECT sid, target, seats, unnest(range(seats)) AS k FROM t, seats WHERE NOT capped)
+  ) WHERE r <= seats GROUP BY sid
+), x AS MATERIALIZED (
+  SELECT d.*, sid, source_size, target, capped, coalesce(blocks, 0) AS blocks,
+    ('0x' || substr(h, 1, 8))::BIGINT % greatest(1, (source_size + {mixing.SHARD_WORDS - 1}) // {mixing.SHARD_WORDS}) AS shard
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN blocks USING (sid)
+), sh AS MATERIALIZED (SELECT sid, shard, sum(size)::BIGINT AS words, any_value(capped) AS capped, any_value(blocks) AS blocks FROM x GROUP BY sid, shard
+), q AS (
+  SELECT sid, shard, count(*) AS quota FROM (
+    SELECT sid, shard, blocks, row_number() OVER (PARTITION BY sid ORDER BY words / (2 * k + 1) DESC, shard) AS r
+    FROM (SELECT *, unnest(range(blocks)) AS k FROM sh WHERE NOT capped AND words > 0)
+  ) WHERE r <= blocks GROUP BY sid, shard
+), y AS (
+  SELECT sid, shard, words, CASE WHEN NOT capped THEN coalesce(quota, 0) END AS quota,
+    CASE WHEN capped THEN {mixing.MOST_REPEATS} * words ELSE least(coalesce(quota, 0) * {mixing.BLOCK_WORDS}, {mixing.MOST_REPEATS} * words) END AS take,
+    ('0x' || substr(md5('{mixing.SEED}:' || sid || ':' || shard), 1, 8))::BIGINT % greatest(1, (words + {mixing.BLOCK_WORDS - 1}) // {mixing.BLOCK_WORDS}) * {mixing.BLOCK_WORDS} AS first
+  FROM sh LEFT JOIN q USING (sid, shard)
+), z AS (
+  SELECT x.*, quota, words, first, take // greatest(words, 1) AS rounds, first + take % greatest(words, 1) AS last,
+    sum(size) OVER (PARTITION BY x.sid, x.shard ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) - size AS pos
+  FROM x JOIN y USING (sid, shard)
+)
+SELECT doc_id, size, source_size, target, shard, quota, (rounds * size + greatest(0, least(pos + size, last, words) - greatest(pos, first)) + greatest(0, least(pos + size, last - words) - pos))::BIGINT AS taken FROM z
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
