@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barspark.operators.prefix import spread, with_chunks
+
 UNB, FOL = Window.unboundedPreceding, Window.unboundedFollowing
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str,
               values: list[str], direction: str = "backward", strict: bool = False,
-              chunk: Callable[[Column], Column] | None = None) -> DataFrame:
+              chunk: int | None = None, clock: str | None = None) -> DataFrame:
     """Left join with the latest right row at or before (``backward``) or the first at or after (``forward``) the
     left time; ``strict`` excludes equal times. ``right`` is unique by (by, right_time).
 
     Both sides are tagged and unioned; the match is the last (first) right row of the ordered union. Right values
-    travel in one struct, so a matched row with NULL fields stays a match. With ``chunk`` (a non-decreasing function
-    of time) a key's series is cut into chunks: each is windowed alone and the nearest match outside it comes from a
-    small per-chunk table, so a hot key is spread over tasks.
+    travel in one struct, so a matched row with NULL fields stays a match. With ``chunk`` (a length of time) a key's series
+    is cut into chunks no longer than that and of bounded size (see ``prefix.with_chunks``): each is windowed alone and the
+    nearest match outside it comes from a small per-chunk table, so a hot key is spread over tasks. Times that are
+    structs name the field that is a whole number in ``clock``.
     """
     if direction not in ("backward", "forward"):
         raise ValueError(direction)
@@ -46,7 +47,7 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str,
         w = Window.partitionBy(*by).orderBy("__t", "__side").rowsBetween(*frame)
         m = u.withColumn("__m", pick("__r", ignorenulls=True).over(w))
     else:
-        u = u.withColumn("__chunk", chunk(F.col("__t")))
+        u = with_chunks(u, by, ["__t", "__side"], chunk, name="__chunk", time=F.col(f"__t.{clock}") if clock else None)
         keys = [*by, "__chunk"]
         w = Window.partitionBy(*keys).orderBy("__t", "__side").rowsBetween(*frame)
         edge = F.max_by if back else F.min_by
@@ -69,38 +70,8 @@ def forward_fill_on_grid(series: DataFrame, by: list[str], t: str, values: list[
 
     Times are whole numbers (minutes, hours). The grid is made in blocks of a bounded number of steps.
     """
-    from barspark.operators.prefix import spread
-
     span = series.groupBy(*by).agg(F.min(t).alias("__a"), F.max(t).alias("__z"))
     steps = F.floor((F.col("__z") - F.col("__a")) / step).cast("long")
     grid = spread(span, F.lit(0).cast("long"), steps, "__k").select(*by, (F.col("__a") + F.col("__k") * step).alias(t))
     src = series.select(*by, F.col(t).alias("__src_t"), *values)
     return asof_join(grid, src, by, t, "__src_t", values)
-
-
-def windowed_sums_at(bars: DataFrame, targets: DataFrame, by: list[str], bar_time: str, sums: dict[str, Column],
-                     target_time: str, offsets: dict[str, int],
-                     chunk: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Running sums of a bar series as known strictly before several instants per target row.
-
-    For each offset name the latest prefix sums strictly before ``target_time - offset`` (``{sum}_{name}``; 0 before
-    the first bar) and the bar's time (``t_{name}``). A windowed sum is the difference of two of them, so the window
-    length costs nothing.
-    """
-    from barspark.operators.prefix import running
-
-    if chunk is None:
-        w = Window.partitionBy(*by).orderBy(bar_time).rowsBetween(UNB, 0)
-        pre = bars.select(*by, F.col(bar_time).alias("__bt"), *[F.sum(c).over(w).alias(n) for n, c in sums.items()])
-    else:
-        pre = running(bars, by, [bar_time], chunk(F.col(bar_time)), {n: ("sum", c) for n, c in sums.items()})
-        pre = pre.select(*by, F.col(bar_time).alias("__bt"), *sums)
-    out = targets
-    for name, off in offsets.items():
-        at = f"__at_{name}"
-        r = pre.select(*by, "__bt", F.col("__bt").alias(f"t_{name}"), *[F.col(s).alias(f"{s}_{name}") for s in sums])
-        vals = [f"t_{name}", *[f"{s}_{name}" for s in sums]]
-        out = asof_join(out.withColumn(at, F.col(target_time) - F.lit(off)), r, by, at, "__bt", vals,
-                        "backward", True, chunk).drop(at)
-    zeros = {f"{s}_{n}": F.coalesce(F.col(f"{s}_{n}"), F.lit(0.0)) for s in sums for n in offsets}
-    return out.withColumns(zeros)

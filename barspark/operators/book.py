@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barspark.operators.asof import asof_join
-from barspark.operators.prefix import exact_quantiles, running, spread
+from barspark.operators.prefix import exact_quantiles, running, spread, with_chunks
 from barspark.session import stored
 
 
@@ -77,7 +76,7 @@ def delta_imbalance(deltas: DataFrame, by: list[str], cadence: int, depth: int,
     return out.select(*by, "sample", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("obi", "bid_levels", "ask_levels")))
 
 
-def _segments(events: DataFrame, by: list[str], chunk: Callable[[Column], Column], t: str, seq: str):
+def _segments(events: DataFrame, by: list[str], chunk: int, t: str, seq: str):
     """The replay that deltas and prints share: order messages with what was taken before them in their segment, one row per
     segment that rests something, those not used up, the clears, and which messages start a segment or take from one."""
     clears = events.filter(F.col("action") == "R").select(*by, F.col(t).alias("__rt"), F.col(seq).alias("__rs"))
@@ -86,8 +85,8 @@ def _segments(events: DataFrame, by: list[str], chunk: Callable[[Column], Column
     key = lambda x, y: F.struct(F.col(x).alias("t"), F.col(y).alias("s"))
     ev = events.filter(F.col("action").isin("A", "C", "M", "F")).withColumn("__k", key(t, seq))
     ev = asof_join(ev, clears.withColumn("__rk", key("__rt", "__rs")), by, "__k", "__rk", ["epoch"],
-                   chunk=lambda k: chunk(k["t"]))
-    ev = ev.withColumn("epoch", F.coalesce("epoch", F.lit(0))).withColumn("__ck", chunk(F.col(t)))
+                   chunk=chunk, clock="t")
+    ev = with_chunks(ev.withColumn("epoch", F.coalesce("epoch", F.lit(0))), by, [t, seq], chunk)
     act, size, sided = F.col("action"), F.col("size").cast("double"), F.col("side").isin("B", "A")
     starts = (act == "M") | ((act == "A") & sided)
     takes = act.isin("C", "F")
@@ -116,7 +115,7 @@ def _cuts(ev: DataFrame, segs: DataFrame, own: list[str], takes: Column) -> Data
     return x.filter((F.col("__n") == 0) | (F.col("has") > 0))
 
 
-def order_events_to_deltas(events: DataFrame, by: list[str], chunk: Callable[[Column], Column], t: str = "ts",
+def order_events_to_deltas(events: DataFrame, by: list[str], chunk: int, t: str = "ts",
                            seq: str = "seq") -> DataFrame:
     """Signed level changes of an order-by-order feed: by, ts, seq, side, price, delta.
 
@@ -124,7 +123,7 @@ def order_events_to_deltas(events: DataFrame, by: list[str], chunk: Callable[[Co
     the book, T is a print without book effect. A side other than B or A rests nothing.
 
     No replay is needed: every A or M starts a segment of its order, inside which C and F only take away, so what is
-    left follows from the segment's size and a running sum of reductions. ``chunk`` (of time) splits the running sums,
+    left follows from the segment's size and a running sum of reductions. ``chunk`` (a length of time) splits the running sums,
     so neither a busy venue nor a busy order id meets one task. Clears cut an order's events into epochs.
     """
     own = [*by, "epoch", "order_id"]
@@ -144,7 +143,7 @@ def order_events_to_deltas(events: DataFrame, by: list[str], chunk: Callable[[Co
     return all_.withColumn("delta", F.col("delta").cast("long"))
 
 
-def trade_prints(events: DataFrame, by: list[str], chunk: Callable[[Column], Column], t: str = "ts", seq: str = "seq") -> DataFrame:
+def trade_prints(events: DataFrame, by: list[str], chunk: int, t: str = "ts", seq: str = "seq") -> DataFrame:
     """Prints with their aggressor side, the opposite of the resting side: by, ts, seq, aggressor, price, size.
 
     Prints are trades (T) and fills (F). A fill of a live order has that order's side and price, any other its own."""

@@ -21,15 +21,38 @@ def time_chunk(t: Column, width: int) -> Column:
     return F.floor(t / F.lit(width)).cast("long")
 
 
-#: Rows of one key that a chunk is to hold at most, on average over its fullest stretch.
+#: Rows of one key that a chunk is to hold, where its stretch of time has more.
 CHUNK_ROWS = 1_000_000
+#: Rows looked at per chunk when its edges are chosen: a chunk's size is within about an eighth of the aim.
+SAMPLES = 64
+FINE = 64
 
 
-def dense_width(df: DataFrame, by: list[str], t: Column, widest: int) -> int:
-    """A chunk width of at most ``widest``, narrower where a key has more than CHUNK_ROWS rows in some stretch of that length.
-    The driver gets one number: the rows of the fullest stretch of any key."""
-    most = df.groupBy(*by, time_chunk(t, widest).alias("__s")).count().agg(F.max("count").alias("m")).first()["m"] or 0
-    return widest if most <= CHUNK_ROWS else max(1, widest * CHUNK_ROWS // most)
+def with_chunks(df: DataFrame, by: list[str], order: list[str], widest: int, rows: int | None = None, name: str = "__ck",
+                time: Column | None = None) -> DataFrame:
+    """Adds a chunk id that does not decrease in ``order``; its first column, or ``time`` in its stead, is a whole-number time.
+
+    A key's series is cut into stretches of ``widest`` time units, and a stretch with more than about ``rows`` rows further at
+    quantiles of its order, so that a burst within a moment, or at one time, is spread like any other. The quantiles are those of a
+    sample that a hash of the row's key and order chooses: whatever task works them out again, the edges are the same, and no job runs
+    while the query is built. What is broadcast are the edges alone: one for CHUNK_ROWS rows, 24 bytes for a million.
+    """
+    rate = max(1, (rows or CHUNK_ROWS) // SAMPLES)
+    at = F.struct(*[F.col(c) for c in order])
+    d = df.withColumn("__st", F.floor((F.col(order[0]) if time is None else time) / F.lit(widest)).cast("long"))
+    sample = d.select(*by, "__st", *order).where(F.pmod(F.xxhash64(*by, *order), F.lit(rate)) == 0)
+    full = sample.groupBy(*by, "__st").agg(F.sort_array(F.collect_list(at)).alias("__e")).where(F.size("__e") >= 2 * SAMPLES)
+    edge = F.transform(F.sequence(F.lit(1), F.floor(F.size("__e") / SAMPLES).cast("int") - 1), lambda k: F.element_at("__e", k * SAMPLES))
+    full = full.select(*by, "__st", edge.alias("__e"))
+    # coarse edges first, then those between two of them
+    coarse = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.size("__e") / FINE).cast("int"))), lambda k: F.element_at("__e", F.least(k * FINE, F.size("__e"))))
+    full = full.withColumn("__big", F.when(F.size("__e") >= FINE, coarse).otherwise(F.slice("__e", 1, 0)))
+    out = d.join(F.broadcast(full), [*by, "__st"], "left")
+    block = F.size(F.filter("__big", lambda e: e < at))
+    inside = F.size(F.filter(F.slice("__e", F.col("__blk") * FINE + 1, F.lit(FINE)), lambda e: e < at))
+    out = out.withColumn("__blk", F.when(F.col("__big").isNotNull(), block).otherwise(0))
+    sub = F.when(F.col("__e").isNotNull(), F.col("__blk") * FINE + inside).otherwise(0)
+    return out.withColumn(name, F.col("__st") * (1 << 20) + sub).select(*df.columns, name)
 
 
 _AGG = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}

@@ -6,17 +6,19 @@ from pyspark.sql import functions as F
 
 from barspark.functions.scalars import eastern_minute, session_anchor_ns
 from barspark.operators import bars as B
-from barspark.operators.prefix import dense_width, running, time_chunk
+from barspark.operators.prefix import running, with_chunks
 from barspark.plans import market as M
 from barspark.plans.registry import query
 
 DAY = M.DAY_US
 SIX_H = DAY // 4
-CHUNK = 3 * DAY  # tape rows of a key are split over chunks of at most three days
+CHUNK = 3 * DAY  # tape rows of a key are split over chunks of at most three days, and fewer where they are dense
+CK = F.col("__ck")
 
 
-def chunk(spark, sf):
-    return time_chunk(F.col("ts"), dense_width(M.tape(spark, sf), ["ticker"], F.col("ts"), CHUNK))
+def chunked(spark, sf):
+    """The tape with chunk ids of each ticker."""
+    return with_chunks(M.tape(spark, sf), ["ticker"], ["ts", "seq"], CHUNK)
 
 
 LIT = """size > 0 AND trf_id = 0 AND (list_has_any(coalesce(conditions, []), [17, 25, 19, 8])
@@ -118,8 +120,8 @@ def cumulative(spark, sf):
           WINDOW w AS (PARTITION BY sign ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)""")
 def cumulative_tape(spark, sf):
     """Running totals over a third and two thirds of the whole tape: two hot keys, split over time chunks."""
-    t = M.tape(spark, sf)
-    return running(t, ["sign"], ["ts", "seq"], time_chunk(F.col("ts"), dense_width(t, ["sign"], F.col("ts"), DAY)), {
+    t = with_chunks(M.tape(spark, sf), ["sign"], ["ts", "seq"], DAY)
+    return running(t, ["sign"], ["ts", "seq"], "__ck", {
         "cum_size": ("sum", F.col("size")), "cum_max": ("max", F.col("price")), "n": ("count", F.col("seq"))})
 
 
@@ -158,12 +160,12 @@ def quantity_sql(q: str, v: float, keep: str = "true") -> str:
 
 @query("C10_volume_bars", QB, quantity_sql("size", 250.0))
 def volume_bars(spark, sf):
-    return B.quantity_bars(M.tape(spark, sf), ["ticker"], 250.0, F.col("size"), chunk(spark, sf))
+    return B.quantity_bars(chunked(spark, sf), ["ticker"], 250.0, F.col("size"), CK)
 
 
 @query("C10_volume_bars_full_only", QB, quantity_sql("size", 250.0, "sum(f) >= 250.0 * (1 - 1e-9)"))
 def volume_bars_full(spark, sf):
-    return B.quantity_bars(M.tape(spark, sf), ["ticker"], 250.0, F.col("size"), chunk(spark, sf), keep_partial=False)
+    return B.quantity_bars(chunked(spark, sf), ["ticker"], 250.0, F.col("size"), CK, keep_partial=False)
 
 
 CENTS = "round(price * 100) * size"
@@ -173,7 +175,7 @@ CENTS = "round(price * 100) * size"
 def dollar_bars(spark, sf):
     """Constant-dollar bars; dollars are whole cents, so the running total is exact."""
     q = F.round(F.col("price") * 100) * F.col("size")
-    return B.quantity_bars(M.tape(spark, sf), ["ticker"], 2_000_000.0, q, chunk(spark, sf))
+    return B.quantity_bars(chunked(spark, sf), ["ticker"], 2_000_000.0, q, CK)
 
 
 # the loop form of imbalance bars as a recursive CTE: one step per (trade, split)
@@ -204,7 +206,7 @@ IMB_SQL = f"""SELECT * FROM ({IMB_SQL} SELECT ticker, fbar AS bar, arg_min(px, i
 
 @query("C12_imbalance_bars", "ticker:i bar:i open:f high:f low:f close:f quantity:f buy:f sell:f start_ts:i end_ts:i", IMB_SQL)
 def imbalance_bars(spark, sf):
-    return B.imbalance_bars(M.tape(spark, sf), ["ticker"], 150.0, F.col("size"), F.col("sign"), chunk(spark, sf))
+    return B.imbalance_bars(chunked(spark, sf), ["ticker"], 150.0, F.col("size"), F.col("sign"), CK)
 
 
 # trade by trade at every rung: a bar closes whenever the sum is a whole threshold away from the level of the last close
@@ -223,7 +225,7 @@ RUNGS = """WITH RECURSIVE t AS (SELECT ticker, row_number() OVER (PARTITION BY t
 
 @query("C13_imbalance_threshold_search", "ticker:i threshold:f n_bars:i", RUNGS)
 def imbalance_threshold(spark, sf):
-    return B.imbalance_thresholds(M.tape(spark, sf), ["ticker"], 12, F.col("size"), F.col("sign"), chunk(spark, sf))
+    return B.imbalance_thresholds(chunked(spark, sf), ["ticker"], 12, F.col("size"), F.col("sign"), CK)
 
 
 W14 = 6 * 3_600_000_000
@@ -239,7 +241,7 @@ W14 = 6 * 3_600_000_000
            FROM a JOIN t USING (ticker, i) GROUP BY 1, 2""")
 def merge_bursts(spark, sf):
     """Bursts at a six-hour window, the tape being sparse; production uses 100 microseconds."""
-    return B.merge_bursts(M.tape(spark, sf).filter("size > 0"), ["ticker"], W14, chunk(spark, sf))
+    return B.merge_bursts(chunked(spark, sf).filter("size > 0"), ["ticker"], W14, CK)
 
 
 HOURS_SQL = """SELECT ticker, date, min(ts) FILTER (list_has_any(coalesce(conditions, []), [17, 25])) AS open_ts,

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barspark.operators import book as K
-from barspark.operators.prefix import dense_width, time_chunk
+from barspark.operators.prefix import time_chunk
 from barspark.plans import market as M
 from barspark.plans.registry import query
 
@@ -99,9 +99,7 @@ MBO = f"""SELECT user_id % 3 AS venue, user_id AS order_id, epoch_us(ts) AS ts,
     CAST(floor(value) AS BIGINT) % 50 AS price, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS size FROM events"""
 
 
-def chunk(events):
-    width = dense_width(events, ["venue"], F.col("ts"), 5 * DAY)
-    return lambda c: time_chunk(c, width)
+CHUNK = 5 * DAY
 
 
 def order_events(spark, sf):
@@ -138,7 +136,7 @@ REPLAY = f"""RECURSIVE m AS ({MBO}),
 @query("J3_order_events_to_level_deltas", "venue:i ts:i seq:i side price:i delta:i", f"SELECT * FROM (WITH {REPLAY} SELECT * FROM moves)")
 def level_deltas(spark, sf):
     e = order_events(spark, sf)
-    return K.order_events_to_deltas(e, ["venue"], chunk(e))
+    return K.order_events_to_deltas(e, ["venue"], CHUNK)
 
 
 @query("J3_trade_prints_with_aggressor", "seq:i aggressor price:i size:i",
@@ -146,7 +144,7 @@ def level_deltas(spark, sf):
            FROM m LEFT JOIN st ON m.action = 'F' AND st.venue = m.venue AND st.order_id = m.order_id AND st.ts = m.ts AND st.seq = m.seq WHERE m.action IN ('T', 'F'))""")
 def prints(spark, sf):
     e = order_events(spark, sf)
-    return K.trade_prints(e, ["venue"], chunk(e))
+    return K.trade_prints(e, ["venue"], CHUNK)
 
 
 @query("J4_consolidated_levels", "bucket:i side price:i size:i",
@@ -154,7 +152,7 @@ def prints(spark, sf):
            SELECT bucket, side, price, sum(d) OVER (PARTITION BY side, price ORDER BY bucket) AS size FROM b WHERE d <> 0)""")
 def consolidated(spark, sf):
     e = order_events(spark, sf)
-    d = K.order_events_to_deltas(e, ["venue"], chunk(e))
+    d = K.order_events_to_deltas(e, ["venue"], CHUNK)
     return K.consolidated_levels(d, [], DAY, time_chunk(F.col("bucket"), 10 * DAY))
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from barspark.functions import features as X, indicators as I
 from barspark.functions.indicators import Series
 from barspark.operators import asof as A
-from barspark.operators.prefix import dense_width, framed, time_chunk
+from barspark.operators.dyadic import trailing_sums
+from barspark.operators.prefix import framed, with_chunks
 from barspark.plans import market as M
 from barspark.plans.ctes import SE
 from barspark.plans.registry import query
@@ -32,8 +33,8 @@ def rolling(spark, sf):
           WINDOW w AS (PARTITION BY sign ORDER BY ts, seq ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)""")
 def rolling_hot(spark, sf):
     """100-trade frames over two keys that hold the whole tape, evaluated in overlapping blocks."""
-    t = M.tape(spark, sf)
-    return framed(t, ["sign"], ["ts", "seq"], time_chunk(F.col("ts"), dense_width(t, ["sign"], F.col("ts"), M.DAY_US)), 100,
+    t = with_chunks(M.tape(spark, sf), ["sign"], ["ts", "seq"], M.DAY_US)
+    return framed(t, ["sign"], ["ts", "seq"], F.col("__ck"), 100,
                   {"m100": F.avg("price"), "hi100": F.max("price")}, block=1000)
 
 
@@ -214,14 +215,12 @@ def pace(spark, sf):
        f"""SELECT seq, (sum(CASE WHEN sign > 0 THEN size ELSE 0 END) OVER w - sum(CASE WHEN sign < 0 THEN size ELSE 0 END) OVER w)
            / nullif(sum(size) OVER w, 0) AS imb FROM tape WINDOW w AS (PARTITION BY ticker ORDER BY ts RANGE BETWEEN {M.DAY_US * 3 - 1} PRECEDING AND CURRENT ROW)""")
 def imbalance(spark, sf):
-    """The difference of two running sums: one up to the trade's time, one before the window. No frame slides over trades."""
-    t, w = M.tape(spark, sf), 3 * M.DAY_US
-    flow = lambda k: F.sum(F.when(F.col("sign") == k, F.col("size")).otherwise(0)).cast("double")
-    at = t.groupBy("ticker", "ts").agg(flow(1).alias("b"), flow(-1).alias("s"))
-    sums, width = {"b": F.col("b"), "s": F.col("s")}, dense_width(t, ["ticker"], F.col("ts"), 10 * M.DAY_US)
-    x = A.windowed_sums_at(at, t.select("seq", "ticker", "ts"), ["ticker"], "ts", sums, "ts", {"now": -1, "lb": w - 1}, lambda c: time_chunk(c, width))
-    b, s = F.col("b_now") - F.col("b_lb"), F.col("s_now") - F.col("s_lb")
-    return x.withColumn("imb", F.when(b + s > 0, (b - s) / (b + s)))
+    """Flows are whole numbers, summed per instant first; no frame slides over trades and no history is subtracted."""
+    flow = lambda k: F.sum(F.when(F.col("sign") == k, F.col("size")).otherwise(0)).cast("long")
+    t = M.tape(spark, sf)
+    at = trailing_sums(t.groupBy("ticker", "ts").agg(flow(1).alias("b"), flow(-1).alias("s")), ["ticker"], "ts", ["b", "s"], 3 * M.DAY_US)
+    b, s = F.col("b"), F.col("s")
+    return t.select("seq", "ticker", "ts").join(at, ["ticker", "ts"]).withColumn("imb", F.when(b + s > 0, (b - s) / (b + s)))
 
 
 @query("F26_past_runner", "ticker:i date max_adr14:f max_atr14:f max_ret14:f",

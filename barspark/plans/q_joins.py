@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from barspark.functions.scalars import div
 from barspark.operators import asof as A
-from barspark.operators.prefix import dense_width, time_chunk
+from barspark.operators.dyadic import grid_sums
 from barspark.operators.universe import breadth, lagged_breadth, with_trading_day
 from barspark.plans import market as M
 from barspark.plans.registry import query
@@ -14,10 +14,7 @@ from barspark.plans.registry import query
 DAY = M.DAY_US
 
 
-def chunk(tape, by=(), widest=3 * DAY):
-    """Time chunks for tape rows of these keys, as narrow as the fullest key asks for."""
-    width = dense_width(tape, list(by), F.col("ts"), widest)
-    return lambda c: time_chunk(c, width)
+CHUNK = 3 * DAY
 
 
 @query("D1_equi_join_ticker_date", "trip_id:i volume:i next_close:f4",
@@ -54,7 +51,7 @@ def asof_strict(spark, sf):
     t = M.tape(spark, sf).withColumn("k", F.lit(1))
     buys = t.filter("sign = 1").select("k", "seq", "ts")
     sells = t.filter("sign = -1").select("k", F.col("ts").alias("bt"), F.col("seq").alias("prev_seq"), F.col("price").alias("prev_price"))
-    return A.asof_join(buys, sells, ["k"], "ts", "bt", ["prev_seq", "prev_price"], "backward", True, chunk(t))
+    return A.asof_join(buys, sells, ["k"], "ts", "bt", ["prev_seq", "prev_price"], "backward", True, CHUNK)
 
 
 @query("D4_asof_forward_inclusive_chunked", "seq:i next_seq:i",
@@ -63,7 +60,7 @@ def asof_strict(spark, sf):
 def asof_fwd_inc(spark, sf):
     t = M.tape(spark, sf).withColumn("k", F.lit(1))
     sells = t.filter("sign = -1").select("k", F.col("ts").alias("bt"), F.col("seq").alias("next_seq"))
-    return A.asof_join(t.filter("sign = 1").select("k", "seq", "ts"), sells, ["k"], "ts", "bt", ["next_seq"], "forward", False, chunk(t))
+    return A.asof_join(t.filter("sign = 1").select("k", "seq", "ts"), sells, ["k"], "ts", "bt", ["next_seq"], "forward", False, CHUNK)
 
 
 @query("D5_lateral_top1", "ticker:i as_of prev_date prev_close:f4",
@@ -104,51 +101,45 @@ def grid(spark, sf):
 LOOK = 5 * DAY
 
 
-def _prefix(sql_cols: str) -> str:
-    pre = f"""WITH bars AS (SELECT ticker, (ts // {DAY}) * {DAY} AS start_us, sum(size) AS v, sum(price * size) AS pv,
-        sum(CASE WHEN sign > 0 THEN price * size ELSE 0 END) AS b, sum(CASE WHEN sign < 0 THEN price * size ELSE 0 END) AS s,
-        sum(price * price * size) AS ppv FROM tape GROUP BY 1, 2),
-      pre AS (SELECT ticker, start_us, sum(v) OVER w AS cv, sum(pv) OVER w AS cpv, sum(b) OVER w AS cb, sum(s) OVER w AS cs,
-        sum(ppv) OVER w AS cppv FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY start_us)),
-      t AS (SELECT seq, ticker, ts FROM tape),
-      n AS (SELECT t.*, cv, cpv, cb, cs, cppv FROM t ASOF LEFT JOIN pre p ON t.ticker = p.ticker AND t.ts > p.start_us),
-      l AS (SELECT n.*, coalesce(p.cv, 0) AS lv, coalesce(p.cpv, 0) AS lpv, coalesce(p.cb, 0) AS lb, coalesce(p.cs, 0) AS ls,
-        coalesce(p.cppv, 0) AS lppv FROM n ASOF LEFT JOIN pre p ON n.ticker = p.ticker AND n.ts - {LOOK} > p.start_us)
-      SELECT {sql_cols} FROM l"""
-    return f"SELECT * FROM ({pre})"
+# day bars in whole cents, and per trade those that begin in [ts - LOOK, ts)
+WINDOW_SQL = f"""WITH bars AS (
+        SELECT ticker, ts // {DAY} AS i, sum(size)::BIGINT AS v, sum(c * size)::BIGINT AS pv, sum(CASE WHEN sign > 0 THEN c * size ELSE 0 END)::BIGINT AS b,
+          sum(CASE WHEN sign < 0 THEN c * size ELSE 0 END)::BIGINT AS s, sum(c * c * size)::HUGEINT AS ppv
+        FROM (SELECT *, CAST(round(price * 100) AS BIGINT) AS c FROM tape) GROUP BY 1, 2),
+      asked AS (SELECT seq, ticker, unnest(range((ts - {LOOK} + {DAY - 1}) // {DAY}, (ts + {DAY - 1}) // {DAY})) AS i FROM tape)
+      SELECT seq, coalesce(sum(v), 0)::BIGINT AS v, sum(pv)::BIGINT AS pv, coalesce(sum(b), 0)::BIGINT AS b, coalesce(sum(s), 0)::BIGINT AS s, sum(ppv)::HUGEINT AS ppv
+      FROM asked LEFT JOIN bars USING (ticker, i) GROUP BY seq"""
 
 
-def day_bars(spark, sf):
-    t = M.tape(spark, sf).withColumn("start_us", F.col("ts") - F.pmod(F.col("ts"), F.lit(DAY)))
-    pv = F.col("price") * F.col("size")
-    return t.groupBy("ticker", "start_us").agg(
-        F.sum("size").cast("double").alias("v"), F.sum(pv).alias("pv"), F.sum(F.when(F.col("sign") > 0, pv).otherwise(0.0)).alias("b"),
-        F.sum(F.when(F.col("sign") < 0, pv).otherwise(0.0)).alias("s"), F.sum(F.col("price") * pv).alias("ppv"))
-
-
-def prefix_at(spark, sf, cols):
-    t = M.tape(spark, sf).select("seq", "ticker", "ts")
-    return A.windowed_sums_at(day_bars(spark, sf), t, ["ticker"], "start_us", {c: F.col(c) for c in cols}, "ts",
-                              {"now": 0, "lb": LOOK}, chunk(t, ["ticker"], 10 * DAY))
+def day_window(spark, sf, cols):
+    """Each trade with exact sums over the day bars that begin in the LOOK before it."""
+    t = M.tape(spark, sf).withColumn("c", F.round(F.col("price") * 100).cast("long"))
+    c, q, wide = F.col("c"), F.col("size"), "decimal(38,0)"
+    side = lambda k: F.when(F.col("sign") == k, c * q).otherwise(0)
+    sums = {"v": F.sum(q), "pv": F.sum(c * q), "b": F.sum(side(1)), "s": F.sum(side(-1)), "ppv": F.sum((c * c * q).cast("decimal(28,0)")).cast(wide)}
+    bars = t.groupBy("ticker", F.expr(f"ts div {DAY}").alias("i")).agg(*[sums[k].alias(k) for k in cols])
+    asked = t.select("seq", "ticker", F.expr(f"(ts - {LOOK} + {DAY - 1}) div {DAY}").alias("lo"), F.expr(f"(ts + {DAY - 1}) div {DAY}").alias("hi"))
+    return grid_sums(bars, asked, ["ticker"], "i", cols, "lo", "hi", LOOK // DAY + 1)
 
 
 @query("D9_windowed_sums_from_prefix", "seq:i volume:f imbalance:f",
-       _prefix("seq, cv - lv AS volume, ((cb - lb) - (cs - ls)) / nullif((cb - lb) + (cs - ls), 0) AS imbalance"))
+       f"SELECT seq, v AS volume, (b - s)::DOUBLE / nullif(b + s, 0) AS imbalance FROM ({WINDOW_SQL})")
 def windowed_sums(spark, sf):
-    x = prefix_at(spark, sf, ["v", "b", "s"])
-    b, s = F.col("b_now") - F.col("b_lb"), F.col("s_now") - F.col("s_lb")
-    return x.withColumns({"volume": F.col("v_now") - F.col("v_lb"), "imbalance": div(b - s, b + s)})
+    x = day_window(spark, sf, ["v", "b", "s"])
+    b, s = (F.coalesce(F.col(k), F.lit(0)) for k in "bs")
+    return x.withColumns({"volume": F.coalesce(F.col("v"), F.lit(0)), "imbalance": div(b - s, b + s)})
 
 
 @query("F25_vwma_and_z_reference", "seq:i ref_price:f4 ref_var:f2",
-       _prefix("""seq, CASE WHEN cv - lv > 0 THEN (cpv - lpv) / (cv - lv) END AS ref_price,
-       CASE WHEN cv - lv > 1 THEN greatest(0, ((cppv - lppv) - (cv - lv) * ((cpv - lpv) / (cv - lv)) ** 2) / (cv - lv - 1)) END AS ref_var"""))
+       f"""SELECT seq, CASE WHEN v > 0 THEN pv::DOUBLE / (v * 100.0::DOUBLE) END AS ref_price,
+           CASE WHEN v > 1 THEN (v * ppv - pv::HUGEINT * pv)::DOUBLE / (v * (v - 1) * 10000.0::DOUBLE) END AS ref_var FROM ({WINDOW_SQL})""")
 def vwma_reference(spark, sf):
-    x = prefix_at(spark, sf, ["v", "pv", "ppv"])
-    n, num, sq = (F.col(f"{c}_now") - F.col(f"{c}_lb") for c in ("v", "pv", "ppv"))
-    mean = num / n
-    var = F.greatest(F.lit(0.0), (sq - n * mean * mean) / (n - 1))
-    return x.withColumns({"ref_price": F.when(n > 0, num / n), "ref_var": F.when(n > 1, var)})
+    """Volume-weighted mean and variance of the price in the window; the moments are whole numbers, so nothing cancels."""
+    x = day_window(spark, sf, ["v", "pv", "ppv"])
+    n, pv = F.col("v"), F.col("pv")
+    spread = n.cast("decimal(18,0)") * F.col("ppv").cast("decimal(20,0)") - pv.cast("decimal(19,0)") * pv.cast("decimal(19,0)")
+    return x.withColumns({"ref_price": F.when(n > 0, pv / (n * 100.0)),
+                          "ref_var": F.when(n > 1, spread.cast("double") / (n * (n - 1) * 10000.0))})
 
 
 @query("D10_index_context_dense_grid", "seq:i hour:i idx_price:f",

@@ -4,8 +4,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from barspark.operators import prefix
 from barspark.operators.asof import asof_join, forward_fill_on_grid
 from barspark.operators.prefix import exact_quantiles, framed, ntile_of, ranked, running, time_chunk
 
@@ -91,7 +93,7 @@ def test_asof_matches_brute_force(spark, direction, strict, chunked):
     right = [(k, t, None if t % 7 == 0 else t * 10) for k, t in right]
     L = spark.createDataFrame(left, "k string, lt long, id long")
     R = spark.createDataFrame(right, "k string, rt long, v long").withColumn("m", F.col("rt"))
-    ch = (lambda c: time_chunk(c, 25)) if chunked else None
+    ch = 25 if chunked else None
     got = {x["id"]: (x["m"], x["v"]) for x in asof_join(L, R, ["k"], "lt", "rt", ["m", "v"], direction, strict, ch).collect()}
     assert len(got) == len(left)
     for k, t, i in left:
@@ -120,8 +122,6 @@ def test_many_cuts_are_looked_up_like_few(spark):
 
 
 def test_ranges_follow_the_row_count(spark, monkeypatch):
-    from barspark.operators import prefix
-
     monkeypatch.setattr(prefix, "RANGE_ROWS", 50)
     df = spark.range(10_000).select(F.col("id").cast("double").alias("v"), (F.col("id") % 3).alias("g"), "id")
     assert len(prefix.value_cuts(df, "v")) == 199
@@ -129,14 +129,41 @@ def test_ranges_follow_the_row_count(spark, monkeypatch):
     assert all(r["rn"] == r["rk"] == r["id"] // 3 + 1 for r in got) and len(got) == 10_000
 
 
-def test_chunks_follow_the_fullest_key(spark, monkeypatch):
-    """One key with 95 % of the rows: its chunks are narrowed until each holds a bounded number of them."""
-    from barspark.operators import prefix
-
-    monkeypatch.setattr(prefix, "CHUNK_ROWS", 200)
-    df = spark.range(20_000).select(F.when(F.col("id") % 20 == 0, F.col("id")).otherwise(-1).alias("k"), (F.col("id") * 7).alias("t"), F.col("id").alias("seq"))
-    width = prefix.dense_width(df, ["k"], F.col("t"), 50_000)
-    per = df.groupBy("k", prefix.time_chunk(F.col("t"), width).alias("c")).count().agg(F.max("count")).first()[0]
-    assert width < 50_000 and per <= 400 and prefix.dense_width(df.limit(0), ["k"], F.col("t"), 50_000) == 50_000
-    got = prefix.running(df, ["k"], ["t"], prefix.time_chunk(F.col("t"), width), {"n": ("count", F.col("seq"))}).where("k = -1").agg(F.max("n"), F.countDistinct("n")).first()
-    assert tuple(got) == (19_000, 19_000)
+def burst(spark, n=20_000):
+    """A key whose rows lie to 95 % in one minute of two days (and a tenth of them at one microsecond), and a quiet key."""
+    f = F.col("id")
+    t = F.when(f % 20 == 0, f * 8_000_000).when(f % 10 == 1, F.lit(5_000_000_000)).otherwise(5_000_000_000 + (f * 7919) % 60_000_000)
+    hot = spark.range(n).select(F.lit("hot").alias("k"), t.alias("t"), f.alias("seq"))
+    return hot.unionByName(spark.range(300).select(F.lit("quiet").alias("k"), (f * 9_000_000).alias("t"), f.alias("seq")))
+
+
+def test_a_burst_meets_no_chunk_over_twice_the_aim(spark):
+    day = 86_400_000_000
+    df = prefix.with_chunks(burst(spark), ["k"], ["t", "seq"], day, rows=1024)
+    per = {(r.k, r["__ck"]): r["count"] for r in df.groupBy("k", "__ck").count().collect()}
+    assert max(per.values()) <= 2048 and sum(k == "quiet" for k, _ in per) == 1 and len(per) > 12
+    down = Window.partitionBy("k").orderBy("t", "seq")
+    assert df.withColumn("b", F.lag("__ck").over(down)).where("b > __ck").isEmpty()
+    got = prefix.running(df, ["k"], ["t", "seq"], "__ck", {"n": ("count", F.col("seq"))}).where("k = 'hot'").agg(F.max("n"), F.countDistinct("n")).first()
+    assert tuple(got) == (20_000, 20_000)
+
+
+def test_chunk_edges_do_not_depend_on_the_tasks(spark):
+    """Rows in another order and other partitions get the same chunks, and building the query runs no job."""
+    df = burst(spark)
+    first = prefix.with_chunks(df, ["k"], ["t", "seq"], 10**10, rows=640)
+    again = prefix.with_chunks(df.repartition(7, "seq").sortWithinPartitions(F.desc("t")), ["k"], ["t", "seq"], 10**10, rows=640)
+    assert first.exceptAll(again).isEmpty() and first.select("__ck").distinct().count() > 20
+    spark.sparkContext.setJobGroup("building", "no job")
+    prefix.with_chunks(df, ["k"], ["t", "seq"], 10**10)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("building")
+    spark.sparkContext.setJobGroup("tests", "")
+
+
+def test_an_asof_join_crosses_the_chunks_of_a_burst(spark, monkeypatch):
+    monkeypatch.setattr(prefix, "CHUNK_ROWS", 640)
+    df = burst(spark, 8000).groupBy("k", "t").agg(F.max("seq").alias("seq"))
+    right = df.where("seq % 40 = 0").select("k", F.col("t").alias("rt"), F.col("seq").alias("rseq"))
+    whole = asof_join(df, right, ["k"], "t", "rt", ["rseq"])
+    parts = asof_join(df, right, ["k"], "t", "rt", ["rseq"], chunk=10**10)
+    assert whole.exceptAll(parts).isEmpty() and parts.count() == whole.count()
