@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barspark.functions.scalars import floor_bucket
-from barspark.operators.prefix import UNB, running, spread
+from barspark.operators.asof import asof_join
+from barspark.operators.prefix import UNB, running, spread, with_chunks
 from barspark.session import stored
 
 # Trade condition codes of the US consolidated tape.
@@ -125,25 +126,28 @@ def order_flow_bars(trades: DataFrame, by: list[str], width: int, t: str = "ts",
                     *_vwap_std(), "trade_count", "buy_dollar_volume", "sell_dollar_volume")
 
 
-def two_pass_bars(trades: DataFrame, by: list[str], width: int, t: str = "ts") -> DataFrame:
-    """VWAP and deviation per fixed-length bucket with the centred (second pass) variance.
+def moment_bars(trades: DataFrame, by: list[str], width: int, t: str = "ts", per_unit: int = 100) -> DataFrame:
+    """VWAP and volume-weighted deviation per fixed-length bucket in one pass, as precise as a second pass about the mean.
 
-    The second pass needs the first one's mean: bar means are joined back to the trades by bucket and the squared
-    deviations are summed, which keeps full precision for prices far from zero.
+    A price is a whole number k of ticks (``per_unit`` make one unit of price) and a remainder. Moments of k are whole numbers, so they add up exactly and merge in
+    any order, on the map side too; the spread about the mean, n * sum(k^2) - sum(k)^2, is exact, whatever the price level. The
+    remainders, at most half a tick, add their own small moments. Sizes are whole numbers; a bucket without size has NULLs.
     """
     d = trades.withColumn("bucket", floor_bucket(F.col(t), width))
-    p, q = F.col("price"), F.col("size")
-    first = d.groupBy(*by, "bucket").agg(
-        F.sum(q).alias("volume"), (F.sum(p * q) / F.nullif(F.sum(q).cast("double"), F.lit(0.0))).alias("vwap"),
-        F.count(F.lit(1)).alias("trade_count"),
-    )
-    second = (
-        d.select(*by, "bucket", "price", "size").join(first.select(*by, "bucket", "vwap"), [*by, "bucket"])
-        .groupBy(*by, "bucket")
-        .agg(F.sum(q * (p - F.col("vwap")) * (p - F.col("vwap"))).alias("__ss"))
-    )
-    sd = F.sqrt(F.col("__ss") / F.nullif(F.col("volume").cast("double"), F.lit(0.0)))
-    return first.join(second, [*by, "bucket"]).withColumn("vwstd", sd).drop("__ss")
+    q = F.col("size").cast("long")
+    tick = F.lit(float(per_unit))
+    k = F.round(F.col("price") * tick).cast("long")
+    rest = F.col("price") - k / tick
+    wide = lambda c: c.cast("decimal(19,0)")
+    g = d.groupBy(*by, "bucket").agg(
+        F.sum(q).alias("volume"), F.count(F.lit(1)).alias("trade_count"), F.sum(wide(q * k)).cast("decimal(28,0)").alias("__k"),
+        F.sum((wide(q * k) * wide(k)).cast("decimal(38,0)")).alias("__kk"), F.sum(q * rest).alias("__d"),
+        F.sum(q * k * rest).alias("__kd"), F.sum(q * rest * rest).alias("__dd"))
+    n, sk, sd = F.nullif(F.col("volume").cast("double"), F.lit(0.0)), F.col("__k").cast("double"), F.col("__d")
+    apart = (F.col("volume").cast("decimal(18,0)") * F.col("__kk") - F.col("__k") * F.col("__k")).cast("double")
+    m2 = apart / n / (tick * tick) + 2 * (F.col("__kd") - sk * sd / n) / tick + F.col("__dd") - sd * sd / n
+    return g.select(*by, "bucket", "volume", ((sk / tick + sd) / n).alias("vwap"), "trade_count",
+                    F.sqrt(F.greatest(m2, F.lit(0.0)) / n).alias("vwstd"))
 
 
 def resample(bars: DataFrame, by: list[str], t: str, width: int) -> DataFrame:
@@ -378,46 +382,46 @@ def imbalance_thresholds(trades: DataFrame, by: list[str], min_bars: int, quanti
             return found
 
 
-def merge_bursts(trades: DataFrame, by: list[str], window: int, chunk: Column, t: str = "ts",
+def anchors(times: DataFrame, by: list[str], window: int, widest: int, t: str = "ts") -> DataFrame:
+    """(by, t): the times that begin a group, if a group takes all times less than ``window`` after its first one.
+
+    ``times`` is unique by key and time. A time after a gap of at least the window begins a group for certain. From such heads
+    the others are reached by pointers: every time points to the first one at least a window later, if no head comes before
+    that. In each round what has been reached follows the pointers, and the pointers are doubled, so the groups of a burst of m are found in log2 m
+    rounds of joins by (key, time), which no key or burst makes uneven. Rounds go to the shared folder.
+    """
+    d = with_chunks(times.select(*by, t), by, [t], widest)
+    d = running(d, by, [t], "__ck", {"__prev": ("last", F.col(t))}, inclusive=False)
+    d = d.select(*by, t, (F.col("__prev").isNull() | (F.col(t) - F.col("__prev") >= window)).alias("__head"))
+    d = stored(d)
+    later = d.select(*by, F.col(t).alias("__next"), F.col(t).alias("__at"), F.col("__head").alias("__stop"))
+    jump = asof_join(d.withColumn("__from", F.col(t) + window), later, by, "__from", "__at", ["__next", "__stop"], "forward", chunk=widest)
+    jump = stored(jump.filter(~F.col("__stop")).select(*by, t, "__next"))
+    reached = d.filter("__head").select(*by, t)
+    while not jump.isEmpty():
+        reached = stored(reached.unionByName(reached.join(jump, [*by, t]).select(*by, F.col("__next").alias(t))))
+        onward = jump.select(*by, F.col(t).alias("__next"), F.col("__next").alias("__then"))
+        jump = stored(jump.join(onward, [*by, "__next"]).select(*by, t, F.col("__then").alias("__next")))
+    return reached
+
+
+def merge_bursts(trades: DataFrame, by: list[str], window: int, widest: int, t: str = "ts",
                  seq: str = "seq") -> DataFrame:
-    """Merge trades less than ``window`` after the FIRST trade of their group.
+    """Merge trades less than ``window`` after the FIRST trade of their group (see ``anchors``).
 
-    A gap of at least the window always starts a group, so the tape splits exactly at such gaps into bursts and only a
-    burst needs the anchor rule. A burst shorter than the window is one group and stays in SQL; only runs that keep
-    chaining are walked in order, one task per burst (not per key, so a hot key still spreads).
+    Trades of one time are added up first. Ordered scans are cut into chunks of at most ``widest`` time units and of bounded
+    size, so a burst of any length spreads over tasks.
     """
-    d = trades.withColumn("__ck", chunk)
-    d = running(d, by, [t, seq], "__ck", {"__prev": ("last", F.col(t))}, inclusive=False)
-    gap = F.when(F.col("__prev").isNull() | (F.col(t) - F.col("__prev") >= window), 1).otherwise(0)
-    d = running(d.withColumn("__g", gap), by, [t, seq], "__ck", {"__burst": ("sum", F.col("__g"))})
-    spans = d.groupBy(*by, "__burst").agg(F.min(t).alias("__a"), F.max(t).alias("__z"))
-    d = d.join(spans, [*by, "__burst"])
-    short = d.filter(F.col("__z") - F.col("__a") < window).withColumn("anchor", F.col("__a"))
-    chained = d.filter(F.col("__z") - F.col("__a") >= window)
-    cols = [*by, "__burst", t, seq, "price", "size", "anchor"]
-    types = {f.name: f.dataType.simpleString() for f in d.schema.fields}
-    schema = ", ".join(f"`{c}` {types.get(c, 'bigint')}" for c in cols)
-
-    def walk(table):
-        import numpy as np
-        import pyarrow as pa
-
-        table = table.sort_by([(t, "ascending"), (seq, "ascending")])
-        ts = table[t].to_numpy()
-        anchors = np.empty(len(ts), dtype=np.int64)
-        i = 0
-        while i < len(ts):
-            j = np.searchsorted(ts, ts[i] + window, side="left")
-            anchors[i:j] = ts[i]
-            i = j
-        return table.append_column("anchor", pa.array(anchors))
-
-    src = chained.select(*[c for c in cols if c != "anchor"])
-    merged = short.select(*cols).unionByName(src.groupBy(*by, "__burst").applyInArrow(walk, schema))
-    key = F.struct(F.col(t), F.col(seq))
     p, q = F.col("price"), F.col("size")
-    return merged.groupBy(*by, "anchor").agg(
-        F.sum(q).alias("size"), (F.sum(p * q) / F.nullif(F.sum(q).cast("double"), F.lit(0.0))).alias("vwap"),
-        F.min_by(p, key).alias("first_price"), F.max_by(p, key).alias("last_price"),
-        F.count(F.lit(1)).alias("trade_count"), F.max(t).alias("end_ts"),
+    at = trades.groupBy(*by, t).agg(
+        F.sum(q).alias("size"), F.sum(p * q).alias("__pq"), F.min_by(p, seq).alias("first_price"), F.max_by(p, seq).alias("last_price"),
+        F.count(F.lit(1)).alias("trade_count"))
+    at = stored(at)
+    firsts = anchors(at, by, window, widest, t).withColumn("__a", F.col(t))
+    d = with_chunks(at.join(firsts, [*by, t], "left"), by, [t], widest)
+    d = running(d, by, [t], "__ck", {"anchor": ("last", F.col("__a"))})
+    return d.groupBy(*by, "anchor").agg(
+        F.sum("size").alias("size"), (F.sum("__pq") / F.nullif(F.sum("size").cast("double"), F.lit(0.0))).alias("vwap"),
+        F.min_by("first_price", t).alias("first_price"), F.max_by("last_price", t).alias("last_price"),
+        F.sum("trade_count").alias("trade_count"), F.max(t).alias("end_ts"),
     )

@@ -13,7 +13,6 @@ from barspark.plans.registry import query
 DAY = M.DAY_US
 SIX_H = DAY // 4
 CHUNK = 3 * DAY  # tape rows of a key are split over chunks of at most three days, and fewer where they are dense
-CK = F.col("__ck")
 
 
 def chunked(spark, sf):
@@ -136,11 +135,11 @@ def order_flow(spark, sf):
 
 @query("C9_two_pass_bars", "ticker:i bucket:i volume:i vwap:f vwstd:f trade_count:i",
        f"""WITH t AS (SELECT *, ts // {DAY} AS bucket FROM tape WHERE size > 0),
-           m AS (SELECT ticker, bucket, sum(size) AS volume, sum(price * size) / sum(size) AS vwap, count(*) AS n FROM t GROUP BY 1, 2)
+           m AS (SELECT ticker, bucket, sum(size) AS volume, sum(CAST(round(price * 100) AS BIGINT) * size)::DOUBLE / 100.0::DOUBLE / sum(size)::DOUBLE AS vwap, count(*) AS n FROM t GROUP BY 1, 2)
            SELECT ticker, bucket, any_value(volume) AS volume, any_value(vwap) AS vwap, any_value(n) AS trade_count,
              sqrt(sum(size * (price - vwap) ** 2) / any_value(volume)) AS vwstd FROM t JOIN m USING (ticker, bucket) GROUP BY 1, 2""")
 def two_pass(spark, sf):
-    return B.two_pass_bars(M.tape(spark, sf).filter("size > 0"), ["ticker"], DAY)
+    return B.moment_bars(M.tape(spark, sf).filter("size > 0"), ["ticker"], DAY)
 
 
 QB = "ticker:i bar:i open:f high:f low:f close:f volume:f trade_count:i start_ts:i end_ts:i"
@@ -160,12 +159,12 @@ def quantity_sql(q: str, v: float, keep: str = "true") -> str:
 
 @query("C10_volume_bars", QB, quantity_sql("size", 250.0))
 def volume_bars(spark, sf):
-    return B.quantity_bars(chunked(spark, sf), ["ticker"], 250.0, F.col("size"), CK)
+    return B.quantity_bars(chunked(spark, sf), ["ticker"], 250.0, F.col("size"), F.col("__ck"))
 
 
 @query("C10_volume_bars_full_only", QB, quantity_sql("size", 250.0, "sum(f) >= 250.0 * (1 - 1e-9)"))
 def volume_bars_full(spark, sf):
-    return B.quantity_bars(chunked(spark, sf), ["ticker"], 250.0, F.col("size"), CK, keep_partial=False)
+    return B.quantity_bars(chunked(spark, sf), ["ticker"], 250.0, F.col("size"), F.col("__ck"), keep_partial=False)
 
 
 CENTS = "round(price * 100) * size"
@@ -175,7 +174,7 @@ CENTS = "round(price * 100) * size"
 def dollar_bars(spark, sf):
     """Constant-dollar bars; dollars are whole cents, so the running total is exact."""
     q = F.round(F.col("price") * 100) * F.col("size")
-    return B.quantity_bars(chunked(spark, sf), ["ticker"], 2_000_000.0, q, CK)
+    return B.quantity_bars(chunked(spark, sf), ["ticker"], 2_000_000.0, q, F.col("__ck"))
 
 
 # the loop form of imbalance bars as a recursive CTE: one step per (trade, split)
@@ -206,7 +205,7 @@ IMB_SQL = f"""SELECT * FROM ({IMB_SQL} SELECT ticker, fbar AS bar, arg_min(px, i
 
 @query("C12_imbalance_bars", "ticker:i bar:i open:f high:f low:f close:f quantity:f buy:f sell:f start_ts:i end_ts:i", IMB_SQL)
 def imbalance_bars(spark, sf):
-    return B.imbalance_bars(chunked(spark, sf), ["ticker"], 150.0, F.col("size"), F.col("sign"), CK)
+    return B.imbalance_bars(chunked(spark, sf), ["ticker"], 150.0, F.col("size"), F.col("sign"), F.col("__ck"))
 
 
 # trade by trade at every rung: a bar closes whenever the sum is a whole threshold away from the level of the last close
@@ -225,7 +224,7 @@ RUNGS = """WITH RECURSIVE t AS (SELECT ticker, row_number() OVER (PARTITION BY t
 
 @query("C13_imbalance_threshold_search", "ticker:i threshold:f n_bars:i", RUNGS)
 def imbalance_threshold(spark, sf):
-    return B.imbalance_thresholds(chunked(spark, sf), ["ticker"], 12, F.col("size"), F.col("sign"), CK)
+    return B.imbalance_thresholds(chunked(spark, sf), ["ticker"], 12, F.col("size"), F.col("sign"), F.col("__ck"))
 
 
 W14 = 6 * 3_600_000_000
@@ -241,7 +240,7 @@ W14 = 6 * 3_600_000_000
            FROM a JOIN t USING (ticker, i) GROUP BY 1, 2""")
 def merge_bursts(spark, sf):
     """Bursts at a six-hour window, the tape being sparse; production uses 100 microseconds."""
-    return B.merge_bursts(chunked(spark, sf).filter("size > 0"), ["ticker"], W14, CK)
+    return B.merge_bursts(M.tape(spark, sf).filter("size > 0"), ["ticker"], W14, CHUNK)
 
 
 HOURS_SQL = """SELECT ticker, date, min(ts) FILTER (list_has_any(coalesce(conditions, []), [17, 25])) AS open_ts,

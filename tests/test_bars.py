@@ -1,7 +1,10 @@
 """Bar construction against plain loops over small tapes."""
 
 import datetime as dt
+import math
 import random
+import re
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,7 +96,6 @@ def test_imbalance_threshold_search(spark):
     df = spark.createDataFrame(rows, TAPE)
     got = {x["ticker"]: x for x in B.imbalance_thresholds(
         df, ["ticker"], 15, F.col("size"), F.col("sign"), time_chunk(F.col("ts"), 2000)).collect()}
-    import math
     for k in ("hot", "cold"):
         o = ordered(rows, k)
         th = max(1.0, 2.0 ** round(math.log2(max(1.0, sum(x[4] for x in o) / 15))))
@@ -109,10 +111,63 @@ def test_imbalance_threshold_search(spark):
 def test_merge_bursts_is_anchored_on_the_first_trade(spark):
     rows = [("a", t, i, 10.0 + i, 1, 1) for i, t in enumerate([0, 60, 99, 100, 150, 199, 200, 900])]
     df = spark.createDataFrame(rows, TAPE)
-    got = B.merge_bursts(df, ["ticker"], 100, time_chunk(F.col("ts"), 90)).orderBy("anchor").collect()
+    got = B.merge_bursts(df, ["ticker"], 100, 90).orderBy("anchor").collect()
     assert [(g["anchor"], g["trade_count"]) for g in got] == [(0, 3), (100, 3), (200, 1), (900, 1)]
 
 
+def loop_anchors(times, window):
+    out = []
+    for t in sorted(times):
+        if not out or t - out[-1] >= window:
+            out.append(t)
+    return out
+
+
+def test_anchors_are_those_of_the_loop(spark):
+    """Random tapes with gaps, ties of time, long chains; negative times; a key of one trade."""
+    rng = random.Random(3)
+    keys = {k: sorted({rng.choice([rng.randrange(-500, 4000), 10_000 + rng.randrange(60)]) for _ in range(n)}) for k, n in {"a": 900, "b": 40, "c": 1}.items()}
+    df = spark.createDataFrame([(k, t) for k, ts in keys.items() for t in ts], "k string, ts long")
+    for window in (1, 7, 100):
+        got = {}
+        for r in B.anchors(df, ["k"], window, 300).collect():
+            got.setdefault(r.k, []).append(r.ts)
+        assert {k: sorted(v) for k, v in got.items()} == {k: loop_anchors(ts, window) for k, ts in keys.items()}
+
+
+def test_one_burst_of_many_trades_meets_no_large_task(spark, monkeypatch):
+    """A chain of 60,000 trades without a gap: chunks of about 2,048 rows, the groups of the loop, no Python in the plan."""
+    from barspark.operators import prefix
+
+    monkeypatch.setattr(prefix, "CHUNK_ROWS", 2048)
+    df = spark.range(60_000).select(F.lit("a").alias("ticker"), (F.col("id") * 3 + F.pmod(F.xxhash64("id"), F.lit(3))).alias("ts"), F.col("id").alias("seq"),
+                                    F.lit(10.0).alias("price"), F.lit(2).cast("long").alias("size"))
+    per = prefix.with_chunks(df, ["ticker"], ["ts"], 10**9).groupBy("__ck").count().agg(F.max("count"), F.count("*")).first()
+    assert per[0] <= 4096 and per[1] > 20
+    out = B.merge_bursts(df, ["ticker"], 100, 10**9)
+    assert not re.search("Python|Arrow|Pandas", out._jdf.queryExecution().executedPlan().toString())
+    got = out.collect()
+    times = [r.ts for r in df.select("ts").collect()]
+    assert sorted(r.anchor for r in got) == loop_anchors(times, 100) and sum(r.trade_count for r in got) == 60_000
+
+
+def test_moments_are_as_precise_as_a_second_pass(spark):
+    """Prices of a million plus hundredths, and plus what no tick holds; sizes of zero."""
+    rng = random.Random(5)
+    for digits in (2, 9):
+        rows = [("a", rng.randrange(3) * 10, i, round(1e6 + rng.random(), digits), rng.choice([0, 1, 300, 10**6]), 1) for i in range(2000)] + [("z", 5, 1, 7.0, 0, 1)]
+        got = {(r.ticker, r.bucket): r for r in B.moment_bars(spark.createDataFrame(rows, TAPE), ["ticker"], 10).collect()}
+        for b in range(3):
+            mine = [(Fraction(r[3]), r[4]) for r in rows if r[0] == "a" and r[1] // 10 == b]
+            n = sum(q for _, q in mine)
+            mean = sum(p * q for p, q in mine) / n
+            sd = math.sqrt(sum(q * (p - mean) ** 2 for p, q in mine) / n)
+            r = got["a", b]
+            assert r.volume == n and r.trade_count == len(mine) and abs(r.vwap - float(mean)) < 1e-9
+            assert r.vwstd == pytest.approx(sd, rel=1e-9)
+        assert got["z", 0].vwap is None and got["z", 0].vwstd is None and got["z", 0].volume == 0
+
+
 def test_condition_codes(spark):
     rows = [(1, 5, 0, [8, 32], True), (2, 5, 0, [32], False), (3, 5, 0, None, True), (4, 5, 0, [], True), (5, 0, 0, [], False),
             (6, 5, 201, [17], False), (7, 5, 0, [12, 37], True), (8, 5, 0, [53], False)]

@@ -48,3 +48,8 @@ def test_window_stacks_share_a_shuffle(spark, name, most):
 def test_no_cross_joins(spark, name):
     p = plan(spark, name)
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+def test_moments_take_one_scan_and_one_exchange(spark):
+    p = plan(spark, "C9_two_pass_bars")
+    assert exchanges(p) == 1 and p.count("Scan parquet") == 1 and "SortAggregate" not in p and "partial_" in p
