@@ -42,7 +42,11 @@ def _once(sql: str) -> str:
     return sql if "RECURSIVE" in sql else re.sub(r"\b(\w+) AS \((?=\s*(?:SELECT|WITH)\b)", r"\1 AS MATERIALIZED (", sql)
 
 
-def with_ctes(sql: str) -> str:
+#: Shared subqueries of some sixty columns.
+WIDE = ("feat", "sfeat", "tfeat")
+
+
+def with_ctes(sql: str, also: list[str]) -> str:
     """Prefix the shared CTEs a statement names, in dependency order."""
     order: list[str] = []
 
@@ -54,8 +58,15 @@ def with_ctes(sql: str) -> str:
                     order.append(name)
 
     need(sql)
-    head = ",\n".join(f"{n} AS MATERIALIZED ({_once(CTES[n])})" for n in order)
-    return f"WITH {head}\n" if head else ""
+    # a wide subquery keeps only the columns that the output or some text after it names
+    head, words = [], set(re.findall(r"\w+", sql)) | set(also)
+    for n in reversed(order):
+        body = _once(CTES[n])
+        if n in WIDE:
+            body = f"SELECT COLUMNS('^({'|'.join(sorted(words))})$') FROM ({body})"
+        head.append(f"{n} AS MATERIALIZED ({body})")
+        words |= set(re.findall(r"\w+", CTES[n]))
+    return f"WITH {', '.join(reversed(head))}\n" if head else ""
 
 
 def finish_sql(sql: str, spec: str) -> str:
@@ -68,7 +79,7 @@ def finish_sql(sql: str, spec: str) -> str:
             s = f"1e{int(kind[1:] or 6)}"
             e = f"floor(CAST({e} AS DOUBLE)*{s}+0.5)/{s}"
         cols.append(f'{e} AS "{name}"')
-    return f"{with_ctes(sql)}SELECT {', '.join(cols)} FROM ({_once(sql)}) AS result"
+    return f"{with_ctes(sql, [name for name, _ in _fields(spec)])}SELECT {', '.join(cols)} FROM ({_once(sql)}) AS result"
 
 
 def query(name: str, spec: str, sql: str | None = None):
