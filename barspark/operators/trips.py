@@ -1,7 +1,7 @@
 """Trips: from entry events to exits, P&L and derived ratios.
 
 Exits that depend on a fixed bar offset are windows. Exits that depend on the entry are found in the series itself: each
-session's (or episode's) bars form one sorted array, every entry looks ahead in it for its first exit bar, and only
+session's (or episode's) bars form one sorted array, every entry finds its first exit bar in it by index (``passage``), and only
 finished trips leave the row. An array is as long as the calendar allows, and no (trip, bar) rows are produced.
 """
 
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barspark.functions.indicators import FOL, UNB, Series
+from barspark.operators.passage import Rule, above, below, extremes, first_index, first_passage, least_between, once, whenever
 
 
 def time_exit(s: Series, hold: int) -> dict[str, Column]:
@@ -42,7 +43,8 @@ def _series_arrays(df: DataFrame, by: list[str], order: str, entry: Column, bar:
 def first_exit(df: DataFrame, by: list[str], order: str, entry: Column, bar: list[str], ent: list[str],
                rules: list[tuple[str, Callable[[Column, Column], Column], Callable[[Column, Column], Column]]],
                max_hold: int | None = None, final: str = "moc") -> DataFrame:
-    """Trips that end at the first later bar on which a rule holds.
+    """Trips that end at the first later bar on which a rule holds, for conditions on entry and bar together that no index
+    serves and holds of a few bars (``max_hold``); see ``passage_exit`` for levels.
 
     ``rules`` are (reason, condition(entry, bar), fill(entry, bar)) in priority order; bars after the entry bar only.
     Without any hit the trip ends at the last bar's close with reason ``final``. Output: by, the entry fields, exit_i,
@@ -78,16 +80,19 @@ def first_exit(df: DataFrame, by: list[str], order: str, entry: Column, bar: lis
     )
 
 
-def frozen_stop_rules(moc: int, buffer: float = 0.0, time_stop: int = 0) -> list:
+def frozen_stop_rules(moc: int, buffer: float = 0.0, time_stop: int = 0) -> list[Rule]:
     """EMA below the level frozen at entry, then the time stop, then the close of the session; all fill at the close."""
-    px = lambda e, b: b["close"]
-    rules = [("stop", lambda e, b: b["ema"] < e["stop_level"] * (1.0 - buffer), px)]
+    rules = [below("stop", lambda b: b["ema"], lambda e: e["stop_level"] * (1.0 - buffer), _close)]
     if time_stop:
-        rules.append(("time_stop", lambda e, b: b["minute"] >= e["minute"] + time_stop, px))
-    rules.append(("moc", lambda e, b: b["minute"] >= moc, px))
+        rules.append(above("time_stop", lambda b: b["minute"], lambda e: e["minute"] + time_stop, _close))
+    rules.append(above("moc", lambda b: b["minute"], lambda e: F.lit(moc), _close))
     return rules
 
 
+def _close(e: Column, b: Column) -> Column:
+    return b["close"]
+
+
 @dataclass(frozen=True)
 class RichExit:
     """Intraday exits in priority order. An unset rule is off."""
@@ -105,50 +110,53 @@ class RichExit:
     time_stop: int = 0
     short: bool = False
 
-    def rules(self) -> list:
-        close = lambda e, b: b["close"]
+    def rules(self) -> list[Rule]:
+        col = lambda c: lambda b: b[c]
         out = []
+        level = lambda e: e["stop_level"]
         if self.stop == "close":
-            out.append(("stop", lambda e, b: b["close"] <= e["stop_level"], close))
+            out.append(below("stop", col("close"), level, _close, strict=False))
         elif self.stop == "low":
-            out.append(("stop", lambda e, b: b["low"] <= e["stop_level"],
-                        lambda e, b: F.least(e["stop_level"], b["open"])))
+            out.append(below("stop", col("low"), level, lambda e, b: F.least(e["stop_level"], b["open"]), strict=False))
         elif self.stop == "ema":
-            out.append(("stop", lambda e, b: b["ema"] < e["stop_level"], close))
+            out.append(below("stop", col("ema"), level, _close))
         elif self.stop == "trail_ema":
-            out.append(("stop", lambda e, b: b["ema"] < b["ema_low20_p"], close))
+            out.append(whenever("stop", lambda b: b["ema"] < b["ema_low20_p"], _close))
         if self.ema_pct_stop:
             k = self.ema_pct_stop
-            out.append(("ema_pct_stop", (lambda e, b: b["ema"] > e["ema"] * (1 + k)) if self.short else (lambda e, b: b["ema"] < e["ema"] * (1 - k)), close))
+            out.append(above("ema_pct_stop", col("ema"), lambda e: e["ema"] * (1 + k), _close, strict=True) if self.short
+                       else below("ema_pct_stop", col("ema"), lambda e: e["ema"] * (1 - k), _close))
         if self.max_close_stop is not None:
             top = 1 + self.max_close_stop
-            out.append(("max_close_stop", lambda e, b: b["close"] > e["max_close"] * top, close))
+            out.append(above("max_close_stop", col("close"), lambda e: e["max_close"] * top, _close, strict=True))
         if self.pct_stop:
-            p = self.pct_stop
-            if self.short:
-                out.append(("pct_stop", lambda e, b: b["high"] >= e["entry_price"] * (1 + p),
-                            lambda e, b: F.greatest(e["entry_price"] * (1 + p), b["open"])))
-            else:
-                out.append(("pct_stop", lambda e, b: b["low"] <= e["entry_price"] * (1 - p),
-                            lambda e, b: F.least(e["entry_price"] * (1 - p), b["open"])))
+            at = lambda e: e["entry_price"] * (1 + self.pct_stop if self.short else 1 - self.pct_stop)
+            out.append(above("pct_stop", col("high"), at, lambda e, b: F.greatest(at(e), b["open"])) if self.short
+                       else below("pct_stop", col("low"), at, lambda e, b: F.least(at(e), b["open"]), strict=False))
         if self.vol_stop:
-            out.append(("vol_stop", lambda e, b: b["vol20"] < e["vol20"] * self.vol_stop, close))
+            out.append(below("vol_stop", col("vol20"), lambda e: e["vol20"] * self.vol_stop, _close))
         if self.vol_slope_stop is not None:
-            out.append(("vol_slope_stop", lambda e, b: b["vol_slope"] < self.vol_slope_stop, close))
+            out.append(below("vol_slope_stop", col("vol_slope"), lambda e: F.lit(self.vol_slope_stop), _close))
         if self.exhaust_mult:
             m = self.exhaust_mult
-            out.append(("exhaust", lambda e, b: (b["volume"] >= e["permin"] * m) & (b["high"] > b["sess_hi_p"]), close))
+            out.append(above("exhaust", lambda b: F.when(b["high"] > b["sess_hi_p"], b["volume"]), lambda e: e["permin"] * m, _close))
         if self.vwap_bars:
-            out.append(("vwap_lost", lambda e, b: (b["above_vwap_p"] >= self.vwap_bars) & (b["ema"] < b["vwap"]), close))
+            out.append(whenever("vwap_lost", lambda b: (b["above_vwap_p"] >= self.vwap_bars) & (b["ema"] < b["vwap"]), _close))
         if self.target:
             tgt = self.target
-            out.append(("target", lambda e, b: b["low"] <= b[tgt], lambda e, b: F.least(b[tgt], b["open"])))
+            out.append(whenever("target", lambda b: b["low"] <= b[tgt], lambda e, b: F.least(b[tgt], b["open"])))
         if self.time_stop:
-            out.append(("time_stop", lambda e, b: b["minute"] >= e["minute"] + self.time_stop, close))
-        out.append(("moc", lambda e, b: b["minute"] >= self.moc, close))
+            out.append(above("time_stop", col("minute"), lambda e: e["minute"] + self.time_stop, _close))
+        out.append(above("moc", col("minute"), lambda e: F.lit(self.moc), _close))
         return out
 
 
+def passage_exit(df: DataFrame, by: list[str], order: str, entry: Column, bar: list[str], ent: list[str], rules: list[Rule],
+                 final: str = "moc") -> DataFrame:
+    """Trips from the ``entry`` bars of each series to the first later bar on which a rule holds (``passage.first_passage``)."""
+    return first_passage(_series_arrays(df, by, order, entry, [*bar, "close"], ent), by, order, ent, rules, final)
+
+
 def channel_target_exit(df: DataFrame, by: list[str], entry: Column, mode: str, hold: int, frac: float = 1.0,
                         mirror: bool = False) -> DataFrame:
     """Exit at the prior-window closing extreme (``high_n``; ``low_n`` mirrored) within ``hold`` bars.
@@ -208,109 +216,136 @@ class StopPlan:
     short: bool = False
 
 
-_STATE = "struct<level:double,mark:double,held:int,trig:int,px:double,reason:string>"
 _BAR = ["date", "open", "high", "low", "close", "stop_low", "stop_high", "atr_log", "atr_now", "tight_log", "rvol", "pct_up",
         "rng_hi", "rng_lo", "atr_lin"]
 
 
-def _state(level, mark, held, trig, px, reason) -> Column:
-    return F.struct(level.alias("level"), mark.alias("mark"), held.alias("held"), trig.alias("trig"),
-                    px.alias("px"), reason.alias("reason")).cast(_STATE)
-
+def _stop_index(p: StopPlan) -> tuple[dict[str, Column], dict[str, Column], Callable[[Column], Column] | None]:
+    """(tables, tables made of those, index of the stop bar of an entry) of a plan.
 
-def _step(p: StopPlan, e: Column, a: Column, b: Column) -> Column:
-    """State after holding through bar ``b``. ``trig`` is the bar that decides the exit; ``px`` is set where it fills
-    on that very bar, otherwise the trip sells at the next open."""
-    null = F.lit(None)
-    entry = e["close"]
+    A level that ratchets is the tightest of its candidates so far, so an entry is stopped by whichever candidate after it
+    is reached first: each bar's own candidate has one first passage, whatever the entry, and an entry asks for the least
+    of them from its own bar on. A distance that depends on the later bar's tier has a passage for each tier.
+    """
     sgn = -1.0 if p.short else 1.0
-    worse = F.least if p.short else F.greatest  # the tighter of two stop levels
-    adverse = b["high"] if p.short else b["low"]
-    breach = lambda lvl: (adverse >= lvl) if p.short else (adverse <= lvl)
-    level, mark = a["level"], a["mark"]
-    new_level, new_mark = level, mark
-    hit = F.lit(False)
+    kind, reached = ("max", lambda x, lvl: x >= lvl) if p.short else ("min", lambda x, lvl: x <= lvl)
+    adverse = lambda b: b["high"] if p.short else b["low"]
+    table = {"__adv": extremes(F.transform("bars", adverse), kind)}
+    size = F.size("bars")
+    # the bar after bar j (from 0) is j + 1; an entry's i counts from 1, so it is the place of the bar after it
     if p.mode == "window_low":
-        ref = b["stop_high"] if p.short else b["stop_low"]
-        floor = e["high"] if p.short else e["low"]
-        lvl = (F.least if p.short else F.greatest)(ref, floor) if p.entry_floor else ref
-        hit = breach(lvl)
-    elif p.mode in ("atr_ratchet", "fixed_pct", "inv_atr"):
-        frac = {"atr_ratchet": F.lit(p.k) * b["atr_log"], "fixed_pct": F.lit(p.pct),
-                "inv_atr": F.least(F.lit(0.95), F.lit(p.pct * p.ref_atr) / F.nullif(b["atr_log"], F.lit(0.0)))}[p.mode]
-        cand = b["close"] * (1.0 - F.lit(sgn) * frac)
-        if p.break_even:
-            cand = F.when(cand.isNotNull(), (F.greatest if p.short else F.least)(cand, entry))
-        hit = breach(level)
-        new_level = worse(level, cand)  # NULL-skipping: the first candidate sets the level
-    elif p.mode in ("regime", "ladder"):
-        width = F.lit(p.width)
-        for floor, w in sorted(p.tiers):
-            width = F.when(b["atr_log"] >= floor, F.lit(w)).otherwise(width)
-        m = F.coalesce(mark, entry)
-        hit = breach(m * (1.0 - F.lit(sgn) * width))
-        new_mark = worse(m, b["close"])
-    hit = F.coalesce(hit, F.lit(False))
-    gain = F.lit(sgn) * (b["close"] / entry - 1.0)
-    held = a["held"] + 1
-    out = _state(new_level, new_mark, held, null, null, null)
-    sell = lambda why: _state(new_level, new_mark, held, b["i"], null, F.lit(why))
-    yes = lambda c: F.coalesce(c, F.lit(False))
-    if p.max_hold:
-        out = F.when(held >= p.max_hold, sell("time_stop")).otherwise(out)
+        ref = "stop_high" if p.short else "stop_low"
+        own = {"__win": extremes(F.transform("bars", lambda b: F.when(reached(adverse(b), b[ref]), 1)), "max")}
+        win = lambda e: first_index(F.col("__win"), e["i"], lambda x: x >= 1)
+        if not p.entry_floor:
+            return own, {}, win
+        floor = lambda e: first_index(F.col("__adv"), e["i"], lambda x: reached(x, e["high" if p.short else "low"]))
+        return table | own, {}, lambda e: F.least(win(e), floor(e))
+    if p.mode in ("atr_ratchet", "fixed_pct", "inv_atr"):
+        frac = {"atr_ratchet": lambda b: F.lit(p.k) * b["atr_log"], "fixed_pct": lambda b: F.lit(p.pct),
+                "inv_atr": lambda b: F.least(F.lit(0.95), F.lit(p.pct * p.ref_atr) / F.nullif(b["atr_log"], F.lit(0.0)))}[p.mode]
+        cand = lambda b: b["close"] * (1.0 - F.lit(sgn) * frac(b))
+        later = {"__next": extremes(F.transform("bars", lambda b, j: first_index(F.col("__adv"), j + 1, lambda x: reached(x, cand(b)))), "min")}
+        if not p.break_even:
+            return table, later, lambda e: least_between(F.col("__next"), e["i"], size)
+        # from the first candidate beyond the entry on, the entry itself is the level
+        table["__cand"] = extremes(F.transform("bars", cand), "min" if p.short else "max")
+
+        def capped(e: Column) -> Column:
+            free = first_index(F.col("__cand"), e["i"], lambda x: x <= e["close"] if p.short else x >= e["close"])
+            even = first_index(F.col("__adv"), free + 1, lambda x: reached(x, e["close"]))
+            return F.least(least_between(F.col("__next"), e["i"], F.coalesce(free, size)), F.when(free.isNotNull(), even))
+
+        return table, later, capped
+    if p.mode in ("regime", "ladder"):
+        def width(b: Column) -> Column:
+            out = F.lit(p.width)
+            for floor, w in sorted(p.tiers):
+                out = F.when(b["atr_log"] >= floor, F.lit(w)).otherwise(out)
+            return out
+
+        widths = sorted({p.width, *(w for _, w in p.tiers)})
+        of_tier = lambda w: lambda b: F.when(width(b) == w, adverse(b))
+        table = {f"__adv{k}": extremes(F.transform("bars", of_tier(w)), kind) for k, w in enumerate(widths)}
+        first = lambda b, j: [first_index(F.col(f"__adv{k}"), j + 1, lambda x, w=w: reached(x, b["close"] * (1.0 - sgn * w))) for k, w in enumerate(widths)]
+        least = lambda cols: F.least(*cols) if len(cols) > 1 else cols[0]
+        return table, {"__next": extremes(F.transform("bars", lambda b, j: least(first(b, j))), "min")}, lambda e: least_between(F.col("__next"), e["i"] - 1, size)
+    return {}, {}, None
+
+
+def _plan_rules(p: StopPlan) -> list[Rule]:
+    """The target and the exits after the stop, in order of priority; all but the target sell at the next open."""
+    sgn = -1.0 if p.short else 1.0
+    kind = "max" if p.short else "min"  # the close that gains least
+    gain = lambda e, x: F.lit(sgn) * (x / e["close"] - 1.0)
+    none = lambda e, b: F.lit(None)
+    rules = []
+    if p.target > 0:
+        level = lambda e: e["close"] * (1.0 + F.lit(sgn * p.target))
+        name = "target_next_open" if p.target_next_open else "target"
+        rules.append(below(name, lambda b: b["low"], level, none, strict=False) if p.short else above(name, lambda b: b["high"], level, none))
+    if p.disaster:
+        rules.append(Rule("disaster", lambda b: F.when(b["atr_now"] > p.disaster[0], b["close"]), kind, lambda e, x: gain(e, x) < p.disaster[1], none))
+    if p.expansion is not None:
+        # the range above its own low and above the entry, each over the ATR: the first is the bar's, the second a level
+        wide = lambda b: (b["atr_log"] > 0) & F.coalesce((F.ln(b["rng_hi"]) - F.ln(b["rng_lo"])) / b["atr_log"] > p.expansion, b["rng_lo"].isNull())
+        rules.append(Rule("expansion", lambda b: F.when(wide(b), F.ln(b["rng_hi"]) - p.expansion * b["atr_log"]), "max", lambda e, x: x > F.ln(e["close"]), none))
     if p.exhaustion:
         x = p.exhaustion
-        move = F.lit(sgn) * b["pct_up"]
-        cond = (gain < x["max_gain"]) & (b["tight_log"] > x["tight"]) & (
-            ((b["rvol"] > x["rvol"]) & (move > x["lo"])) | (b["rvol"].isNotNull() & (move > x["hi"])))
-        if x.get("min_atr", 0) > 0:
-            cond = cond & (b["atr_log"] > x["min_atr"])
-        out = F.when(yes(cond), sell("exhaustion")).otherwise(out)
-    if p.expansion is not None:
-        stretch = F.greatest(F.lit(0.0), F.ln(b["rng_hi"]) - F.ln(F.greatest(b["rng_lo"], entry)))
-        out = F.when(yes(stretch / F.nullif(b["atr_log"], F.lit(0.0)) > p.expansion), sell("expansion")).otherwise(out)
-    if p.disaster:
-        out = F.when(yes((b["atr_now"] > p.disaster[0]) & (gain < p.disaster[1])), sell("disaster")).otherwise(out)
-    out = F.when(hit, sell("stop")).otherwise(out)
-    if p.target > 0:
-        lvl = entry * (1.0 + F.lit(sgn * p.target))
-        reached = (b["low"] <= lvl) if p.short else (b["high"] >= lvl)
-        if p.target_next_open:
-            out = F.when(reached, sell("target_next_open")).otherwise(out)
-        else:
-            fill = (F.least if p.short else F.greatest)(lvl, b["open"])
-            out = F.when(reached, _state(new_level, new_mark, held, b["i"], fill, F.lit("target"))).otherwise(out)
-    return out
+
+        def worn(b: Column) -> Column:
+            move = F.lit(sgn) * b["pct_up"]
+            cond = (b["tight_log"] > x["tight"]) & (((b["rvol"] > x["rvol"]) & (move > x["lo"])) | (b["rvol"].isNotNull() & (move > x["hi"])))
+            return cond & (b["atr_log"] > x["min_atr"]) if x.get("min_atr", 0) > 0 else cond
+
+        rules.append(Rule("exhaustion", lambda b: F.when(worn(b), b["close"]), kind, lambda e, v: gain(e, v) < x["max_gain"], none))
+    return rules
 
 
 def plan_exit(df: DataFrame, by: list[str], entry: Column, plan: StopPlan, keep: list[str] = []) -> DataFrame:
-    """Hold every entry (filled at its close) under a ``StopPlan``: a fold over the bars after the entry, inside the
-    JVM. Priority on one bar: target, stop, disaster, expansion, exhaustion, time."""
+    """Hold every entry (filled at its close) under a ``StopPlan``. Every exit is a first passage found by index, so an entry
+    costs a few look-ups however long it is held. Priority on one bar: target, stop, disaster, expansion, exhaustion, time."""
     g = _series_arrays(df, by, "date", entry, _BAR, ["close", "high", "low", *keep])
-    null = F.lit(None)
-    init = _state(null, null, F.lit(0), null, null, null)
-
-    def trip(e):
-        n = F.greatest(F.size("bars") - e["i"], F.lit(1))
+    rules = _plan_rules(plan)
+    tables, later, stop = _stop_index(plan)
+    tables = tables | {f"__x{r}": extremes(F.transform("bars", rule.value), rule.kind) for r, rule in enumerate(rules)}
+    g = once(once(g, tables), later)
+
+    def hits(e: Column) -> dict[str, Column]:
+        out = {rule.name: first_index(F.col(f"__x{r}"), e["i"], lambda x, rule=rule: rule.test(e, x)) for r, rule in enumerate(rules)}
+        if stop is not None:
+            target = {n: c for n, c in out.items() if n.startswith("target")}
+            out = target | {"stop": stop(e)} | {n: c for n, c in out.items() if n not in target}
         if plan.max_hold:
-            n = F.least(n, F.lit(plan.max_hold))
-        later = F.slice("bars", e["i"] + 1, n)
-        end = F.aggregate(later, init, lambda a, b: F.when(a["trig"].isNotNull(), a).otherwise(_step(plan, e, a, b)))
-        return F.struct(e.alias("e"), end.alias("s"))
+            at = e["i"] + (plan.max_hold - 1)
+            out["time_stop"] = F.when(at < F.size("bars"), at)
+        return out
+
+    names: list[str] = []
+
+    def trip(e: Column) -> Column:
+        found = hits(e)
+        names[:] = found
+        return F.struct(e.alias("e"), F.struct(*[c.cast("int").alias(n) for n, c in found.items()] or [F.lit(None).cast("int").alias("none")]).alias("h"))
 
     t = g.select(*by, "bars", F.explode(F.transform("entries", trip)).alias("t"))
-    e, s = F.col("t.e"), F.col("t.s")
-    last = F.element_at("bars", -1)
-    here = F.get("bars", s["trig"] - 1)
-    nxt = F.get("bars", s["trig"])
-    same = s["px"].isNotNull()
-    done = s["trig"].isNotNull() & (same | nxt.isNotNull())
+    each = [F.col(f"t.h.{n}") for n in names] or [F.lit(None).cast("int")]
+    t = t.withColumn("at", F.least(*each) if len(each) > 1 else each[0])
+    e, at, last = F.col("t.e"), F.col("at"), F.element_at("bars", -1)
+    reason = F.lit(None).cast("string")
+    for n, c in reversed(list(zip(names, each))):
+        reason = F.when(c == at, n).otherwise(reason)
+    here, nxt = F.get("bars", at), F.get("bars", at + 1)
+    level = e["close"] * (1.0 + F.lit((-1.0 if plan.short else 1.0) * plan.target))
+    fill = (F.least if plan.short else F.greatest)(level, here["open"])
+    same = F.coalesce(reason == "target", F.lit(False))
+    done = at.isNotNull() & (same | nxt.isNotNull())
     return t.select(
         *by, e["i"].alias("entry_i"), e["date"].alias("entry_date"), e["close"].alias("entry_price"),
         *[e[k].alias(k) for k in keep],
         F.when(done, F.when(same, here["date"]).otherwise(nxt["date"])).otherwise(last["date"]).alias("exit_date"),
-        F.when(done, F.when(same, s["px"]).otherwise(nxt["open"])).otherwise(last["close"]).alias("exit_price"),
-        F.when(done, s["reason"]).otherwise(F.lit("mtm")).alias("exit_reason"),
+        F.when(done, F.when(same, fill).otherwise(nxt["open"])).otherwise(last["close"]).alias("exit_price"),
+        F.when(done, reason).otherwise(F.lit("mtm")).alias("exit_reason"),
     )
 
 

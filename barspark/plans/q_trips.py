@@ -217,7 +217,7 @@ def frozen_stop(spark, sf):
     x = X.vwap_run_features(X.session_features(M.sessions(spark, sf)))
     cfg = T.VwapReclaim(min_run=3, min_tight=1.5)
     x = x.withColumn("stop_level", cfg.stop_level()).withColumn("entry_price", F.col("close"))
-    return R.first_exit(x, ["ticker", "session"], "minute", cfg.fires(), ["close", "ema"], ["entry_price", "stop_level"],
+    return R.passage_exit(x, ["ticker", "session"], "minute", cfg.fires(), ["close", "ema"], ["entry_price", "stop_level"],
                         R.frozen_stop_rules(900, 0.002, 120))
 
 
@@ -266,7 +266,7 @@ ENTF = ["entry_price", "stop_level", "vol20", "permin", "ema", "max_close"]
 
 
 def rich(spark, sf, exit_):
-    return R.first_exit(rich_inputs(spark, sf), ["ticker", "session"], "minute", enters(), BAR, ENTF, exit_.rules())
+    return R.passage_exit(rich_inputs(spark, sf), ["ticker", "session"], "minute", enters(), BAR, ENTF, exit_.rules())
 
 
 @query("H8_geometry_stop_and_volume_exits", IT,

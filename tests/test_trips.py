@@ -106,7 +106,7 @@ def test_timed_pullback_is_a_loop_over_bars(spark, seed):
 def test_entry_bar_is_exempt_and_stop_precedes_close(spark):
     rows = [("a", 1, 600, 10.0, 10.0, 8.0, 9.0, 1), ("a", 1, 601, 9.0, 9.0, 7.0, 7.0, 1)]
     x = spark.createDataFrame(rows, BAR).withColumns({"entry_price": F.col("close"), "stop_level": F.lit(9.5)})
-    t = R.first_exit(x, ["ticker", "session"], "minute", F.col("minute") == 600, ["open", "low", "close"], ["entry_price", "stop_level"],
+    t = R.passage_exit(x, ["ticker", "session"], "minute", F.col("minute") == 600, ["open", "low", "close"], ["entry_price", "stop_level"],
                      R.RichExit(moc=601, stop="low").rules()).first()
     assert (t["exit_at"], t["exit_price"], t["exit_reason"]) == (601, 9.0, "stop")
 
