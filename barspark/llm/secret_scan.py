@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barspark.llm.common import ROW, keyed
+from barspark.operators.passage import extremes, first_index, once
 from barspark.session import stored
 
 KINDS = ("assign", "access", "hex", "random")
@@ -35,6 +36,7 @@ OTHER = len(ALPHABET)
 SYMBOLS = OTHER + 1
 #: Ordinary by label: long words, and numbers (of cards, of accounts, times).
 ORDINARY = "^([A-Za-z]+|[0-9]+)$"
+BLOCK = 512
 #: Mean log-likelihood ratio per character, in nats, from which a token counts as random.
 THRESHOLD = 0.35
 SMOOTHING = 0.5
@@ -45,7 +47,11 @@ def _text(c: Column) -> Column:
 
 
 def spans(text: Column, pattern: str, kind: str, passes=None, rare: bool = True) -> Column:
-    """array<struct<s, k, e, v>> of the matches of a pattern: start, place of the kind, end (code points), the match."""
+    """array<struct<s, k, e, v>> of the matches of a pattern: start, place of the kind, end (code points), the match.
+
+    Positions are running totals. An array that grows by a match is copied each time, so matches are taken in blocks of
+    BLOCK, and only whole blocks are appended to each other: linear in the text up to millions of matches.
+    """
     between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     empty = F.array().cast("array<struct<s:int,k:int,e:int,v:string>>")
     pairs = F.zip_with(between, found, lambda piece, v: F.struct(F.char_length(piece).alias("p"), F.char_length(v).alias("n"), v.alias("v")))
@@ -55,8 +61,19 @@ def spans(text: Column, pattern: str, kind: str, passes=None, rare: bool = True)
         span = F.struct(start.alias("s"), F.lit(KINDS.index(kind)).alias("k"), (start + x["n"]).alias("e"), x["v"].alias("v"))
         return F.struct((start + x["n"]).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
+    def moved(m: Column, by: Column) -> Column:
+        return F.struct((m["s"] + by).alias("s"), m["k"].alias("k"), (m["e"] + by).alias("e"), m["v"].alias("v"))
+
+    def append(acc: Column, block: Column) -> Column:
+        own = F.aggregate(block, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)
+        return F.aggregate(F.array(own), acc, lambda a, x: F.struct(
+            (a["at"] + x["at"]).alias("at"), F.concat(a["out"], F.array(F.transform(x["out"], lambda m: moved(m, a["at"])))).alias("out")))
+
     # the piece after the last match has no partner
-    taken = F.aggregate(F.filter(pairs, lambda x: x["v"].isNotNull()), F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    cut = F.transform(F.array(F.filter(pairs, lambda x: x["v"].isNotNull())), lambda all_: F.transform(
+        F.sequence(F.lit(0), F.floor(F.size(all_) / BLOCK).cast("int")), lambda i: F.slice(all_, i * BLOCK + 1, BLOCK)))
+    none = F.array().cast("array<array<struct<s:int,k:int,e:int,v:string>>>")
+    taken = F.aggregate(F.flatten(cut), F.struct(F.lit(0).alias("at"), none.alias("out")), append, lambda acc: F.flatten(acc["out"]))
     if rare:
         taken = F.when(text.rlike(pattern), taken).otherwise(empty)
     return F.filter(taken, passes) if passes else taken
@@ -81,10 +98,10 @@ def pair_counts(tokens: DataFrame) -> DataFrame:
 
 
 def train(found: DataFrame) -> list[float]:
-    """The log-likelihood ratio of each pair of symbols, from rows of spans ``base`` and ``tokens``."""
+    """The log-likelihood ratio of each pair of symbols, from rows of spans ``base`` and ``tokens`` (free of base spans)."""
     value = lambda m: F.when(m["k"] == 0, F.regexp_extract(m["v"], ASSIGN, 2)).otherwise(m["v"])
     secret = found.select(F.explode("base").alias("m")).select(value(F.col("m")).alias("t"))
-    plain = found.select(F.explode(F.filter("tokens", lambda m: m["v"].rlike(ORDINARY) & _free(m, F.col("base")))).alias("m")).select(F.col("m.v").alias("t"))
+    plain = found.select(F.explode(F.filter("tokens", lambda m: m["v"].rlike(ORDINARY))).alias("m")).select(F.col("m.v").alias("t"))
     logs = []
     for tokens in (secret, plain):
         rows = pair_counts(tokens.where(F.char_length("t") > 1)).collect()  # at most SYMBOLS squared rows
@@ -98,8 +115,19 @@ def train(found: DataFrame) -> list[float]:
     return [r - o for r, o in zip(*logs)]
 
 
-def _free(m: Column, base: Column) -> Column:
-    return ~F.exists(base, lambda b: (b["s"] < m["e"]) & (m["s"] < b["e"]))
+def _untouched(found: DataFrame) -> DataFrame:
+    """``tokens`` without those that touch a base span. Spans of one pattern are disjoint and in order: the first that ends after
+    a token's start is found by index and is the only one to look at."""
+    kinds = range(3)
+    own = found.withColumns({f"b{k}": F.filter("base", lambda m: m["k"] == k) for k in kinds})
+    own = once(own, {f"e{k}": extremes(F.transform(f"b{k}", lambda m: m["e"]), "max") for k in kinds})
+
+    def touched(m: Column, k: int) -> Column:
+        at = first_index(F.col(f"e{k}"), F.lit(0), lambda e: e > m["s"])
+        return F.coalesce(F.get(f"b{k}", at)["s"] < m["e"], F.lit(False))
+
+    free = F.filter("tokens", lambda m: ~(touched(m, 0) | touched(m, 1) | touched(m, 2)))
+    return own.withColumn("tokens", free).select(*found.columns)
 
 
 def ratio(token: Column, table: list[float]) -> Column:
@@ -122,9 +150,9 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold:
     """
     rows = keyed(docs, doc_id, row).select(ROW, F.col(doc_id).alias("doc_id"), _text(F.col(text)).alias("text"))
     found = rows.select(ROW, "doc_id", F.array_sort(base_spans(F.col("text"))).alias("base"), spans(F.col("text"), TOKEN, "random", rare=False).alias("tokens"))
-    found = stored(found)  # the one pass over the texts; what is left is some spans a document
+    found = stored(_untouched(found))  # the one pass over the texts; what is left is some spans a document
     table = train(found)
-    own = F.filter("tokens", lambda m: (ratio(m["v"], table) >= threshold) & _free(m, F.col("base")))
+    own = F.filter("tokens", lambda m: ratio(m["v"], table) >= threshold)
     return found.select(ROW, "doc_id", "base", F.array_sort(F.concat("base", own)).alias("found"))
 
 

@@ -86,3 +86,21 @@ def test_query(spark):
         assert r.base_sha256 == hashlib.sha256(line.encode()).hexdigest()
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(m[1] == k for m in b) for k in range(3)]
         assert set(filter(None, line.split(","))) <= set(r.spans.split(","))
+
+
+def test_a_long_log_of_tokens_takes_linear_time(spark):
+    """5 MB in one text: 200,000 tokens, one in a hundred inside an assignment."""
+    import time
+
+    word = lambda i: f"Zq{i:07d}" + "kJ4xT9"[i % 6:] + "m2Vb8Rw5Y"
+    text = " ".join(("token=" if i % 100 == 0 else "") + word(i) for i in range(220_000))
+    assert len(text) > 4_500_000
+    df = spark.createDataFrame([(1, text), (2, "plain words")], "doc_id long, text string")
+    begun = time.time()
+    r = X.scan(df).where("doc_id = 1").select("base", "found").first()
+    assert time.time() - begun < 60
+    want = base(text)
+    assert [tuple(m) for m in r.base] == want
+    values = {b[0] + 6 for b in want}
+    free_tokens = [m for m in tokens(text) if m[0] not in values]
+    assert {(m.s, m.e) for m in r.found if m.k == 3} <= {(m[0], m[2]) for m in free_tokens} and len(r.found) > len(want)
