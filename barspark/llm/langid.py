@@ -301,6 +301,11 @@ def identify(docs: DataFrame, model: Model, text: str = "text", prefix: str = "l
             "bits": np.where(lettered, e1, np.nan), "rejected": ~lettered | ((n >= MIN_SYMBOLS) & (e1 * t.least[best] > t.logs[best])),
         })
 
-    out = docs.drop(*(prefix + c for c in ("pred", "score", "bits", "rejected"))).withColumn("_lid", predict(F.col(text).cast("string")))
-    return out.select(*out.columns[:-1], *(F.col(f"_lid.{c}").alias(prefix + c) for c in ("pred", "score", "bits", "rejected")))
+    fields = ("pred", "score", "bits", "rejected")
+    kept = docs.drop(*(prefix + c for c in fields))
+    own = "_lid"
+    while own in {c.lower() for c in kept.columns}:
+        own = "_" + own
+    out = kept.withColumn(own, predict(F.col(text).cast("string")))
+    return out.select(*(F.col(f"`{c}`") for c in kept.columns), *(F.col(f"{own}.{c}").alias(prefix + c) for c in fields))
 

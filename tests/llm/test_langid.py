@@ -4,6 +4,8 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import pytest
+
 from barspark.llm import langid
 
 MODEL = langid.Model(("aa", "bb"), ("the cat and the dog sat on the mat by the door", "le chat et le chien sont dans la maison de la mère"))
@@ -143,3 +145,14 @@ def test_pieces_are_from_anywhere_in_a_text(spark):
     got = dict(zip(*(lambda m: (m.languages, m.references))(langid.fit(spark.createDataFrame(rows, "doc_id long, lang string, text string")))))
     assert got["a"].count("word") > 500 and got["a"].count("header") > 500 and set(got["b"].split("\n")) == {"ends in letters"}
     assert max(map(len, got["a"].split("\n"))) == langid.SAMPLE_CHARS
+
+
+@pytest.mark.parametrize("place", [0, 1, 3])
+def test_a_column_named_like_the_operators_own_stays(spark, place):
+    names = ["doc_id", "text", "zz"]
+    names.insert(place, "_LID")
+    rows = [{"doc_id": i, "text": t, "zz": i * 2.5, "_LID": f"own{i}"} for i, t in enumerate(["the house", None, "1 2"])]
+    df = spark.createDataFrame([tuple(r[n] for n in names) for r in rows], ", ".join(n + {"doc_id": " long", "zz": " double"}.get(n, " string") for n in names))
+    out = langid.identify(df, MODEL)
+    assert out.columns == [*names, "lang_pred", "lang_score", "lang_bits", "lang_rejected"]
+    assert [tuple(r)[:4] for r in out.orderBy("doc_id").collect()] == [tuple(r[n] for n in names) for r in rows]
