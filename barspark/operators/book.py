@@ -12,6 +12,10 @@ from barspark.operators.prefix import exact_quantiles, running, spread, with_chu
 from barspark.session import stored
 
 
+#: Points of one frame; a level that lives long costs a row a frame.
+FRAME = 64
+
+
 def _weights(depth: int, decay: float) -> list[float]:
     """Weight of a level is exp(-decay * level index)."""
     return [math.exp(-decay * i) for i in range(depth)]
@@ -47,7 +51,9 @@ def delta_imbalance(deltas: DataFrame, by: list[str], cadence: int, depth: int,
     sees the updates strictly before it; the last one follows the last update, and a key without updates has no points.
 
     Updates are reduced to the last size per (side, price, interval) on the map side. A size holds until the level's next
-    one, so a level is live on a range of points; the levels of a point and side are ranked by price.
+    one, so a level is live on a range of points. Points are cut into frames of FRAME: a frame has the book at its start and
+    its own changes, as two arrays by price, and each of its points takes the first ``depth`` levels of them that are live. Rows
+    are levels per frame and points, never levels per point.
     """
     lvl = [*by, "side_is_bid", "price"]
     start = deltas.groupBy(*by).agg((F.floor(F.min(t) / cadence) * cadence).cast("long").alias("__t0"))
@@ -64,13 +70,23 @@ def delta_imbalance(deltas: DataFrame, by: list[str], cadence: int, depth: int,
     until = F.lead("k").over(Window.partitionBy(*lvl).orderBy("k"))
     held = last.withColumn("__to", until).join(ends, by).filter(F.col("size") > 0)
     held = held.withColumns({"__lo": F.greatest(F.col("k"), F.lit(1).cast("long")), "__hi": F.coalesce(F.col("__to") - 1, F.col("__end"))})
-    live = spread(held.filter(F.col("__lo") <= F.col("__hi")), F.col("__lo"), F.col("__hi"), "__k")
-    best = Window.partitionBy(*by, "__k", "side_is_bid").orderBy(F.when(F.col("side_is_bid"), -F.col("price")).otherwise(F.col("price")))
-    rank = F.row_number().over(best) - 1
-    live = live.withColumn("__r", rank).withColumn("__w", F.when(F.col("__r") < depth, F.col("size") * F.exp(-decay * F.col("__r"))).otherwise(0.0))
-    side = lambda s: F.coalesce(F.sum(F.when(F.col("side_is_bid") == s, F.col("__w"))), F.lit(0.0))
-    n = lambda s: F.count(F.when(F.col("side_is_bid") == s, 1)).cast("int")
-    per = live.groupBy(*by, "__k").agg(_ratio(side(True), side(False)).alias("obi"), n(True).alias("bid_levels"), n(False).alias("ask_levels"))
+    # a level is on every frame that it is live in: the book at a frame's start and the frame's own changes
+    held = held.filter(F.col("__lo") <= F.col("__hi"))
+    framed = spread(held, F.floor(F.col("__lo") / FRAME).cast("long"), F.floor(F.col("__hi") / FRAME).cast("long"), "__f")
+    near = F.when(F.col("side_is_bid"), -F.col("price")).otherwise(F.col("price"))
+    level = F.struct(near.alias("near"), F.col("__lo").alias("lo"), F.col("__hi").alias("hi"), F.col("size").alias("size"))
+    book = lambda s: F.sort_array(F.collect_list(F.when(F.col("side_is_bid") == s, level)))
+    frames = framed.groupBy(*by, "__f").agg(book(True).alias("__bids"), book(False).alias("__asks"))
+    weights = F.array(*map(F.lit, _weights(depth, decay)))
+
+    def point(k: Column) -> Column:
+        """The point's book needs no row a level: its levels are those of the frame that cover it, best first."""
+        live = lambda c: F.filter(c, lambda x: (x["lo"] <= k) & (x["hi"] >= k))
+        best = lambda c: F.aggregate(F.zip_with(F.slice(live(c), 1, depth), weights, lambda x, w: F.coalesce(x["size"] * w, F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
+        return F.struct(k.alias("__k"), best("__bids").alias("b"), best("__asks").alias("a"), F.size(live("__bids")).alias("nb"), F.size(live("__asks")).alias("na"))
+
+    per = frames.select(*by, F.explode(F.transform(F.sequence(F.col("__f") * FRAME, F.col("__f") * FRAME + (FRAME - 1)), point)).alias("p"))
+    per = per.select(*by, "p.__k", _ratio(F.col("p.b"), F.col("p.a")).alias("obi"), F.col("p.nb").alias("bid_levels"), F.col("p.na").alias("ask_levels"))
     grid = spread(ends, F.lit(1).cast("long"), F.col("__end"), "__k").select(*by, "__k", (F.col("__t0") + F.col("__k") * cadence).alias("sample"))
     out = grid.join(per, [*by, "__k"], "left").drop("__k")
     return out.select(*by, "sample", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("obi", "bid_levels", "ask_levels")))

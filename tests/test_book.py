@@ -1,4 +1,8 @@
+import math
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from barspark.operators import book as K
 
@@ -17,3 +21,30 @@ def test_keys_without_a_seed_or_with_an_empty_one_keep_their_updates(spark, carr
     want = {"full": [(115, 7 / 9, 2, 1), (125, 0.5, 1, 1)], "none": [(110, 1.0, 1, 0), (120, 0.0, 0, 0)]}
     want["empty"] = [(115, 1.0, 1, 0), (125, 0.0, 0, 0)] if carried else want["none"]
     assert {k: sorted(v) for k, v in got.items()} == {k: [(a, pytest.approx(b), c, d) for a, b, c, d in v] for k, v in want.items()}
+
+
+def replay(updates, cadence, depth, decay):
+    """Point by point over the live book."""
+    book, out, i = {True: {}, False: {}}, [], 0
+    t0 = updates[0][0] // cadence * cadence
+    for k in range(1, (updates[-1][0] - t0) // cadence + 2):
+        while i < len(updates) and updates[i][0] < t0 + k * cadence:
+            _, bid, price, size = updates[i]
+            book[bid][price] = size
+            i += 1
+        live = {s: sorted(((p, q) for p, q in book[s].items() if q > 0), reverse=s) for s in book}
+        b, a = (sum(q * math.exp(-decay * n) for n, (_, q) in enumerate(live[s][:depth])) for s in (True, False))
+        out.append((t0 + k * cadence, pytest.approx((b - a) / (b + a) if b + a > 0 else 0.0), len(live[True]), len(live[False])))
+    return out
+
+
+def test_points_of_many_frames_are_a_replay(spark):
+    """Levels that outlive several frames, quiet frames, more levels than the depth; rows grow with points, not with levels."""
+    rng = random.Random(2)
+    times = sorted(rng.sample(range(1000), 250)) + [5000, 5003, 9990]
+    updates = [(t, bid, float(rng.randrange(1, 15) + (0 if bid else 20)), float(rng.choice([0, 0, 1, 4, 9]))) for t in times for bid in [rng.random() < 0.5]]
+    df = spark.createDataFrame([("s", t, i, *u) for i, (t, *u) in enumerate(updates)], "s string, ts long, seq long, side_is_bid boolean, price double, size double")
+    out = K.delta_imbalance(df, ["s"], 10, 3, 0.4)
+    assert [tuple(r)[1:] for r in out.orderBy("sample").collect()] == replay(updates, 10, 3, 0.4)
+    p = out._jdf.queryExecution().executedPlan().toString()
+    assert "side_is_bid, -price" not in p and p.count("Window") <= 2  # the one window orders a level's own updates
