@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barspark.operators.bars import lit_trades
+from barspark.streaming.compaction import write_parts
 
 
 def trade_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 8) -> DataFrame:
@@ -35,56 +38,92 @@ SESSION_OUT = ("ts timestamp, close double, ema double, vwap double, sess_high d
 SESSION_STATE = "pv double, v double, ema double, hi double, lo double, run int, n int"
 
 
+BUFFER = "ts timestamp, high double, low double, close double, volume double"
+
+
+def session_steps(bars: pd.DataFrame, state: tuple, alpha: float, min_run: int) -> tuple[pd.DataFrame, tuple]:
+    """(rows of SESSION_OUT, state afterwards) of bars in time order that follow on ``state`` (or on None, at the session's
+    begin): exponential average, VWAP, extremes, bars in a row with the average below VWAP, and the reclaim, all as arrays."""
+    pv, v, ema, hi, lo, run, n = state or (0.0, 0.0, None, None, None, 0, 0)
+    h, low, c, q = (bars[x].to_numpy(float) for x in ("high", "low", "close", "volume"))
+    emas = pd.Series(c if ema is None else np.concatenate([[ema], c])).ewm(alpha=alpha, adjust=False).mean().to_numpy()[-len(c):]
+    pvs, vs = pv + np.cumsum((h + low + c) / 3.0 * q), v + np.cumsum(q)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        vwaps = np.where(vs > 0, pvs / vs, np.nan)
+    ema_p = np.concatenate([[np.nan if ema is None else ema], emas[:-1]])
+    vwap_p = np.concatenate([[pv / v if v > 0 else np.nan], vwaps[:-1]])
+    known = ~(np.isnan(ema_p) | np.isnan(vwap_p))
+    # a bar without a past, like one not below, ends the run; where nothing has ended it yet, the run goes on from the state
+    at = np.arange(len(c))
+    ended = np.maximum.accumulate(np.where(known & (ema_p < vwap_p), -1, at))
+    runs = np.where(ended < 0, run + at + 1, at - ended)
+    # a bar without a past leaves the count as it is
+    for i in np.flatnonzero(~known):
+        runs[i] = runs[i - 1] if i else run
+    was = np.concatenate([[run], runs[:-1]])
+    crossed = known & ~np.isnan(vwaps) & (ema_p <= vwap_p) & (emas > vwaps) & (was >= min_run)
+    highs = np.maximum.accumulate(h if hi is None else np.maximum(h, hi))
+    lows = np.minimum.accumulate(low if lo is None else np.minimum(low, lo))
+    out = pd.DataFrame({"ts": bars["ts"].to_numpy(), "close": c, "ema": emas, "vwap": vwaps, "sess_high": highs, "sess_low": lows,
+                        "run_below": runs.astype(np.int32), "reclaim": crossed})
+    return out, (float(pvs[-1]), float(vs[-1]), float(emas[-1]), float(highs[-1]), float(lows[-1]), int(runs[-1]), n + len(c))
+
+
 class _SessionProcessor:
-    """EMA, VWAP, extremes and the VWAP-reclaim event of one session of a ticker, bar by bar.
+    """Session state of a ticker over bars that may come in any order within the lateness.
 
-    State is one small row per live session. An event-time timer ``ttl_hours`` after the session's first bar drops it.
+    Bars wait in a list state, the reorder buffer, until the watermark has passed them: no earlier bar can come then, so they
+    are released in time order and go into the running state. A timer at the last waiting bar releases it when no
+    further bar comes. State is one small row and the waiting bars of each live session; ``ttl_hours`` after its first bar
+    a session without waiting bars is dropped.
     """
 
     def __init__(self, keys: list[str], period: int, min_run: int, ttl_hours: int):
         self.keys = keys
         self.alpha = 2.0 / (period + 1)
         self.min_run = min_run
-        self.hours = ttl_hours
+        self.ttl = ttl_hours * 3_600_000
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("session", SESSION_STATE)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator:
-        import pandas as pd
-
-        pdf = pd.concat(list(rows)).sort_values("ts")
-        first = not self.state.exists()
-        pv, v, ema, hi, lo, run, n = self.state.get() if not first else (0.0, 0.0, None, None, None, 0, 0)
-        out = []
-        for r in pdf.itertuples(index=False):
-            prev_ema, prev_vwap = ema, (pv / v if v and v > 0 else None)
-            if prev_ema is not None and prev_vwap is not None:
-                was = run
-                run = run + 1 if prev_ema < prev_vwap else 0
-            else:
-                was = 0
-            tp = (r.high + r.low + r.close) / 3.0
-            pv, v = pv + tp * r.volume, v + r.volume
-            ema = r.close if ema is None else ema + self.alpha * (r.close - ema)
-            hi = r.high if hi is None else max(hi, r.high)
-            lo = r.low if lo is None else min(lo, r.low)
-            n += 1
-            vwap = pv / v if v > 0 else None
-            crossed = (prev_ema is not None and prev_vwap is not None and vwap is not None
-                       and prev_ema <= prev_vwap and ema > vwap and was >= self.min_run)
-            out.append((*key, r.ts, r.close, ema, vwap, hi, lo, run, crossed))
-        self.state.update((pv, v, ema, hi, lo, run, n))
-        if first:
-            end = pdf["ts"].iloc[0] + pd.Timedelta(hours=self.hours)
-            self.handle.registerTimer(int(end.timestamp() * 1000))
-        cols = [*self.keys, "ts", "close", "ema", "vwap", "sess_high", "sess_low", "run_below", "reclaim"]
-        yield pd.DataFrame(out, columns=cols)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
-        self.state.clear()
-        return iter([])
+        self.state = handle.getValueState("session", SESSION_STATE + ", drop long")
+        self.waiting = handle.getListState("waiting", BUFFER)
+
+    def _release(self, key, bars: pd.DataFrame, watermark: int) -> Iterator[pd.DataFrame]:
+        bars = bars.sort_values("ts", kind="stable")
+        ms = bars["ts"].astype("datetime64[ms]").astype("int64").to_numpy()
+        # event times are finer than the watermark's milliseconds: a bar in its very millisecond waits
+        due = ms < watermark
+        known = self.state.get() if self.state.exists() else None
+        drop = known[-1] if known else int(ms[0]) + self.ttl
+        state = known[:-1] if known and known[-2] else None
+        if due.any():
+            out, state = session_steps(bars[due], state, self.alpha, self.min_run)
+            for k, v in reversed(list(zip(self.keys, key))):
+                out.insert(0, k, v)
+            yield out
+        rest = bars[~due]
+        self.state.update((*(state or (0.0, 0.0, None, None, None, 0, 0)), drop))
+        self.waiting.clear()
+        if len(rest):
+            self.waiting.put([tuple(r) for r in rest.astype({"ts": object}).itertuples(index=False)])
+            self.handle.registerTimer(int(ms[~due][-1]) + 1)
+        self.handle.registerTimer(drop)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = [r[["ts", "high", "low", "close", "volume"]] for r in rows]
+        yield from self._release(key, pd.concat([*self._buffered(), *new]), timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = self._buffered()
+        if held:
+            yield from self._release(key, held[0], timerValues.getCurrentWatermarkInMs())
+        elif self.state.exists() and self.state.get()[-1] <= expiredTimerInfo.getExpiryTimeInMs():
+            self.state.clear()
+
+    def _buffered(self) -> list[pd.DataFrame]:
+        rows = list(self.waiting.get()) if self.waiting.exists() else []
+        return [pd.DataFrame(rows, columns=["ts", "high", "low", "close", "volume"])] if rows else []
 
     def close(self) -> None:
         pass
@@ -95,8 +134,8 @@ def session_stream(bars: DataFrame, keys: list[str], period: int = 9, min_run: i
     """Session state and reclaim events per bar of a streaming bar source with columns ``keys`` (for example ticker and
     session), ts, high, low, close, volume.
 
-    Bars of one session must arrive in time order across micro-batches (a watermarked bar stream emits them so). Needs
-    the RocksDB state store.
+    Bars may come in any order, across micro-batches too, if none is later than ``lateness``: each is given out once the
+    watermark has passed it, with the state that bars in time order give. Needs the RocksDB state store.
     """
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
@@ -118,16 +157,9 @@ def run_available(df: DataFrame, path: str, checkpoint: str, by: list[str] | Non
 
 def run_available_days(df: DataFrame, path: str, checkpoint: str, build, day: str = "date") -> None:
     """Incremental day builds. ``build`` reduces a micro-batch to mergeable partial rows (counts, sums, extremes) with a
-    ``day`` column; they become the partition (day, batch). A day that arrives in parts has a partial row set for each,
-    and a replayed batch overwrites its own partition only. ``merged_days`` puts the parts together."""
-    from barspark.sources.sinks import write_partitions
-
+    ``day`` column; they become the parts (day, batch), which ``compaction`` reads, merges and clears away. A day that arrives in parts has a
+    partial row set for each, and a replayed batch overwrites its own parts only."""
     def write(batch: DataFrame, number: int) -> None:
-        write_partitions(build(batch).withColumn("batch", F.lit(number)), path, [day, "batch"])
+        write_parts(build(batch), path, number, day)
 
     df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
-
-def merged_days(spark: SparkSession, path: str, by: list[str], merge: list[Column]) -> DataFrame:
-    """What ``run_available_days`` has written so far, the partial rows of a key merged."""
-    return spark.read.parquet(path).groupBy(*by).agg(*merge)
