@@ -3,7 +3,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from barspark.llm import decontaminate
 from barspark.llm.decontaminate import contamination
 
 
@@ -64,3 +66,27 @@ def test_random_texts_of_few_words(spark, seed):
     bench = [(i, text(r.randrange(1, 14))) for i in range(12)]
     docs = [(i, text(r.randrange(0, 60)) + " " + r.choice(bench)[1] + " " + text(5), None) for i in range(60)]
     check(spark, docs, bench)
+
+
+def test_a_passage_in_ten_thousand_items(spark, monkeypatch):
+    """All windows of a passage of fifty words share one set of items, which is dealt in pieces; no list is broadcast."""
+    monkeypatch.setattr(decontaminate, "PIECE", 500)
+    passage = " ".join(f"w{i}" for i in range(50))
+    bench = [(i, f"x{i} y{i} {passage} z{i % 7}" if i % 3 else passage) for i in range(10_000)]
+    docs = [(k, f"{'pad ' * k}{passage} {'tail ' * k}", None) for k in range(40)] + [(90, bench[1][1], None), (91, "clean text of other words", None)]
+    check(spark, docs, bench)
+    wins, named = decontaminate.item_windows(spark.createDataFrame(bench, "item_id long, text string"), "item_id", "text", 10)
+    of, members = decontaminate.item_sets(named)
+    assert wins.count() > 13_000 and members.groupBy("set").count().agg(F.max("count")).first()[0] == 10_000
+    assert of.groupBy("set").count().agg(F.max("count")).first()[0] == 41
+    got = contamination(spark.createDataFrame(docs, "doc_id long, text string, n_words string"), spark.createDataFrame(bench, "item_id long, text string"), with_items=True)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not any("items#" in line for line in plan.splitlines() if "BroadcastExchange" in line)
+    assert {len(r["items"]) for r in got.collect()} == {0, 10_000}
+
+
+def test_sets_that_share_a_hash_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "_mark", lambda salt: F.lit(salt))
+    texts = ["alpha beta gamma", "delta epsilon zeta", "eta theta iota", "one two three"]
+    bench = [(i, texts[i % 4]) for i in range(8)] + [(i, texts[0]) for i in range(20, 23)]
+    check(spark, [(k, f"a {texts[k % 4]} b {texts[(k + 1) % 4]}", None) for k in range(8)], bench)
