@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barspark.functions.scalars import ns_to_date
 from barspark.sources import schemas
+from barspark.sources.files import Files
 
 DAY_IN_NAME = r"([0-9]{4}-[0-9]{2}-[0-9]{2})\.[a-z]+(?:\.[a-z]+)?$"
 
@@ -87,10 +90,24 @@ def minutes_csv(spark: SparkSession, path: str) -> DataFrame:
     return _csv(spark, path, cols).select("ticker", "window_start", "open", "high", "low", "close", "volume", "transactions")
 
 
-def day_files(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Parquet files named by day (``2024-05-01.parquet``); the day becomes a ``date`` column."""
+def day_files(spark: SparkSession, path: str, schema: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Parquet files named by day (``2024-05-01.parquet``); the day becomes a ``date`` column.
+
+    With ``start`` or ``end`` (days, both included) the folder's names are listed and only files of those days are opened, not a
+    footer more. Without a schema that of the files read counts; no file in the range gives no rows and needs a schema.
+    """
     r = spark.read if schema is None else spark.read.schema(schema)
-    d = r.parquet(path)
+    if start is None and end is None:
+        d = r.parquet(path)
+    else:
+        day = re.compile(DAY_IN_NAME)
+        dated = [(m[1], n) for n in Files(spark, path).names(path) for m in [day.search(n)] if m]
+        chosen = [f"{path}/{n}" for d, n in sorted(dated) if (start is None or d >= start) and (end is None or d <= end)]
+        if not chosen and schema is None:
+            raise FileNotFoundError(f"{path} has no day from {start} to {end}")
+        if not chosen:
+            return spark.createDataFrame([], schema).withColumn("date", F.lit(None).cast("date"))
+        d = r.parquet(*chosen)
     return d.withColumn("date", F.to_date(F.regexp_extract(F.col("_metadata.file_name"), DAY_IN_NAME, 1)))
 
 

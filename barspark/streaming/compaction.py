@@ -15,44 +15,12 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barspark.sources.files import Files
 from barspark.sources.sinks import write_partitions
 
 EMPTY = {"version": 0, "batch": -1, "days": {}}
 
 
-class _Files:
-    """The few file operations needed, on whatever store the path names."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.jvm = spark.sparkContext._jvm
-        self.fs = self.at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def at(self, path: str):
-        return self.jvm.org.apache.hadoop.fs.Path(path)
-
-    def names(self, path: str) -> list[str]:
-        return [f.getPath().getName() for f in self.fs.listStatus(self.at(path))] if self.fs.exists(self.at(path)) else []
-
-    def read(self, path: str) -> str:
-        stream = self.fs.open(self.at(path))
-        try:
-            return bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
-
-    def publish(self, text: str, path: str) -> None:
-        """Written beside and renamed; fails if the name is taken."""
-        draft = self.at(path + ".draft")
-        stream = self.fs.create(draft, True)
-        stream.write(bytearray(text.encode()))
-        stream.close()
-        if self.fs.exists(self.at(path)) or not self.fs.rename(draft, self.at(path)):
-            raise RuntimeError(f"{path} has been published by someone else")
-
-    def delete(self, path: str) -> None:
-        self.fs.delete(self.at(path), True)
-
-
 def write_parts(batch: DataFrame, path: str, number: int, day: str = "date") -> None:
     """The rows of one micro-batch; a batch that is run again overwrites its own parts only."""
     write_partitions(batch.withColumn("batch", F.lit(number)), f"{path}/parts", [day, "batch"])
@@ -60,14 +28,14 @@ def write_parts(batch: DataFrame, path: str, number: int, day: str = "date") ->
 
 def manifests(spark: SparkSession, path: str) -> list[dict]:
     """All published versions, oldest first."""
-    files = _Files(spark, path)
+    files = Files(spark, path)
     found = sorted(int(n.removesuffix(".json")) for n in files.names(f"{path}/manifest") if n.endswith(".json"))
     return [json.loads(files.read(f"{path}/manifest/{v}.json")) for v in found]
 
 
 def _parts(spark: SparkSession, path: str, after: int) -> DataFrame | None:
     """Parts of batches that no version holds yet; days and batches are pruned by folder."""
-    if not _Files(spark, path).names(f"{path}/parts"):
+    if not Files(spark, path).names(f"{path}/parts"):
         return None
     return spark.read.parquet(f"{path}/parts").where(F.col("batch") > after).drop("batch")
 
@@ -104,7 +72,7 @@ def compact(spark: SparkSession, path: str, by: list[str], merge: list[Column],
     write_partitions(both.groupBy(*by).agg(*merge), f"{path}/base/version={version}", [day])
     days = now["days"] | {d: f"version={version}/{day}={d}" for d in touched}
     manifest = {"version": version, "batch": last, "days": days}
-    _Files(spark, path).publish(json.dumps(manifest), f"{path}/manifest/{version}.json")
+    Files(spark, path).publish(json.dumps(manifest), f"{path}/manifest/{version}.json")
     return manifest
 
 
@@ -113,7 +81,7 @@ def vacuum(spark: SparkSession, path: str, keep: int = 1, day: str = "date") ->
     kept = manifests(spark, path)[-keep - 1:]
     if not kept:
         return 0
-    files, gone = _Files(spark, path), 0
+    files, gone = Files(spark, path), 0
     needed = {p for m in kept for p in m["days"].values()}
     for v in files.names(f"{path}/base"):
         inside = [n for n in files.names(f"{path}/base/{v}") if n.startswith(f"{day}=")]

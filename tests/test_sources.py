@@ -52,6 +52,23 @@ def test_conditions_and_day_files(spark, tmp_path):
     assert readers.day_files(spark, str(day)).first()["date"] == dt.date(2024, 5, 6)
 
 
+def test_a_date_range_opens_only_its_day_files(spark, tmp_path):
+    """Files of other days aren't read at all: here they are no parquet."""
+    schema = "ticker string, v int"
+    for d in range(1, 10):
+        (tmp_path / f"2024-05-0{d}.parquet").write_bytes(b"no parquet")
+    part = tmp_path / "x"
+    spark.createDataFrame([("A", 1)], schema).coalesce(1).write.parquet(str(part))
+    body = next(part.glob("part-*.parquet")).read_bytes()
+    for d in (3, 4):
+        (tmp_path / f"2024-05-0{d}.parquet").write_bytes(body)
+    for kind in (None, schema):
+        got = readers.day_files(spark, str(tmp_path), kind, "2024-05-03", "2024-05-04")
+        assert len(got.inputFiles()) == 2 and [r.date.day for r in got.orderBy("date").collect()] == [3, 4]
+    assert len(readers.day_files(spark, str(tmp_path), schema, start="2024-05-08").inputFiles()) == 2
+    assert readers.day_files(spark, str(tmp_path), schema, end="2023-01-01").collect() == []
+
+
 def test_news_per_ticker(spark, tmp_path):
     n = {"id": "1", "tickers": ["A", "B"], "published_utc": "2024-01-01T00:00:00Z", "publisher": {"name": "P"}, "insights": None}
     (tmp_path / "n.json").write_text(json.dumps({"results": [n]}))

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barspark.session import scratch_path
+from barspark.sources.files import Files
 from barspark.streaming import bars as B
 from barspark.streaming import compaction as Z
 
@@ -101,7 +102,7 @@ def test_many_runs_leave_one_file_a_day(spark):
 
 def test_a_version_is_published_once(spark):
     path = scratch_path(spark)
-    files = Z._Files(spark, path)
+    files = Files(spark, path)
     files.publish("{}", f"{path}/manifest/1.json")
     with pytest.raises(RuntimeError):
         files.publish("[]", f"{path}/manifest/1.json")
