@@ -161,8 +161,38 @@ def ols_slope(s: Series, y: Column, x: Column, n: int, inclusive: bool = True) -
     return F.regr_slope(y, x).over(s.last(n, inclusive))
 
 
-def ols_r2(s: Series, y: Column, x: Column, n: int, inclusive: bool = True) -> Column:
-    return F.regr_r2(y, x).over(s.last(n, inclusive))
+def rolling_ols(df: DataFrame, s: Series, y: Column, x: Column, n: int, slope: str = "slope", r2: str = "r2") -> DataFrame:
+    """Adds the least-squares slope and r2 of y on x over the last n bars, at a cost per bar that does not grow with n.
+
+    A series is cut into blocks of n bars. A window is the end of one block and the beginning of the next, so it merges two sets
+    of moments: those of the block up to the bar, and those of the block before from the window's first bar on. Both are running
+    aggregates about their own means, so nothing is taken away again and large x or y cost no precision.
+    """
+    ok = y.isNotNull() & x.isNotNull()
+    d = df.withColumns({"__at": F.row_number().over(s.spec()) - 1, "__y": F.when(ok, y.cast("double")), "__x": F.when(ok, x.cast("double"))})
+    d = d.withColumn("__block", F.floor(F.col("__at") / n))
+    own = Window.partitionBy(*s.by, "__block")
+    zero = F.lit(0.0)
+
+    def moments(w) -> Column:
+        k = F.count("__y").over(w)
+        spread = lambda c: F.coalesce(c.over(w), zero) * k
+        return F.struct(k.cast("double").alias("k"), F.coalesce(F.avg("__x").over(w), zero).alias("mx"), F.coalesce(F.avg("__y").over(w), zero).alias("my"),
+                        spread(F.var_pop("__x")).alias("xx"), spread(F.var_pop("__y")).alias("yy"), spread(F.covar_pop("__x", "__y")).alias("xy"))
+
+    d = d.withColumns({"__pre": moments(own.orderBy("__at").rowsBetween(UNB, 0)), "__suf": moments(own.orderBy(F.desc("__at")).rowsBetween(UNB, 0))})
+    whole = (F.col("__at") + 1) % n == 0  # the window is the block itself
+    before = F.when(~whole, F.lag("__suf", n - 1).over(s.spec())) if n > 1 else F.lit(None).cast(d.schema["__suf"].dataType)
+    d = d.withColumn("__b", before)
+    a, b = (lambda f: F.col(f"__pre.{f}")), (lambda f: F.coalesce(F.col(f"__b.{f}"), zero))
+    k = a("k") + b("k")
+    both = a("k") * b("k") / F.nullif(k, zero)
+    dx, dy = a("mx") - b("mx"), a("my") - b("my")
+    sxx, syy, sxy = (a(f) + b(f) + F.coalesce(both * u * v, zero) for f, u, v in (("xx", dx, dx), ("yy", dy, dy), ("xy", dx, dy)))
+    d = d.withColumns({"__sxx": sxx, "__syy": syy, "__sxy": sxy})
+    some = F.col("__sxx") > 0
+    fit = F.when(F.col("__syy") > 0, F.col("__sxy") * F.col("__sxy") / (F.col("__sxx") * F.col("__syy"))).otherwise(1.0)
+    return d.withColumns({slope: F.when(some, F.col("__sxy") / F.col("__sxx")), r2: F.when(some, fit)}).select(*df.columns, slope, r2)
 
 
 def bars_since(s: Series, event: Column, idx: Column) -> Column:

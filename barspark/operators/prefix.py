@@ -146,7 +146,7 @@ def value_cuts(df: DataFrame, value: str, buckets: int | None = None) -> list[fl
     return [q[k * grid // ranges - 1] for k in range(1, ranges)] if q else []
 
 
-def _bucket(value: Column, cuts: list[float]) -> Column:
+def value_bucket(value: Column, cuts: list[float]) -> Column:
     """2 * (cuts below the value), plus 1 where the value IS a cut: a heavy value gets a bucket of its own."""
     uniq = sorted(set(cuts))
     if not uniq:
@@ -170,8 +170,8 @@ def _with_buckets(df: DataFrame, value: str, tie: str, buckets: int | None) -> D
     sub = F.lit(0)
     if heavy:
         tie_cuts = value_cuts(df.filter(v.isin(heavy)), tie, buckets)
-        sub = F.when(v.isin(heavy), _bucket(F.col(tie).cast("double"), tie_cuts)).otherwise(0)
-    return df.withColumn("__b", _bucket(v, cuts)).withColumn("__s", sub)
+        sub = F.when(v.isin(heavy), value_bucket(F.col(tie).cast("double"), tie_cuts)).otherwise(0)
+    return df.withColumn("__b", value_bucket(v, cuts)).withColumn("__s", sub)
 
 
 def ranked(df: DataFrame, by: list[str], value: str, tie: str, buckets: int | None = None) -> DataFrame:
@@ -226,7 +226,7 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, qs: dict[str, floa
     v = F.col(value).cast("double")
     distinct = df.filter(v.isNotNull()).groupBy(*by, v.alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
     cuts = value_cuts(df.filter(v.isNotNull()), value, buckets)
-    d = distinct.withColumn("__b", _bucket(F.col("__v"), cuts))
+    d = distinct.withColumn("__b", value_bucket(F.col("__v"), cuts))
     keys = [*by, "__b"]
     part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     tot = d.groupBy(*keys).agg(F.sum("__c").alias("__k"))

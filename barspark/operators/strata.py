@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from barspark.functions.aggregates import clipped_profit_factor, count_if, profit_factor, win_rate
 from barspark.functions.scalars import div
-from barspark.operators.prefix import exact_quantiles, ntile_of, ranked
+from barspark.operators.prefix import exact_quantiles, ntile_of, ranked, running, value_bucket, value_cuts
+from barspark.session import stored
 
 RET = "ret"
 
@@ -234,13 +235,36 @@ def size_cdf(df: DataFrame, by: list[str], value: str, probs: list[float]) -> Da
     which at least that share of the rows lies.
     """
     hist = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__k"))
-    below = F.sum("__k").over(Window.partitionBy(*by).orderBy(value))
-    x = hist.withColumns({"__c": below, "__n": F.sum("__k").over(Window.partitionBy(*by))})
+    hist = stored(hist.withColumn("__v", F.col(value).cast("double")))
+    # running counts in value ranges, so that a group of many distinct sizes is not one task
+    c = running(hist, by, ["__v"], value_bucket(F.col("__v"), value_cuts(hist, "__v")), {"__c": ("sum", F.col("__k"))})
+    n = hist.groupBy(*by).agg(F.sum("__k").alias("__n"))
+    c = stored(c.join(n, by))
     at = lambda p: F.min(F.when(F.col("__c") >= F.ceil(F.col("__n") * float(p)), F.col(value)))
-    x = x.withColumn("__mid", at(0.5).over(Window.partitionBy(*by)))
-    half = lambda c: div(F.sum(F.when(c, F.col(value) * F.col("__k"))), F.sum(F.when(c, F.col("__k"))))
+    q = stored(c.groupBy(*by).agg(F.max("__n").alias("n"), F.array(*map(at, probs)).alias("q"), at(0.5).alias("__mid")))
     under = F.col(value) < F.col("__mid")
-    return x.groupBy(*by).agg(F.sum("__k").alias("n"), F.array(*map(at, probs)).alias("q"), half(under).alias("mean_under"), half(~under).alias("mean_from"))
+    half = lambda w: div(F.sum(F.when(w, F.col(value) * F.col("__k"))), F.sum(F.when(w, F.col("__k"))))
+    means = c.join(q.select(*by, "__mid"), by).groupBy(*by).agg(half(under).alias("mean_under"), half(~under).alias("mean_from"))
+    return q.drop("__mid").join(means, by)
+
+
+#: Entries a level of a sketch keeps; a quantile's rank errs by RANK_ERROR of the rows at most (99 % of the time per quantile).
+SKETCH_K = 800
+RANK_ERROR = 0.0055
+
+
+def size_sketches(df: DataFrame, by: list[str], value: str, k: int = SKETCH_K) -> DataFrame:
+    """One bounded sketch of the values per group (``sketch``, some kilobytes, whatever the rows): for a column of a day's table,
+    merged upward later. NULLs are left out."""
+    v = F.col(value).cast("double")
+    return df.filter(v.isNotNull()).groupBy(*by).agg(F.kll_sketch_agg_double(v, F.lit(k)).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, by: list[str], probs: dict[str, float], k: int = SKETCH_K) -> DataFrame:
+    """Per coarser group: ``n`` values and the quantiles named in ``probs``, each within RANK_ERROR in rank, in whatever order and
+    however often sketches have been merged before."""
+    one = sketches.groupBy(*by).agg(F.kll_merge_agg_double("sketch", F.lit(k)).alias("sketch"))
+    return one.select(*by, "sketch", F.kll_sketch_get_n_double("sketch").alias("n"), *[F.kll_sketch_get_quantile_double("sketch", F.lit(float(p))).alias(c) for c, p in probs.items()])
 
 
 def feature_breakdown(trips: DataFrame, feature: str, tie: str, nb: int = 5, edges: list[float] | None = None,

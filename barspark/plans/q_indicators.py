@@ -97,10 +97,8 @@ def calendar_mean(spark, sf):
            WINDOW w AS ({SE} ROWS 19 PRECEDING)""")
 def ols(spark, sf):
     s = M.sessions(spark, sf).withColumn("idx", I.bar_index(S))
-    y = F.ln("close")
-    n = F.count(F.lit(1)).over(S.last(20, True))
-    return s.withColumns({"slope": I.ols_slope(S, y, F.col("idx"), 20),
-                          "r2": F.when(n >= 2, I.ols_r2(S, y, F.col("idx"), 20))})
+    x = I.rolling_ols(s, S, F.ln("close"), F.col("idx"), 20)
+    return x.withColumn("r2", F.when(F.col("idx") >= 1, F.col("r2")))
 
 
 NEW_HI = f"close > coalesce(max(close) OVER ({SE} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"

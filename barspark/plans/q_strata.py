@@ -311,6 +311,19 @@ def size_cdf(spark, sf):
     return x.withColumns({"p10": F.get("q", F.lit(0)), "p50": F.get("q", F.lit(1)), "p99": F.get("q", F.lit(2))})
 
 
+@query("I24_size_sketch_within_bound", "sign:i n:i p10_ok p50_ok p99_ok",
+       "SELECT sign, count(*) AS n, true AS p10_ok, true AS p50_ok, true AS p99_ok FROM tape GROUP BY 1")
+def size_sketch(spark, sf):
+    """A sketch per day and side, merged to one per side; each quantile's rank is looked up in the whole tape."""
+    t = M.tape(spark, sf)
+    probs = {"p10": 0.1, "p50": 0.5, "p99": 0.99}
+    q = S.merged_sketches(S.size_sketches(t, ["sign", "date"], "size"), ["sign"], probs).drop("sketch")
+    x = t.select("sign", "size").join(F.broadcast(q), "sign")  # a row a side
+    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
+    ok = {f"{c}_ok": (share(F.col("size") < F.col(c)) - S.RANK_ERROR <= p) & (share(F.col("size") <= F.col(c)) + S.RANK_ERROR >= p) for c, p in probs.items()}
+    return x.groupBy("sign").agg(F.max("n").alias("n"), *[v.alias(c) for c, v in ok.items()])
+
+
 @query("I25_forward_return_split", "d1_up:i n:i mean_day1:f mean_rest:f",
        """SELECT CAST(c1 > entry_price AS INT) AS d1_up, count(*) AS n, avg(c1 / entry_price - 1) AS mean_day1, avg(exit_price / c1 - 1) AS mean_rest FROM trips t
           JOIN (SELECT ticker, date, lead(close) OVER (PARTITION BY ticker ORDER BY date) AS c1 FROM daily) d ON d.ticker = t.ticker AND d.date = entry_date

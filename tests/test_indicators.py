@@ -119,3 +119,31 @@ def test_daily_features_are_prior_state(spark):
         assert got[i]["atr_log"] == (pytest.approx(sum(w) / len(w)) if w else None)
         v = [b[7] for b in bars[max(0, i - 20): i]]
         assert got[i]["rvol"] == (pytest.approx(bars[i][7] / (sum(v) / len(v))) if v else None)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 20, 252])
+def test_rolling_regression_by_blocks_is_the_frame_s(spark, n):
+    """Missing values, a flat stretch, an x far from zero, series shorter than the window and not a multiple of it."""
+    rng = random.Random(n)
+    rows = [(k, t, 1e7 + t, None if rng.random() < 0.1 else 5.0 if 100 < t < 140 else rng.gauss(1e3, 1)) for k, m in (("a", 1), ("b", 19), ("c", 800)) for t in range(m)]
+    df = spark.createDataFrame(rows, "k string, t long, x double, y double")
+    w = S.last(n, True)
+    want = df.withColumns({"s": F.regr_slope("y", "x").over(w), "r": F.regr_r2("y", "x").over(w)})
+    got = I.rolling_ols(df, S, F.col("y"), F.col("x"), n)
+    for a, b in zip(got.orderBy("k", "t").collect(), want.orderBy("k", "t").collect()):
+        assert (a.slope is None) == (b.s is None) and (a.r2 is None) == (b.r is None), (a, b)
+        assert a.slope is None or (a.slope == pytest.approx(b.s, rel=1e-7, abs=1e-9) and a.r2 == pytest.approx(b.r, rel=1e-6, abs=1e-9))
+
+
+def test_rolling_regression_costs_the_same_for_long_windows(spark):
+    import time
+
+    df = spark.range(150_000).select(F.lit("a").alias("k"), F.col("id").alias("t"), (F.pmod(F.xxhash64("id"), F.lit(1000)) / 10.0).alias("y"))
+
+    def seconds(n):
+        begun = time.time()
+        I.rolling_ols(df, S, F.col("y"), F.col("t"), n).agg(F.sum("slope"), F.sum("r2")).collect()
+        return time.time() - begun
+
+    seconds(20)
+    assert seconds(5000) < 3 * seconds(20) + 1
