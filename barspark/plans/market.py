@@ -19,6 +19,7 @@ from barspark.functions.scalars import rnd
 from barspark.operators.detect import Breakout
 from barspark.operators.trips import pnl, time_exit
 from barspark.operators.universe import with_episodes
+from barspark.sources.warehouse import kept
 
 DAY_US = 86_400_000_000
 
@@ -130,7 +131,11 @@ HOLD = 5
 
 
 def trips(spark: SparkSession, sf: str) -> DataFrame:
-    """Loose daily breakouts held for five bars: the population of the stratification queries."""
+    """Loose daily breakouts held for five bars: the population of the stratification queries, which share one table of them."""
+    return kept(spark, ("trips", sf), lambda: _trips(spark, sf), ["ticker"], ["entry_date"])
+
+
+def _trips(spark: SparkSession, sf: str) -> DataFrame:
     s = Series(("ticker", "episode"), ("date",))
     x = daily_features(episodes(spark, sf)).withColumns(time_exit(s, HOLD))
     x = x.filter(LOOSE.fires())

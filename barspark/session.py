@@ -57,10 +57,18 @@ def scratch_path(spark: SparkSession) -> str:
 
 
 _written: dict[str, list[str]] = {}
+_kept: dict[str, dict[tuple[str, ...], tuple[str, str]]] = {}
+
+
+def kept_tables(spark: SparkSession) -> dict[tuple[str, ...], tuple[str, str]]:
+    """Name and folder of the tables that this application has written for its queries to share, by what is in them."""
+    return _kept.setdefault(spark.sparkContext.applicationId, {})
 
 
 def cleanup(spark: SparkSession) -> int:
     """Delete the scratch folders this application has written; call it when their results are no longer read."""
+    for name, _ in _kept.pop(spark.sparkContext.applicationId, {}).values():
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     paths = _written.pop(spark.sparkContext.applicationId, [])
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     conf = spark.sparkContext._jsc.hadoopConfiguration()
