@@ -47,13 +47,15 @@ ROOM = {"td": TABLE_PARTS, "th": TABLE_PARTS, "tr": TABLE_PARTS - {"tr"}, **dict
 #: Lines are indented by this many characters at most, and tables within this many others are written a row a line without
 #: columns: else the blanks and the copies of lines alone would grow with the square of a page.
 INDENT, NESTED = 1024, 170
-#: Cells are padded to the widest of their column, up to this many characters; longer ones run over.
+#: Longer lines of a cell are wrapped at blanks within its column; a longer word has a line without cells to its right.
 WIDEST = 60
+#: As HTML has it, a cell spans so many columns and rows at most.
+COLUMNS, ROWS = 1000, 65534
 
 NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
 QUOTED = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-TELLING = re.compile(r"\b(?:hidden|style|open|start|value|colspan|type|reversed)\b", re.I)
+TELLING = re.compile(r"\b(?:hidden|style|open|start|value|colspan|rowspan|type|reversed)\b", re.I)
 GONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 BLANKS = re.compile(r"[ \t\n\r\f]+")
 
@@ -293,31 +295,70 @@ class Page:
         return "".join(self.parts)
 
 
+def _wrapped(cell: list[str]) -> list[str]:
+    """A cell's lines, none over WIDEST but for a word that is longer or a line that has columns or an indent of its own."""
+    out = []
+    for line in cell:
+        if len(line) <= WIDEST or "  " in line:
+            out.append(line)
+            continue
+        taken = 0
+        for word in line.split(" "):
+            if taken and taken + 1 + len(word) <= WIDEST:
+                out[-1] += " " + word
+                taken += 1 + len(word)
+            else:
+                out.append(word)
+                taken = len(word)
+    return out
+
+
 class Table:
     def __init__(self) -> None:
-        self.rows: list[list[tuple[list[str], int]]] = []
+        self.rows: list[list[tuple[list[str], int, int]]] = []  # lines of the cell, columns, rows
         self.caption = ""
 
+    def placed(self) -> Iterator[list[tuple[int, int, list[str]]]]:
+        """The rows as (column, columns, lines) of their cells, to the right of cells that span rows from above."""
+        below: dict[int, int] = {}  # rows that a column is still taken for
+        for row in self.rows:
+            at, out, taken = 0, [], {}
+            for cell, span, deep in row:
+                while below.get(at, 0) > 0:
+                    at += 1
+                out.append((at, span, cell))
+                if deep > 1:
+                    taken.update((k, deep) for k in range(at, at + span))
+                at += span
+            below = {k: n - 1 for k, n in (below | taken).items() if n > 1}
+            yield out
+
     def lines(self) -> list[str]:
+        rows = [[(at, span, _wrapped(cell)) for at, span, cell in row] for row in self.placed()]
         widths: dict[int, int] = {}
-        for row in self.rows:
-            at = 0
-            for cell, span in row:
+        for row in rows:
+            for at, span, cell in row:
                 if span == 1:
                     widths[at] = max(widths.get(at, 0), *(min(WIDEST, len(x)) for x in cell))
-                at += span
+        edges = [0]
+        for k in range(max((at + span for row in rows for at, span, _ in row), default=0)):
+            edges.append(edges[-1] + widths.get(k, 0) + 2)
         out = [self.caption] if self.caption else []
-        for row in self.rows:
-            if not any("".join(c) for c, _ in row):
+        for row in rows:
+            if not any("".join(c) for *_, c in row):
                 continue
-            for i in range(max(len(c) for c, _ in row)):
-                line, at, edge = "", 0, 0
-                for cell, span in row:
-                    line = line.ljust(edge) + (cell[i] if i < len(cell) else "")
-                    edge += sum(widths.get(k, 0) + 2 for k in range(at, at + span))
-                    at += span
-                    if len(line) > edge - 2:  # a cell that ran over pushes its neighbour
-                        line += "  "
+            left = [(at, span, iter(c), len(c)) for at, span, c in row]
+            while any(n for *_, n in left):
+                line = ""
+                for i, (at, span, lines, n) in enumerate(left):
+                    if not n:
+                        continue
+                    line = line.ljust(edges[at]) + next(lines)
+                    left[i] = (at, span, lines, n - 1)
+                    if len(line) > edges[at + span] - 2:
+                        if span == 1:
+                            break  # too long for its column: the cells after it go on below
+                        line += "  "  # over several columns it pushes its neighbour
                 out.append(line.rstrip())
         return out
 
@@ -352,7 +393,9 @@ def render(root: Node) -> str:
                 if tag == "caption":
                     tables[-1].caption = text
                 else:
-                    tables[-1].rows[-1].append((text.split("\n"), max(1, min(1000, _number(node.attrs.get("colspan", ""), 1)))))
+                    deep = _number(node.attrs.get("rowspan", ""), 1)
+                    tables[-1].rows[-1].append((text.split("\n"), max(1, min(COLUMNS, _number(node.attrs.get("colspan", ""), 1))),
+                                                ROWS if deep == 0 else max(1, min(ROWS, deep))))
             elif tag == "table":
                 page.lines(tables.pop().lines())
                 page.block(2)

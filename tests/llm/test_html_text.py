@@ -25,6 +25,20 @@ CASES = [
 ]
 
 
+LONG = "lorem ipsum dolor sit amet consetetur sadipscing elitr sed diam nonumy eirmod tempor"
+HEAD = LONG[:LONG.index(" diam")]
+CASES += [
+    ("<table><tr><th>a<th>b<th>c<tr><td rowspan=2>x<td>1<td>2<tr><td>3<td>4<tr><td>y<td>5<td>6</table>", "a  b  c\nx  1  2\n   3  4\ny  5  6"),
+    ("<table><tr><td>p<td rowspan=0>q<td>r<tr><td>s<td>t<tr><td>u<td>v</table>", "p  q  r\ns     t\nu     v"),
+    ("<table><tr><td rowspan=2 colspan=2>ab<td>c<tr><td>d<tr><td>e<td>f<td>g</table>", "ab    c\n      d\ne  f  g"),
+    ("<table><tr><td rowspan=9>x<td>y</table>z", "x  y\n\nz"),
+    (f"<table><tr><td>a<td>{LONG}<td>c<tr><td>d<td>e<td>f</table>",
+     f"a  {HEAD}  c\n   diam nonumy eirmod tempor\nd  e" + " " * (len(HEAD) + 1) + "f"),
+    ("<table><tr><td>a<td>" + "w" * 70 + " tail<td>c<tr><td>d<td>e<td>f</table>",
+     "a  " + "w" * 70 + "\n   tail" + " " * 58 + "c\nd  e" + " " * 61 + "f"),
+]
+
+
 @pytest.mark.parametrize("html,text", CASES)
 def test_layout(html, text):
     assert H.text_of(html) == text
@@ -79,6 +93,34 @@ def test_any_markup_keeps_its_letters(parts):
     H.text_of(html)
 
 
+def brute_grid(rows):
+    """Cell by cell on a grid of taken places: the column of each cell."""
+    taken, out = set(), []
+    for r, row in enumerate(rows):
+        c, places = 0, []
+        for span, deep in row:
+            while (r, c) in taken:
+                c += 1
+            places.append(c)
+            taken |= {(r + i, c + k) for i in range(deep) for k in range(span)}
+            c += span
+        out.append(places)
+    return out
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.integers(1, 3), st.integers(1, 4)), min_size=1, max_size=4), min_size=1, max_size=6))
+def test_cells_stand_where_a_grid_of_taken_places_puts_them(rows):
+    t = H.Table()
+    t.rows = [[([f"r{i}c{j}"], span, deep) for j, (span, deep) in enumerate(row)] for i, row in enumerate(rows)]
+    assert [[at for at, _, _ in row] for row in t.placed()] == brute_grid(rows)
+    if all(span == 1 for row in rows for span, _ in row):
+        lines = t.lines()
+        for i, row in enumerate(brute_grid(rows)):
+            starts = [lines[i].index(f"r{i}c{j}") for j in range(len(row))]
+            assert starts == [6 * c for c in row] or any(c > len(rows[0]) + 20 for c in row) or starts == sorted(starts)
+
+
 def test_long_and_deep_pages():
     t = time.time()
     assert H.text_of("<div>" * 100_000 + "x") == "x"
