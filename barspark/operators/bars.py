@@ -303,10 +303,8 @@ def _imbalance_levels(trades: DataFrame, by: list[str], threshold: Column, quant
     down = (lo1 < lo0) | ((lo1 == lo0) & (hi1 < hi0))
     s = s.withColumn("__forced", F.when(up, lo1).when(down, hi1).when(lo1 == hi1, lo1))
     zero = F.lit(0).cast("long")
-    k = running(s, by, [t, seq], "__ck", {"__k1": ("last", F.col("__forced"))})
-    k = k.withColumn("__k1", F.coalesce("__k1", zero))
-    k = running(k, by, [t, seq], "__ck", {"__k0": ("last", F.col("__k1"))}, inclusive=False)
-    k = k.withColumn("__k0", F.coalesce("__k0", zero))
+    k = running(s, by, [t, seq], "__ck", {"__k1": ("last", F.col("__forced")), "__k0": ("last_before", F.col("__forced"))})
+    k = k.withColumns({"__k1": F.coalesce("__k1", zero), "__k0": F.coalesce("__k0", zero)})
     return k.withColumn("__mv", F.abs(F.col("__k1") - F.col("__k0")))
 
 

@@ -62,7 +62,8 @@ def running(df: DataFrame, by: list[str], order: list[str], chunk: Column | str,
             aggs: dict[str, tuple[str, Column]], inclusive: bool = True) -> DataFrame:
     """Running aggregates per ``by`` in ``order`` (which must order the rows of a key uniquely).
 
-    ``aggs`` maps an output name to (kind, column); kinds are sum, count, max, min, last (latest non-NULL). ``chunk``
+    ``aggs`` maps an output name to (kind, column); kinds are sum, count, max, min, last (latest non-NULL) and last_before (latest
+    non-NULL of the rows before, whatever ``inclusive`` says). ``chunk``
     must be non-decreasing in ``order``; given as the name of an existing column it is kept, so that several passes share
     one shuffle. Sum and count start from 0, the others from NULL.
     """
@@ -75,8 +76,8 @@ def running(df: DataFrame, by: list[str], order: list[str], chunk: Column | str,
     wc = Window.partitionBy(*by).orderBy(ch).rowsBetween(UNB, -1)
     for name, (kind, col) in aggs.items():
         lo, to, ca = f"__l_{name}", f"__t_{name}", f"__c_{name}"
-        if kind == "last":
-            local[lo] = F.last(col, ignorenulls=True).over(w)
+        if kind in ("last", "last_before"):
+            local[lo] = F.last(col, ignorenulls=True).over(w if kind == "last" else spec.rowsBetween(UNB, -1))
             ordkey = F.struct(*[F.col(o) for o in order])
             totals.append(F.max_by(col, F.when(col.isNotNull(), ordkey)).alias(to))
             carried.append(F.last(to, ignorenulls=True).over(wc).alias(ca))

@@ -38,7 +38,8 @@ def test_time_bars_combine_before_their_only_shuffle(spark):
 @pytest.mark.parametrize("name,most", [
     ("F12_F14_F16_tightness_channels", 2),  # bars, then one partitioning for every window
     ("F20_runs_below_vwap", 2), ("G6_vwap_reclaim", 2), ("H4_stop_atr_ratchet", 3), ("H7_frozen_level_stop", 2),
-    ("D2_asof_forward_strict", 6)])
+    ("D2_asof_forward_strict", 6), ("C10_volume_bars", 5), ("C12_imbalance_bars", 9), ("D9_windowed_sums_from_prefix", 4),
+    ("J4_consolidated_levels", 14), ("J5_book_quality_checks", 10)])
 def test_window_stacks_share_a_shuffle(spark, name, most):
     assert exchanges(plan(spark, name)) <= most
 
