@@ -113,11 +113,11 @@ def test_forward_fill_grid(spark):
 
 
 def test_many_cuts_are_looked_up_like_few(spark):
-    from barspark.operators.prefix import _bucket
+    from barspark.operators.prefix import value_bucket
 
     cuts = sorted({round(x * 0.37, 3) for x in range(300)})
     df = spark.createDataFrame([(c + d,) for c in [-5.0, *cuts[::7], 500.0] for d in (-0.001, 0.0, 0.001)], "v double")
-    for r in df.select("v", _bucket(F.col("v"), cuts).alias("b")).collect():
+    for r in df.select("v", value_bucket(F.col("v"), cuts).alias("b")).collect():
         assert r["b"] == 2 * sum(r["v"] > c for c in cuts) + (r["v"] in cuts)
 
 
