@@ -285,26 +285,37 @@ def quantity_bars(trades: DataFrame, by: list[str], threshold: float, quantity:
                     "trade_count", "start_ts", "end_ts")
 
 
-def _imbalance_levels(trades: DataFrame, by: list[str], threshold: Column, quantity: Column, sign: Column,
-                      chunk: Column, t: str, seq: str) -> DataFrame:
-    """Running signed quantity __s and the level index before (__k0) and after (__k1) each trade.
+def _signed_total(trades: DataFrame, by: list[str], quantity: Column, sign: Column, chunk: Column, t: str, seq: str) -> DataFrame:
+    """Signed quantity __x of each trade and its running total __s; chunk ids in __ck."""
+    d = trades.withColumn("__q", quantity.cast("double")).filter(F.col("__q") > 0)
+    d = d.withColumn("__ck", chunk).withColumn("__x", F.col("__q") * sign)
+    return running(d, by, [t, seq], "__ck", {"__s": ("sum", F.col("__x"))})
+
+
+def _with_levels(s: DataFrame, by: list[str], thresholds: dict[str, Column], t: str, seq: str) -> DataFrame:
+    """For each named threshold T the level index before (__k0 and the name) and after (__k1 and the name) each trade.
 
     A bar closes whenever S is a whole threshold away from the level k at which the previous bar closed, and k moves by
     one. After a trade k lies in [floor(S/T), ceil(S/T)]; when that interval moves up k is its lower end, when it moves
     down k is its upper end, and while it stays put k does not change. The level is therefore the latest forced value:
-    a running ``last`` instead of a loop over the tape.
+    a running ``last`` instead of a loop over the tape. All thresholds share one pass.
     """
-    d = trades.withColumn("__q", quantity.cast("double")).filter(F.col("__q") > 0)
-    d = d.withColumn("__ck", chunk).withColumn("__x", F.col("__q") * sign)
-    s = running(d, by, [t, seq], "__ck", {"__s": ("sum", F.col("__x"))})
-    z1, z0 = F.col("__s") / threshold, (F.col("__s") - F.col("__x")) / threshold
-    lo1, hi1, lo0, hi0 = F.floor(z1), F.ceil(z1), F.floor(z0), F.ceil(z0)
-    up = (lo1 > lo0) | ((lo1 == lo0) & (hi1 > hi0))
-    down = (lo1 < lo0) | ((lo1 == lo0) & (hi1 < hi0))
-    s = s.withColumn("__forced", F.when(up, lo1).when(down, hi1).when(lo1 == hi1, lo1))
-    zero = F.lit(0).cast("long")
-    k = running(s, by, [t, seq], "__ck", {"__k1": ("last", F.col("__forced")), "__k0": ("last_before", F.col("__forced"))})
-    k = k.withColumns({"__k1": F.coalesce("__k1", zero), "__k0": F.coalesce("__k0", zero)})
+    forced, aggs = {}, {}
+    for name, th in thresholds.items():
+        z1, z0 = F.col("__s") / th, (F.col("__s") - F.col("__x")) / th
+        lo1, hi1, lo0, hi0 = F.floor(z1), F.ceil(z1), F.floor(z0), F.ceil(z0)
+        up = (lo1 > lo0) | ((lo1 == lo0) & (hi1 > hi0))
+        down = (lo1 < lo0) | ((lo1 == lo0) & (hi1 < hi0))
+        forced[f"__f{name}"] = F.when(up, lo1).when(down, hi1).when(lo1 == hi1, lo1)
+        aggs |= {f"__k1{name}": ("last", F.col(f"__f{name}")), f"__k0{name}": ("last_before", F.col(f"__f{name}"))}
+    k = running(s.withColumns(forced), by, [t, seq], "__ck", aggs)
+    return k.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in aggs}).drop(*forced)
+
+
+def _imbalance_levels(trades: DataFrame, by: list[str], threshold: Column, quantity: Column, sign: Column,
+                      chunk: Column, t: str, seq: str) -> DataFrame:
+    """Running signed quantity __s, the level index before (__k0) and after (__k1) each trade, and the levels moved (__mv)."""
+    k = _with_levels(_signed_total(trades, by, quantity, sign, chunk, t, seq), by, {"": threshold}, t, seq)
     return k.withColumn("__mv", F.abs(F.col("__k1") - F.col("__k0")))
 
 
@@ -337,14 +348,27 @@ def imbalance_bars(trades: DataFrame, by: list[str], threshold: float | Column,
     ).withColumn("imbalance", F.col("buy") - F.col("sell"))
 
 
+def imbalance_bar_counts(trades: DataFrame, by: list[str], thresholds: list[Column], quantity: Column, sign: Column,
+                         chunk: Column, t: str = "ts", seq: str = "seq") -> DataFrame:
+    """Per key the number of imbalance bars (an open one included) at each threshold, in ``n_bars`` as an array, without building
+    them: one running total and one pass of levels for all thresholds. A threshold of NULL has no count."""
+    names = [str(i) for i in range(len(thresholds))]
+    k = _with_levels(_signed_total(trades, by, quantity, sign, chunk, t, seq), by, dict(zip(names, thresholds)), t, seq)
+    last, counts = F.struct(F.col(t), F.col(seq)), []
+    for name, th in zip(names, thresholds):
+        moved = F.abs(F.col(f"__k1{name}") - F.col(f"__k0{name}"))
+        # quantity is left over after the last close unless the last trade ends exactly on the level it closes at
+        rest = F.when((moved == 0) | (F.col("__s") / th != F.col(f"__k1{name}")), 1).otherwise(0)
+        known = F.max(th).isNotNull()
+        counts.append(F.when(known, F.sum(moved) + F.max_by(rest, last)))
+    return k.groupBy(*by).agg(F.array(*counts).alias("n_bars"))
+
+
 def imbalance_bar_count(trades: DataFrame, by: list[str], threshold: Column, quantity: Column, sign: Column,
                         chunk: Column, t: str = "ts", seq: str = "seq") -> DataFrame:
-    """Number of imbalance bars per key (an open one included) at a per-row threshold, without building them."""
-    k = _imbalance_levels(trades, by, threshold, quantity, sign, chunk, t, seq)
-    # quantity is left over after the last close unless the last trade ends exactly on the level it closes at
-    rest = F.when((F.col("__mv") == 0) | (F.col("__s") / threshold != F.col("__k1")), 1).otherwise(0)
-    left = F.max_by(rest, F.struct(F.col(t), F.col(seq)))
-    return k.groupBy(*by).agg((F.sum("__mv") + left).alias("n_bars"))
+    """``imbalance_bar_counts`` at a single threshold."""
+    n = imbalance_bar_counts(trades, by, [threshold], quantity, sign, chunk, t, seq)
+    return n.withColumn("n_bars", F.get("n_bars", F.lit(0)))
 
 
 def imbalance_thresholds(trades: DataFrame, by: list[str], min_bars: int, quantity: Column, sign: Column,
@@ -352,8 +376,8 @@ def imbalance_thresholds(trades: DataFrame, by: list[str], min_bars: int, quanti
     """Per key the first threshold of the halving ladder (from a power of two near total / min_bars, at least 1) that
     yields ``min_bars`` bars; where none down to 1 does, the last rung, with the bars it yields.
 
-    The ladder ends at 1, so the passes are bounded by the size of the tape's quantities. A few rungs are tried per pass,
-    and only keys still without an answer go into the next. What passes between rounds is one row per key.
+    The ladder ends at 1, so the passes are bounded by the size of the tape's quantities. A few rungs are tried per pass, over
+    the same rows, and only keys still without an answer go into the next. What passes between rounds is one row per key.
     """
     total = F.sum(F.when(quantity > 0, quantity.cast("double")))
     raw = F.greatest(total / F.lit(float(max(1, min_bars))), F.lit(1.0))
@@ -361,9 +385,11 @@ def imbalance_thresholds(trades: DataFrame, by: list[str], min_bars: int, quanti
     todo = todo.withColumn("__th", F.greatest("__th", F.lit(1.0)))
     found, per_pass = None, 4
     while True:
-        rungs = F.array(*[F.col("__th") / F.lit(float(2**i)) for i in range(per_pass)])
-        cand = todo.select(*by, F.explode(rungs).alias("__c")).filter(F.col("__c") >= 1.0)
-        n = imbalance_bar_count(trades.join(cand, by), [*by, "__c"], F.col("__c"), quantity, sign, chunk, t, seq)
+        rungs = [F.col("__th") / F.lit(float(2**i)) for i in range(per_pass)]
+        rungs = [F.when(r >= 1.0, r) for r in rungs]
+        n = imbalance_bar_counts(trades.join(todo, by), by, rungs, quantity, sign, chunk, t, seq).join(todo, by)
+        tried = F.filter(F.zip_with(F.array(*rungs), F.col("n_bars"), lambda c, m: F.struct(c.alias("c"), m.alias("m"))), lambda x: x["c"].isNotNull())
+        n = n.select(*by, F.explode(tried).alias("x")).select(*by, F.col("x.c").alias("__c"), F.col("x.m").alias("n_bars"))
         ok = F.col("n_bars") >= min_bars
         best = n.groupBy(*by).agg(
             F.max(F.when(ok, F.col("__c"))).alias("threshold"),
