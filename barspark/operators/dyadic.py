@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from barspark.operators.asof import asof_join
 from barspark.operators.prefix import running, with_chunks
+from barspark.session import stored
 
 
 def block_tree(buckets: DataFrame, by: list[str], index: str, sums: list[str], longest: int) -> DataFrame:
@@ -62,7 +63,7 @@ def trailing_sums(rows: DataFrame, by: list[str], t: str, sums: list[str], width
     key = [*by, "__cell"]
     up = running(d, key, [t], "__ck", {f"__u_{s}": ("sum", F.col(s)) for s in sums})
     back = running(up.withColumns({"__rt": -F.col(t), "__rc": -F.col("__ck")}), key, ["__rt"], "__rc", {f"__d_{s}": ("sum", F.col(s)) for s in sums})
-    back = back.drop("__rt", "__rc", "__ck")
+    back = stored(back.drop("__rt", "__rc", "__ck"))  # read as the rows, as the points and as what they look up
     start = F.col(t) - (width - 1)
     points = back.withColumns({"__at": start, "__own": F.col("__cell"), "__cell": F.floor(start / step).cast("long")}).drop(*[f"__d_{s}" for s in sums])
     head = back.select(*key, F.col(t).alias("__ht"), *[f"__d_{s}" for s in sums])
