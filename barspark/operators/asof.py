@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barspark.operators.prefix import spread, with_chunks
 
-UNB, FOL = Window.unboundedPreceding, Window.unboundedFollowing
+UNB = Window.unboundedPreceding
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str,
@@ -42,20 +42,20 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str,
         F.struct(*[F.col(c) for c in lkeep]).alias("__l"),
     )
     u = lft.unionByName(r, allowMissingColumns=True)
-    pick, frame = (F.last, (UNB, -1)) if back else (F.first, (1, FOL))
+    # a frame that runs to the end is worked out anew for every row; the same rows in descending order are a running frame
+    way = F.asc if back else F.desc
+    latest = lambda c, w: F.last(c, ignorenulls=True).over(w.rowsBetween(UNB, -1))
     if chunk is None:
-        w = Window.partitionBy(*by).orderBy("__t", "__side").rowsBetween(*frame)
-        m = u.withColumn("__m", pick("__r", ignorenulls=True).over(w))
+        m = u.withColumn("__m", latest("__r", Window.partitionBy(*by).orderBy(way("__t"), way("__side"))))
     else:
         u = with_chunks(u, by, ["__t", "__side"], chunk, name="__chunk", time=F.col(f"__t.{clock}") if clock else None)
         keys = [*by, "__chunk"]
-        w = Window.partitionBy(*keys).orderBy("__t", "__side").rowsBetween(*frame)
+        w = Window.partitionBy(*keys).orderBy(way("__t"), way("__side"))
         edge = F.max_by if back else F.min_by
         per = u.groupBy(*keys).agg(edge("__r", F.when(F.col("__r").isNotNull(), F.col("__t"))).alias("__edge"))
-        wc = Window.partitionBy(*by).orderBy("__chunk").rowsBetween(*frame)
-        carry = per.select(*keys, pick("__edge", ignorenulls=True).over(wc).alias("__carry"))
+        carry = per.select(*keys, latest("__edge", Window.partitionBy(*by).orderBy(way("__chunk"))).alias("__carry"))
         m = (
-            u.withColumn("__local", pick("__r", ignorenulls=True).over(w))
+            u.withColumn("__local", latest("__r", w))
             .filter(F.col("__l").isNotNull())
             .join(carry, keys, "left")
             .withColumn("__m", F.coalesce("__local", "__carry"))
