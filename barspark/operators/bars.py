@@ -160,11 +160,17 @@ def resample(bars: DataFrame, by: list[str], t: str, width: int) -> DataFrame:
 
 
 def bar_shape(bars: DataFrame, by: list[str], t: str) -> DataFrame:
-    """Relative deviation, log return of VWAP against the previous bar, and time since it."""
+    """Relative deviation, log return of VWAP against the previous bar, and time since it.
+
+    The log return from a VWAP of zero is infinite, that to one minus infinite, and NaN from zero to zero.
+    """
     w = Window.partitionBy(*by).orderBy(t)
+    v, p = F.col("vwap"), F.lag("vwap").over(w)
+    inf = F.lit(float("inf"))
+    from_zero = F.when(v > 0, inf).when(v == 0, F.lit(float("nan")))
     return bars.withColumns({
         "rel_std": F.col("vwstd") / F.nullif(F.col("vwap"), F.lit(0.0)),
-        "log_ret": F.ln(F.col("vwap") / F.lag("vwap").over(w)),
+        "log_ret": F.when(p == 0, from_zero).when(v == 0, F.when(p > 0, -inf)).otherwise(F.ln(v / F.nullif(p, F.lit(0.0)))),
         "gap": F.col(t) - F.lag(t).over(w),
     })
 
