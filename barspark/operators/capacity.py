@@ -8,6 +8,28 @@ from pyspark.sql import functions as F
 from barspark.operators.strata import daily_level
 
 
+def walk(batches):
+    """Accept or skip trips, sorted by scenario, segment, entry day and trip, that come in any batches."""
+    import heapq
+
+    import pyarrow as pa
+
+    at, deployed, open_ = None, 0.0, []
+    for t in batches:
+        ok = []
+        for *segment, a, z, n, cap in zip(*(t[c].to_pylist() for c in ("scenario", "segment", "a", "z", "size", "cap"))):
+            if segment != at:
+                at, deployed, open_ = segment, 0.0, []
+            while open_ and open_[0][0] <= a:
+                deployed -= heapq.heappop(open_)[1]
+            fits = deployed + n <= cap
+            if fits:
+                deployed += n
+                heapq.heappush(open_, (z, n))
+            ok.append(fits)
+        yield pa.RecordBatch.from_arrays([t["scenario"], t["trip_id"], pa.array(ok, pa.bool_())], ["scenario", "trip_id", "accepted"])
+
+
 def capacity_book(trips: DataFrame, scenarios: dict[str, float], size: str = "notional") -> DataFrame:
     """Accept trips in entry order while deployed capital fits each scenario's book; skip what does not fit.
 
@@ -32,24 +54,9 @@ def capacity_book(trips: DataFrame, scenarios: dict[str, float], size: str = "no
     src = rest.select(*by, "segment", F.unix_date("entry_date").alias("a"), F.unix_date("exit_date").alias("z"), "trip_id",
                       "size", (F.col("book") - F.coalesce("load", F.lit(0.0))).alias("cap"))
 
-    def walk(key, table):
-        import heapq
-
-        import pyarrow as pa
-
-        t = table.sort_by([("a", "ascending"), ("trip_id", "ascending")])
-        deployed, open_, ok = 0.0, [], []
-        for a, z, n, cap in zip(*(t[c].to_pylist() for c in ("a", "z", "size", "cap"))):
-            while open_ and open_[0][0] <= a:
-                deployed -= heapq.heappop(open_)[1]
-            fits = deployed + n <= cap
-            if fits:
-                deployed += n
-                heapq.heappush(open_, (z, n))
-            ok.append(fits)
-        return pa.table({"scenario": t["scenario"], "trip_id": t["trip_id"], "accepted": pa.array(ok, pa.bool_())})
-
     ids = dict(trips.dtypes)["trip_id"]
-    walked = src.groupBy(*by, "segment").applyInArrow(walk, f"scenario string, trip_id {ids}, accepted boolean")
+    # a segment's trips lie in one partition, in entry order; they are walked batch by batch, and only open positions are kept
+    dealt = src.repartition(*by, "segment").sortWithinPartitions(*by, "segment", "a", "trip_id")
+    walked = dealt.mapInArrow(walk, f"scenario string, trip_id {ids}, accepted boolean")
     sure = settled.select("scenario", "trip_id", F.lit(True).alias("accepted"))
     return sure.unionByName(walked)
