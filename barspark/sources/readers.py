@@ -59,8 +59,11 @@ def flatten_intraday(d: DataFrame) -> DataFrame:
                     F.col("r.v").alias("volume"), F.col("r.vw").alias("vwap"), F.col("r.n").alias("transactions"))
 
 
-def ticker_events_json(spark: SparkSession, path: str) -> DataFrame:
-    """One file per ticker; the file name (with ``_`` for ``.``) is the queried ticker."""
+def ticker_events_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One file per ticker; the file name (with ``_`` for ``.``) is the queried ticker. ``lines``: the documents of many tickers
+    a line each, which splits; a document has the name of its file as ``file_name``."""
+    if lines:
+        return flatten_ticker_events(spark.read.schema(f"file_name string, {schemas.TICKER_EVENTS_JSON}").json(path))
     d = spark.read.schema(schemas.TICKER_EVENTS_JSON).option("multiLine", "true").json(path)
     return flatten_ticker_events(d.withColumn("file_name", F.col("_metadata.file_name")))
 
