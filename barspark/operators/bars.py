@@ -162,15 +162,18 @@ def resample(bars: DataFrame, by: list[str], t: str, width: int) -> DataFrame:
 def bar_shape(bars: DataFrame, by: list[str], t: str) -> DataFrame:
     """Relative deviation, log return of VWAP against the previous bar, and time since it.
 
-    The log return from a VWAP of zero is infinite, that to one minus infinite, and NaN from zero to zero.
+    The log return is that of IEEE arithmetic: infinite from a VWAP of zero, minus infinite to one, and NaN from zero to zero,
+    between VWAPs of opposite signs and where one is NaN. A bar without a time is the last.
     """
-    w = Window.partitionBy(*by).orderBy(t)
+    w = Window.partitionBy(*by).orderBy(F.asc_nulls_last(t))
     v, p = F.col("vwap"), F.lag("vwap").over(w)
-    inf = F.lit(float("inf"))
-    from_zero = F.when(v > 0, inf).when(v == 0, F.lit(float("nan")))
+    inf, nan = F.lit(float("inf")), F.lit(float("nan"))
+    ratio = v / F.nullif(p, F.lit(0.0))
+    # Spark has NULL for logarithms of zero and below, and NaN above all numbers
+    from_zero = F.when((v > 0) & ~F.isnan(v), inf).when(v.isNotNull(), nan)
     return bars.withColumns({
         "rel_std": F.col("vwstd") / F.nullif(F.col("vwap"), F.lit(0.0)),
-        "log_ret": F.when(p == 0, from_zero).when(v == 0, F.when(p > 0, -inf)).otherwise(F.ln(v / F.nullif(p, F.lit(0.0)))),
+        "log_ret": F.when(p == 0, from_zero).when(ratio > 0, F.ln(ratio)).when(ratio == 0, -inf).when(ratio < 0, nan),
         "gap": F.col(t) - F.lag(t).over(w),
     })
 
